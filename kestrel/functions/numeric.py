@@ -34,8 +34,12 @@ def ratio_round(num, den, digits: int) -> Column:
 
 def cents_ratio_round(num_cents, den, digits: int = 2) -> Column:
     """round((num_cents / 100) / den, digits) for sums kept in hundredths."""
-    shift = float(10 ** (digits - 2)) if digits >= 2 else 1.0 / float(10 ** (2 - digits))
-    q = (_c(num_cents).cast("double") * F.lit(shift)) / _c(den).cast("double")
+    n = _c(num_cents).cast("double")
+    d = _c(den).cast("double")
+    if digits >= 2:
+        q = (n * F.lit(float(10 ** (digits - 2)))) / d
+    else:
+        q = n / (d * F.lit(float(10 ** (2 - digits))))
     return F.rint(q) / F.lit(float(10 ** digits)) + F.lit(0.0)
 
 
@@ -66,6 +70,22 @@ def sql_ratio_round(num: str, den: str, digits: int) -> str:
 
 
 def sql_cents_ratio_round(num_cents: str, den: str, digits: int = 2) -> str:
-    shift = 10 ** (digits - 2) if digits >= 2 else 1.0 / 10 ** (2 - digits)
-    return (f"(round_even((cast({num_cents} as double) * {float(shift)!r}) / cast({den} as double), 0)"
-            f" / {float(10 ** digits)!r} + 0.0)")
+    n, d = f"cast({num_cents} as double)", f"cast({den} as double)"
+    if digits >= 2:
+        q = f"({n} * {float(10 ** (digits - 2))!r}) / {d}"
+    else:
+        q = f"{n} / ({d} * {float(10 ** (2 - digits))!r})"
+    return f"(round_even({q}, 0) / {float(10 ** digits)!r} + 0.0)"
+
+
+def half_up_ratio(num: str, den: str, digits: int) -> Column:
+    """round(num / den, digits), half away from zero, for non-negative integer
+    column names -- the database ROUND(numeric) rule, computed exactly with
+    integer division."""
+    scale = 10 ** digits
+    return F.expr(f"(2 * ({num}) * {scale} + ({den})) div (2 * ({den}))").cast("double") / F.lit(float(scale))
+
+
+def sql_half_up_ratio(num: str, den: str, digits: int) -> str:
+    scale = 10 ** digits
+    return f"(cast((2 * ({num}) * {scale} + ({den})) // (2 * ({den})) as double) / {float(scale)!r})"

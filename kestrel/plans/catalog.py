@@ -10,12 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kestrel.operators import form
-from kestrel.sources import fixtures as fx
+from kestrel.operators import form, quality, reports, scorecards
+from kestrel.plans import domain as dm
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+FLAGSHIP = "C1_team_form"
 
 
 def register(name: str):
@@ -25,18 +27,122 @@ def register(name: str):
     return deco
 
 
+# ---- team form ----------------------------------------------------------------
+
 @register("W1_W2_W3_team_form_rows")
 def q_form_rows(spark, sf_dir):
-    return form.team_form_rows(fx.matches(spark, sf_dir))
+    return form.team_form_rows(dm.matches(spark, sf_dir))
 
 
 @register("C1_team_form")
 def q_team_form(spark, sf_dir):
-    return form.team_form(fx.matches(spark, sf_dir))
+    return form.team_form(dm.matches(spark, sf_dir))
 
 
 @register("C2_team_form_asof")
 def q_team_form_asof(spark, sf_dir):
-    m = fx.matches(spark, sf_dir)
+    m = dm.matches(spark, sf_dir)
     return form.team_form_asof(m, form.completed(m))
-FLAGSHIP = "C1_team_form"
+
+
+@register("U1_team_rows")
+def q_team_rows(spark, sf_dir):
+    return form.team_rows(form.completed(dm.matches(spark, sf_dir))).select(
+        "match_id", "match_date", "venue", "team", "opponent", "won", "won_toss")
+
+
+# ---- scorecards and validation --------------------------------------------------
+
+@register("A1_batting_scorecard")
+def q_batting_card(spark, sf_dir):
+    return scorecards.batting_card(dm.deliveries(spark, sf_dir))
+
+
+@register("A2_bowling_scorecard")
+def q_bowling_card(spark, sf_dir):
+    return scorecards.bowling_card(dm.deliveries(spark, sf_dir))
+
+
+@register("A2_bowling_scorecard_fielding_side")
+def q_bowling_card_fielding(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    return scorecards.bowling_card(dm.deliveries(spark, sf_dir, m), "fielding", m)
+
+
+@register("V1_V3_match_validation_tally")
+def q_match_tally(spark, sf_dir):
+    return quality.load_tally(quality.validate_matches(dm.matches(spark, sf_dir)))
+
+
+@register("V1_match_validation")
+def q_match_validation(spark, sf_dir):
+    return quality.validate_matches(dm.matches(spark, sf_dir)).select("match_id", "is_valid", "error_message")
+
+
+@register("V2_V3_stat_validation_tally")
+def q_stat_tally(spark, sf_dir):
+    return quality.load_tally(dm.stat_checks(spark, sf_dir))
+
+
+# ---- reports --------------------------------------------------------------------
+
+@register("C12_batting_cards")
+def q_batting_cards(spark, sf_dir):
+    return reports.batting_cards(dm.player_stats(spark, sf_dir))
+
+
+@register("C12_bowling_cards")
+def q_bowling_cards(spark, sf_dir):
+    return reports.bowling_cards(dm.player_stats(spark, sf_dir))
+
+
+@register("C13_recent_matches")
+def q_recent(spark, sf_dir):
+    return reports.recent_matches(dm.matches(spark, sf_dir))
+
+
+@register("A9_batter_summary")
+def q_batter_summary(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    return reports.batter_summary(dm.player_stats(spark, sf_dir, m), m, min_balls=0).drop("_key")
+
+
+@register("A10_bowler_summary")
+def q_bowler_summary(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    return reports.bowler_summary(dm.player_stats(spark, sf_dir, m), m).drop("_key", "_key2")
+
+
+@register("C14_top_batters_per_pair")
+def q_top_batters(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    return reports.top_batters_per_pair(dm.player_stats(spark, sf_dir, m), m, min_balls=0)
+
+
+@register("C14_top_bowlers_per_pair")
+def q_top_bowlers(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    return reports.top_bowlers_per_pair(dm.player_stats(spark, sf_dir, m), m)
+
+
+@register("C15_h2h_summary")
+def q_h2h_summary(spark, sf_dir):
+    return reports.h2h_summary(dm.matches(spark, sf_dir))
+
+
+@register("A12_top_run_totals")
+def q_top_runs(spark, sf_dir):
+    return reports.top_run_totals(dm.player_stats(spark, sf_dir))
+
+
+@register("A13_table_counts")
+def q_table_counts(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    checks = dm.stat_checks(spark, sf_dir, m)
+    _, stat_rej = quality.split_valid(checks, "scorecard", scorecards.STAT_COLUMNS)
+    _, match_rej = quality.split_valid(quality.validate_matches(m), "matches")
+    return reports.table_counts({
+        "matches": m,
+        "player_stats": checks.filter(F.col("is_valid")),
+        "data_errors": stat_rej.unionByName(match_rej),
+    })

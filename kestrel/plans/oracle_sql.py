@@ -69,3 +69,151 @@ SELECT s.match_id, s.match_date, s.team,
        COALESCE(e.streak, 0) AS streak,
        COALESCE(e.matches_played, 0) AS matches_played
 FROM tr s ASOF LEFT JOIN form_ends e ON s.team = e.team AND e.match_date < s.match_date"""
+
+from kestrel.functions.numeric import sql_half_up_ratio as HU  # noqa: E402
+
+CTE_CARDS = f"""bat AS (
+  SELECT match_id, batter AS player_name, batting_team AS team,
+         CAST(COALESCE(SUM(batsman_runs), 0) AS INTEGER) AS runs,
+         CAST(COUNT(ball) AS INTEGER) AS balls_faced,
+         CAST(COUNT(*) FILTER (WHERE batsman_runs = 4) AS INTEGER) AS fours,
+         CAST(COUNT(*) FILTER (WHERE batsman_runs = 6) AS INTEGER) AS sixes
+  FROM deliveries WHERE match_id IS NOT NULL AND batter IS NOT NULL AND batting_team IS NOT NULL
+  GROUP BY match_id, batter, batting_team),
+bat_card AS (SELECT *, {RND('CAST(runs AS DOUBLE) / balls_faced * 100.0', 2)} AS strike_rate FROM bat),
+bowl AS (
+  SELECT match_id, bowler AS player_name, batting_team AS team,
+         CAST(COUNT(ball) AS INTEGER) AS balls_bowled,
+         CAST(COALESCE(SUM(total_runs), 0) AS INTEGER) AS runs_given,
+         CAST(COUNT(player_dismissed) AS INTEGER) AS wickets
+  FROM deliveries WHERE match_id IS NOT NULL AND bowler IS NOT NULL AND batting_team IS NOT NULL
+  GROUP BY match_id, bowler, batting_team),
+bowl1 AS (SELECT *, {RND('CAST(balls_bowled AS DOUBLE) / 6.0', 1)} AS overs_bowled FROM bowl),
+bowl_card AS (SELECT *, {RND('runs_given / CASE WHEN overs_bowled = 0 THEN 1.0 ELSE overs_bowled END', 2)} AS economy
+              FROM bowl1)"""
+
+CTE_PLAYER_STATS = """player_stats AS (
+  SELECT match_id, player_name, team, 'batting' AS role, runs, balls_faced, fours, sixes,
+         CAST(strike_rate AS DECIMAL(6,2)) AS strike_rate, 0 AS wickets,
+         CAST(0 AS DECIMAL(5,1)) AS overs_bowled, CAST(0 AS DECIMAL(5,2)) AS economy
+  FROM bat_card WHERE NOT (strike_rate > 500) AND NOT (runs > 200)
+  UNION ALL
+  SELECT match_id, player_name, team, 'bowling', 0, 0, 0, 0, CAST(0 AS DECIMAL(6,2)), wickets,
+         CAST(overs_bowled AS DECIMAL(5,1)), CAST(economy AS DECIMAL(5,2))
+  FROM bowl_card)"""
+
+STATS_BASE = (CTE_MATCHES, CTE_DELIVERIES, CTE_CARDS, CTE_PLAYER_STATS)
+
+ORACLE["U1_team_rows"] = with_ctes(CTE_MATCHES, CTE_COMPLETED, CTE_TEAM_ROWS) + """
+SELECT match_id, match_date, venue, team, opponent, won, won_toss FROM tr"""
+
+ORACLE["A1_batting_scorecard"] = with_ctes(CTE_MATCHES, CTE_DELIVERIES, CTE_CARDS) + """
+SELECT match_id, player_name, team, runs, balls_faced, fours, sixes, strike_rate FROM bat_card"""
+
+ORACLE["A2_bowling_scorecard"] = with_ctes(CTE_MATCHES, CTE_DELIVERIES, CTE_CARDS) + """
+SELECT match_id, player_name, team, balls_bowled, runs_given, wickets, overs_bowled, economy FROM bowl_card"""
+
+ORACLE["A2_bowling_scorecard_fielding_side"] = with_ctes(CTE_MATCHES, CTE_DELIVERIES, CTE_CARDS) + """
+SELECT b.match_id, b.player_name, CASE WHEN b.team = m.team1 THEN m.team2 ELSE m.team1 END AS team,
+       b.balls_bowled, b.runs_given, b.wickets, b.overs_bowled, b.economy
+FROM bowl_card b JOIN matches m ON m.match_id = b.match_id"""
+
+_MATCH_REASONS = """NULLIF(CONCAT_WS('; ',
+    CASE WHEN match_id IS NULL THEN 'Missing field: match_id' END,
+    CASE WHEN name IS NULL OR name = '' THEN 'Missing field: name' END,
+    CASE WHEN team1 IS NULL OR team1 = '' THEN 'Missing field: team1' END,
+    CASE WHEN team2 IS NULL OR team2 = '' THEN 'Missing field: team2' END,
+    CASE WHEN match_date IS NULL THEN 'Missing field: match_date' END,
+    CASE WHEN length(COALESCE(CAST(match_date AS VARCHAR), 'None')) BETWEEN 1 AND 9
+         THEN 'Invalid date: ' || COALESCE(CAST(match_date AS VARCHAR), 'None') END,
+    CASE WHEN team1 IS NOT DISTINCT FROM team2 THEN 'team1 and team2 are identical' END), '')"""
+
+ORACLE["V1_match_validation"] = with_ctes(CTE_MATCHES) + f"""
+SELECT match_id, {_MATCH_REASONS} IS NULL AS is_valid, {_MATCH_REASONS} AS error_message FROM matches"""
+
+ORACLE["V1_V3_match_validation_tally"] = with_ctes(CTE_MATCHES) + f"""
+SELECT COUNT(*) FILTER (WHERE {_MATCH_REASONS} IS NULL) AS success,
+       COUNT(*) FILTER (WHERE {_MATCH_REASONS} IS NOT NULL) AS failed FROM matches"""
+
+ORACLE["V2_V3_stat_validation_tally"] = with_ctes(CTE_MATCHES, CTE_DELIVERIES, CTE_CARDS) + """
+SELECT (SELECT COUNT(*) FILTER (WHERE NOT (strike_rate > 500) AND NOT (runs > 200)) FROM bat_card)
+       + (SELECT COUNT(*) FROM bowl_card) AS success,
+       (SELECT COUNT(*) FILTER (WHERE strike_rate > 500 OR runs > 200) FROM bat_card) AS failed"""
+
+ORACLE["C12_batting_cards"] = with_ctes(*STATS_BASE) + """
+SELECT match_id, player_name, team, runs, balls_faced, fours, sixes, CAST(strike_rate AS DOUBLE) AS strike_rate,
+       ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY runs DESC, player_name, team) AS card_order
+FROM player_stats WHERE role = 'batting' AND balls_faced > 0"""
+
+ORACLE["C12_bowling_cards"] = with_ctes(*STATS_BASE) + """
+SELECT match_id, player_name, team, wickets, CAST(overs_bowled AS DOUBLE) AS overs_bowled,
+       CAST(economy AS DOUBLE) AS economy,
+       ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY wickets DESC, economy ASC, player_name, team) AS card_order
+FROM player_stats WHERE role = 'bowling' AND overs_bowled > 0"""
+
+ORACLE["C13_recent_matches"] = with_ctes(CTE_MATCHES) + """
+SELECT match_id, name, status, team1, team2, winner, venue, match_date, toss_winner
+FROM matches ORDER BY match_date DESC, match_id DESC LIMIT 10"""
+
+CTE_BATTER_SUMMARY = f"""bsum AS (
+  SELECT ps.player_name, ps.team,
+         {HU('SUM(ps.runs)', 'COUNT(*)', 1)} AS avg_runs,
+         {HU('SUM(CAST(ps.strike_rate * 100 AS BIGINT))', 'COUNT(*) * 100', 1)} AS avg_sr,
+         CAST(SUM(ps.fours) AS BIGINT) AS total_fours, CAST(SUM(ps.sixes) AS BIGINT) AS total_sixes,
+         COUNT(*) AS innings, SUM(ps.runs) / COUNT(*) AS k
+  FROM player_stats ps JOIN matches m ON ps.match_id = m.match_id
+  WHERE ps.role = 'batting' AND ps.balls_faced > 0
+  GROUP BY ps.player_name, ps.team HAVING COUNT(*) >= 2)"""
+
+CTE_BOWLER_SUMMARY = f"""wsum AS (
+  SELECT ps.player_name, ps.team,
+         {HU('SUM(ps.wickets)', 'COUNT(*)', 1)} AS avg_wickets,
+         {HU('SUM(CAST(ps.economy * 100 AS BIGINT))', 'COUNT(*) * 100', 2)} AS avg_economy,
+         CAST(SUM(ps.wickets) AS BIGINT) AS total_wickets, COUNT(*) AS matches,
+         SUM(ps.wickets) / COUNT(*) AS k, SUM(CAST(ps.economy * 100 AS BIGINT)) / COUNT(*) AS k2
+  FROM player_stats ps JOIN matches m ON ps.match_id = m.match_id
+  WHERE ps.role = 'bowling' AND ps.overs_bowled > 0
+  GROUP BY ps.player_name, ps.team HAVING COUNT(*) >= 2)"""
+
+ORACLE["A9_batter_summary"] = with_ctes(*STATS_BASE, CTE_BATTER_SUMMARY) + """
+SELECT player_name, team, avg_runs, avg_sr, total_fours, total_sixes, innings FROM bsum"""
+
+ORACLE["A10_bowler_summary"] = with_ctes(*STATS_BASE, CTE_BOWLER_SUMMARY) + """
+SELECT player_name, team, avg_wickets, avg_economy, total_wickets, matches FROM wsum"""
+
+ORACLE["C14_top_batters_per_pair"] = with_ctes(*STATS_BASE, CTE_BATTER_SUMMARY) + """
+SELECT * FROM (
+  SELECT p.team1, p.team2, b.player_name, b.team, b.avg_runs, b.avg_sr, b.total_fours, b.total_sixes, b.innings,
+         ROW_NUMBER() OVER (PARTITION BY p.team1, p.team2 ORDER BY b.k DESC, b.player_name, b.team) AS rank
+  FROM (SELECT DISTINCT team1, team2 FROM matches) p JOIN bsum b ON b.team IN (p.team1, p.team2)) x
+WHERE rank <= 8"""
+
+ORACLE["C14_top_bowlers_per_pair"] = with_ctes(*STATS_BASE, CTE_BOWLER_SUMMARY) + """
+SELECT * FROM (
+  SELECT p.team1, p.team2, b.player_name, b.team, b.avg_wickets, b.avg_economy, b.total_wickets, b.matches,
+         ROW_NUMBER() OVER (PARTITION BY p.team1, p.team2 ORDER BY b.k DESC, b.k2 ASC, b.player_name, b.team) AS rank
+  FROM (SELECT DISTINCT team1, team2 FROM matches) p JOIN wsum b ON b.team IN (p.team1, p.team2)) x
+WHERE rank <= 8"""
+
+ORACLE["C15_h2h_summary"] = with_ctes(CTE_MATCHES, CTE_COMPLETED) + f"""
+SELECT team1, team2, total, team1_wins, team2_wins,
+       CASE WHEN total > 0 THEN {RR('team1_wins * 100', 'total', 1)} ELSE 50.0 END AS team1_wr,
+       CASE WHEN total > 0 THEN {RR('team2_wins * 100', 'total', 1)} ELSE 50.0 END AS team2_wr
+FROM (
+  SELECT p.team1, p.team2, COUNT(c.match_id) AS total,
+         COUNT(*) FILTER (WHERE c.winner = p.team1) AS team1_wins,
+         COUNT(*) FILTER (WHERE c.winner = p.team2) AS team2_wins
+  FROM (SELECT DISTINCT team1, team2 FROM matches) p
+  LEFT JOIN cm c ON (c.team1 = p.team1 AND c.team2 = p.team2) OR (c.team1 = p.team2 AND c.team2 = p.team1)
+  GROUP BY p.team1, p.team2) x"""
+
+ORACLE["A12_top_run_totals"] = with_ctes(*STATS_BASE) + """
+SELECT player_name, team, CAST(SUM(runs) AS BIGINT) AS total_runs FROM player_stats WHERE role = 'batting'
+GROUP BY player_name, team ORDER BY total_runs DESC, player_name, team LIMIT 5"""
+
+ORACLE["A13_table_counts"] = with_ctes(*STATS_BASE) + f"""
+SELECT 'matches' AS table_name, COUNT(*) AS row_count FROM matches
+UNION ALL SELECT 'player_stats', COUNT(*) FROM player_stats
+UNION ALL SELECT 'data_errors',
+  (SELECT COUNT(*) FROM bat_card WHERE strike_rate > 500 OR runs > 200)
+  + (SELECT COUNT(*) FROM matches WHERE {_MATCH_REASONS} IS NOT NULL)"""
