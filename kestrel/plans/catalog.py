@@ -146,3 +146,104 @@ def q_table_counts(spark, sf_dir):
         "player_stats": checks.filter(F.col("is_valid")),
         "data_errors": stat_rej.unionByName(match_rej),
     })
+
+
+# ---- matchups -------------------------------------------------------------------
+
+from kestrel.operators import matchups as mu  # noqa: E402
+from kestrel.operators import players as pl  # noqa: E402
+from kestrel.operators import strength as stg  # noqa: E402
+from kestrel.plans import features as feat  # noqa: E402
+
+
+@register("C6_h2h_stats")
+def q_h2h(spark, sf_dir):
+    return mu.h2h_stats(dm.matches(spark, sf_dir))
+
+
+@register("C7_h2h_asof")
+def q_h2h_asof(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    return mu.h2h_asof(m, form.completed(m))
+
+
+@register("C8_venue_stats")
+def q_venue(spark, sf_dir):
+    return mu.venue_stats(dm.matches(spark, sf_dir))
+
+
+@register("C9_toss_impact")
+def q_toss(spark, sf_dir):
+    return mu.toss_impact(dm.matches(spark, sf_dir))
+
+
+# ---- players --------------------------------------------------------------------
+
+@register("W4_W6_W8_batting_feature_rows")
+def q_bat_rows(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    return pl.batting_feature_rows(dm.player_stats(spark, sf_dir, m), m)
+
+
+@register("W5_W6_bowling_feature_rows")
+def q_bowl_rows(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    return pl.bowling_feature_rows(dm.player_stats(spark, sf_dir, m), m)
+
+
+@register("C3_batting_features")
+def q_bat_feat(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    return pl.batting_features(dm.player_stats(spark, sf_dir, m), m)
+
+
+@register("C4_bowling_features")
+def q_bowl_feat(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    return pl.bowling_features(dm.player_stats(spark, sf_dir, m), m)
+
+
+@register("C5_player_features_asof")
+def q_player_asof(spark, sf_dir):
+    """As of the latest match day in the data (a scalar subquery)."""
+    m = dm.matches(spark, sf_dir)
+    return pl.player_features_asof(dm.player_stats(spark, sf_dir, m), m, m.select(F.max("match_date")).scalar())
+
+
+@register("J9_team_strength_asof")
+def q_strength(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    sides = form.completed(m).select(F.explode(F.array("team1", "team2")).alias("team"), "match_date")
+    return stg.team_strength_asof(dm.player_stats(spark, sf_dir, m), m, sides)
+
+
+@register("C16_spotlight_next_fixture")
+def q_spotlight(spark, sf_dir):
+    """Spotlight for the latest unfinished fixture (found by a scalar subquery)."""
+    m = dm.matches(spark, sf_dir)
+    nxt = feat.unfinished(m).orderBy(F.desc("match_date"), F.desc("match_id")).limit(1)
+    return pl.spotlight(dm.player_stats(spark, sf_dir, m), m, nxt.select("team1").scalar(),
+                        nxt.select("team2").scalar(), nxt.select("match_date").scalar(), min_balls=0)
+
+
+# ---- feature matrix ---------------------------------------------------------------
+
+@register("C10_feature_matrix")
+def q_feature_matrix(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    return feat.feature_matrix(m, dm.player_stats(spark, sf_dir, m))
+
+
+@register("C10_feature_matrix_leakage_free")
+def q_feature_matrix_before(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    return feat.feature_matrix(m, dm.player_stats(spark, sf_dir, m), history="before")
+
+
+@register("C11_live_features")
+def q_live(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    return feat.live_features(m, dm.player_stats(spark, sf_dir, m))
+
+
+FLAGSHIP = "C10_feature_matrix"

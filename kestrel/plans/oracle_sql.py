@@ -217,3 +217,264 @@ UNION ALL SELECT 'player_stats', COUNT(*) FROM player_stats
 UNION ALL SELECT 'data_errors',
   (SELECT COUNT(*) FROM bat_card WHERE strike_rate > 500 OR runs > 200)
   + (SELECT COUNT(*) FROM matches WHERE {_MATCH_REASONS} IS NOT NULL)"""
+
+# ---- matchups --------------------------------------------------------------------
+
+ORACLE["C6_h2h_stats"] = with_ctes(CTE_MATCHES, CTE_COMPLETED) + f"""
+SELECT team_a, team_b, total_matches, team_a_wins, team_b_wins,
+       {RR('team_a_wins', 'total_matches', 3)} AS team_a_win_rate,
+       {RR('team_b_wins', 'total_matches', 3)} AS team_b_win_rate
+FROM (SELECT least(team1, team2) AS team_a, greatest(team1, team2) AS team_b, COUNT(*) AS total_matches,
+             COUNT(*) FILTER (WHERE winner = least(team1, team2)) AS team_a_wins,
+             COUNT(*) FILTER (WHERE winner = greatest(team1, team2)) AS team_b_wins
+      FROM cm GROUP BY 1, 2) x"""
+
+CTE_H2H_ASOF = f"""h2h AS (
+  SELECT match_id, match_date, team1, team2, h2h_total,
+         CASE WHEN h2h_total > 0 THEN {RND('CAST(a_w AS DOUBLE) / h2h_total', 3)} ELSE 0.5 END AS team1_h2h_win_rate,
+         CASE WHEN h2h_total > 0 THEN {RND('1.0 - CAST(a_w AS DOUBLE) / h2h_total', 3)} ELSE 0.5 END AS team2_h2h_win_rate
+  FROM (SELECT s.match_id, s.match_date, s.team1, s.team2, COUNT(c.match_id) AS h2h_total,
+               COUNT(*) FILTER (WHERE c.winner = s.team1) AS a_w
+        FROM spine s LEFT JOIN cm c
+          ON ((c.team1 = s.team1 AND c.team2 = s.team2) OR (c.team1 = s.team2 AND c.team2 = s.team1))
+         AND c.match_date < s.match_date
+        GROUP BY s.match_id, s.match_date, s.team1, s.team2) x)"""
+
+ORACLE["C7_h2h_asof"] = with_ctes(CTE_MATCHES, CTE_COMPLETED, "spine AS (SELECT * FROM cm)", CTE_H2H_ASOF) + """
+SELECT * FROM h2h"""
+
+CTE_VENUE = f"""vs AS (
+  SELECT team, venue, COUNT(*) AS matches_at_venue, CAST(SUM(won) AS BIGINT) AS wins_at_venue,
+         {RR('SUM(won)', 'COUNT(*)', 3)} AS venue_win_rate
+  FROM tr WHERE venue IS NOT NULL GROUP BY team, venue)"""
+
+CTE_TOSS = f"""ts AS (
+  SELECT team, tw AS toss_win_rate, tl AS toss_loss_rate, {RND('tw - tl', 3)} AS toss_advantage FROM (
+    SELECT team,
+      CASE WHEN COUNT(*) FILTER (WHERE won_toss = 1) > 0
+           THEN {RR('COUNT(*) FILTER (WHERE won_toss = 1 AND won = 1)', 'COUNT(*) FILTER (WHERE won_toss = 1)', 3)}
+           ELSE 0.0 END AS tw,
+      CASE WHEN COUNT(*) FILTER (WHERE won_toss = 0) > 0
+           THEN {RR('COUNT(*) FILTER (WHERE won_toss = 0 AND won = 1)', 'COUNT(*) FILTER (WHERE won_toss = 0)', 3)}
+           ELSE 0.0 END AS tl
+    FROM tr WHERE toss_winner IS NOT NULL AND toss_winner <> '' GROUP BY team) x)"""
+
+ORACLE["C8_venue_stats"] = with_ctes(CTE_MATCHES, CTE_COMPLETED, CTE_TEAM_ROWS, CTE_VENUE) + "SELECT * FROM vs"
+ORACLE["C9_toss_impact"] = with_ctes(CTE_MATCHES, CTE_COMPLETED, CTE_TEAM_ROWS, CTE_TOSS) + "SELECT * FROM ts"
+
+# ---- players ----------------------------------------------------------------------
+
+def _feature_rows_cte(name: str, role_filter: str, f1: str, f2: str, f2_expr: str, extra: str) -> str:
+    order = "PARTITION BY player_name ORDER BY match_date, match_id, team"
+    return f"""{name}_l AS (
+  SELECT ps.player_name, ps.team, ps.match_id, m.match_date, ps.{f1} AS {f1}, {f2_expr} AS {f2}{extra}
+  FROM player_stats ps JOIN matches m ON ps.match_id = m.match_id WHERE {role_filter}),
+{name}_1 AS (
+  SELECT *, SUM({f1}) OVER ({order} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS s1,
+         SUM({f2}) OVER ({order} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS s2,
+         COUNT(*) OVER ({order} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS n5,
+         ROW_NUMBER() OVER ({order}) AS seq,
+         COALESCE(SUM({f2}) OVER ({order} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) AS r3,
+         COALESCE(SUM({f2}) OVER ({order} ROWS BETWEEN 6 PRECEDING AND 4 PRECEDING), 0) AS o3
+  FROM {name}_l),
+{name}_2 AS (SELECT *, greatest(1, least(3, seq - 1 - 3)) AS dd FROM {name}_1)"""
+
+
+CTE_BAT_FEAT = _feature_rows_cte(
+    "bf", "ps.role = 'batting' AND ps.balls_faced > 0", "runs", "sr_c",
+    "CAST(ps.strike_rate * 100 AS BIGINT)", ", ps.fours, ps.sixes, ps.balls_faced") + f""",
+bat_feat AS (
+  SELECT player_name, team, match_id, match_date,
+         {RR('s1', 'n5', 2)} AS rolling_avg_runs,
+         {CR('s2', 'n5', 2)} AS rolling_avg_sr,
+         CASE WHEN seq - 1 < 3 THEN 0.0 ELSE {CR('r3 * dd - 3 * o3', '3 * dd', 2)} END AS sr_trend,
+         {RND('CAST(fours + sixes AS DOUBLE) / balls_faced', 3)} AS boundary_rate,
+         CAST(seq AS BIGINT) AS innings_played
+  FROM bf_2)"""
+
+CTE_BOWL_FEAT = _feature_rows_cte(
+    "wf", "ps.role = 'bowling' AND ps.overs_bowled > 0", "wickets", "eco_c",
+    "CAST(ps.economy * 100 AS BIGINT)", "") + f""",
+bowl_feat AS (
+  SELECT player_name, team, match_id, match_date,
+         {RR('s1', 'n5', 2)} AS rolling_avg_wickets,
+         {CR('s2', 'n5', 2)} AS rolling_avg_economy,
+         CASE WHEN seq - 1 < 3 THEN 0.0 ELSE {CR('r3 * dd - 3 * o3', '3 * dd', 2)} END AS economy_trend,
+         CAST(seq AS BIGINT) AS matches_bowled
+  FROM wf_2)"""
+
+PLAYER_BASE = (*STATS_BASE, CTE_BAT_FEAT, CTE_BOWL_FEAT)
+
+ORACLE["W4_W6_W8_batting_feature_rows"] = with_ctes(*PLAYER_BASE) + "SELECT * FROM bat_feat"
+ORACLE["W5_W6_bowling_feature_rows"] = with_ctes(*PLAYER_BASE) + "SELECT * FROM bowl_feat"
+
+
+def _latest(src: str, cols: str, where: str = "TRUE") -> str:
+    return f"""SELECT player_name, {cols} FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY player_name ORDER BY match_date DESC, match_id DESC, team DESC) AS rk
+  FROM {src} WHERE {where}) x WHERE rk = 1"""
+
+
+ORACLE["C3_batting_features"] = with_ctes(*PLAYER_BASE) + _latest(
+    "bat_feat", "team, rolling_avg_runs, rolling_avg_sr, sr_trend, boundary_rate, innings_played")
+ORACLE["C4_bowling_features"] = with_ctes(*PLAYER_BASE) + _latest(
+    "bowl_feat", "team, rolling_avg_wickets, rolling_avg_economy, economy_trend, matches_bowled")
+
+_ASOF_D = "match_date < (SELECT max(match_date) FROM matches)"
+ORACLE["C5_player_features_asof"] = with_ctes(*PLAYER_BASE) + f"""
+SELECT player_name, team,
+       COALESCE(b.rolling_avg_runs, 0.0) AS rolling_avg_runs, COALESCE(b.rolling_avg_sr, 0.0) AS rolling_avg_sr,
+       COALESCE(b.sr_trend, 0.0) AS sr_trend, COALESCE(w.rolling_avg_wickets, 0.0) AS rolling_avg_wickets,
+       COALESCE(w.rolling_avg_economy, 0.0) AS rolling_avg_economy, COALESCE(w.economy_trend, 0.0) AS economy_trend
+FROM ({_latest('bat_feat', 'team, rolling_avg_runs, rolling_avg_sr, sr_trend', _ASOF_D)}) b
+FULL OUTER JOIN ({_latest('bowl_feat', 'team, rolling_avg_wickets, rolling_avg_economy, economy_trend', _ASOF_D)}) w
+USING (player_name, team)"""
+
+
+def strength_ctes(days_sql: str) -> tuple[str, ...]:
+    """Brute force J9: for every (player, day) the latest lines before the day."""
+    return (
+        f"sdays AS ({days_sql})",
+        "spl AS (SELECT DISTINCT player_name FROM player_stats)",
+        "sgrid AS (SELECT p.player_name, d.d FROM spl p, sdays d)",
+        """bat_last AS (SELECT player_name, match_date, team AS bt, rolling_avg_runs AS bat FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY player_name, match_date ORDER BY match_id DESC, team DESC) AS rk
+  FROM bat_feat) x WHERE rk = 1)""",
+        """bowl_last AS (SELECT player_name, match_date, team AS wt, rolling_avg_economy AS eco FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY player_name, match_date ORDER BY match_id DESC, team DESC) AS rk
+  FROM bowl_feat) x WHERE rk = 1)""",
+        """gb AS (SELECT g.player_name, g.d, b.bt, b.bat FROM sgrid g
+  ASOF LEFT JOIN bat_last b ON g.player_name = b.player_name AND b.match_date < g.d)""",
+        """gw AS (SELECT g.player_name, g.d, w.wt, w.eco FROM sgrid g
+  ASOF LEFT JOIN bowl_last w ON g.player_name = w.player_name AND w.match_date < g.d)""",
+        """sst AS (SELECT gb.player_name, gb.d, bt, bat, wt, eco FROM gb JOIN gw
+  ON gb.player_name = gw.player_name AND gb.d = gw.d)""",
+        """srows AS (
+  SELECT d, bt AS team, CAST(round(bat * 100) AS BIGINT) AS bat_c,
+         CASE WHEN wt = bt THEN CAST(round(eco * 100) AS BIGINT) ELSE 0 END AS eco_c
+  FROM sst WHERE bt IS NOT NULL
+  UNION ALL
+  SELECT d, wt, 0, CAST(round(eco * 100) AS BIGINT) FROM sst WHERE wt IS NOT NULL AND (bt IS NULL OR bt <> wt))""",
+        f"""sagg AS (
+  SELECT d, team,
+         {CR('SUM(bat_c)', 'COUNT(*)', 2)} AS bat_avg,
+         CASE WHEN COUNT(*) FILTER (WHERE eco_c > 0) > 0
+              THEN {CR('SUM(eco_c) FILTER (WHERE eco_c > 0)', 'COUNT(*) FILTER (WHERE eco_c > 0)', 2)}
+              ELSE 0.0 END AS bowl_eco
+  FROM srows GROUP BY d, team)""",
+    )
+
+
+ORACLE["J9_team_strength_asof"] = with_ctes(
+    *PLAYER_BASE, CTE_COMPLETED, CTE_TEAM_ROWS, *strength_ctes("SELECT DISTINCT match_date AS d FROM cm")) + """
+SELECT s.team, s.match_date, COALESCE(a.bat_avg, 0.0) AS bat_avg, COALESCE(a.bowl_eco, 0.0) AS bowl_eco
+FROM (SELECT DISTINCT team, match_date FROM tr) s LEFT JOIN sagg a ON a.team = s.team AND a.d = s.match_date"""
+
+
+# ---- feature matrix ------------------------------------------------------------------
+
+def _features_select(spine_cols: str, venue_join: str, toss_join: str, target: bool) -> str:
+    tgt = ",\n       CASE WHEN s.winner = s.team1 THEN 1 ELSE 0 END AS team1_won" if target else ""
+    return f"""
+SELECT s.match_id, CAST(s.match_date AS VARCHAR) AS match_date, s.team1, s.team2,
+       COALESCE(f1.rolling_win_rate, 0.5) AS team1_win_rate, COALESCE(f2.rolling_win_rate, 0.5) AS team2_win_rate,
+       {RND('COALESCE(f1.rolling_win_rate, 0.5) - COALESCE(f2.rolling_win_rate, 0.5)', 3)} AS win_rate_diff,
+       COALESCE(f1.streak, 0) AS team1_streak, COALESCE(f2.streak, 0) AS team2_streak,
+       h.team1_h2h_win_rate, h.team2_h2h_win_rate, h.h2h_total,
+       COALESCE(v1, 0.5) AS team1_venue_win_rate, COALESCE(v2, 0.5) AS team2_venue_win_rate,
+       {RND('COALESCE(v1, 0.5) - COALESCE(v2, 0.5)', 3)} AS venue_advantage_diff,
+       CASE WHEN s.toss_winner = s.team1 THEN 1 ELSE 0 END AS toss_won_by_team1,
+       COALESCE(t1, 0.0) AS team1_toss_advantage, COALESCE(t2, 0.0) AS team2_toss_advantage,
+       COALESCE(a1.bat_avg, 0.0) AS team1_bat_avg, COALESCE(a2.bat_avg, 0.0) AS team2_bat_avg,
+       {RND('COALESCE(a1.bat_avg, 0.0) - COALESCE(a2.bat_avg, 0.0)', 2)} AS bat_avg_diff,
+       COALESCE(a1.bowl_eco, 0.0) AS team1_bowl_eco, COALESCE(a2.bowl_eco, 0.0) AS team2_bowl_eco,
+       {RND('COALESCE(a1.bowl_eco, 0.0) - COALESCE(a2.bowl_eco, 0.0)', 2)} AS bowl_eco_diff{tgt}
+FROM (SELECT {spine_cols} FROM spine) s
+ASOF LEFT JOIN form_ends f1 ON f1.team = s.team1 AND f1.match_date < s.match_date
+ASOF LEFT JOIN form_ends f2 ON f2.team = s.team2 AND f2.match_date < s.match_date
+JOIN h2h h ON h.match_id = s.match_id
+LEFT JOIN sagg a1 ON a1.team = s.team1 AND a1.d = s.match_date
+LEFT JOIN sagg a2 ON a2.team = s.team2 AND a2.d = s.match_date
+{venue_join}
+{toss_join}"""
+
+
+_VENUE_ALL = """LEFT JOIN (SELECT team, venue, venue_win_rate AS v1 FROM vs) vv1 ON vv1.team = s.team1 AND vv1.venue = s.venue
+LEFT JOIN (SELECT team, venue, venue_win_rate AS v2 FROM vs) vv2 ON vv2.team = s.team2 AND vv2.venue = s.venue"""
+_TOSS_ALL = """LEFT JOIN (SELECT team, toss_advantage AS t1 FROM ts) tt1 ON tt1.team = s.team1
+LEFT JOIN (SELECT team, toss_advantage AS t2 FROM ts) tt2 ON tt2.team = s.team2"""
+
+_FM_CTES = (*PLAYER_BASE, CTE_COMPLETED, CTE_TEAM_ROWS, CTE_FORM_ROWS, CTE_FORM_ENDS, CTE_VENUE, CTE_TOSS)
+
+ORACLE["C10_feature_matrix"] = with_ctes(
+    *_FM_CTES, "spine AS (SELECT * FROM cm)", CTE_H2H_ASOF,
+    *strength_ctes("SELECT DISTINCT match_date AS d FROM spine")) + _features_select(
+    "*", _VENUE_ALL, _TOSS_ALL, True)
+
+ORACLE["C11_live_features"] = with_ctes(
+    *_FM_CTES,
+    """spine AS (SELECT match_id, match_date, team1, team2, COALESCE(NULLIF(venue, ''), 'Unknown') AS venue,
+                        COALESCE(toss_winner, '') AS toss_winner
+                 FROM matches WHERE status NOT IN ('completed', 'Completed', 'Result'))""",
+    CTE_H2H_ASOF, *strength_ctes("SELECT DISTINCT match_date AS d FROM spine")) + _features_select(
+    "*", _VENUE_ALL, _TOSS_ALL, False)
+
+# leakage-free variant: venue and toss records from decided matches strictly before the day
+_VENUE_BEFORE = f"""LEFT JOIN LATERAL (SELECT CASE WHEN COUNT(*) > 0 THEN {RR('SUM(r.won)', 'COUNT(*)', 3)} END AS v1
+  FROM tr r WHERE r.team = s.team1 AND r.venue = s.venue AND r.match_date < s.match_date) vv1 ON TRUE
+LEFT JOIN LATERAL (SELECT CASE WHEN COUNT(*) > 0 THEN {RR('SUM(r.won)', 'COUNT(*)', 3)} END AS v2
+  FROM tr r WHERE r.team = s.team2 AND r.venue = s.venue AND r.match_date < s.match_date) vv2 ON TRUE"""
+
+
+def _toss_before(alias: str, team: str) -> str:
+    tw = (f"CASE WHEN COUNT(*) FILTER (WHERE r.won_toss = 1) > 0 THEN "
+          f"{RR('COUNT(*) FILTER (WHERE r.won_toss = 1 AND r.won = 1)', 'COUNT(*) FILTER (WHERE r.won_toss = 1)', 3)}"
+          f" ELSE 0.0 END")
+    tl = (f"CASE WHEN COUNT(*) FILTER (WHERE r.won_toss = 0) > 0 THEN "
+          f"{RR('COUNT(*) FILTER (WHERE r.won_toss = 0 AND r.won = 1)', 'COUNT(*) FILTER (WHERE r.won_toss = 0)', 3)}"
+          f" ELSE 0.0 END")
+    return (f"LEFT JOIN LATERAL (SELECT CASE WHEN COUNT(*) > 0 THEN {RND(f'({tw}) - ({tl})', 3)} END AS {alias}"
+            f" FROM tr r WHERE r.team = s.{team} AND r.toss_winner IS NOT NULL AND r.toss_winner <> ''"
+            f" AND r.match_date < s.match_date) x{alias} ON TRUE")
+
+
+ORACLE["C10_feature_matrix_leakage_free"] = with_ctes(
+    *_FM_CTES, "spine AS (SELECT * FROM cm)", CTE_H2H_ASOF,
+    *strength_ctes("SELECT DISTINCT match_date AS d FROM spine")) + _features_select(
+    "*", _VENUE_BEFORE, _toss_before("t1", "team1") + "\n" + _toss_before("t2", "team2"), True)
+
+# spotlight for the latest unfinished fixture
+_SPOT_FX = """fx AS (SELECT team1 AS a, team2 AS b, match_date AS d FROM matches
+  WHERE status NOT IN ('completed', 'Completed', 'Result') ORDER BY match_date DESC, match_id DESC LIMIT 1)"""
+
+
+def _spot_role(lines: str, f1: str, f2: str, second: bool, name: str) -> str:
+    order2 = f", SUM({f2}) / COUNT(*) ASC" if second else ""
+    return f"""{name}_top AS (
+  SELECT * FROM (
+    SELECT player_name, team, COUNT(*) AS n, SUM({f1}) AS s1, SUM({f2}) AS s2,
+           ROW_NUMBER() OVER (ORDER BY SUM({f1}) / COUNT(*) DESC{order2}, player_name, team) AS rk
+    FROM {lines} l, fx WHERE l.team IN (fx.a, fx.b) AND l.match_date < fx.d
+    GROUP BY player_name, team HAVING COUNT(*) >= 3) x WHERE rk <= 3),
+{name}_rec AS (
+  SELECT player_name, COUNT(*) AS n, SUM({f2}) FILTER (WHERE r <= 3) AS first3,
+         COALESCE(SUM({f2}) FILTER (WHERE r > 3), 0) AS rest
+  FROM (SELECT l.player_name, l.{f2}, ROW_NUMBER() OVER (PARTITION BY l.player_name
+          ORDER BY l.match_date DESC, l.match_id DESC, l.team DESC) AS r
+        FROM {lines} l, fx WHERE l.match_date < fx.d
+          AND l.player_name IN (SELECT player_name FROM {name}_top)) y
+  WHERE r <= 6 GROUP BY player_name),
+{name}_out AS (
+  SELECT t.player_name AS name, t.team, {RR('t.s1', 't.n', 1)} AS avg1, {CR('t.s2', 't.n', 1)} AS avg2,
+         CASE WHEN r.n < 4 THEN 0.0 ELSE {CR('r.first3 * (r.n - 3) - 3 * r.rest', '3 * (r.n - 3)', 1)} END AS trend,
+         t.rk
+  FROM {name}_top t LEFT JOIN {name}_rec r ON r.player_name = t.player_name)"""
+
+
+ORACLE["C16_spotlight_next_fixture"] = with_ctes(
+    *PLAYER_BASE, _SPOT_FX, _spot_role("bf_l", "runs", "sr_c", False, "sb"),
+    _spot_role("wf_l", "wickets", "eco_c", True, "sw")) + """
+SELECT name, team, avg1 AS rolling_avg_runs, avg2 AS rolling_avg_sr, trend AS sr_trend,
+       0.0 AS rolling_avg_wickets, 0.0 AS rolling_avg_economy, 0.0 AS economy_trend, rk AS ord FROM sb_out
+UNION ALL
+SELECT name, team, 0.0, 0.0, 0.0, avg1, avg2, trend, rk + 3 FROM sw_out"""
