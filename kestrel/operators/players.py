@@ -45,19 +45,19 @@ def bowling_lines(stats: DataFrame, matches: DataFrame) -> DataFrame:
                                     cents("economy").alias("eco_c"))
 
 
-def _rolling(field: str, cur: Column, cents_in: bool) -> Column:
-    prev = seq.last_k(F.col("_hist"), ROLL - 1)
+def _rolling(field: str, cur: Column, cents_in: bool, hist: Column | None = None) -> Column:
+    prev = seq.last_k(F.col("_hist") if hist is None else hist, ROLL - 1)
     total = seq.hist_sum(prev, field) + cur.cast("long")
     n = F.size(prev) + 1
     return cents_ratio_round(total, n, 2) if cents_in else ratio_round(total, n, 2)
 
 
-def trend(field: str) -> Column:
+def trend(field: str, hist: Column | None = None, position: Column | None = None) -> Column:
     """Mean of the 3 rows before the current one minus the mean of the up
     to 3 rows before those, divisor max(1, min(3, i-3)); 0.0 for i < 3
     (i = 0-based position). Input in hundredths; exact numerator."""
-    i = F.col("_seq") - 1
-    hist = F.col("_hist")
+    i = (F.col("_seq") if position is None else position) - 1
+    hist = F.col("_hist") if hist is None else hist
     recent = seq.hist_sum(seq.last_k(hist, TREND_SPAN), field)
     older = seq.hist_sum(F.slice(hist, 1, F.greatest(F.size(hist) - TREND_SPAN, F.lit(0))), field)
     d = F.greatest(F.lit(1), F.least(F.lit(TREND_SPAN), i - TREND_SPAN)).cast("long")
@@ -65,6 +65,40 @@ def trend(field: str) -> Column:
     return F.when(i < TREND_SPAN, F.lit(0.0)).otherwise(cents_ratio_round(num, F.lit(TREND_SPAN) * d, 2))
 
 
+def _day_end(lines: DataFrame, fields: list[str], last_cols: list[str]) -> DataFrame:
+    """Per (player, day): state after the day's last line. ``_end_hist``
+    holds that line and the 6 before it."""
+    st = seq.end_states(lines, ["player_name"], "match_date", ORDER, fields, HIST + 1, last_cols)
+    end = F.col("_end_hist")
+    return st.withColumn("_cur", F.element_at(end, -1)) \
+             .withColumn("_prev", F.slice(end, 1, F.size(end) - 1))
+
+
+def batting_day_states(stats: DataFrame, matches: DataFrame) -> DataFrame:
+    """Batting form at the end of each (player, day) with batting lines."""
+    st = _day_end(batting_lines(stats, matches), ["runs", "sr_c"], ["team", "fours", "sixes", "balls_faced"])
+    prev = F.col("_prev")
+    return st.select(
+        "player_name", "match_date", "team",
+        _rolling("runs", F.col("_cur.runs"), False, prev).alias("rolling_avg_runs"),
+        _rolling("sr_c", F.col("_cur.sr_c"), True, prev).alias("rolling_avg_sr"),
+        trend("sr_c", prev, F.col("_cum")).alias("sr_trend"),
+        round_half_even((F.col("fours") + F.col("sixes")) / F.col("balls_faced"), 3).alias("boundary_rate"),
+        F.col("_cum").cast("long").alias("innings_played"))
+
+
+def bowling_day_states(stats: DataFrame, matches: DataFrame) -> DataFrame:
+    """Bowling form at the end of each (player, day) with bowling lines."""
+    st = _day_end(bowling_lines(stats, matches), ["wickets", "eco_c"], ["team"])
+    prev = F.col("_prev")
+    return st.select(
+        "player_name", "match_date", "team",
+        _rolling("wickets", F.col("_cur.wickets"), False, prev).alias("rolling_avg_wickets"),
+        _rolling("eco_c", F.col("_cur.eco_c"), True, prev).alias("rolling_avg_economy"),
+        trend("eco_c", prev, F.col("_cum")).alias("economy_trend"),
+        F.col("_cum").cast("long").alias("matches_bowled"))
+
+
 def batting_feature_rows(stats: DataFrame, matches: DataFrame) -> DataFrame:
     """W4/W6/W8/W3 per batting line: rolling_avg_runs, rolling_avg_sr (5
     innings, 2 dp), sr_trend, boundary_rate (3 dp), innings_played."""
@@ -96,32 +130,32 @@ BAT_FEATURES = ["team", "rolling_avg_runs", "rolling_avg_sr", "sr_trend", "bound
 BOWL_FEATURES = ["team", "rolling_avg_wickets", "rolling_avg_economy", "economy_trend", "matches_bowled"]
 
 
-def latest_per_player(rows: DataFrame, cols: list[str]) -> DataFrame:
-    """The last line per player in (date, match, team) order; a
-    partial aggregate (max_by) so a hot player costs one row per partition."""
-    last = F.max_by(F.struct(*cols), F.struct("match_date", *ORDER))
-    return rows.groupBy("player_name").agg(last.alias("_l")).select("player_name", "_l.*")
+def latest_per_player(day_states: DataFrame, cols: list[str]) -> DataFrame:
+    """The state after the player's last day (one row per player
+    and day in, one row per player out; partial aggregate)."""
+    last = F.max_by(F.struct(*cols), F.col("match_date"))
+    return day_states.groupBy("player_name").agg(last.alias("_l")).select("player_name", "_l.*")
 
 
 def batting_features(stats: DataFrame, matches: DataFrame) -> DataFrame:
     """Latest batting form per player."""
-    return latest_per_player(batting_feature_rows(stats, matches), BAT_FEATURES)
+    return latest_per_player(batting_day_states(stats, matches), BAT_FEATURES)
 
 
 def bowling_features(stats: DataFrame, matches: DataFrame) -> DataFrame:
     """C4: latest bowling form per player."""
-    return latest_per_player(bowling_feature_rows(stats, matches), BOWL_FEATURES)
+    return latest_per_player(bowling_day_states(stats, matches), BOWL_FEATURES)
 
 
 def player_features_asof(stats: DataFrame, matches: DataFrame, as_of) -> DataFrame:
     """Combined form from lines dated strictly before ``as_of`` (a
     date literal or a scalar Column): batting and bowling snapshots full-outer
-    joined on (player, team), missing numbers 0. Rolling values are causal,
-    so the row-level values on the whole history are the as-of values."""
+    joined on (player, team), missing numbers 0. States are causal, so the
+    last day state before the date is the as-of state."""
     cut = F.col("match_date") < (as_of if isinstance(as_of, Column) else F.lit(as_of).cast("date"))
-    bat = latest_per_player(batting_feature_rows(stats, matches).filter(cut),
+    bat = latest_per_player(batting_day_states(stats, matches).filter(cut),
                             ["team", "rolling_avg_runs", "rolling_avg_sr", "sr_trend"])
-    bowl = latest_per_player(bowling_feature_rows(stats, matches).filter(cut),
+    bowl = latest_per_player(bowling_day_states(stats, matches).filter(cut),
                              ["team", "rolling_avg_wickets", "rolling_avg_economy", "economy_trend"])
     j = bat.join(bowl, ["player_name", "team"], "full")
     nums = ["rolling_avg_runs", "rolling_avg_sr", "sr_trend",

@@ -36,16 +36,19 @@ def empty_like(arr: Column) -> Column:
 
 
 def within_chunk(rows: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str],
-                 hist_cols: Sequence[str], k: int) -> DataFrame:
-    """Adds ``_rn`` (1-based row number in chunk), ``_n`` (chunk size) and
-    ``_inprev`` (up to ``k`` previous rows of the chunk, oldest first)."""
+                 hist_cols: Sequence[str], k: int, with_prev: bool = True) -> DataFrame:
+    """Adds ``_rn`` (1-based row number in chunk), ``_n`` (chunk size) and,
+    with ``with_prev``, ``_inprev`` (up to ``k`` previous rows of the chunk,
+    oldest first)."""
     part = [*keys, chunk]
     w = Window.partitionBy(*part).orderBy(*order)
-    entry = F.struct(*[F.col(c) for c in (chunk, *order, *hist_cols)])
-    return (rows
-            .withColumn("_rn", F.row_number().over(w))
-            .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*part)))
-            .withColumn("_inprev", F.sort_array(F.collect_list(entry).over(w.rowsBetween(-k, -1)))))
+    out = (rows
+           .withColumn("_rn", F.row_number().over(w))
+           .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*part))))
+    if with_prev:
+        entry = F.struct(*[F.col(c) for c in (chunk, *order, *hist_cols)])
+        out = out.withColumn("_inprev", F.sort_array(F.collect_list(entry).over(w.rowsBetween(-k, -1))))
+    return out
 
 
 def chunk_table(rows1: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str],
@@ -91,12 +94,35 @@ def with_history(rows: DataFrame, keys: Sequence[str], chunk: str, order: Sequen
     return attach_carry(rows1, carry, keys, chunk, k)
 
 
+def end_states(rows: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str],
+               hist_cols: Sequence[str], k: int, last_cols: Sequence[str] = ()) -> DataFrame:
+    """One row per (entity, chunk) with ``_end_hist`` (the last ``k`` rows up
+    to and including the chunk's last row), ``_cum`` (rows so far) and the
+    chunk's last-row ``last_cols``: the state any later day sees, computed
+    without joining back to the rows."""
+    rows1 = within_chunk(rows, keys, chunk, order, hist_cols, k, with_prev=False)
+    return chunk_carry(chunk_table(rows1, keys, chunk, order, hist_cols, k, last_cols), keys, chunk, k)
+
+
 def hist_sum(hist: Column, field: str, start_from_end: int | None = None) -> Column:
     """Sum of ``field`` over the history array (optionally its last n items)."""
     arr = hist if start_from_end is None else last_k(hist, start_from_end)
     return F.aggregate(arr, F.lit(0).cast("long"), lambda acc, x: acc + x[field].cast("long"))
 
 
+def _asof(states: DataFrame, keys: Sequence[str], day: str, spine: DataFrame, spine_day: str,
+          state_cols: Sequence[str], upper: int) -> DataFrame:
+    s = states.select(*keys, F.col(day).alias("_d"),
+                      F.struct(*[F.col(c) for c in state_cols]).alias("_st"))
+    q = spine.select(*keys, F.col(spine_day).alias("_d")).distinct().withColumn("_q", F.lit(True))
+    both = q.join(s, [*keys, "_d"], "full")
+    w = Window.partitionBy(*keys).orderBy("_d").rowsBetween(Window.unboundedPreceding, upper)
+    looked = both.withColumn("_prior", F.last(F.col("_st"), ignorenulls=True).over(w)) \
+                 .filter(F.col("_q").isNotNull())
+    return looked.select(*keys, F.col("_d").alias(spine_day),
+                         *[F.col("_prior")[c].alias(c) for c in state_cols])
+
+
 def asof_before(states: DataFrame, keys: Sequence[str], day: str, spine: DataFrame,
                 spine_day: str, state_cols: Sequence[str]) -> DataFrame:
     """Strict as-of lookup: for each distinct (keys, spine_day) of ``spine``,
@@ -106,28 +132,10 @@ def asof_before(states: DataFrame, keys: Sequence[str], day: str, spine: DataFra
     to (entity, day) before the per-entity window, so the window input is
     bounded by entities x days, never by the fact table.
     """
-    s = states.select(*keys, F.col(day).alias("_d"),
-                      F.struct(*[F.col(c) for c in state_cols]).alias("_st"))
-    q = spine.select(*keys, F.col(spine_day).alias("_d")).distinct()
-    both = q.join(s, [*keys, "_d"], "full")
-    w = (Window.partitionBy(*keys).orderBy("_d")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    prior = F.last(F.col("_st"), ignorenulls=True).over(w)
-    looked = both.withColumn("_prior", prior).join(q, [*keys, "_d"], "left_semi")
-    return looked.select(*keys, F.col("_d").alias(spine_day),
-                         *[F.col("_prior")[c].alias(c) for c in state_cols])
+    return _asof(states, keys, day, spine, spine_day, state_cols, -1)
 
 
 def asof_upto(states: DataFrame, keys: Sequence[str], day: str, spine: DataFrame,
               spine_day: str, state_cols: Sequence[str]) -> DataFrame:
     """As :func:`asof_before` but including a state dated on the spine day."""
-    s = states.select(*keys, F.col(day).alias("_d"),
-                      F.struct(*[F.col(c) for c in state_cols]).alias("_st"))
-    q = spine.select(*keys, F.col(spine_day).alias("_d")).distinct()
-    both = q.join(s, [*keys, "_d"], "full")
-    w = (Window.partitionBy(*keys).orderBy("_d")
-         .rowsBetween(Window.unboundedPreceding, 0))
-    looked = both.withColumn("_prior", F.last(F.col("_st"), ignorenulls=True).over(w)) \
-                 .join(q, [*keys, "_d"], "left_semi")
-    return looked.select(*keys, F.col("_d").alias(spine_day),
-                         *[F.col("_prior")[c].alias(c) for c in state_cols])
+    return _asof(states, keys, day, spine, spine_day, state_cols, 0)

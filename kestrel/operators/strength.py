@@ -27,19 +27,16 @@ from kestrel.operators import players as pl
 from kestrel.operators import sequence as seq
 
 
-def _day_states(rows: DataFrame, value: str, out_team: str, out_val: str) -> DataFrame:
-    """Last line per (player, day): its team and value (in hundredths)."""
-    last = F.max_by(F.struct(F.col("team").alias(out_team),
-                             F.rint(F.col(value) * 100).cast("long").alias(out_val)),
-                    F.struct(*pl.ORDER))
-    return rows.groupBy("player_name", "match_date").agg(last.alias("_s")) \
-               .select("player_name", "match_date", f"_s.{out_team}", f"_s.{out_val}")
+def _day_states(states: DataFrame, value: str, out_team: str, out_val: str) -> DataFrame:
+    """(player, day, team, value in hundredths) from per-day end states."""
+    return states.select("player_name", "match_date", F.col("team").alias(out_team),
+                         F.rint(F.col(value) * 100).cast("long").alias(out_val))
 
 
-def strength_deltas(bat_rows: DataFrame, bowl_rows: DataFrame) -> DataFrame:
+def strength_deltas(bat_days: DataFrame, bowl_days: DataFrame) -> DataFrame:
     """(team, eff_day, d_n, d_bat, d_eco, d_eco_n) contributions."""
-    b = _day_states(bat_rows, "rolling_avg_runs", "bt", "bat_c")
-    w = _day_states(bowl_rows, "rolling_avg_economy", "wt", "eco_c")
+    b = _day_states(bat_days, "rolling_avg_runs", "bt", "bat_c")
+    w = _day_states(bowl_days, "rolling_avg_economy", "wt", "eco_c")
     ev = b.join(w, ["player_name", "match_date"], "full")
     wp = Window.partitionBy("player_name").orderBy("match_date")
     upto = wp.rowsBetween(Window.unboundedPreceding, 0)
@@ -69,7 +66,7 @@ def strength_deltas(bat_rows: DataFrame, bowl_rows: DataFrame) -> DataFrame:
 
 def strength_states(stats: DataFrame, matches: DataFrame) -> DataFrame:
     """(team, eff_day, n, bat, eco, eco_n): totals valid from eff_day on."""
-    deltas = strength_deltas(pl.batting_feature_rows(stats, matches), pl.bowling_feature_rows(stats, matches))
+    deltas = strength_deltas(pl.batting_day_states(stats, matches), pl.bowling_day_states(stats, matches))
     w = Window.partitionBy("team").orderBy("eff_day").rowsBetween(Window.unboundedPreceding, 0)
     return deltas.select("team", "eff_day",
                          F.sum("d_n").over(w).alias("n"), F.sum("d_bat").over(w).alias("bat"),
