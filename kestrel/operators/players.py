@@ -229,12 +229,12 @@ def spotlight(stats: DataFrame, matches: DataFrame, team1, team2, as_of,
                   cents_ratio_round("_s2", "_n", 1).alias("rolling_avg_sr"),
                   _trend_from_recent("sr_c").alias("sr_trend"),
                   F.lit(0.0).alias("rolling_avg_wickets"), F.lit(0.0).alias("rolling_avg_economy"),
-                  F.lit(0.0).alias("economy_trend"), F.col("rk").alias("ord"))
+                  F.lit(0.0).alias("economy_trend"), F.col("rk").alias("ord"), F.lit("batting").alias("role"))
     w = tw.select(F.col("player_name").alias("name"), "team",
                   F.lit(0.0).alias("rolling_avg_runs"), F.lit(0.0).alias("rolling_avg_sr"),
                   F.lit(0.0).alias("sr_trend"),
                   ratio_round("_s1", "_n", 1).alias("rolling_avg_wickets"),
                   cents_ratio_round("_s2", "_n", 1).alias("rolling_avg_economy"),
                   _trend_from_recent("eco_c").alias("economy_trend"),
-                  (F.col("rk") + F.lit(top_n)).alias("ord"))
+                  (F.col("rk") + F.lit(top_n)).alias("ord"), F.lit("bowling").alias("role"))
     return b.unionByName(w)

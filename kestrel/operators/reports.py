@@ -217,3 +217,37 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def latest_rows(df: DataFrame, ts_col: str, cols: list[str], k: int = 3, tiebreak: list[str] | None = None):
     """L1 on a fetch/log timestamp (latest matches, recent errors)."""
     return df.select(*cols, ts_col).orderBy(F.desc(ts_col), *(tiebreak or [])).limit(k)
+
+
+# ---- F22 inputs: top scorers, best bowler and the prediction of each match -------
+
+def post_match_rows(scored: DataFrame, decided: DataFrame, stats: DataFrame,
+                    win_margin: str = "N/A", score: Column | None = None) -> DataFrame:
+    """One row per decided match with the post-match prompt fields: each
+    side's top scorer (runs desc, name), the best bowler (wickets desc,
+    economy asc, name, team) and the prediction from ``score`` (default the
+    deterministic 0.5 + win_rate_diff / 2)."""
+    from kestrel.ml.scoring import heuristic_score
+    bat = batting_rows(stats)
+    wb = Window.partitionBy("match_id", "team").orderBy(F.desc("runs"), "player_name")
+    top = bat.withColumn("_r", F.row_number().over(wb)).filter(F.col("_r") == 1) \
+             .select("match_id", "team", "player_name", "runs")
+    bowl = bowling_rows(stats)
+    ww = Window.partitionBy("match_id").orderBy(F.desc("wickets"), F.asc("economy"), "player_name", "team")
+    best = bowl.withColumn("_r", F.row_number().over(ww)).filter(F.col("_r") == 1).select(
+        "match_id", F.col("player_name").alias("best_bowler"), F.col("wickets").alias("best_bowler_wickets"),
+        F.col("economy").cast("double").alias("best_bowler_economy"))
+    p = heuristic_score() if score is None else score
+    s = scored.select("match_id", "team1", "team2", p.alias("_p"))
+    d = decided.select("match_id", "winner")
+    out = s.join(d, "match_id", "inner")
+    for n in ("1", "2"):
+        t = top.select("match_id", F.col("team").alias(f"team{n}"),
+                       F.col("player_name").alias(f"team{n}_top_scorer"),
+                       F.col("runs").alias(f"team{n}_top_scorer_runs"))
+        out = out.join(t, ["match_id", f"team{n}"], "left")
+    out = out.join(best, "match_id", "left")
+    return out.select(
+        "*", F.lit(win_margin).alias("win_margin"),
+        F.when(F.col("_p") >= 0.5, F.col("team1")).otherwise(F.col("team2")).alias("predicted_winner"),
+        (F.greatest(F.col("_p"), F.lit(1.0) - F.col("_p")) * F.lit(100.0)).alias("predicted_prob"))

@@ -247,3 +247,96 @@ def q_live(spark, sf_dir):
 
 
 FLAGSHIP = "C10_feature_matrix"
+
+
+# ---- scalar functions and prompts ---------------------------------------------------
+
+from kestrel.functions import prompts as pr  # noqa: E402
+from kestrel.functions import text as tx  # noqa: E402
+from kestrel.ml import scoring  # noqa: E402
+from kestrel.sources import fixtures as fxs  # noqa: E402
+
+
+@register("F1_match_hash_id")
+def q_hash_id(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    return m.select("match_id", tx.match_hash_id(F.date_format("match_date", "yyyy-MM-dd"), "team1", "team2",
+                                                 "venue").alias("hash_id"))
+
+
+@register("F2_request_cache_key")
+def q_cache_key(spark, sf_dir):
+    e = fxs.read_table(spark, sf_dir, "events")
+    return e.select("event_id", tx.cache_key("user_id", "event_type").alias("cache_key"))
+
+
+@register("F4_F6_F7_F15_F24_match_labels")
+def q_match_labels(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    return m.select("match_id", tx.versus_name("team1", "team2").alias("versus"),
+                    tx.status_bucket("status").alias("status_bucket"),
+                    tx.insight_kind("status", "winner").alias("insight_kind"),
+                    tx.or_default("venue", "Unknown").alias("venue_or_unknown"),
+                    tx.result_line("winner", "toss_winner", "status").alias("result_line"))
+
+
+@register("F5_F8_event_dates")
+def q_event_dates(spark, sf_dir):
+    e = fxs.read_table(spark, sf_dir, "events")
+    pre = tx.date_prefix(F.col("ts").cast("string"))
+    return e.select("event_id", pre.alias("date_text"), tx.lenient_date(pre).alias("event_date"))
+
+
+@register("F16_F17_win_prob_bands")
+def q_prob_bands(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    f = scoring.with_win_probs(feat.live_features(m, dm.player_stats(spark, sf_dir, m)))
+    return f.select("match_id", "team1_win_prob", "team2_win_prob",
+                    tx.gauge_band("team1_win_prob").alias("gauge_band"),
+                    tx.percent_delta("team1_win_prob").alias("delta_vs_even"))
+
+
+@register("F19_team_streak_phrases")
+def q_streak_phrases(spark, sf_dir):
+    f = form.team_form(dm.matches(spark, sf_dir))
+    return f.select("team", "streak", tx.streak_phrase("streak").alias("streak_phrase"))
+
+
+@register("F18_F25_player_chart_fields")
+def q_chart_fields(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    st = dm.player_stats(spark, sf_dir, m)
+    axes = ["radar_runs", "radar_sr", "radar_fours", "radar_sixes", "radar_innings"]
+    b = reports.batter_summary(st, m, min_balls=0).withColumn(
+        "_r", tx.radar_axes("avg_runs", "avg_sr", "total_fours", "total_sixes", "innings"))
+    b = b.select("player_name", "team", F.lit("batting").alias("role"),
+                 *[F.col("_r")[i].alias(a) for i, a in enumerate(axes)], F.lit(None).cast("string").alias("quadrant"))
+    w = reports.bowler_summary(st, m).select(
+        "player_name", "team", F.lit("bowling").alias("role"), *[F.lit(None).cast("double").alias(a) for a in axes],
+        tx.bowler_quadrant("avg_wickets", "avg_economy").alias("quadrant"))
+    return b.unionByName(w)
+
+
+@register("F20_pre_match_prompts")
+def q_pre_prompts(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    f = feat.live_features(m, dm.player_stats(spark, sf_dir, m), keep=("venue", "toss_winner"))
+    return pr.pre_match_prompts(scoring.with_win_probs(f))
+
+
+@register("F22_post_match_prompts")
+def q_post_prompts(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    st = dm.player_stats(spark, sf_dir, m)
+    f = feat.feature_matrix(m, st).select("match_id", "team1", "team2", "win_rate_diff")
+    return pr.post_match_prompts(reports.post_match_rows(f, form.completed(m), st))
+
+
+@register("F23_spotlight_prompt")
+def q_spot_prompt(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    nxt = feat.unfinished(m).orderBy(F.desc("match_date"), F.desc("match_id")).limit(1)
+    t1, t2 = nxt.select("team1").scalar(), nxt.select("team2").scalar()
+    recs = pl.spotlight(dm.player_stats(spark, sf_dir, m), m, t1, t2, nxt.select("match_date").scalar(),
+                        min_balls=0)
+    return pr.spotlight_prompt(recs, tx.versus_name(t1, t2))

@@ -45,7 +45,7 @@ def _side_lookup(spine: DataFrame, table: DataFrame, on: dict[str, str], cols: d
 
 
 def build_features(matches: DataFrame, stats: DataFrame, spine: DataFrame,
-                   history: str = "all", with_target: bool = True) -> DataFrame:
+                   history: str = "all", with_target: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Features for every row of ``spine`` (match_id, match_date, team1,
     team2, venue, toss_winner[, winner]).
 
@@ -56,7 +56,8 @@ def build_features(matches: DataFrame, stats: DataFrame, spine: DataFrame,
     sp = spine.select("match_id", "match_date", "team1", "team2",
                       F.coalesce(F.nullif(F.col("venue"), F.lit("")), F.lit("Unknown")).alias("venue")
                       if history == "live" else F.col("venue"),
-                      "toss_winner", *(["winner"] if with_target else []))
+                      "toss_winner", *(["winner"] if with_target else []),
+                      *[F.col(k).alias(f"_keep_{k}") for k in keep])
     sides = sp.select(F.explode(F.array("team1", "team2")).alias("team"), "match_date")
 
     # J6 form as of the day
@@ -133,6 +134,7 @@ def build_features(matches: DataFrame, stats: DataFrame, spine: DataFrame,
     cols += [v.alias(k) for k, v in feats.items()]
     if with_target:
         cols.append(to_int_flag(c("winner") == c("team1")).alias(TARGET_COL))
+    cols += [c(f"_keep_{k}").alias(k) for k in keep]
     return out.select(*cols)
 
 
@@ -172,9 +174,12 @@ def unfinished(matches: DataFrame) -> DataFrame:
     return matches.filter(~F.col("status").isin(*UNFINISHED_EXCLUDED))
 
 
-def live_features(matches: DataFrame, stats: DataFrame, spine: DataFrame | None = None) -> DataFrame:
+def live_features(matches: DataFrame, stats: DataFrame, spine: DataFrame | None = None,
+                  keep: tuple[str, ...] = ()) -> DataFrame:
     """C11: the same 20 features for matches still to be scored (no target).
     Venue defaults to "Unknown", toss winner to "" (F15)."""
     sp = unfinished(matches) if spine is None else spine
     sp = sp.withColumn("toss_winner", F.coalesce(F.col("toss_winner"), F.lit("")))
-    return build_features(matches, stats, sp, history="live", with_target=False)
+    if "venue" in keep:
+        sp = sp.withColumn("venue", F.coalesce(F.nullif(F.col("venue"), F.lit("")), F.lit("Unknown")))
+    return build_features(matches, stats, sp, history="live", with_target=False, keep=keep)

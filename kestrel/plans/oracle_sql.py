@@ -373,8 +373,9 @@ FROM (SELECT DISTINCT team, match_date FROM tr) s LEFT JOIN sagg a ON a.team = s
 
 # ---- feature matrix ------------------------------------------------------------------
 
-def _features_select(spine_cols: str, venue_join: str, toss_join: str, target: bool) -> str:
+def _features_select(spine_cols: str, venue_join: str, toss_join: str, target: bool, extra: str = "") -> str:
     tgt = ",\n       CASE WHEN s.winner = s.team1 THEN 1 ELSE 0 END AS team1_won" if target else ""
+    tgt += extra
     return f"""
 SELECT s.match_id, CAST(s.match_date AS VARCHAR) AS match_date, s.team1, s.team2,
        COALESCE(f1.rolling_win_rate, 0.5) AS team1_win_rate, COALESCE(f2.rolling_win_rate, 0.5) AS team2_win_rate,
@@ -475,6 +476,146 @@ ORACLE["C16_spotlight_next_fixture"] = with_ctes(
     *PLAYER_BASE, _SPOT_FX, _spot_role("bf_l", "runs", "sr_c", False, "sb"),
     _spot_role("wf_l", "wickets", "eco_c", True, "sw")) + """
 SELECT name, team, avg1 AS rolling_avg_runs, avg2 AS rolling_avg_sr, trend AS sr_trend,
-       0.0 AS rolling_avg_wickets, 0.0 AS rolling_avg_economy, 0.0 AS economy_trend, rk AS ord FROM sb_out
+       0.0 AS rolling_avg_wickets, 0.0 AS rolling_avg_economy, 0.0 AS economy_trend, rk AS ord,
+       'batting' AS role FROM sb_out
 UNION ALL
-SELECT name, team, 0.0, 0.0, 0.0, avg1, avg2, trend, rk + 3 FROM sw_out"""
+SELECT name, team, 0.0, 0.0, 0.0, avg1, avg2, trend, rk + 3, 'bowling' FROM sw_out"""
+
+# ---- scalar functions and prompts ----------------------------------------------------
+
+from kestrel.functions import prompts as _pr  # noqa: E402
+
+ORACLE["F1_match_hash_id"] = with_ctes(CTE_MATCHES) + """
+SELECT match_id, substr(md5(concat_ws('_', COALESCE(CAST(match_date AS VARCHAR), 'nan'), COALESCE(team1, 'nan'),
+       COALESCE(team2, 'nan'), COALESCE(venue, 'nan'))), 1, 12) AS hash_id FROM matches"""
+
+ORACLE["F2_request_cache_key"] = """
+SELECT event_id, md5(concat_ws('|', COALESCE(CAST(user_id AS VARCHAR), 'None'), COALESCE(event_type, 'None'))) AS cache_key
+FROM events"""
+
+ORACLE["F4_F6_F7_F15_F24_match_labels"] = with_ctes(CTE_MATCHES) + """
+SELECT match_id, COALESCE(team1, '') || ' vs ' || COALESCE(team2, '') AS versus,
+  CASE WHEN lower(COALESCE(NULLIF(status, ''), 'Scheduled')) LIKE '%progress%'
+         OR lower(COALESCE(NULLIF(status, ''), 'Scheduled')) LIKE '%live%' THEN 'live'
+       WHEN lower(COALESCE(NULLIF(status, ''), 'Scheduled')) LIKE '%final%'
+         OR lower(COALESCE(NULLIF(status, ''), 'Scheduled')) LIKE '%result%' THEN 'finished'
+       ELSE 'scheduled' END AS status_bucket,
+  CASE WHEN lower(COALESCE(status, '')) LIKE '%progress%' OR lower(COALESCE(status, '')) LIKE '%live%' THEN 'live'
+       WHEN length(winner) > 0 THEN 'post' ELSE 'pre' END AS insight_kind,
+  COALESCE(NULLIF(venue, ''), 'Unknown') AS venue_or_unknown,
+  CASE WHEN length(winner) > 0 THEN winner || ' won'
+       WHEN lower(COALESCE(status, 'Scheduled')) LIKE '%toss%' OR length(toss_winner) > 0
+         THEN 'Toss: ' || COALESCE(toss_winner, 'None') || ' won the toss' END AS result_line
+FROM matches"""
+
+ORACLE["F5_F8_event_dates"] = """
+SELECT event_id, substr(COALESCE(CAST(ts AS VARCHAR), ''), 1, 10) AS date_text,
+       TRY_CAST(substr(COALESCE(CAST(ts AS VARCHAR), ''), 1, 10) AS DATE) AS event_date FROM events"""
+
+_LIVE_SPINE = """spine AS (SELECT match_id, match_date, team1, team2, COALESCE(NULLIF(venue, ''), 'Unknown') AS venue,
+                        COALESCE(toss_winner, '') AS toss_winner
+                 FROM matches WHERE status NOT IN ('completed', 'Completed', 'Result'))"""
+_LIVE_FEATS = ("feats AS (" + _features_select("*", _VENUE_ALL, _TOSS_ALL, False,
+                                              ",\n       s.venue, s.toss_winner") + ")")
+_PROBS = f"""probs AS (SELECT *, {RND('(0.5 + win_rate_diff / 2.0) * 100.0', 1)} AS team1_win_prob,
+                         {RND('(1.0 - (0.5 + win_rate_diff / 2.0)) * 100.0', 1)} AS team2_win_prob FROM feats)"""
+_LIVE_CTES = (*_FM_CTES, _LIVE_SPINE, CTE_H2H_ASOF, *strength_ctes("SELECT DISTINCT match_date AS d FROM spine"),
+              _LIVE_FEATS, _PROBS)
+
+ORACLE["F16_F17_win_prob_bands"] = with_ctes(*_LIVE_CTES) + """
+SELECT match_id, team1_win_prob, team2_win_prob,
+  CASE WHEN team1_win_prob >= 0 AND team1_win_prob < 40 THEN 'low'
+       WHEN team1_win_prob >= 40 AND team1_win_prob < 60 THEN 'even'
+       WHEN team1_win_prob >= 60 AND team1_win_prob <= 100 THEN 'high' END AS gauge_band,
+  printf('%.1f', round_even((team1_win_prob - 50.0) * 10, 0) / 10) || '% vs even' AS delta_vs_even
+FROM probs"""
+
+ORACLE["F19_team_streak_phrases"] = with_ctes(*FORM_BASE) + f"""
+SELECT team, streak, {_pr.sql_streak_text('streak')} AS streak_phrase FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY team ORDER BY match_date DESC, match_id DESC) AS rk FROM form_rows) x
+WHERE rk = 1"""
+
+ORACLE["F18_F25_player_chart_fields"] = with_ctes(*STATS_BASE, CTE_BATTER_SUMMARY, CTE_BOWLER_SUMMARY) + """
+SELECT player_name, team, 'batting' AS role, avg_runs * 1.0 AS radar_runs, avg_sr * 0.5 AS radar_sr,
+       CAST(total_fours AS DOUBLE) * 1.0 AS radar_fours, CAST(total_sixes AS DOUBLE) * 3.0 AS radar_sixes,
+       CAST(innings AS DOUBLE) * 5.0 AS radar_innings, CAST(NULL AS VARCHAR) AS quadrant FROM bsum
+UNION ALL
+SELECT player_name, team, 'bowling', NULL, NULL, NULL, NULL, NULL,
+  CASE WHEN avg_wickets >= 1.0 AND avg_economy <= 8.0 THEN 'strike_and_control'
+       WHEN avg_wickets >= 1.0 THEN 'strike' WHEN avg_economy <= 8.0 THEN 'control' ELSE 'neither' END FROM wsum"""
+
+ORACLE["F20_pre_match_prompts"] = with_ctes(*_LIVE_CTES) + "SELECT match_id, " + _pr.render_sql(
+    _pr.PRE_MATCH_TEMPLATE, {
+        "team1": "team1", "team2": "team2", "venue": "venue",
+        "team1_win_prob": "team1_win_prob", "team2_win_prob": "team2_win_prob",
+        "team1_win_rate_pct": _pr.sql_pct0("team1_win_rate"), "team2_win_rate_pct": _pr.sql_pct0("team2_win_rate"),
+        "streak1_str": _pr.sql_streak_text("team1_streak"), "streak2_str": _pr.sql_streak_text("team2_streak"),
+        "team1_h2h_pct": _pr.sql_pct0("team1_h2h_win_rate"), "h2h_total": "h2h_total",
+        "team1_venue_pct": _pr.sql_pct0("team1_venue_win_rate"),
+        "team2_venue_pct": _pr.sql_pct0("team2_venue_win_rate"), "toss_winner": "toss_winner",
+    }) + " AS prompt FROM probs"
+
+_POST_CTES = (*_FM_CTES, "spine AS (SELECT * FROM cm)", CTE_H2H_ASOF,
+              *strength_ctes("SELECT DISTINCT match_date AS d FROM spine"),
+              "fm AS (" + _features_select("*", _VENUE_ALL, _TOSS_ALL, True) + ")",
+              """tops AS (SELECT match_id, team, player_name, runs FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY match_id, team ORDER BY runs DESC, player_name) AS r
+  FROM player_stats WHERE role = 'batting' AND balls_faced > 0) x WHERE r = 1)""",
+              """best AS (SELECT match_id, player_name AS best_bowler, wickets AS best_bowler_wickets,
+  CAST(economy AS DOUBLE) AS best_bowler_economy FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY wickets DESC, economy ASC, player_name, team) AS r
+  FROM player_stats WHERE role = 'bowling' AND overs_bowled > 0) x WHERE r = 1)""",
+              """post AS (
+  SELECT f.match_id, f.team1, f.team2, c.winner, 'N/A' AS win_margin,
+         t1.player_name AS team1_top_scorer, t1.runs AS team1_top_scorer_runs,
+         t2.player_name AS team2_top_scorer, t2.runs AS team2_top_scorer_runs,
+         b.best_bowler, b.best_bowler_wickets, b.best_bowler_economy,
+         CASE WHEN 0.5 + f.win_rate_diff / 2.0 >= 0.5 THEN f.team1 ELSE f.team2 END AS predicted_winner,
+         greatest(0.5 + f.win_rate_diff / 2.0, 1.0 - (0.5 + f.win_rate_diff / 2.0)) * 100.0 AS predicted_prob
+  FROM fm f JOIN cm c ON c.match_id = f.match_id
+  LEFT JOIN tops t1 ON t1.match_id = f.match_id AND t1.team = f.team1
+  LEFT JOIN tops t2 ON t2.match_id = f.match_id AND t2.team = f.team2
+  LEFT JOIN best b ON b.match_id = f.match_id)""")
+
+_PROB0 = "CAST(CAST(round_even(predicted_prob, 0) AS BIGINT) AS VARCHAR)"
+_VERDICT = (f"CASE WHEN predicted_winner = winner THEN "
+            f"{_pr.render_sql(_pr.PREDICTION_RIGHT, {'winner': 'winner', 'predicted_prob': _PROB0})} ELSE "
+            f"{_pr.render_sql(_pr.PREDICTION_UPSET, {'predicted_winner': 'predicted_winner', 'predicted_prob': _PROB0})}"
+            f" END")
+ORACLE["F22_post_match_prompts"] = with_ctes(*_POST_CTES) + "SELECT match_id, " + _pr.render_sql(
+    _pr.POST_MATCH_TEMPLATE, {
+        **{k: k for k in ("team1", "team2", "winner", "win_margin", "team1_top_scorer", "team1_top_scorer_runs",
+                          "team2_top_scorer", "team2_top_scorer_runs", "best_bowler", "best_bowler_wickets")},
+        "best_bowler_economy": "printf('%.2f', round_even(best_bowler_economy * 100.0, 0) / 100.0)",
+        "prediction_str": _VERDICT,
+    }) + " AS prompt FROM post"
+
+
+def _sign(x: str) -> str:
+    return f"CASE WHEN {x} > 0 THEN '+' ELSE '' END"
+
+
+_BAT_LINE = _pr.render_sql(_pr.SPOTLIGHT_BAT_LINE, {
+    "name": "name", "team": "team", "rolling_avg_runs": "rolling_avg_runs", "rolling_avg_sr": "rolling_avg_sr",
+    "sr_sign": _sign("sr_trend"), "sr_trend": "sr_trend"})
+_BOWL_LINE = _pr.render_sql(_pr.SPOTLIGHT_BOWL_LINE, {
+    "name": "name", "team": "team",
+    "rolling_avg_wickets": "CASE WHEN role = 'batting' THEN '0' ELSE CAST(rolling_avg_wickets AS VARCHAR) END",
+    "rolling_avg_economy": "CASE WHEN role = 'batting' THEN '0' ELSE CAST(rolling_avg_economy AS VARCHAR) END",
+    "eco_sign": f"CASE WHEN role = 'batting' THEN '' ELSE {_sign('economy_trend')} END",
+    "economy_trend": "CASE WHEN role = 'batting' THEN '0' ELSE CAST(economy_trend AS VARCHAR) END"})
+
+ORACLE["F23_spotlight_prompt"] = with_ctes(
+    *PLAYER_BASE, _SPOT_FX, _spot_role("bf_l", "runs", "sr_c", False, "sb"),
+    _spot_role("wf_l", "wickets", "eco_c", True, "sw"),
+    """recs AS (
+SELECT name, team, avg1 AS rolling_avg_runs, avg2 AS rolling_avg_sr, trend AS sr_trend,
+       0.0 AS rolling_avg_wickets, 0.0 AS rolling_avg_economy, 0.0 AS economy_trend, rk AS ord,
+       'batting' AS role FROM sb_out
+UNION ALL
+SELECT name, team, 0.0, 0.0, 0.0, avg1, avg2, trend, rk + 3, 'bowling' FROM sw_out)""",
+    f"""lines AS (SELECT string_agg(CASE WHEN rolling_avg_runs > 0 THEN {_BAT_LINE} ELSE {_BOWL_LINE} END,
+                  chr(10) ORDER BY ord) AS players_str, COUNT(*) AS n FROM recs)""") + \
+    "SELECT CASE WHEN n = 0 THEN 'Player spotlight unavailable — insufficient match data.' ELSE " + \
+    _pr.render_sql(_pr.SPOTLIGHT_TEMPLATE, {"match": "(SELECT a || ' vs ' || b FROM fx)",
+                                            "players_str": "players_str"}) + " END AS prompt FROM lines"
