@@ -340,3 +340,56 @@ def q_spot_prompt(spark, sf_dir):
     recs = pl.spotlight(dm.player_stats(spark, sf_dir, m), m, t1, t2, nxt.select("match_date").scalar(),
                         min_balls=0)
     return pr.spotlight_prompt(recs, tx.versus_name(t1, t2))
+
+
+# ---- request log, upserts and the feed stream ------------------------------------------
+
+from kestrel.operators import requests as rq  # noqa: E402
+from kestrel.operators import upsert as up  # noqa: E402
+from kestrel.streaming import feed as feedmod  # noqa: E402
+
+
+def _events(spark, sf_dir):
+    return fxs.read_table(spark, sf_dir, "events")
+
+
+@register("T5_ttl_cache_hits")
+def q_ttl(spark, sf_dir):
+    return rq.ttl_cache_hits(_events(spark, sf_dir))
+
+
+@register("A21_cache_stats")
+def q_cache_stats(spark, sf_dir):
+    return rq.cache_stats(rq.ttl_cache_hits(_events(spark, sf_dir)))
+
+
+@register("W10_request_quota")
+def q_quota(spark, sf_dir):
+    return rq.requests_in_window(_events(spark, sf_dir))
+
+
+@register("K1_upsert_events_by_user")
+def q_upsert_events(spark, sf_dir):
+    e = _events(spark, sf_dir).select(
+        "user_id", F.col("event_type").alias("first_event_type"), F.col("props").alias("first_props"),
+        F.col("event_type").alias("last_event_type"), F.col("value").alias("last_value"), "ts", "event_id")
+    return up.upsert(None, e, ["user_id"], ["first_event_type", "first_props"],
+                     ["last_event_type", "last_value"], ["ts", "event_id"])
+
+
+@register("K7_latest_event_per_user")
+def q_latest_event(spark, sf_dir):
+    return up.latest_snapshot(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"])
+
+
+@register("S4_F14_event_props_json")
+def q_props(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    return e.select("event_id", F.from_json("props", "k int").getField("k").alias("k"))
+
+
+@register("C18_T1_T2_T3_match_feed_stream")
+def q_feed(spark, sf_dir):
+    """The orders table as a stream of match snapshots, validated and
+    upserted batch by batch; returns the final table."""
+    return feedmod.match_feed_table(spark, fxs.project_matches(fxs.stream_table(spark, sf_dir, "orders")))

@@ -619,3 +619,49 @@ SELECT name, team, 0.0, 0.0, 0.0, avg1, avg2, trend, rk + 3, 'bowling' FROM sw_o
     "SELECT CASE WHEN n = 0 THEN 'Player spotlight unavailable — insufficient match data.' ELSE " + \
     _pr.render_sql(_pr.SPOTLIGHT_TEMPLATE, {"match": "(SELECT a || ' vs ' || b FROM fx)",
                                             "players_str": "players_str"}) + " END AS prompt FROM lines"
+
+# ---- request log, upserts, feed ------------------------------------------------------
+
+CTE_TTL = """RECURSIVE ev AS (
+  SELECT user_id, event_id, epoch_us(ts) AS t,
+         ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+ch AS (
+  SELECT user_id, rn, t AS anchor, event_id, false AS cache_hit FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.rn, CASE WHEN e.t - c.anchor > 300000000 THEN e.t ELSE c.anchor END, e.event_id,
+         NOT (e.t - c.anchor > 300000000)
+  FROM ch c JOIN ev e ON e.user_id = c.user_id AND e.rn = c.rn + 1)"""
+
+ORACLE["T5_ttl_cache_hits"] = "WITH " + CTE_TTL + "\nSELECT event_id, cache_hit FROM ch"
+
+ORACLE["A21_cache_stats"] = "WITH " + CTE_TTL + """
+SELECT hits, misses,
+       CASE WHEN hits + misses > 0 THEN round_even(CAST(hits AS DOUBLE) * 1000.0 / (hits + misses), 0) / 10.0
+            ELSE 0.0 END AS hit_rate
+FROM (SELECT COUNT(*) FILTER (WHERE cache_hit) AS hits, COUNT(*) FILTER (WHERE NOT cache_hit) AS misses FROM ch) x"""
+
+ORACLE["W10_request_quota"] = """
+SELECT event_id, user_id, in_window, greatest(0, 10 - in_window) AS remaining FROM (
+  SELECT event_id, user_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts)
+         RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS in_window FROM events) x"""
+
+ORACLE["K1_upsert_events_by_user"] = """
+SELECT user_id, first_event_type, first_props, last_event_type, last_value, ts, event_id FROM (
+  SELECT user_id,
+         FIRST_VALUE(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS first_event_type,
+         FIRST_VALUE(props) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS first_props,
+         event_type AS last_event_type, value AS last_value, ts, event_id,
+         ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk
+  FROM events) x WHERE rk = 1"""
+
+ORACLE["K7_latest_event_per_user"] = """
+SELECT event_id, ts, user_id, event_type, value, props FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk FROM events) x
+WHERE rk = 1"""
+
+ORACLE["S4_F14_event_props_json"] = """
+SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events"""
+
+ORACLE["C18_T1_T2_T3_match_feed_stream"] = with_ctes(CTE_MATCHES) + """
+SELECT match_id, name, venue, match_date, team1, team2, toss_winner, 'feed' AS source, status, winner
+FROM matches"""

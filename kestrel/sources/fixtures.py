@@ -31,7 +31,12 @@ def _str(c: Column) -> Column:
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domain ``matches``: match_id, name, status, venue, match_date, team1,
     team2, toss_winner, winner (null = not finished, '' = no result)."""
-    o = read_table(spark, sf_dir, "orders").select(
+    return project_matches(read_table(spark, sf_dir, "orders"))
+
+
+def project_matches(orders: DataFrame) -> DataFrame:
+    """The ``matches`` projection of an orders frame (batch or streaming)."""
+    o = orders.select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
         "o_orderdate", "o_orderpriority")
     key = F.col("o_orderkey")
@@ -98,3 +103,13 @@ select l_orderkey as match_id, l_linenumber as ball,
  case when l_returnflag='R' then concat('P', cast(l_partkey % 400 as varchar)) else cast(null as varchar) end as player_dismissed
 from lineitem join matches m on m.match_id = l_orderkey
 """
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A test table as a streaming file source (the schema comes from the
+    batch reader; a file source needs a folder or glob, hence ``[.]``)."""
+    schema = read_table(spark, sf_dir, name).schema
+    r = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.parquet(os.path.join(sf_dir, f"{name}[.]parquet"))
