@@ -393,3 +393,33 @@ def q_feed(spark, sf_dir):
     """The orders table as a stream of match snapshots, validated and
     upserted batch by batch; returns the final table."""
     return feedmod.match_feed_table(spark, fxs.project_matches(fxs.stream_table(spark, sf_dir, "orders")))
+
+
+# ---- batch history load -------------------------------------------------------------
+
+from kestrel.plans import ingest as ing  # noqa: E402
+
+
+def _ingested(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    raw_m, raw_d = ing.testdata_raw(m, dm.deliveries(spark, sf_dir, m))
+    return ing.ingest_history(raw_m, raw_d)
+
+
+@register("C17_ingest_matches")
+def q_ingest_matches(spark, sf_dir):
+    return _ingested(spark, sf_dir)["matches"]
+
+
+@register("C17_J2_J3_ingest_player_stats")
+def q_ingest_stats(spark, sf_dir):
+    return _ingested(spark, sf_dir)["player_stats"].withColumns(
+        {c: F.col(c).cast("double") for c in ("strike_rate", "overs_bowled", "economy")})
+
+
+@register("C17_V3_ingest_tally")
+def q_ingest_tally(spark, sf_dir):
+    r = _ingested(spark, sf_dir)
+    mt = quality.load_tally(r["match_checks"]).select(F.lit("matches").alias("table_name"), "*")
+    st = quality.load_tally(r["stat_checks"]).select(F.lit("player_stats").alias("table_name"), "*")
+    return mt.unionByName(st)

@@ -665,3 +665,34 @@ SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events"""
 ORACLE["C18_T1_T2_T3_match_feed_stream"] = with_ctes(CTE_MATCHES) + """
 SELECT match_id, name, venue, match_date, team1, team2, toss_winner, 'feed' AS source, status, winner
 FROM matches"""
+
+# ---- batch history load ---------------------------------------------------------------
+
+CTE_INGEST = """ing AS (
+  SELECT match_id AS raw_id,
+         substr(md5(concat_ws('_', COALESCE(CAST(match_date AS VARCHAR), 'nan'), COALESCE(team1, 'nan'),
+                COALESCE(team2, 'nan'), COALESCE(venue, 'nan'))), 1, 12) AS match_id,
+         COALESCE(team1, 'nan') || ' vs ' || COALESCE(team2, 'nan') AS name, 'completed' AS status, venue,
+         match_date, team1, team2, toss_winner, winner, 'kaggle' AS source
+  FROM matches)"""
+
+ORACLE["C17_ingest_matches"] = with_ctes(CTE_MATCHES, CTE_INGEST) + """
+SELECT f.match_id, f.name, f.venue, f.match_date, f.team1, f.team2, f.toss_winner, f.source, l.status, l.winner
+FROM (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY raw_id) AS r FROM ing) x
+      WHERE r = 1) f
+JOIN (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY raw_id DESC) AS r FROM ing) y
+      WHERE r = 1) l ON l.match_id = f.match_id"""
+
+ORACLE["C17_J2_J3_ingest_player_stats"] = with_ctes(*STATS_BASE, CTE_INGEST) + """
+SELECT i.match_id, p.player_name, p.team, p.role, p.runs, p.balls_faced, p.fours, p.sixes,
+       CAST(p.strike_rate AS DOUBLE) AS strike_rate, p.wickets, CAST(p.overs_bowled AS DOUBLE) AS overs_bowled,
+       CAST(p.economy AS DOUBLE) AS economy
+FROM player_stats p JOIN ing i ON i.raw_id = p.match_id"""
+
+ORACLE["C17_V3_ingest_tally"] = with_ctes(CTE_MATCHES, CTE_DELIVERIES, CTE_CARDS) + """
+SELECT 'matches' AS table_name, COUNT(*) AS success, CAST(0 AS BIGINT) AS failed FROM matches
+UNION ALL
+SELECT 'player_stats',
+       (SELECT COUNT(*) FILTER (WHERE NOT (strike_rate > 500) AND NOT (runs > 200)) FROM bat_card)
+       + (SELECT COUNT(*) FROM bowl_card),
+       (SELECT COUNT(*) FILTER (WHERE strike_rate > 500 OR runs > 200) FROM bat_card)"""
