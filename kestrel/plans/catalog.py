@@ -423,3 +423,131 @@ def q_ingest_tally(spark, sf_dir):
     mt = quality.load_tally(r["match_checks"]).select(F.lit("matches").alias("table_name"), "*")
     st = quality.load_tally(r["stat_checks"]).select(F.lit("player_stats").alias("table_name"), "*")
     return mt.unionByName(st)
+
+
+# ---- model data preparation, evaluation and training -----------------------------------
+
+from kestrel.ml import metrics as mt  # noqa: E402
+from kestrel.ml import prep  # noqa: E402
+from kestrel.ml import train as mtrain  # noqa: E402
+from kestrel.operators import quality as ql  # noqa: E402
+
+
+def _matrix(spark, sf_dir):
+    """The feature matrix, checkpointed once into the shared folder: model
+    preparation and training read it several times (counts, ranks, folds,
+    solver iterations) and must not recompute its plan each time."""
+    from kestrel.session import cut_lineage
+    m = dm.matches(spark, sf_dir)
+    return cut_lineage(feat.feature_matrix(m, dm.player_stats(spark, sf_dir, m)))
+
+
+def _heuristic_test(spark, sf_dir):
+    s = prep.time_split(_matrix(spark, sf_dir))
+    return s.filter(~F.col("is_train")).withColumn("score", scoring.heuristic_score())
+
+
+@register("M2_time_split")
+def q_split(spark, sf_dir):
+    return prep.time_split(_matrix(spark, sf_dir)).select("match_id", "is_train")
+
+
+@register("M3_scale_stats")
+def q_scale(spark, sf_dir):
+    return prep.scale_stats(prep.time_split(_matrix(spark, sf_dir)).filter(F.col("is_train")))
+
+
+@register("M4_class_weights")
+def q_weights(spark, sf_dir):
+    return prep.class_weights(prep.time_split(_matrix(spark, sf_dir)).filter(F.col("is_train")))
+
+
+@register("M8_stratified_folds")
+def q_folds(spark, sf_dir):
+    tr = prep.time_split(_matrix(spark, sf_dir)).filter(F.col("is_train"))
+    return prep.stratified_folds(tr).select("match_id", "team1_won", "fold")
+
+
+@register("P13_feature_medians")
+def q_medians(spark, sf_dir):
+    return prep.medians(_matrix(spark, sf_dir))
+
+
+@register("M11_M16_heuristic_metrics")
+def q_metrics(spark, sf_dir):
+    return mt.binary_metrics(_heuristic_test(spark, sf_dir), "team1_won", model="heuristic")
+
+
+@register("M12_class_report")
+def q_class_report(spark, sf_dir):
+    return mt.class_report(_heuristic_test(spark, sf_dir), "team1_won")
+
+
+@register("M14_roc_points")
+def q_roc(spark, sf_dir):
+    return mt.roc_points(_heuristic_test(spark, sf_dir), "team1_won")
+
+
+@register("M15_calibration")
+def q_calibration(spark, sf_dir):
+    return mt.calibration(_heuristic_test(spark, sf_dir), "team1_won")
+
+
+@register("A17_target_balance")
+def q_balance(spark, sf_dir):
+    return prep.target_balance(_matrix(spark, sf_dir))
+
+
+@register("A18_null_report")
+def q_nulls(spark, sf_dir):
+    return prep.null_report(_matrix(spark, sf_dir))
+
+
+@register("A19_feature_correlations")
+def q_corr(spark, sf_dir):
+    return prep.correlations(_matrix(spark, sf_dir))
+
+
+@register("A15_A16_matrix_summary")
+def q_summary(spark, sf_dir):
+    return prep.matrix_summary(_matrix(spark, sf_dir))
+
+
+@register("V4_V7_matrix_checks")
+def q_matrix_checks(spark, sf_dir):
+    return ql.matrix_checks(_matrix(spark, sf_dir))
+
+
+@register("M5_M6_logistic_coefficients")
+def q_logistic(spark, sf_dir):
+    train, _, stats, weights = mtrain.prepared(_matrix(spark, sf_dir))
+    return mtrain.coefficient_table(mtrain.train_logistic(train, stats, weights))
+
+
+@register("M11_M13_trained_model_metrics")
+def q_model_metrics(spark, sf_dir):
+    """Logistic baseline vs boosted trees on the time-ordered test split."""
+    train, test, stats, weights = mtrain.prepared(_matrix(spark, sf_dir))
+    lr = mtrain.train_logistic(train, stats, weights)
+    gbt = mtrain.train_gbt(train, weights)
+    a = mt.binary_metrics(mtrain.score_logistic(lr, test, stats), "team1_won", model="logistic")
+    b = mt.binary_metrics(mtrain.score_gbt(gbt, test), "team1_won", model="gbt")
+    both = a.unionByName(b)
+    return both.withColumn("better_model", mt.compare_models(both, "logistic", "gbt")
+                           .select("better_model").scalar())
+
+
+@register("M7_M10_gbt_importances")
+def q_importances(spark, sf_dir):
+    train, _, _, weights = mtrain.prepared(_matrix(spark, sf_dir))
+    return mtrain.importance_table(mtrain.train_gbt(train, weights))
+
+
+@register("M18_T7_live_win_probabilities")
+def q_live_probs(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    st = dm.player_stats(spark, sf_dir, m)
+    train, _, stats, weights = mtrain.prepared(_matrix(spark, sf_dir))
+    lr = mtrain.train_logistic(train, stats, weights)
+    live = feat.live_features(m, st)
+    return mtrain.win_probabilities(mtrain.score_logistic(lr, live, stats), "baseline")

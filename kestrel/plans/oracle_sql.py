@@ -696,3 +696,141 @@ SELECT 'player_stats',
        (SELECT COUNT(*) FILTER (WHERE NOT (strike_rate > 500) AND NOT (runs > 200)) FROM bat_card)
        + (SELECT COUNT(*) FROM bowl_card),
        (SELECT COUNT(*) FILTER (WHERE strike_rate > 500 OR runs > 200) FROM bat_card)"""
+
+# ---- model data preparation and evaluation ----------------------------------------------
+
+from kestrel.plans.features import FEATURE_COLS as _FC  # noqa: E402
+
+_FM_MATRIX = (*_FM_CTES, "spine AS (SELECT * FROM cm)", CTE_H2H_ASOF,
+              *strength_ctes("SELECT DISTINCT match_date AS d FROM spine"),
+              "fm AS (" + _features_select("*", _VENUE_ALL, _TOSS_ALL, True) + ")",
+              """sp AS (SELECT *, ROW_NUMBER() OVER (ORDER BY match_date, match_id)
+                     <= floor(CAST(COUNT(*) OVER () AS DOUBLE) * 0.8) AS is_train FROM fm)""",
+              "tst AS (SELECT *, 0.5 + win_rate_diff / 2.0 AS score FROM sp WHERE NOT is_train)")
+
+ORACLE["M2_time_split"] = with_ctes(*_FM_MATRIX) + "SELECT match_id, is_train FROM sp"
+
+
+def _scaled(c: str) -> str:
+    return f"CAST(round_even(CAST({c} AS DOUBLE) * 10000.0, 0) AS HUGEINT)"
+
+
+ORACLE["M3_scale_stats"] = with_ctes(*_FM_MATRIX) + "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS feature, CAST(s AS DOUBLE) / (CAST(n AS DOUBLE) * 10000.0) AS mean,
+       CASE WHEN sqrt(CAST(n * q - s * s AS DOUBLE) / (CAST(n AS DOUBLE) * CAST(n AS DOUBLE) * 100000000.0)) = 0
+            THEN 1.0 ELSE sqrt(CAST(n * q - s * s AS DOUBLE) / (CAST(n AS DOUBLE) * CAST(n AS DOUBLE) * 100000000.0))
+       END AS std
+FROM (SELECT COUNT(*) AS n, SUM({_scaled(c)}) AS s, SUM({_scaled(c)} * {_scaled(c)}) AS q FROM sp WHERE is_train) x"""
+    for c in _FC)
+
+ORACLE["M4_class_weights"] = with_ctes(*_FM_MATRIX) + f"""
+SELECT 0 AS label, 1.0 AS weight
+UNION ALL
+SELECT 1, {RND('CAST(COUNT(*) FILTER (WHERE team1_won = 0) AS DOUBLE) / COUNT(*) FILTER (WHERE team1_won = 1)', 3)}
+FROM sp WHERE is_train"""
+
+ORACLE["M8_stratified_folds"] = with_ctes(*_FM_MATRIX) + """
+SELECT match_id, team1_won, CAST((ROW_NUMBER() OVER (PARTITION BY team1_won
+         ORDER BY md5(CAST(match_id AS VARCHAR) || '|42')) - 1) % 5 AS INTEGER) AS fold
+FROM sp WHERE is_train"""
+
+ORACLE["P13_feature_medians"] = with_ctes(*_FM_MATRIX) + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS median FROM fm" for c in _FC)
+
+_CM = """cmx AS (SELECT COUNT(*) FILTER (WHERE team1_won <> 1 AND score < 0.5) AS tn,
+                     COUNT(*) FILTER (WHERE team1_won <> 1 AND score >= 0.5) AS fp,
+                     COUNT(*) FILTER (WHERE team1_won = 1 AND score < 0.5) AS fn,
+                     COUNT(*) FILTER (WHERE team1_won = 1 AND score >= 0.5) AS tp FROM tst)"""
+_AUC = """sc AS (SELECT score AS s, COUNT(*) FILTER (WHERE team1_won = 1) AS p,
+                    COUNT(*) FILTER (WHERE team1_won <> 1) AS q FROM tst GROUP BY score),
+auc AS (SELECT SUM(p * (2 * below + q)) AS auc2, SUM(p) AS npos, SUM(q) AS nneg FROM (
+  SELECT *, COALESCE(SUM(q) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+  FROM sc) x)"""
+
+
+def _safe_sql(num: str, den: str, d: int) -> str:
+    return f"CASE WHEN {den} > 0 THEN {RR(num, den, d)} ELSE 0.0 END"
+
+
+ORACLE["M11_M16_heuristic_metrics"] = with_ctes(*_FM_MATRIX, _CM, _AUC) + f"""
+SELECT 'heuristic' AS model, {_safe_sql('tp + tn', 'tn + fp + fn + tp', 3)} AS accuracy,
+       {_safe_sql('auc2', '2 * npos * nneg', 3)} AS auc,
+       {_safe_sql('tp', 'tp + fp', 3)} AS precision, {_safe_sql('tp', 'tp + fn', 3)} AS recall,
+       {_safe_sql('2 * tp', '2 * tp + fp + fn', 3)} AS f1, tn, fp, fn, tp
+FROM cmx, auc"""
+
+_R3 = "round_even(({x}) * 1000.0, 0) / 1000.0 + 0.0"
+ORACLE["M12_class_report"] = with_ctes(*_FM_MATRIX, _CM, f"""per AS (
+  SELECT '0' AS label, {_safe_sql('tn', 'tn + fn', 6)} AS p, {_safe_sql('tn', 'tn + fp', 6)} AS r,
+         {_safe_sql('2 * tn', '2 * tn + fn + fp', 6)} AS f, tn + fp AS support FROM cmx
+  UNION ALL
+  SELECT '1', {_safe_sql('tp', 'tp + fp', 6)}, {_safe_sql('tp', 'tp + fn', 6)},
+         {_safe_sql('2 * tp', '2 * tp + fp + fn', 6)}, tp + fn FROM cmx)""") + f"""
+SELECT label, {_R3.format(x='p')} AS precision, {_R3.format(x='r')} AS recall, {_R3.format(x='f')} AS f1,
+       support FROM per
+UNION ALL
+SELECT 'macro avg', {_R3.format(x='AVG(p)')}, {_R3.format(x='AVG(r)')}, {_R3.format(x='AVG(f)')},
+       CAST(SUM(support) AS BIGINT) FROM per
+UNION ALL
+SELECT 'weighted avg', {_R3.format(x='SUM(p * support) / SUM(support)')},
+       {_R3.format(x='SUM(r * support) / SUM(support)')}, {_R3.format(x='SUM(f * support) / SUM(support)')},
+       CAST(SUM(support) AS BIGINT) FROM per"""
+
+ORACLE["M14_roc_points"] = with_ctes(*_FM_MATRIX, _AUC) + """
+SELECT CAST(NULL AS DOUBLE) AS threshold, 0.0 AS fpr, 0.0 AS tpr
+UNION ALL
+SELECT s, fp / (SELECT SUM(q) FROM sc), tp / (SELECT SUM(p) FROM sc) FROM (
+  SELECT s, SUM(p) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS tp,
+         SUM(q) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS fp FROM sc) x"""
+
+ORACLE["M15_calibration"] = with_ctes(*_FM_MATRIX) + """
+SELECT bin, COUNT(*) AS n, CAST(SUM(CAST(round_even(score * 10000.0, 0) AS BIGINT)) AS DOUBLE) / (COUNT(*) * 10000.0)
+       AS mean_predicted, CAST(COUNT(*) FILTER (WHERE team1_won = 1) AS DOUBLE) / COUNT(*) AS fraction_positive
+FROM (SELECT *, CAST(score > 0.2 AS INTEGER) + CAST(score > 0.4 AS INTEGER) + CAST(score > 0.6 AS INTEGER)
+              + CAST(score > 0.8 AS INTEGER) AS bin FROM tst) x GROUP BY bin"""
+
+ORACLE["A17_target_balance"] = with_ctes(*_FM_MATRIX) + f"""
+SELECT s1 AS share_team1_won, s0 AS share_team1_lost, abs(s1 - s0) > 0.1 AS imbalanced FROM (
+  SELECT {RR('COUNT(*) FILTER (WHERE team1_won = 1)', 'COUNT(*)', 3)} AS s1,
+         {RR('COUNT(*) FILTER (WHERE team1_won = 0)', 'COUNT(*)', 3)} AS s0 FROM fm) x"""
+
+ORACLE["A18_null_report"] = with_ctes(*_FM_MATRIX) + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", COUNT(*) FILTER (WHERE {c} IS NULL) AS null_count, "
+    f"{RR(f'COUNT(*) FILTER (WHERE {c} IS NULL) * 100', 'COUNT(*)', 2)} AS null_pct FROM fm "
+    f"HAVING COUNT(*) FILTER (WHERE {c} IS NULL) > 0"
+    for c in ["match_id", "match_date", "team1", "team2", *_FC, "team1_won"])
+
+
+def _corr_row(c: str) -> str:
+    x = _scaled(c)
+    num = f"CAST(n * SUM({x} * team1_won) - SUM({x}) * SUM(CAST(team1_won AS HUGEINT)) AS DOUBLE)"
+    den = (f"sqrt(CAST(n * SUM({x} * {x}) - SUM({x}) * SUM({x}) AS DOUBLE) * "
+           f"CAST(n * SUM(CAST(team1_won AS HUGEINT) * team1_won) - SUM(CAST(team1_won AS HUGEINT)) * "
+           f"SUM(CAST(team1_won AS HUGEINT)) AS DOUBLE))")
+    return (f"SELECT '{c}' AS feature, CASE WHEN {den} > 0 THEN {num} / {den} END AS corr "
+            f"FROM fm, (SELECT CAST(COUNT(*) AS HUGEINT) AS n FROM fm) nn GROUP BY n")
+
+
+ORACLE["A19_feature_correlations"] = with_ctes(*_FM_MATRIX, "cr AS (" + "\nUNION ALL\n".join(
+    _corr_row(c) for c in _FC) + ")") + f"""
+SELECT feature, {RND('corr', 6)} AS corr,
+       ROW_NUMBER() OVER (ORDER BY abs(corr) DESC NULLS LAST, feature) AS abs_rank FROM cr"""
+
+ORACLE["A15_A16_matrix_summary"] = with_ctes(*_FM_MATRIX) + """
+SELECT COUNT(*) AS "rows", COUNT(DISTINCT match_id) AS distinct_match_ids, min(match_date) AS first_date,
+       max(match_date) AS last_date,
+       (SELECT COUNT(DISTINCT t) FROM (SELECT team1 AS t FROM fm UNION ALL SELECT team2 FROM fm) u) AS teams
+FROM fm"""
+
+ORACLE["V4_V7_matrix_checks"] = with_ctes(*_FM_MATRIX) + """
+SELECT rule, violations FROM (
+  SELECT 1 AS o, 'v4_team1_win_rate_range' AS rule,
+         COUNT(*) FILTER (WHERE NOT COALESCE(team1_win_rate BETWEEN 0 AND 1, false)) AS violations FROM fm
+  UNION ALL SELECT 2, 'v4_team2_win_rate_range',
+         COUNT(*) FILTER (WHERE NOT COALESCE(team2_win_rate BETWEEN 0 AND 1, false)) FROM fm
+  UNION ALL SELECT 3, 'v5_team1_streak_range',
+         COUNT(*) FILTER (WHERE NOT COALESCE(team1_streak BETWEEN -10 AND 10, false)) FROM fm
+  UNION ALL SELECT 4, 'v6_duplicate_match_id', COUNT(*) - COUNT(DISTINCT match_id) FROM fm
+  UNION ALL SELECT 5, 'v7_target_domain', COUNT(*) FILTER (WHERE NOT COALESCE(team1_won IN (0, 1), false)) FROM fm
+  UNION ALL SELECT 6, 'v7_h2h_complement', COUNT(*) FILTER (WHERE NOT COALESCE(
+         round_even((team1_h2h_win_rate + team2_h2h_win_rate) * 100, 0) / 100 = 1.0, false)) FROM fm) x"""
