@@ -64,7 +64,7 @@ def validate_player_stats(raw: DataFrame) -> DataFrame:
     NaN passes the range checks as in the reference (Q26)."""
     name_missing = _missing(raw, "player_name")
     parts = [F.when(name_missing, F.lit("Missing player_name"))]
-    out = raw
+    coerced_cols = {}
     for f, typ in STAT_NUMERIC_FIELDS:
         src = F.col(f) if f in raw.columns else F.lit(None)
         is_num = f in raw.columns and isinstance(raw.schema[f].dataType, NumericType)
@@ -73,14 +73,14 @@ def validate_player_stats(raw: DataFrame) -> DataFrame:
         parts.append(F.when(src.isNotNull() & coerced.isNull(),
                             F.concat(F.lit(f"Cannot coerce {f}: "), src.cast("string"))))
         parts.append(F.when(val.isNotNull() & (val < 0), F.lit(f"{f} is negative")))
-        out = out.withColumn(f, val)
+        coerced_cols[f] = val
+    # reasons read the raw values, so they are fixed before the values are replaced
+    out = raw.withColumn("_p0", F.array(*parts)).withColumns(coerced_cols)
     sr, runs = F.col("strike_rate"), F.col("runs")
     parts_sr = F.when(sr.isNotNull() & ~F.isnan(sr) & (sr > MAX_STRIKE_RATE),
                       F.concat(F.lit("Implausible strike_rate: "), sr.cast("string")))
     parts_runs = F.when(runs.isNotNull() & (runs > MAX_RUNS),
                         F.concat(F.lit("Implausible runs in T20: "), runs.cast("string")))
-    # the range checks read the coerced columns, so compute them after the loop
-    out = out.withColumn("_p0", F.array(*[p for p in parts]))
     out = out.withColumn("error_message", _reasons([F.col("_p0")[i] for i in range(len(parts))]
                                                    + [parts_sr, parts_runs]))
     return out.drop("_p0").withColumn("is_valid", F.col("error_message").isNull())
