@@ -251,3 +251,38 @@ def post_match_rows(scored: DataFrame, decided: DataFrame, stats: DataFrame,
         "*", F.lit(win_margin).alias("win_margin"),
         F.when(F.col("_p") >= 0.5, F.col("team1")).otherwise(F.col("team2")).alias("predicted_winner"),
         (F.greatest(F.col("_p"), F.lit(1.0) - F.col("_p")) * F.lit(100.0)).alias("predicted_prob"))
+
+
+# ---- P10 display names, U3 entities, L5 head/tail, L6 latest innings ----------------
+
+# The card column headers shown to users.
+BAT_DISPLAY = {"player_name": "Player", "team": "Team", "runs": "R", "balls_faced": "B", "fours": "4s",
+               "sixes": "6s", "strike_rate": "SR"}
+BOWL_DISPLAY = {"player_name": "Player", "team": "Team", "wickets": "W", "overs_bowled": "Ov", "economy": "Eco"}
+
+
+def display_card(card: DataFrame, role: str) -> DataFrame:
+    """P10: the card's columns under their display names."""
+    names = BAT_DISPLAY if role == "batting" else BOWL_DISPLAY
+    keep = [c for c in card.columns if c not in names]
+    return card.select(*keep, *[F.col(k).alias(v) for k, v in names.items()])
+
+
+def distinct_teams(matches: DataFrame) -> DataFrame:
+    """Entities appearing as team1 or team2 (one scan, explode, distinct)."""
+    return matches.select(F.explode(F.array("team1", "team2")).alias("team")).filter(F.col("team").isNotNull()) \
+                  .distinct()
+
+
+def head_tail(table: DataFrame, value: str, k: int = 5) -> DataFrame:
+    """The k largest and k smallest rows of a small model-summary table,
+    tagged ``top`` / ``bottom``."""
+    top = table.orderBy(F.desc(value), "feature").limit(k).withColumn("end", F.lit("top"))
+    bottom = table.orderBy(F.asc(value), "feature").limit(k).withColumn("end", F.lit("bottom"))
+    return top.unionByName(bottom)
+
+
+def latest_innings(innings: DataFrame) -> DataFrame:
+    """The last innings line (highest id) of every match."""
+    last = F.max_by(F.struct("inning_name", "runs", "wickets", "overs"), F.col("id"))
+    return innings.groupBy("match_id").agg(last.alias("_l")).select("match_id", "_l.*")

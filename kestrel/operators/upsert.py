@@ -118,3 +118,13 @@ def load_once(target_path: str, spark: SparkSession, produce) -> bool:
         return False
     replace_table(produce(), target_path)
     return True
+
+
+def append_rows(df: DataFrame, path: str, batch: int | None = None) -> None:
+    """K2/K3: append lines to a table. With ``batch`` the rows land in their
+    own ``batch=N`` folder written with overwrite, so a retried batch does not
+    duplicate them."""
+    if batch is None:
+        df.write.mode("append").parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch:08d}")

@@ -551,3 +551,37 @@ def q_live_probs(spark, sf_dir):
     lr = mtrain.train_logistic(train, stats, weights)
     live = feat.live_features(m, st)
     return mtrain.win_probabilities(mtrain.score_logistic(lr, live, stats), "baseline")
+
+
+# ---- display, entities, report parts -------------------------------------------------------
+
+
+@register("P10_batting_card_display")
+def q_display(spark, sf_dir):
+    return reports.display_card(reports.batting_cards(dm.player_stats(spark, sf_dir)), "batting")
+
+
+@register("U3_distinct_teams")
+def q_teams(spark, sf_dir):
+    return reports.distinct_teams(dm.matches(spark, sf_dir))
+
+
+@register("M14_trapezoid_auc")
+def q_trapezoid(spark, sf_dir):
+    return mt.trapezoid_auc(mt.roc_points(_heuristic_test(spark, sf_dir), "team1_won")).toDF("auc")
+
+
+@register("T6_windowed_quota_stream")
+def q_windowed_quota(spark, sf_dir):
+    """Sliding-window request counts computed by a streaming query over the
+    events table (drained with availableNow, results read back)."""
+    import uuid
+    import os
+    from kestrel.session import ensure_checkpoint_dir
+    base = os.path.join(ensure_checkpoint_dir(spark), f"quota-{uuid.uuid4().hex[:12]}")
+    ev = fxs.stream_table(spark, sf_dir, "events")
+    q = (feedmod.windowed_quota(ev, period="60 seconds", slide="30 seconds").writeStream
+         .outputMode("append").format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")

@@ -834,3 +834,23 @@ SELECT rule, violations FROM (
   UNION ALL SELECT 5, 'v7_target_domain', COUNT(*) FILTER (WHERE NOT COALESCE(team1_won IN (0, 1), false)) FROM fm
   UNION ALL SELECT 6, 'v7_h2h_complement', COUNT(*) FILTER (WHERE NOT COALESCE(
          round_even((team1_h2h_win_rate + team2_h2h_win_rate) * 100, 0) / 100 = 1.0, false)) FROM fm) x"""
+
+ORACLE["P10_batting_card_display"] = with_ctes(*STATS_BASE) + """
+SELECT match_id, ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY runs DESC, player_name, team) AS card_order,
+       player_name AS "Player", team AS "Team", runs AS "R", balls_faced AS "B", fours AS "4s", sixes AS "6s",
+       CAST(strike_rate AS DOUBLE) AS "SR"
+FROM player_stats WHERE role = 'batting' AND balls_faced > 0"""
+
+ORACLE["U3_distinct_teams"] = with_ctes(CTE_MATCHES) + """
+SELECT DISTINCT team FROM (SELECT team1 AS team FROM matches UNION ALL SELECT team2 FROM matches) t
+WHERE team IS NOT NULL"""
+
+# sliding 60 s windows every 30 s; append mode emits windows closed by the final watermark (max ts - 2 min)
+ORACLE["T6_windowed_quota_stream"] = """
+WITH w AS (
+  SELECT user_id, (CAST(floor(epoch_us(ts) / 30000000) AS BIGINT) - k) * 30000000 + 60000000 AS end_us
+  FROM events, (SELECT 0 AS k UNION ALL SELECT 1) kk)
+SELECT make_timestamp(end_us) AS window_end, user_id, COUNT(*) AS in_window,
+       greatest(0, 10 - COUNT(*)) AS remaining
+FROM w GROUP BY end_us, user_id
+HAVING end_us <= (SELECT epoch_us(max(ts)) FROM events) - 120000000"""

@@ -88,3 +88,45 @@ def match_feed_table(spark: SparkSession, stream: DataFrame, available_now: bool
     if cur is None:
         return spark.createDataFrame([], stream.schema)
     return cur.drop("_batch")
+
+
+def scorecard_batch(cards: DataFrame, batch_id: int, *, innings_path: str, stats_path: str,
+                    rejects_path: str, source: str = "feed") -> None:
+    """C18 scorecard side (K2, K3, K4, T4): innings lines and validated stat
+    lines of one poll are appended under ``batch=N`` (idempotent on retry);
+    invalid stat lines go to the rejects. Each poll appends again, as the
+    reference does (Q8); :func:`kestrel.operators.upsert.latest_snapshot`
+    keeps the latest poll per key for reports."""
+    from kestrel.sources import feed_json
+    b = F.lit(batch_id).cast("long")
+    up.append_rows(feed_json.scorecard_innings(cards).withColumn("_batch", b), innings_path, batch_id)
+    checked = quality.validate_player_stats(feed_json.scorecard_stats(cards))
+    cols = ["match_id", "player_name", "team", "role", "runs", "balls_faced", "fours", "sixes", "strike_rate",
+            "wickets", "overs_bowled", "economy"]
+    valid, rejects = quality.split_valid(checked, source, cols)
+    up.append_rows(valid.withColumn("_batch", b), stats_path, batch_id)
+    up.append_rows(rejects, f"{rejects_path.rstrip('/')}/scorecards", batch_id)
+
+
+def start_scorecard_feed(stream: DataFrame, *, innings_path: str, stats_path: str, rejects_path: str,
+                         checkpoint: str, available_now: bool = False,
+                         interval: str = POLL_INTERVAL) -> StreamingQuery:
+    """T1 for scorecard payloads (a file stream of JSON documents)."""
+    def fn(df: DataFrame, batch_id: int) -> None:
+        scorecard_batch(df, batch_id, innings_path=innings_path, stats_path=stats_path, rejects_path=rejects_path)
+    w = stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
+    return w.start()
+
+
+def windowed_quota(events: DataFrame, key: str = "user_id", ts: str = "ts", period: str = "60 seconds",
+                   slide: str = "1 second", watermark: str = "2 minutes", max_calls: int = 10) -> DataFrame:
+    """T6 on a stream: requests per key in sliding event-time windows with a
+    watermark for late data, and the remaining quota. Window boundaries are
+    aligned to ``slide``, so this approximates the exact trailing count of
+    :func:`kestrel.operators.requests.requests_in_window` (batch)."""
+    agg = (events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+           .groupBy(F.window(ts, period, slide), F.col(key))
+           .agg(F.count(F.lit(1)).alias("in_window")))
+    return agg.select(F.col("window.end").alias("window_end"), key, "in_window",
+                      F.greatest(F.lit(0), F.lit(max_calls) - F.col("in_window")).cast("long").alias("remaining"))
