@@ -40,8 +40,14 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     from kestrel.plans.catalog import QUERIES
     from kestrel.session import local_session
-    spark = local_session(cpus=cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "16")),
+    ncpu = os.cpu_count() if cpus == "*" else int(cpus)
+    spark = local_session(cpus=cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", 2 * ncpu)),
                           app="kestrel-bench")
+    # Local mode: the test files are single row groups, so parallelism comes
+    # only from shuffles; keep AQE from coalescing small shuffles below one
+    # partition per core. (On a cluster the 64 MB advisory size applies.)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionNum", str(ncpu))
     # warm-up: JVM, parquet footers, Python worker start
     QUERIES["C1_team_form"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}

@@ -82,9 +82,8 @@ def team_form_rows(matches: DataFrame) -> DataFrame:
     matches played -- one row per (team, completed match)."""
     rows1, carry = _form_chunks(_base_rows(matches))
     r = seq.attach_carry(rows1, carry, ["team"], "match_date", FORM_WINDOW, carry_cols=["_carry_streak"])
-    prev4 = seq.last_k(F.col("_hist"), FORM_WINDOW - 1)
-    wins = seq.hist_sum(prev4, "won") + F.col("won")
-    n = F.size(prev4) + 1
+    wins = seq.tail_sum(F.col("_hist"), "won", FORM_WINDOW - 1) + F.col("won")
+    n = F.least(F.size("_hist"), F.lit(FORM_WINDOW - 1)) + 1
     sign = F.when(F.col("won") == 1, 1).otherwise(-1)
     inner = (F.col("_rn") - F.col("_run_start") + 1) * sign
     streak = F.when((F.col("_run_start") == 1) & (F.col("_carry_streak") * sign > 0),
@@ -102,7 +101,7 @@ def form_states(matches: DataFrame) -> DataFrame:
     end = F.col("_end_hist")
     return carry.select(
         "team", "match_date",
-        ratio_round(seq.hist_sum(end, "won"), F.size(end), 3).alias("rolling_win_rate"),
+        ratio_round(seq.hist_sum(end, "won", FORM_WINDOW), F.size(end), 3).alias("rolling_win_rate"),
         F.col("_end_streak").cast("int").alias("streak"),
         F.col("_cum").cast("long").alias("matches_played"))
 

@@ -46,9 +46,9 @@ def bowling_lines(stats: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def _rolling(field: str, cur: Column, cents_in: bool, hist: Column | None = None) -> Column:
-    prev = seq.last_k(F.col("_hist") if hist is None else hist, ROLL - 1)
-    total = seq.hist_sum(prev, field) + cur.cast("long")
-    n = F.size(prev) + 1
+    h = F.col("_hist") if hist is None else hist
+    total = seq.tail_sum(h, field, ROLL - 1) + cur.cast("long")
+    n = F.least(F.size(h), F.lit(ROLL - 1)) + 1
     return cents_ratio_round(total, n, 2) if cents_in else ratio_round(total, n, 2)
 
 
@@ -58,8 +58,8 @@ def trend(field: str, hist: Column | None = None, position: Column | None = None
     (i = 0-based position). Input in hundredths; exact numerator."""
     i = (F.col("_seq") if position is None else position) - 1
     hist = F.col("_hist") if hist is None else hist
-    recent = seq.hist_sum(seq.last_k(hist, TREND_SPAN), field)
-    older = seq.hist_sum(F.slice(hist, 1, F.greatest(F.size(hist) - TREND_SPAN, F.lit(0))), field)
+    recent = seq.tail_sum(hist, field, TREND_SPAN)
+    older = seq.tail_sum(hist, field, HIST) - recent          # hist holds at most 6 rows
     d = F.greatest(F.lit(1), F.least(F.lit(TREND_SPAN), i - TREND_SPAN)).cast("long")
     num = recent * d - F.lit(TREND_SPAN) * older
     return F.when(i < TREND_SPAN, F.lit(0.0)).otherwise(cents_ratio_round(num, F.lit(TREND_SPAN) * d, 2))
@@ -185,10 +185,10 @@ def _recent_lines(lines: DataFrame, players: DataFrame, field: str, k: int = SPO
 
 def _trend_from_recent(field: str, digits: int = 1) -> Column:
     """Latest-first values v; < 4 values -> 0; mean(v[:3]) - mean(v[3:])."""
-    rec = F.reverse(F.col("recent"))
+    rec = F.col("recent")                      # oldest first, at most 6
     n = F.size(rec)
-    first3 = seq.hist_sum(F.slice(rec, 1, 3), field)
-    rest = seq.hist_sum(F.slice(rec, 4, 3), field)
+    first3 = seq.tail_sum(rec, field, 3)       # the latest three
+    rest = seq.tail_sum(rec, field, SPOTLIGHT_RECENT) - first3
     rest_n = F.greatest(n - 3, F.lit(1)).cast("long")
     num = first3 * rest_n - F.lit(3) * rest
     return F.when(n < 4, F.lit(0.0)).otherwise(cents_ratio_round(num, F.lit(3) * rest_n, digits))

@@ -34,8 +34,10 @@ def _missing(df: DataFrame, c: str) -> Column:
 
 
 def _reasons(parts: Sequence[Column]) -> Column:
-    arr = F.filter(F.array(*parts), lambda x: x.isNotNull())
-    return F.when(F.size(arr) > 0, F.array_join(arr, "; "))
+    """Non-NULL reasons joined by "; " (NULL when there is none). concat_ws
+    skips NULLs and stays inside whole-stage codegen."""
+    msg = F.concat_ws("; ", *parts)
+    return F.when(msg != F.lit(""), msg)
 
 
 def validate_matches(raw: DataFrame) -> DataFrame:
@@ -75,14 +77,13 @@ def validate_player_stats(raw: DataFrame) -> DataFrame:
         parts.append(F.when(val.isNotNull() & (val < 0), F.lit(f"{f} is negative")))
         coerced_cols[f] = val
     # reasons read the raw values, so they are fixed before the values are replaced
-    out = raw.withColumn("_p0", F.array(*parts)).withColumns(coerced_cols)
+    out = raw.withColumn("_p0", F.concat_ws("; ", *parts)).withColumns(coerced_cols)
     sr, runs = F.col("strike_rate"), F.col("runs")
     parts_sr = F.when(sr.isNotNull() & ~F.isnan(sr) & (sr > MAX_STRIKE_RATE),
                       F.concat(F.lit("Implausible strike_rate: "), sr.cast("string")))
     parts_runs = F.when(runs.isNotNull() & (runs > MAX_RUNS),
                         F.concat(F.lit("Implausible runs in T20: "), runs.cast("string")))
-    out = out.withColumn("error_message", _reasons([F.col("_p0")[i] for i in range(len(parts))]
-                                                   + [parts_sr, parts_runs]))
+    out = out.withColumn("error_message", _reasons([F.nullif(F.col("_p0"), F.lit("")), parts_sr, parts_runs]))
     return out.drop("_p0").withColumn("is_valid", F.col("error_message").isNull())
 
 

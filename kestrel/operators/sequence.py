@@ -104,10 +104,31 @@ def end_states(rows: DataFrame, keys: Sequence[str], chunk: str, order: Sequence
     return chunk_carry(chunk_table(rows1, keys, chunk, order, hist_cols, k, last_cols), keys, chunk, k)
 
 
-def hist_sum(hist: Column, field: str, start_from_end: int | None = None) -> Column:
-    """Sum of ``field`` over the history array (optionally its last n items)."""
-    arr = hist if start_from_end is None else last_k(hist, start_from_end)
-    return F.aggregate(arr, F.lit(0).cast("long"), lambda acc, x: acc + x[field].cast("long"))
+def tail_sum(arr: Column, field: str, n: int) -> Column:
+    """Sum of ``field`` over the last ``n`` elements of ``arr`` (fewer when
+    the array is shorter), unrolled into ``n`` element reads so it stays in
+    whole-stage codegen (array lambdas do not)."""
+    size = F.size(arr)
+    terms = [F.coalesce(F.get(arr, size - F.lit(j))[field].cast("long"), F.lit(0).cast("long"))
+             for j in range(1, n + 1)]
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return out
+
+
+def head_sum(arr: Column, field: str, n: int) -> Column:
+    """Sum of ``field`` over the first ``n`` elements of ``arr``."""
+    terms = [F.coalesce(F.get(arr, F.lit(j))[field].cast("long"), F.lit(0).cast("long")) for j in range(n)]
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return out
+
+
+def hist_sum(hist: Column, field: str, max_len: int) -> Column:
+    """Sum of ``field`` over a history array of at most ``max_len`` items."""
+    return tail_sum(hist, field, max_len)
 
 
 def _asof(states: DataFrame, keys: Sequence[str], day: str, spine: DataFrame, spine_day: str,
