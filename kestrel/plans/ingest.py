@@ -26,7 +26,7 @@ def _text(c: str, nan_compat: bool):
     return F.coalesce(F.col(c), F.lit(NULL_TOKEN)) if nan_compat else F.col(c)
 
 
-def raw_match_rows(raw: DataFrame, source: str = "kaggle", nan_compat: bool = False) -> DataFrame:
+def raw_match_rows(raw: DataFrame, source: str = "history", nan_compat: bool = False) -> DataFrame:
     """Match records as the loader builds them. The id hashes the raw date
     text and names with 'nan' for missing parts; an unparseable date becomes
     the text 'nan' (so it fails the length check). ``nan_compat`` also turns
@@ -47,7 +47,7 @@ def raw_match_rows(raw: DataFrame, source: str = "kaggle", nan_compat: bool = Fa
 
 
 def ingest_history(raw_matches: DataFrame, raw_deliveries: DataFrame, existing: DataFrame | None = None,
-                   source: str = "kaggle", nan_compat: bool = False, bowling_team: str = "batting") -> dict:
+                   source: str = "history", nan_compat: bool = False, bowling_team: str = "batting") -> dict:
     rows = raw_match_rows(raw_matches, source, nan_compat)
     checked = quality.validate_matches(rows)
     data_cols = ["match_id", "name", "status", "venue", "match_date", "team1", "team2", "toss_winner", "winner",

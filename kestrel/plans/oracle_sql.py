@@ -673,7 +673,7 @@ CTE_INGEST = """ing AS (
          substr(md5(concat_ws('_', COALESCE(CAST(match_date AS VARCHAR), 'nan'), COALESCE(team1, 'nan'),
                 COALESCE(team2, 'nan'), COALESCE(venue, 'nan'))), 1, 12) AS match_id,
          COALESCE(team1, 'nan') || ' vs ' || COALESCE(team2, 'nan') AS name, 'completed' AS status, venue,
-         match_date, team1, team2, toss_winner, winner, 'kaggle' AS source
+         match_date, team1, team2, toss_winner, winner, 'history' AS source
   FROM matches)"""
 
 ORACLE["C17_ingest_matches"] = with_ctes(CTE_MATCHES, CTE_INGEST) + """
@@ -854,3 +854,12 @@ SELECT make_timestamp(end_us) AS window_end, user_id, COUNT(*) AS in_window,
        greatest(0, 10 - COUNT(*)) AS remaining
 FROM w GROUP BY end_us, user_id
 HAVING end_us <= (SELECT epoch_us(max(ts)) FROM events) - 120000000"""
+
+ORACLE["M14_trapezoid_auc"] = with_ctes(*_FM_MATRIX, _AUC, """pts AS (
+  SELECT 0.0 AS fpr, 0.0 AS tpr
+  UNION ALL
+  SELECT fp / (SELECT SUM(q) FROM sc), tp / (SELECT SUM(p) FROM sc) FROM (
+    SELECT SUM(p) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS tp,
+           SUM(q) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS fp FROM sc) x)""") + """
+SELECT round_even(SUM((fpr - f0) * (tpr + t0) / 2) * 1000, 0) / 1000 + 0.0 AS auc FROM (
+  SELECT fpr, tpr, LAG(fpr) OVER (ORDER BY fpr, tpr) AS f0, LAG(tpr) OVER (ORDER BY fpr, tpr) AS t0 FROM pts) x"""
