@@ -43,11 +43,31 @@ def _safe(num: Column, den: Column, digits: int) -> Column:
     return F.when(den > 0, ratio_round(num, den, digits)).otherwise(F.lit(0.0))
 
 
+SCORE_BUCKETS = 1024
+
+
+def _prefix(counts: DataFrame, cols: list[str], descending: bool, inclusive: bool) -> DataFrame:
+    """Running sums of ``cols`` over the distinct scores, without a
+    single-task window: scores fall into ``SCORE_BUCKETS`` ordered ranges;
+    bucket totals give offsets (a window over at most 1024 rows), and the
+    running sum inside a bucket is a window partitioned by the bucket."""
+    b = F.least(F.floor(F.col("s") * F.lit(float(SCORE_BUCKETS))), F.lit(SCORE_BUCKETS - 1)).cast("int")
+    c = counts.withColumn("_b", F.when(F.col("s").isNull(), F.lit(-1)).otherwise(b))
+    tot = c.groupBy("_b").agg(*[F.sum(x).alias(f"_t_{x}") for x in cols])
+    ob = F.desc("_b") if descending else F.asc("_b")
+    wb = Window.orderBy(ob).rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("_b", *[F.coalesce(F.sum(f"_t_{x}").over(wb), F.lit(0)).alias(f"_o_{x}") for x in cols])
+    os_ = F.desc("s") if descending else F.asc("s")
+    wi = Window.partitionBy("_b").orderBy(os_).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    j = c.join(off, "_b", "inner")
+    return j.select("*", *[(F.col(f"_o_{x}") + F.coalesce(F.sum(x).over(wi), F.lit(0))).alias(f"_cum_{x}")
+                           for x in cols]).drop("_b", *[f"_o_{x}" for x in cols])
+
+
 def auc_numerator(counts: DataFrame) -> DataFrame:
     """2 * sum over scores of p_s * (negatives below s + q_s / 2)."""
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    c = counts.withColumn("_below", F.coalesce(F.sum("q").over(w), F.lit(0)))
-    return c.agg(F.sum(F.col("p") * (F.lit(2) * F.col("_below") + F.col("q"))).alias("auc2"),
+    c = _prefix(counts, ["q"], descending=False, inclusive=False)
+    return c.agg(F.sum(F.col("p") * (F.lit(2) * F.col("_cum_q") + F.col("q"))).alias("auc2"),
                  F.sum("p").alias("npos"), F.sum("q").alias("nneg"))
 
 
@@ -101,9 +121,9 @@ def roc_points(scored: DataFrame, label: str, score: str = "score") -> DataFrame
     """One ROC point per distinct score (threshold = that score,
     descending) plus the origin; fpr/tpr are exact count ratios."""
     counts = score_counts(scored, label, score)
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     tot = counts.agg(F.struct(F.sum("p").alias("P"), F.sum("q").alias("N"))).scalar()
-    cum = counts.select("s", F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp"))
+    cum = _prefix(counts, ["p", "q"], descending=True, inclusive=True) \
+        .select("s", F.col("_cum_p").alias("tp"), F.col("_cum_q").alias("fp"))
     pts = cum.select(F.col("s").cast("double").alias("threshold"), (F.col("fp") / tot["N"]).alias("fpr"),
                      (F.col("tp") / tot["P"]).alias("tpr"))
     origin = counts.agg(F.count(F.lit(1)).alias("_c")).select(

@@ -128,3 +128,22 @@ def append_rows(df: DataFrame, path: str, batch: int | None = None) -> None:
         df.write.mode("append").parquet(path)
     else:
         df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch:08d}")
+
+
+def merge_into_table(incoming: DataFrame, table: str, key: Sequence[str], mutable: Sequence[str],
+                     order: Sequence[str]) -> None:
+    """K1 on a catalog table with row-level operations (a table format with
+    MERGE support): the same upsert as :func:`upsert`, but only the files
+    holding matched keys are rewritten. Incoming snapshots are first reduced
+    to one row per key (latest mutable values, first-seen others).
+
+    Not exercised in this repository's tests: no row-level table format is
+    installed here, so the copy-on-write versions above are what runs.
+    """
+    others = [c for c in incoming.columns if c not in (*key, *mutable, *order)]
+    one = upsert(None, incoming, key, others, mutable, order)
+    cond = " AND ".join(f"t.`{k}` = s.`{k}`" for k in key)
+    (one.alias("s").mergeInto(table, F.expr(cond))
+        .whenMatched().update({c: F.col(f"s.`{c}`") for c in (*mutable, *order)})
+        .whenNotMatched().insertAll()
+        .merge())
