@@ -286,3 +286,14 @@ def latest_innings(innings: DataFrame) -> DataFrame:
     """The last innings line (highest id) of every match."""
     last = F.max_by(F.struct("inning_name", "runs", "wickets", "overs"), F.col("id"))
     return innings.groupBy("match_id").agg(last.alias("_l")).select("match_id", "_l.*")
+
+
+def warehouse_report(tables: dict[str, DataFrame], stats: DataFrame, k: int = TOP_RUN_TOTALS) -> DataFrame:
+    """C19 as one long frame: (section, item, value) rows for the table
+    counts (A13) and the top-k run totals (A12)."""
+    counts = table_counts(tables).select(F.lit("row_count").alias("section"), F.col("table_name").alias("item"),
+                                         F.col("row_count").alias("value"))
+    top = top_run_totals(stats, k).select(F.lit("top_runs").alias("section"),
+                                          F.concat("player_name", F.lit(" ("), "team", F.lit(")")).alias("item"),
+                                          F.col("total_runs").alias("value"))
+    return counts.unionByName(top)

@@ -585,3 +585,20 @@ def q_windowed_quota(spark, sf_dir):
          .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out")
+
+
+@register("C19_warehouse_report")
+def q_warehouse(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    checks = dm.stat_checks(spark, sf_dir, m)
+    _, stat_rej = quality.split_valid(checks, "scorecard", scorecards.STAT_COLUMNS)
+    _, match_rej = quality.split_valid(quality.validate_matches(m), "matches")
+    return reports.warehouse_report({"matches": m, "player_stats": checks.filter(F.col("is_valid")),
+                                     "data_errors": stat_rej.unionByName(match_rej)},
+                                    dm.player_stats(spark, sf_dir, m))
+
+
+@register("L5_M6_coefficient_head_tail")
+def q_head_tail(spark, sf_dir):
+    train, _, stats, weights = mtrain.prepared(_matrix(spark, sf_dir))
+    return reports.head_tail(mtrain.coefficient_table(mtrain.train_logistic(train, stats, weights)), "coefficient")

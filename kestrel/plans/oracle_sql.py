@@ -863,3 +863,14 @@ ORACLE["M14_trapezoid_auc"] = with_ctes(*_FM_MATRIX, _AUC, """pts AS (
            SUM(q) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS fp FROM sc) x)""") + """
 SELECT round_even(SUM((fpr - f0) * (tpr + t0) / 2) * 1000, 0) / 1000 + 0.0 AS auc FROM (
   SELECT fpr, tpr, LAG(fpr) OVER (ORDER BY fpr, tpr) AS f0, LAG(tpr) OVER (ORDER BY fpr, tpr) AS t0 FROM pts) x"""
+
+ORACLE["C19_warehouse_report"] = with_ctes(*STATS_BASE) + f"""
+SELECT 'row_count' AS section, 'matches' AS item, COUNT(*) AS value FROM matches
+UNION ALL SELECT 'row_count', 'player_stats', COUNT(*) FROM player_stats
+UNION ALL SELECT 'row_count', 'data_errors',
+  (SELECT COUNT(*) FROM bat_card WHERE strike_rate > 500 OR runs > 200)
+  + (SELECT COUNT(*) FROM matches WHERE {_MATCH_REASONS} IS NOT NULL)
+UNION ALL SELECT * FROM (
+  SELECT 'top_runs', player_name || ' (' || team || ')', CAST(SUM(runs) AS BIGINT) AS total_runs
+  FROM player_stats WHERE role = 'batting'
+  GROUP BY player_name, team ORDER BY total_runs DESC, player_name, team LIMIT 5) t"""
