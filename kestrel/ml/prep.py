@@ -75,8 +75,8 @@ def medians(df: DataFrame, cols: Sequence[str] = FEATURE_COLS) -> DataFrame:
 def median_fill(df: DataFrame, cols: Sequence[str] = FEATURE_COLS, basis: DataFrame | None = None) -> DataFrame:
     """NULL features -> the column median of ``basis`` (default: the
     frame itself, as the reference does before splitting; pass the train
-    rows for the leakage-free variant). One aggregate row, joined on a
-    constant key (a broadcast of one row)."""
+    rows for the leakage-free variant). The medians are fitted once (one
+    aggregate row, 20 values) and applied as literals."""
     b = df if basis is None else basis
     med = b.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in cols]).first().asDict()
     return df.select(*[F.coalesce(F.col(c), F.lit(med[c])).alias(c) if c in cols and med[c] is not None
