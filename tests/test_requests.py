@@ -53,3 +53,15 @@ def test_quota_matches_brute_force(spark, rows):
     got = {r["event_id"]: r["in_window"] for r in rq.requests_in_window(_log(spark, rows)).collect()}
     want = {i: sum(1 for s2, k2 in rows if k2 == k and s - 60 < s2 <= s) for i, (s, k) in enumerate(rows)}
     assert got == want
+
+
+def test_groups_split_across_arrow_batches(spark):
+    """Groups larger than an Arrow batch are carried over between batches."""
+    rows = [(s * 37 % 900, k) for k in range(3) for s in range(25)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = {r["event_id"]: r["cache_hit"] for r in rq.ttl_cache_hits(_log(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == brute_ttl(rows)
