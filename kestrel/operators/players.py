@@ -29,7 +29,11 @@ ORDER = ["match_id", "team"]          # tiebreak after match_date inside a playe
 
 
 def dated(stats: DataFrame, matches: DataFrame) -> DataFrame:
-    """Stat lines with their match date (inner join on match_id)."""
+    """Stat lines with their match date (inner join on match_id). Stat
+    lines derived from the ball log already carry the date (they passed
+    through the same join), and then no second join is needed."""
+    if "match_date" in stats.columns:
+        return stats
     return stats.join(matches.select("match_id", "match_date"), "match_id", "inner")
 
 

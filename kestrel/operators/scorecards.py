@@ -16,6 +16,13 @@ STAT_COLUMNS = ["match_id", "player_name", "team", "role", "runs", "balls_faced"
                 "sixes", "strike_rate", "wickets", "overs_bowled", "economy"]
 
 
+def _carried(deliveries: DataFrame) -> list:
+    """Match-level columns carried through the card aggregates when the ball
+    log already has them (``match_date``: functionally dependent on the
+    match, so grouping by it changes nothing but saves a later join)."""
+    return [F.col("match_date")] if "match_date" in deliveries.columns else []
+
+
 def detect_batter_col(columns) -> str:
     """The ball log names the striker ``batter`` (newer) or ``batsman``."""
     for c in ("batter", "batsman"):
@@ -38,7 +45,8 @@ def batting_card(deliveries: DataFrame) -> DataFrame:
     bat = detect_batter_col(deliveries.columns)
     d = deliveries.filter(F.col("match_id").isNotNull() & F.col(bat).isNotNull()
                           & F.col("batting_team").isNotNull())
-    g = d.groupBy("match_id", F.col(bat).alias("player_name"), F.col("batting_team").alias("team")).agg(
+    g = d.groupBy("match_id", F.col(bat).alias("player_name"), F.col("batting_team").alias("team"),
+                  *_carried(deliveries)).agg(
         F.coalesce(F.sum("batsman_runs"), F.lit(0)).cast("int").alias("runs"),
         F.count("ball").cast("int").alias("balls_faced"),
         F.count_if(F.col("batsman_runs") == 4).cast("int").alias("fours"),
@@ -60,7 +68,8 @@ def bowling_card(deliveries: DataFrame, bowling_team: str = "batting",
     d = deliveries.filter(F.col("match_id").isNotNull() & F.col("bowler").isNotNull()
                           & F.col("batting_team").isNotNull())
     wickets = F.count(dis) if dis else F.lit(0)
-    g = d.groupBy("match_id", F.col("bowler").alias("player_name"), F.col("batting_team").alias("team")).agg(
+    g = d.groupBy("match_id", F.col("bowler").alias("player_name"), F.col("batting_team").alias("team"),
+                  *_carried(deliveries)).agg(
         F.count("ball").cast("int").alias("balls_bowled"),
         F.coalesce(F.sum("total_runs"), F.lit(0)).cast("int").alias("runs_given"),
         wickets.cast("int").alias("wickets"))
@@ -82,12 +91,13 @@ def player_stats(deliveries: DataFrame, bowling_team: str = "batting",
                  matches: DataFrame | None = None) -> DataFrame:
     """Batting lines then bowling lines in the ``player_stats`` layout
     (the other role's numbers are zero), typed as the stat table."""
+    extra = ["match_date"] if "match_date" in deliveries.columns else []
     bat = batting_card(deliveries).select(
-        "match_id", "player_name", "team", F.lit("batting").alias("role"),
+        "match_id", *extra, "player_name", "team", F.lit("batting").alias("role"),
         "runs", "balls_faced", "fours", "sixes", "strike_rate",
         F.lit(0).alias("wickets"), F.lit(0.0).alias("overs_bowled"), F.lit(0.0).alias("economy"))
     bowl = bowling_card(deliveries, bowling_team, matches).select(
-        "match_id", "player_name", "team", F.lit("bowling").alias("role"),
+        "match_id", *extra, "player_name", "team", F.lit("bowling").alias("role"),
         F.lit(0).alias("runs"), F.lit(0).alias("balls_faced"), F.lit(0).alias("fours"),
         F.lit(0).alias("sixes"), F.lit(0.0).alias("strike_rate"),
         "wickets", "overs_bowled", "economy")
@@ -96,8 +106,9 @@ def player_stats(deliveries: DataFrame, bowling_team: str = "batting",
 
 def typed_stats(stats: DataFrame) -> DataFrame:
     """Cast a stat frame to the table types (decimal(6,2)/(5,1)/(5,2))."""
+    extra = ["match_date"] if "match_date" in stats.columns else []
     return stats.select(
-        "match_id", "player_name", "team", "role",
+        "match_id", *extra, "player_name", "team", "role",
         *[F.col(c).cast("int").alias(c) for c in ("runs", "balls_faced", "fours", "sixes")],
         F.col("strike_rate").cast("decimal(6,2)").alias("strike_rate"),
         F.col("wickets").cast("int").alias("wickets"),

@@ -80,18 +80,18 @@ def q_team_rows(spark, sf_dir):
 
 @register("A1_batting_scorecard")
 def q_batting_card(spark, sf_dir):
-    return scorecards.batting_card(dm.deliveries(spark, sf_dir))
+    return scorecards.batting_card(dm.deliveries(spark, sf_dir)).drop("match_date")
 
 
 @register("A2_bowling_scorecard")
 def q_bowling_card(spark, sf_dir):
-    return scorecards.bowling_card(dm.deliveries(spark, sf_dir))
+    return scorecards.bowling_card(dm.deliveries(spark, sf_dir)).drop("match_date")
 
 
 @register("A2_bowling_scorecard_fielding_side")
 def q_bowling_card_fielding(spark, sf_dir):
     m = dm.matches(spark, sf_dir)
-    return scorecards.bowling_card(dm.deliveries(spark, sf_dir, m), "fielding", m)
+    return scorecards.bowling_card(dm.deliveries(spark, sf_dir, m), "fielding", m).drop("match_date")
 
 
 @register("V1_V3_match_validation_tally")

@@ -27,7 +27,7 @@ def player_stats(spark: SparkSession, sf_dir: str, m: DataFrame | None = None,
     m = matches(spark, sf_dir) if m is None else m
     raw = scorecards.player_stats(deliveries(spark, sf_dir, m), bowling_team, m)
     valid, _ = quality.split_valid(quality.validate_player_stats(raw), "scorecard",
-                                   scorecards.STAT_COLUMNS)
+                                   [*scorecards.STAT_COLUMNS, "match_date"])
     return scorecards.typed_stats(valid)
 
 

@@ -64,7 +64,7 @@ def deliveries(spark: SparkSession, sf_dir: str, match_df: DataFrame | None = No
     """Domain ball log: match_id, ball, batting_team, batter, bowler,
     batsman_runs, total_runs, player_dismissed."""
     m = (match_df if match_df is not None else matches(spark, sf_dir)).select(
-        "match_id", "team1", "team2")
+        "match_id", "team1", "team2", "match_date")
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_discount", "l_returnflag")
@@ -73,6 +73,7 @@ def deliveries(spark: SparkSession, sf_dir: str, match_df: DataFrame | None = No
     runs = F.col("l_quantity").cast("int") % 7
     return j.select(
         F.col("match_id"),
+        F.col("match_date"),
         F.col("l_linenumber").alias("ball"),
         F.when(F.col("l_linenumber") % 2 == 1, F.col("team1")).otherwise(F.col("team2")).alias("batting_team"),
         batter.alias("batter"),
