@@ -51,5 +51,7 @@ def sorted_group_map(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, bounds in _complete_groups(it, keys):
             yield fn(batch, bounds)
+    from kestrel.session import ship_package
+    ship_package(df.sparkSession)
     part = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     return part.mapInPandas(run, schema)

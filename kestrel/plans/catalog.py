@@ -30,6 +30,7 @@ from kestrel.operators import upsert as up
 from kestrel.plans import domain as dm
 from kestrel.plans import features as feat
 from kestrel.plans import ingest as ing
+from kestrel.session import ship_package
 from kestrel.sources import fixtures as fxs
 from kestrel.streaming import feed as feedmod
 
@@ -45,6 +46,7 @@ def register(name: str):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
                 spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship_package(spark)
             return fn(spark, sf_dir)
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
         QUERIES[name] = run
