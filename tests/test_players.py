@@ -98,3 +98,45 @@ def test_strength_matches_brute_force(spark, spec):
     want = brute_strength([(day(x[0]), *x[1:]) for x in lines], [day(d) for d in dates])
     for (t, d), v in got.items():
         assert v == want.get((t, d), (0.0, 0.0)), (t, d)
+
+
+def brute_batting(lines):
+    """Reference rules per player in (date, match, team) order: rolling mean
+    of the last 5 runs / strike rates (2 dp) and the 3-vs-3 trend with its
+    max(1, min(3, i-3)) divisor; values in hundredths to mirror exact sums."""
+    out = {}
+    per = {}
+    for ln in sorted(lines):
+        per.setdefault(ln[2], []).append(ln)
+    for p, seq in per.items():
+        for i, (d, mid, _, team, runs, sr_c) in enumerate(seq):
+            w = seq[max(0, i - 4):i + 1]
+            avg_runs = round(sum(x[4] for x in w) * 100 / len(w)) / 100
+            avg_sr = round(sum(x[5] for x in w) / len(w)) / 100
+            if i < 3:
+                trend = 0.0
+            else:
+                recent = sum(x[5] for x in seq[i - 3:i])
+                older_rows = seq[max(0, i - 6):i - 3]
+                dd = max(1, min(3, i - 3))
+                trend = round((recent * dd - 3 * sum(x[5] for x in older_rows)) / (3 * dd)) / 100
+            out[(p, mid, team)] = (avg_runs, avg_sr, trend, i + 1)
+    return out
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 2), st.integers(0, 1), st.integers(0, 30),
+                          st.integers(1, 400)), min_size=1, max_size=40))
+def test_batting_rows_match_brute_force(spark, spec):
+    ms, ls, lines = [], [], []
+    for i, (d, p, t, runs, sr4) in enumerate(spec):
+        mid = i + 1
+        ms.append((mid, d, "T0", "T1", "T0"))
+        sr = sr4 / 4                       # two-decimal strike rate
+        ls.append(bat(mid, f"P{p}", f"T{t}", runs, 6, sr))
+        lines.append((d, mid, f"P{p}", f"T{t}", runs, sr4 * 25))
+    m, s = matches_df(spark, ms), stats_df(spark, ls)
+    got = {(r["player_name"], r["match_id"], r["team"]):
+           (r["rolling_avg_runs"], r["rolling_avg_sr"], r["sr_trend"], r["innings_played"])
+           for r in players.batting_feature_rows(s, m).collect()}
+    assert got == brute_batting(lines)
