@@ -140,3 +140,14 @@ def test_batting_rows_match_brute_force(spark, spec):
            (r["rolling_avg_runs"], r["rolling_avg_sr"], r["sr_trend"], r["innings_played"])
            for r in players.batting_feature_rows(s, m).collect()}
     assert got == brute_batting(lines)
+
+
+def test_spotlight_trend_w7(spark):
+    # strike rates oldest -> newest 4, 7, 8, 9 (latest-first 9, 8, 7, 4) -> trend 4.0; without the 4 -> 0.0
+    for srs, want in (([4.0, 7.0, 8.0, 9.0], 4.0), ([7.0, 8.0, 9.0], 0.0)):
+        n = len(srs)
+        m = matches_df(spark, [(i + 1, i, "A", "B", "A") for i in range(n)])
+        s = stats_df(spark, [bat(i + 1, "P", "A", 10, 10, sr) for i, sr in enumerate(srs)])
+        recs = players.spotlight(s, m, "A", "B", "2024-02-01", min_balls=0).collect()
+        assert len(recs) == 1 and recs[0]["sr_trend"] == want and recs[0]["ord"] == 1
+        assert recs[0]["rolling_avg_sr"] == round(sum(srs) / n, 1)
