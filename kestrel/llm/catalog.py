@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrel.llm import decontaminate, jaccard_join, language_id, packing
+from kestrel.llm import decontaminate, jaccard_join, language_id, packing, sharding, warc
 from kestrel.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,8 @@ def _query(fn: Query) -> Query:
 
 QUERIES: dict[str, Query] = {fn.__name__: _query(fn) for fn in (
     language_id.op1_language_id,
+    warc.op2_warc,
+    sharding.op3_sharding,
     decontaminate.op4_decontamination,
     jaccard_join.op5_jaccard_join,
     packing.op10_packing,
