@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrel.llm import decontaminate, jaccard_join, language_id, packing, sharding, url_filter, warc
+from kestrel.llm import decontaminate, fingerprints, jaccard_join, language_id, packing, sharding, url_filter, warc
 from kestrel.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,7 @@ QUERIES: dict[str, Query] = {fn.__name__: _query(fn) for fn in (
     decontaminate.op4_decontamination,
     jaccard_join.op5_jaccard_join,
     url_filter.op6_url_filter,
+    fingerprints.op7_fingerprints,
     packing.op10_packing,
 )}
 
