@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrel.llm import decontaminate, fingerprints, jaccard_join, language_id, licenses, packing, sharding, url_filter, warc
+from kestrel.llm import decontaminate, fingerprints, jaccard_join, language_id, licenses, packing, sharding, token_counts, url_filter, warc
 from kestrel.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,7 @@ QUERIES: dict[str, Query] = {fn.__name__: _query(fn) for fn in (
     url_filter.op6_url_filter,
     fingerprints.op7_fingerprints,
     licenses.op8_license_scan,
+    token_counts.op9_token_counts,
     packing.op10_packing,
 )}
 
