@@ -63,16 +63,12 @@ def longest_similar(equal: np.ndarray, share: float) -> tuple[int, int]:
     """The longest stretch [a, b) of which at least ``share`` is True, without
     unequal ends (of equally long ones, the first)."""
     gain = np.concatenate([[0], np.cumsum(np.where(equal, round(1000 * (1 - share)), -round(1000 * share)))])
-    lowest = np.minimum.accumulate(gain)
-    start = np.searchsorted(-lowest, -gain, side="left")
-    stretch = np.arange(len(gain)) - start
+    # an end b goes with the first start a that is equal and has no greater gain
+    lowest = np.minimum.accumulate(np.where(equal, gain[:-1], 1 << 60))
+    start = np.searchsorted(-lowest, -gain[1:], side="left")
+    stretch = np.where(equal, np.arange(1, len(gain)) - start, 0)
     b = int(np.argmax(stretch))
-    a = int(start[b])
-    while a < b and not equal[a]:
-        a += 1
-    while b > a and not equal[b - 1]:
-        b -= 1
-    return a, b
+    return (int(start[b]), b + 1) if stretch[b] > 0 else (0, 0)
 
 
 class Finder:
