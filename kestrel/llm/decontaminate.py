@@ -52,7 +52,9 @@ class Overlap(NamedTuple):
 
 def _seed_hashes(hashes: np.ndarray, mask: str) -> np.ndarray:
     span = len(mask)
-    out = np.full(max(0, len(hashes) - span + 1), np.uint64(span), dtype=np.uint64)
+    if len(hashes) < span:
+        return np.zeros(0, dtype=np.uint64)
+    out = np.full(len(hashes) - span + 1, np.uint64(span), dtype=np.uint64)
     for k, bit in enumerate(mask):
         if bit == "1":
             out += hashes[k:len(hashes) - span + 1 + k] * words._STEP[k + 1]
