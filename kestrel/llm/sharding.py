@@ -134,7 +134,7 @@ def assign(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     order = [c for c in rows.columns if c not in ("doc_id", "link")]
     linked = _bucketed_rank(held.where("places is not null"), ["link"],
                             F.pmod(tie, F.ceil(F.col("all") / BUCKET)), ["doc_id", *order], "rank")
-    placed = cut(linked.withColumn("shard", F.filter("places", lambda p: p["upto"] > F.col("rank"))[0]["shard"])
+    placed = cut(linked.withColumn("shard", F.get(F.filter("places", lambda p: p["upto"] > F.col("rank")), F.lit(0))["shard"])
                  .drop("places", "all", "rank").unionByName(alone))
 
     free = _bucketed_rank(placed.where("shard is null").withColumn("all", F.lit(0)), ["all"],
