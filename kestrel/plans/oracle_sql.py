@@ -483,7 +483,15 @@ SELECT name, team, 0.0, 0.0, 0.0, avg1, avg2, trend, rk + 3, 'bowling' FROM sw_o
 
 # ---- scalar functions and prompts ----------------------------------------------------
 
-from kestrel.functions import prompts as _pr  # noqa: E402
+
+
+def _streak_words(s: str) -> str:
+    return (f"CASE WHEN {s} > 0 THEN CAST(abs({s}) AS VARCHAR) || ' win streak' "
+            f"WHEN {s} < 0 THEN CAST(abs({s}) AS VARCHAR) || ' loss streak' ELSE 'no current streak' END")
+
+
+def _percent(x: str) -> str:
+    return f"CAST(CAST(round_even(({x}) * 100.0, 0) AS BIGINT) AS VARCHAR)"
 
 ORACLE["F1_match_hash_id"] = with_ctes(CTE_MATCHES) + """
 SELECT match_id, substr(md5(concat_ws('_', COALESCE(CAST(match_date AS VARCHAR), 'nan'), COALESCE(team1, 'nan'),
@@ -531,7 +539,7 @@ SELECT match_id, team1_win_prob, team2_win_prob,
 FROM probs"""
 
 ORACLE["F19_team_streak_phrases"] = with_ctes(*FORM_BASE) + f"""
-SELECT team, streak, {_pr.sql_streak_text('streak')} AS streak_phrase FROM (
+SELECT team, streak, {_streak_words('streak')} AS streak_phrase FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY team ORDER BY match_date DESC, match_id DESC) AS rk FROM form_rows) x
 WHERE rk = 1"""
 
@@ -544,16 +552,20 @@ SELECT player_name, team, 'bowling', NULL, NULL, NULL, NULL, NULL,
   CASE WHEN avg_wickets >= 1.0 AND avg_economy <= 8.0 THEN 'strike_and_control'
        WHEN avg_wickets >= 1.0 THEN 'strike' WHEN avg_economy <= 8.0 THEN 'control' ELSE 'neither' END FROM wsum"""
 
-ORACLE["F20_pre_match_prompts"] = with_ctes(*_LIVE_CTES) + "SELECT match_id, " + _pr.render_sql(
-    _pr.PRE_MATCH_TEMPLATE, {
-        "team1": "team1", "team2": "team2", "venue": "venue",
-        "team1_win_prob": "team1_win_prob", "team2_win_prob": "team2_win_prob",
-        "team1_win_rate_pct": _pr.sql_pct0("team1_win_rate"), "team2_win_rate_pct": _pr.sql_pct0("team2_win_rate"),
-        "streak1_str": _pr.sql_streak_text("team1_streak"), "streak2_str": _pr.sql_streak_text("team2_streak"),
-        "team1_h2h_pct": _pr.sql_pct0("team1_h2h_win_rate"), "h2h_total": "h2h_total",
-        "team1_venue_pct": _pr.sql_pct0("team1_venue_win_rate"),
-        "team2_venue_pct": _pr.sql_pct0("team2_venue_win_rate"), "toss_winner": "toss_winner",
-    }) + " AS prompt FROM probs"
+ORACLE["F20_pre_match_prompts"] = with_ctes(*_LIVE_CTES) + f"""
+SELECT match_id, concat_ws(chr(10),
+  'Preview a cricket match in three sentences. Everything you may say is in this sheet.', '',
+  concat('fixture: ', team1, ' v ', team2), concat('ground: ', venue),
+  concat('chance of winning, percent: ', team1, ' ', team1_win_prob, ', ', team2, ' ', team2_win_prob),
+  concat('games won of the last five, percent: ', team1, ' ', {_percent('team1_win_rate')}, ' (',
+         {_streak_words('team1_streak')}, '), ', team2, ' ', {_percent('team2_win_rate')}, ' (',
+         {_streak_words('team2_streak')}, ')'),
+  concat('meetings won by ', team1, ', percent: ', {_percent('team1_h2h_win_rate')}, ' of ', h2h_total),
+  concat('games won on this ground, percent: ', team1, ' ', {_percent('team1_venue_win_rate')}, ', ', team2, ' ',
+         {_percent('team2_venue_win_rate')}),
+  concat('toss went to: ', toss_winner), '',
+  'Cover how both sides come into the game, then their meetings and the ground, then who is likely to win '
+  || 'and by the chance given. Sober wording, no greeting.') AS prompt FROM probs"""
 
 _POST_CTES = (*_FM_CTES, "spine AS (SELECT * FROM cm)", CTE_H2H_ASOF,
               *strength_ctes("SELECT DISTINCT match_date AS d FROM spine"),
@@ -577,33 +589,31 @@ _POST_CTES = (*_FM_CTES, "spine AS (SELECT * FROM cm)", CTE_H2H_ASOF,
   LEFT JOIN tops t2 ON t2.match_id = f.match_id AND t2.team = f.team2
   LEFT JOIN best b ON b.match_id = f.match_id)""")
 
-_PROB0 = "CAST(CAST(round_even(predicted_prob, 0) AS BIGINT) AS VARCHAR)"
-_VERDICT = (f"CASE WHEN predicted_winner = winner THEN "
-            f"{_pr.render_sql(_pr.PREDICTION_RIGHT, {'winner': 'winner', 'predicted_prob': _PROB0})} ELSE "
-            f"{_pr.render_sql(_pr.PREDICTION_UPSET, {'predicted_winner': 'predicted_winner', 'predicted_prob': _PROB0})}"
-            f" END")
-ORACLE["F22_post_match_prompts"] = with_ctes(*_POST_CTES) + "SELECT match_id, " + _pr.render_sql(
-    _pr.POST_MATCH_TEMPLATE, {
-        **{k: k for k in ("team1", "team2", "winner", "win_margin", "team1_top_scorer", "team1_top_scorer_runs",
-                          "team2_top_scorer", "team2_top_scorer_runs", "best_bowler", "best_bowler_wickets")},
-        "best_bowler_economy": "printf('%.2f', round_even(best_bowler_economy * 100.0, 0) / 100.0)",
-        "prediction_str": _VERDICT,
-    }) + " AS prompt FROM post"
+ORACLE["F22_post_match_prompts"] = with_ctes(*_POST_CTES) + """
+SELECT match_id, concat_ws(chr(10),
+  'Report a finished cricket match in three sentences. Everything you may say is in this sheet.', '',
+  concat('fixture: ', team1, ' v ', team2), concat('winner: ', winner, ', margin ', win_margin),
+  concat('most runs for ', team1, ': ', team1_top_scorer, ', ', team1_top_scorer_runs),
+  concat('most runs for ', team2, ': ', team2_top_scorer, ', ', team2_top_scorer_runs),
+  concat('best bowling: ', best_bowler, ', ', best_bowler_wickets, ' wickets, ',
+         printf('%.2f', round_even(best_bowler_economy * 100.0, 0) / 100.0), ' runs an over'),
+  concat('forecast: ', CASE WHEN predicted_winner = winner
+    THEN concat('right, ', winner, ' was given ', CAST(round_even(predicted_prob, 0) AS BIGINT), ' percent')
+    ELSE concat('wrong, ', predicted_winner, ' was given ', CAST(round_even(predicted_prob, 0) AS BIGINT),
+                ' percent and lost') END), '',
+  'Cover the win and the batting behind it, then the bowling, then how the forecast did.') AS prompt FROM post"""
 
 
 def _sign(x: str) -> str:
     return f"CASE WHEN {x} > 0 THEN '+' ELSE '' END"
 
 
-_BAT_LINE = _pr.render_sql(_pr.SPOTLIGHT_BAT_LINE, {
-    "name": "name", "team": "team", "rolling_avg_runs": "rolling_avg_runs", "rolling_avg_sr": "rolling_avg_sr",
-    "sr_sign": _sign("sr_trend"), "sr_trend": "sr_trend"})
-_BOWL_LINE = _pr.render_sql(_pr.SPOTLIGHT_BOWL_LINE, {
-    "name": "name", "team": "team",
-    "rolling_avg_wickets": "CASE WHEN role = 'batting' THEN '0' ELSE CAST(rolling_avg_wickets AS VARCHAR) END",
-    "rolling_avg_economy": "CASE WHEN role = 'batting' THEN '0' ELSE CAST(rolling_avg_economy AS VARCHAR) END",
-    "eco_sign": f"CASE WHEN role = 'batting' THEN '' ELSE {_sign('economy_trend')} END",
-    "economy_trend": "CASE WHEN role = 'batting' THEN '0' ELSE CAST(economy_trend AS VARCHAR) END"})
+_BAT_LINE = f"""concat(name, ', ', team, ': ', rolling_avg_runs, ' runs a game at strike rate ', rolling_avg_sr,
+  ' (change ', {_sign('sr_trend')}, sr_trend, ')')"""
+_BOWL_LINE = f"""CASE WHEN role = 'batting'
+  THEN concat(name, ', ', team, ': 0 wickets a game at economy 0 (change 0)')
+  ELSE concat(name, ', ', team, ': ', rolling_avg_wickets, ' wickets a game at economy ', rolling_avg_economy,
+              ' (change ', {_sign('economy_trend')}, economy_trend, ')') END"""
 
 ORACLE["F23_spotlight_prompt"] = with_ctes(
     *PLAYER_BASE, _SPOT_FX, _spot_role("bf_l", "runs", "sr_c", False, "sb"),
@@ -616,9 +626,10 @@ UNION ALL
 SELECT name, team, 0.0, 0.0, 0.0, avg1, avg2, trend, rk + 3, 'bowling' FROM sw_out)""",
     f"""lines AS (SELECT string_agg(CASE WHEN rolling_avg_runs > 0 THEN {_BAT_LINE} ELSE {_BOWL_LINE} END,
                   chr(10) ORDER BY ord) AS players_str, COUNT(*) AS n FROM recs)""") + \
-    "SELECT CASE WHEN n = 0 THEN 'Player spotlight unavailable — insufficient match data.' ELSE " + \
-    _pr.render_sql(_pr.SPOTLIGHT_TEMPLATE, {"match": "(SELECT a || ' vs ' || b FROM fx)",
-                                            "players_str": "players_str"}) + " END AS prompt FROM lines"
+    """SELECT CASE WHEN n = 0 THEN 'There are no player figures for this match yet.' ELSE
+  concat('Choose one batter and one bowler to follow in ', (SELECT a || ' vs ' || b FROM fx),
+         ', and give a sentence of reasons for each. Use these figures of the last five games only.',
+         chr(10), chr(10), players_str) END AS prompt FROM lines"""
 
 # ---- request log, upserts, feed ------------------------------------------------------
 

@@ -6,13 +6,18 @@ from kestrel.functions import prompts, text
 def reference_pre_match(r):
     def streak(s):
         return f"{abs(s)} win streak" if s > 0 else f"{abs(s)} loss streak" if s < 0 else "no current streak"
-    return prompts.PRE_MATCH_TEMPLATE.format(
-        team1=r["team1"], team2=r["team2"], venue=r["venue"], team1_win_prob=r["team1_win_prob"],
-        team2_win_prob=r["team2_win_prob"], team1_win_rate_pct=f"{r['team1_win_rate'] * 100:.0f}",
-        team2_win_rate_pct=f"{r['team2_win_rate'] * 100:.0f}", streak1_str=streak(r["team1_streak"]),
-        streak2_str=streak(r["team2_streak"]), team1_h2h_pct=f"{r['team1_h2h_win_rate'] * 100:.0f}",
-        h2h_total=r["h2h_total"], team1_venue_pct=f"{r['team1_venue_win_rate'] * 100:.0f}",
-        team2_venue_pct=f"{r['team2_venue_win_rate'] * 100:.0f}", toss_winner=r["toss_winner"])
+    pc = lambda x: f"{r[x] * 100:.0f}"
+    return "\n".join([
+        "Preview a cricket match in three sentences. Everything you may say is in this sheet.", "",
+        f"fixture: {r['team1']} v {r['team2']}", f"ground: {r['venue']}",
+        f"chance of winning, percent: {r['team1']} {r['team1_win_prob']}, {r['team2']} {r['team2_win_prob']}",
+        f"games won of the last five, percent: {r['team1']} {pc('team1_win_rate')} ({streak(r['team1_streak'])}), "
+        f"{r['team2']} {pc('team2_win_rate')} ({streak(r['team2_streak'])})",
+        f"meetings won by {r['team1']}, percent: {pc('team1_h2h_win_rate')} of {r['h2h_total']}",
+        f"games won on this ground, percent: {r['team1']} {pc('team1_venue_win_rate')}, "
+        f"{r['team2']} {pc('team2_venue_win_rate')}", f"toss went to: {r['toss_winner']}", "",
+        "Cover how both sides come into the game, then their meetings and the ground, then who is likely to win "
+        "and by the chance given. Sober wording, no greeting."])
 
 
 def test_pre_match_prompt_matches_python_formatting(spark):
@@ -37,9 +42,9 @@ def test_live_prompt_rate_line(spark):
                                "wickets int, overs double, team1_win_prob double, team2_win_prob double, "
                                "required_rate double, current_rate double")
     got = {r["match_id"]: r["prompt"] for r in prompts.live_prompts(df).collect()}
-    assert "- Required run rate: 9.50 | Current run rate: 8.40" in got[1]
-    assert "Required run rate" not in got[2]
-    assert "Current innings: A innings — 120/3 in 14.2 overs" in got[1]
+    assert "runs an over: 9.50 needed, 8.40 so far" in got[1]
+    assert "runs an over" not in got[2]
+    assert "batting: A innings, 120 for 3 after 14.2 overs" in got[1]
 
 
 def test_spotlight_prompt_lines(spark):
@@ -49,8 +54,16 @@ def test_spotlight_prompt_lines(spark):
         "name string, team string, rolling_avg_runs double, rolling_avg_sr double, sr_trend double, "
         "rolling_avg_wickets double, rolling_avg_economy double, economy_trend double, ord int, role string")
     p = prompts.spotlight_prompt(recs, "A vs B").collect()[0]["prompt"]
-    assert "- P1 (A): avg 30.5 runs, SR 140.0, SR trend +2.5\n- P2 (B): 1.5 wickets/game, economy 7.2, " \
-           "economy trend -0.4" in p
+    assert p.endswith("P1, A: 30.5 runs a game at strike rate 140.0 (change +2.5)\n"
+                      "P2, B: 1.5 wickets a game at economy 7.2 (change -0.4)")
+
+
+def test_a_template_may_be_given(spark):
+    row = spark.createDataFrame([(1, "A", "B", "C", 1, 2, 3.0, 4.0, 5.0, 0.0, 1.0)],
+                                "match_id int, team1 string, team2 string, batting_team string, runs int, wickets int, "
+                                "overs double, team1_win_prob double, team2_win_prob double, required_rate double, "
+                                "current_rate double")
+    assert prompts.live_prompts(row, "{runs}-{wickets} {team1}").head().prompt == "1-2 A"
 
 
 def test_labels(spark):
