@@ -48,10 +48,6 @@ def cents(x) -> Column:
     return (_c(x) * F.lit(100)).cast("long")
 
 
-def safe_div(num, den) -> Column:
-    return F.try_divide(_c(num), _c(den))
-
-
 def to_int_flag(cond: Column) -> Column:
     """Boolean condition -> 0/1 int with NULL treated as 0 (``int(a == b)``)."""
     return F.coalesce(cond.cast("int"), F.lit(0))

@@ -78,9 +78,15 @@ def insight_kind(status, winner) -> Column:
     return F.when(live, "live").when(has_winner, "post").otherwise("pre")
 
 
-def lenient_date(text, formats: Sequence[str] = ("yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy", "dd/MM/yyyy")) -> Column:
-    """F8: parse a date written in any of ``formats``; unparseable -> NULL."""
-    t = F.trim(_c(text).cast("string"))
+# Year first, else month first; day first only where the first number is no month.
+DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d", "M-d-yyyy", "M/d/yyyy", "d-M-yyyy", "d/M/yyyy",
+                "d MMM yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM d, yyyy")
+
+
+def lenient_date(text, formats: Sequence[str] = DATE_FORMATS) -> Column:
+    """F8: parse a date written in any of ``formats``, with or without a time of
+    day after it (``T`` or a space, then ``h:mm``...); unparseable -> NULL."""
+    t = F.regexp_replace(F.trim(_c(text).cast("string")), r"[T ]+\d{1,2}:\d{2}.*$", "")
     return F.coalesce(*[F.try_to_date(t, f) for f in formats])
 
 

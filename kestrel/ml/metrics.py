@@ -21,11 +21,6 @@ THRESHOLD = 0.5
 CALIBRATION_BINS = 5
 
 
-def predictions(scored: DataFrame, score: str = "score", threshold: float = THRESHOLD) -> DataFrame:
-    """prediction = score >= threshold."""
-    return scored.withColumn("prediction", (F.col(score) >= threshold).cast("int"))
-
-
 def confusion(scored: DataFrame, label: str, score: str = "score", threshold: float = THRESHOLD) -> DataFrame:
     p = F.col(score) >= threshold
     y = F.col(label) == 1
@@ -131,12 +126,16 @@ def roc_points(scored: DataFrame, label: str, score: str = "score") -> DataFrame
     return origin.unionByName(pts)
 
 
-def trapezoid_auc(points: DataFrame, digits: int = 3) -> DataFrame:
-    """Area under the ROC points by the trapezoid rule."""
-    w = Window.orderBy("fpr", "tpr")
-    seg = points.select("fpr", "tpr", F.lag("fpr").over(w).alias("f0"), F.lag("tpr").over(w).alias("t0"))
-    area = F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2)
-    return seg.agg(area.alias("auc")).select(F.rint(F.col("auc") * 10.0 ** digits) / 10.0 ** digits + 0.0)
+def trapezoid_auc(scored: DataFrame, label: str, score: str = "score", digits: int = 3) -> DataFrame:
+    """Area under the ROC points by the trapezoid rule. Between two points
+    the false positives grow by q_s, and the true positives before and after sum
+    to 2 * tp - p_s, so the running sums of the points are all it takes (whole
+    numbers; no window over all points)."""
+    c = _prefix(score_counts(scored, label, score), ["p"], descending=True, inclusive=True)
+    area = c.agg(F.sum(F.col("q") * (F.lit(2) * F.col("_cum_p") - F.col("p"))).alias("a"), F.sum("p").alias("p"),
+                 F.sum("q").alias("q"))
+    return area.select((F.rint(F.col("a") / (F.lit(2) * F.col("p") * F.col("q")) * 10.0 ** digits) / 10.0 ** digits
+                        + 0.0).alias("auc"))
 
 
 def calibration(scored: DataFrame, label: str, score: str = "score", bins: int = CALIBRATION_BINS,

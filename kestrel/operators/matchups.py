@@ -99,12 +99,3 @@ def toss_impact(matches: DataFrame) -> DataFrame:
     g = g.select("team", rate("_tw_w", "_tw_n").alias("toss_win_rate"),
                  rate("_tl_w", "_tl_n").alias("toss_loss_rate"))
     return g.withColumn("toss_advantage", round_half_even(F.col("toss_win_rate") - F.col("toss_loss_rate"), 3))
-
-
-def lookup_side(spine: DataFrame, table: DataFrame, spine_keys: dict[str, str], value: str,
-                out: str, default) -> DataFrame:
-    """Left lookup of ``value`` from a small keyed table with a default.
-    ``spine_keys`` maps table key -> spine column."""
-    t = table.select(*[F.col(k).alias(v) for k, v in spine_keys.items()], F.col(value).alias(out))
-    j = spine.join(t, list(spine_keys.values()), "left")
-    return j.withColumn(out, F.coalesce(F.col(out), F.lit(default)))

@@ -62,7 +62,8 @@ def validate_matches(raw: DataFrame) -> DataFrame:
 def validate_player_stats(raw: DataFrame) -> DataFrame:
     """V2: coerce the 8 numeric fields (NULL -> 0), flag failed coercions,
     negatives, strike rate > 500 and runs > 200. Coerced values replace the
-    raw ones; a failed coercion leaves NULL and only its own reason (Q15).
+    raw ones; a failed coercion (text, NaN or an overflow in a whole-number
+    field) leaves NULL and only its own reason (Q15), and never fails the job.
     NaN passes the range checks as in the reference (Q26)."""
     name_missing = _missing(raw, "player_name")
     parts = [F.when(name_missing, F.lit("Missing player_name"))]
@@ -70,7 +71,7 @@ def validate_player_stats(raw: DataFrame) -> DataFrame:
     for f, typ in STAT_NUMERIC_FIELDS:
         src = F.col(f) if f in raw.columns else F.lit(None)
         is_num = f in raw.columns and isinstance(raw.schema[f].dataType, NumericType)
-        coerced = src.cast(typ) if is_num else src.cast("string").try_cast(typ)
+        coerced = src.try_cast(typ) if is_num else src.cast("string").try_cast(typ)
         val = F.when(src.isNull(), F.lit(0).cast(typ)).otherwise(coerced)
         parts.append(F.when(src.isNotNull() & coerced.isNull(),
                             F.concat(F.lit(f"Cannot coerce {f}: "), src.cast("string"))))
@@ -106,12 +107,6 @@ def load_tally(checked: DataFrame) -> DataFrame:
                        F.count_if(~F.col("is_valid")).alias("failed"))
 
 
-def reason_counts(checked: DataFrame) -> DataFrame:
-    """Reject reasons with their row counts (one reason per row of output)."""
-    r = checked.filter(~F.col("is_valid")).select(F.explode(F.split("error_message", "; ")).alias("reason"))
-    return r.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-
-
 # ---- V4-V7: invariants of the feature matrix --------------------------------
 
 def matrix_checks(matrix: DataFrame, streak_bound: int = 10) -> DataFrame:

@@ -13,23 +13,33 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.numeric import cents, half_up_ratio, ratio_round
 from kestrel.operators.form import is_decided
+from kestrel.operators.upsert import latest_snapshot
 
 # Fixed values of the reports.
 TOP_PLAYERS = 8
 MIN_APPEARANCES = 2
 RECENT_MATCHES = 10
 TOP_RUN_TOTALS = 5
+LATEST_ROWS = 3
 H2H_DEFAULT_PCT = 50.0
 
 
+def latest_lines(stats: DataFrame) -> DataFrame:
+    """Q8: stat lines appended at every poll (they carry ``_batch``) count once,
+    as of the latest poll; tables without polls are taken as they are."""
+    if "_batch" not in stats.columns:
+        return stats
+    return latest_snapshot(stats, ["match_id", "player_name", "team", "role"], ["_batch"])
+
+
 def batting_rows(stats: DataFrame, min_balls: int = 0) -> DataFrame:
     """Batting lines with balls_faced > min_balls."""
-    return stats.filter((F.col("role") == "batting") & (F.col("balls_faced") > min_balls))
+    return latest_lines(stats).filter((F.col("role") == "batting") & (F.col("balls_faced") > min_balls))
 
 
 def bowling_rows(stats: DataFrame) -> DataFrame:
     """Bowling lines with overs_bowled > 0."""
-    return stats.filter((F.col("role") == "bowling") & (F.col("overs_bowled") > 0))
+    return latest_lines(stats).filter((F.col("role") == "bowling") & (F.col("overs_bowled") > 0))
 
 
 def with_match(stats: DataFrame, matches: DataFrame) -> DataFrame:
@@ -73,10 +83,11 @@ def match_bowling_card(stats: DataFrame, match_id) -> DataFrame:
             .select(*BOWL_CARD_COLS).orderBy(F.desc("wickets"), F.asc("economy"), "player_name", "team"))
 
 
-def match_innings(innings: DataFrame, match_id) -> DataFrame:
-    """C12 innings lines of one match in insertion (id) order."""
-    return (innings.filter(F.col("match_id") == F.lit(match_id))
-            .orderBy("id").select("inning_name", "runs", "wickets", "overs"))
+def innings_cards(innings: DataFrame) -> DataFrame:
+    """C12 for every match: its innings lines, in order of their name."""
+    w = Window.partitionBy("match_id").orderBy("inning_name")
+    return innings.select("match_id", "inning_name", "runs", "wickets", F.col("overs").cast("double").alias("overs"),
+                          F.row_number().over(w).cast("long").alias("card_order"))
 
 
 # ---- C13 / L1 recent matches ---------------------------------------------
@@ -125,13 +136,6 @@ def bowler_summary(stats: DataFrame, matches: DataFrame, min_matches: int = MIN_
                     (F.col("_eco_c") / F.col("matches")).alias("_key2"))
 
 
-def top_for_teams(summary: DataFrame, team1: str, team2: str, order: list[Column],
-                  k: int = TOP_PLAYERS) -> DataFrame:
-    """C14 point form: P5 team membership, order by the unrounded average."""
-    return (summary.filter(F.col("team").isin(team1, team2))
-            .orderBy(*order, "player_name", "team").limit(k).drop("_key", "_key2"))
-
-
 def top_per_pair(summary: DataFrame, pairs: DataFrame, order: list[Column],
                  k: int = TOP_PLAYERS) -> DataFrame:
     """C14 set-wise: the top ``k`` players of team1 or team2 for every pair.
@@ -199,7 +203,7 @@ def h2h_summary(matches: DataFrame, pairs: DataFrame | None = None) -> DataFrame
 
 def top_run_totals(stats: DataFrame, k: int = TOP_RUN_TOTALS) -> DataFrame:
     """SUM(runs) of batting lines by (player, team), top k."""
-    return (stats.filter(F.col("role") == "batting").groupBy("player_name", "team")
+    return (latest_lines(stats).filter(F.col("role") == "batting").groupBy("player_name", "team")
             .agg(F.sum("runs").cast("long").alias("total_runs"))
             .orderBy(F.desc("total_runs"), "player_name", "team").limit(k))
 
@@ -282,18 +286,21 @@ def head_tail(table: DataFrame, value: str, k: int = 5) -> DataFrame:
     return top.unionByName(bottom)
 
 
-def latest_innings(innings: DataFrame) -> DataFrame:
-    """The last innings line (highest id) of every match."""
-    last = F.max_by(F.struct("inning_name", "runs", "wickets", "overs"), F.col("id"))
-    return innings.groupBy("match_id").agg(last.alias("_l")).select("match_id", "_l.*")
-
-
-def warehouse_report(tables: dict[str, DataFrame], stats: DataFrame, k: int = TOP_RUN_TOTALS) -> DataFrame:
-    """C19 as one long frame: (section, item, value) rows for the table
-    counts (A13) and the top-k run totals (A12)."""
+def warehouse_report(tables: dict[str, DataFrame], k: int = TOP_RUN_TOTALS, latest: int = LATEST_ROWS) -> DataFrame:
+    """C19 as one long frame of (section, item, value) rows: the table counts
+    (A13), the latest matches (L1), the top run totals (A12) and the most recent
+    errors, which go by source and reason where they were logged together."""
+    none = F.lit(None).cast("bigint")
     counts = table_counts(tables).select(F.lit("row_count").alias("section"), F.col("table_name").alias("item"),
                                          F.col("row_count").alias("value"))
-    top = top_run_totals(stats, k).select(F.lit("top_runs").alias("section"),
-                                          F.concat("player_name", F.lit(" ("), "team", F.lit(")")).alias("item"),
-                                          F.col("total_runs").alias("value"))
-    return counts.unionByName(top)
+    recent = latest_rows(tables["matches"], "match_date", ["match_id", "name", "status"], latest, [F.desc("match_id")]) \
+        .select(F.lit("latest_match").alias("section"),
+                F.concat_ws(" | ", "name", "status", F.col("match_date").cast("string")).alias("item"), "match_id")
+    top = top_run_totals(tables["player_stats"], k).select(
+        F.lit("top_runs").alias("section"), F.concat("player_name", F.lit(" ("), "team", F.lit(")")).alias("item"), "total_runs")
+    errors = latest_rows(tables["data_errors"], "logged_at", ["source", "error_message"], latest, ["source", "error_message"]) \
+        .select(F.lit("recent_error").alias("section"), F.concat_ws(": ", "source", "error_message").alias("item"), none)
+    out = counts
+    for part in (recent, top, errors):
+        out = out.union(part)
+    return out

@@ -7,7 +7,7 @@ partial on the map side and the shuffle is spread over matches.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions.numeric import round_half_even
@@ -104,13 +104,34 @@ def player_stats(deliveries: DataFrame, bowling_team: str = "batting",
     return bat.unionByName(bowl)
 
 
+TABLE_TYPES = {"runs": "int", "balls_faced": "int", "fours": "int", "sixes": "int", "strike_rate": "decimal(6,2)",
+               "wickets": "int", "overs_bowled": "decimal(5,1)", "economy": "decimal(5,2)"}
+
+
+def overflow_reason() -> Column:
+    """K4 after V2: which accepted numbers the table's types cannot hold (NULL if
+    they hold all). NaN, which the validator accepts (Q26), is stored as NULL."""
+    parts = []
+    for c, kind in TABLE_TYPES.items():
+        x = F.col(c).cast("double")
+        parts.append(F.when(x.isNotNull() & ~F.isnan(x) & F.col(c).try_cast(kind).isNull(),
+                            F.concat(F.lit(f"Out of range for the table: {c} "), F.col(c).cast("string"))))
+    return F.nullif(F.concat_ws("; ", *parts), F.lit(""))
+
+
 def typed_stats(stats: DataFrame) -> DataFrame:
-    """Cast a stat frame to the table types (decimal(6,2)/(5,1)/(5,2))."""
+    """Cast a stat frame to the table types (decimal(6,2)/(5,1)/(5,2)). Rows that
+    do not fit are left out here; :func:`overflow_reason` names them for the rejects."""
+    stats = stats.where(overflow_reason().isNull())
     extra = ["match_date"] if "match_date" in stats.columns else []
     return stats.select(
         "match_id", *extra, "player_name", "team", "role",
-        *[F.col(c).cast("int").alias(c) for c in ("runs", "balls_faced", "fours", "sixes")],
-        F.col("strike_rate").cast("decimal(6,2)").alias("strike_rate"),
-        F.col("wickets").cast("int").alias("wickets"),
-        F.col("overs_bowled").cast("decimal(5,1)").alias("overs_bowled"),
-        F.col("economy").cast("decimal(5,2)").alias("economy"))
+        *[F.col(c).try_cast(kind).alias(c) for c, kind in TABLE_TYPES.items()])
+
+
+def innings_lines(deliveries: DataFrame) -> DataFrame:
+    """Innings table of the ball log: runs, wickets and overs (6 balls) per match and side."""
+    n = F.count(F.lit(1))
+    return deliveries.groupBy("match_id", F.concat("batting_team", F.lit(" innings")).alias("inning_name")).agg(
+        F.sum("total_runs").cast("int").alias("runs"), F.count("player_dismissed").cast("int").alias("wickets"),
+        (F.floor(n / 6) + (n % 6) / 10).cast("decimal(5,1)").alias("overs"))

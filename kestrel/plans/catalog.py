@@ -162,17 +162,25 @@ def q_top_runs(spark, sf_dir):
     return reports.top_run_totals(dm.player_stats(spark, sf_dir))
 
 
-@register("A13_table_counts")
-def q_table_counts(spark, sf_dir):
+def _warehouse(spark, sf_dir):
+    """The four tables of the store: matches, innings, player_stats, data_errors."""
     m = dm.matches(spark, sf_dir)
-    checks = dm.stat_checks(spark, sf_dir, m)
-    _, stat_rej = quality.split_valid(checks, "scorecard", scorecards.STAT_COLUMNS)
+    d = dm.deliveries(spark, sf_dir, m)
+    checks = quality.validate_player_stats(scorecards.player_stats(d, "batting", m))
+    ok, stat_rej = quality.split_valid(checks, "scorecard", scorecards.STAT_COLUMNS)
     _, match_rej = quality.split_valid(quality.validate_matches(m), "matches")
-    return reports.table_counts({
-        "matches": m,
-        "player_stats": checks.filter(F.col("is_valid")),
-        "data_errors": stat_rej.unionByName(match_rej),
-    })
+    return {"matches": m, "innings": scorecards.innings_lines(d), "player_stats": scorecards.typed_stats(ok),
+            "data_errors": stat_rej.unionByName(match_rej)}
+
+
+@register("A13_table_counts")
+def q_table_counts(spark, sf_dir):
+    return reports.table_counts(_warehouse(spark, sf_dir))
+
+
+@register("C12_innings_cards")
+def q_innings_cards(spark, sf_dir):
+    return reports.innings_cards(scorecards.innings_lines(dm.deliveries(spark, sf_dir)))
 
 
 # ---- matchups -------------------------------------------------------------------
@@ -402,11 +410,89 @@ def q_props(spark, sf_dir):
     return e.select("event_id", F.from_json("props", "k int").getField("k").alias("k"))
 
 
+def _match_feed(spark, sf_dir):
+    """Three captured polls of the scoreboard run through the feed: the first two
+    arrive together (repeated keys within a batch), the third later."""
+    from kestrel.sources import feed_json
+    dirs = feedmod.scratch_dirs(spark, "match-feed")
+    polls = f"{dirs['table_path']}-payloads"
+    m = dm.matches(spark, sf_dir)
+    for batch in ((0, 1), (2,)):
+        for poll in batch:
+            fxs.scoreboard_payloads(m, poll).write.mode("append").json(polls)
+        stream = spark.readStream.schema(feed_json.SCOREBOARD_SCHEMA).json(polls)
+        feedmod.feed_matches(feed_json.scoreboard_matches(stream), dirs).awaitTermination()
+    return dirs
+
+
 @register("C18_T1_T2_T3_match_feed_stream")
 def q_feed(spark, sf_dir):
-    """The orders table as a stream of match snapshots, validated and
-    upserted batch by batch; returns the final table."""
-    return feedmod.match_feed_table(spark, fxs.project_matches(fxs.stream_table(spark, sf_dir, "orders")))
+    """The table after the polls (latest status, winner and fetch time)."""
+    dirs = _match_feed(spark, sf_dir)
+    return feedmod.read_table(spark, dirs["table_path"]).select(
+        F.col("match_id").cast("long").alias("match_id"), "name", "venue", F.to_date("match_date").alias("match_date"),
+        "team1", "team2", "source", "status", "winner", F.col("fetched_at").cast("string").alias("fetched_at"))
+
+
+@register("C18_K4_T3_match_feed_rejects")
+def q_feed_rejects(spark, sf_dir):
+    """The rejects of the same polls: source, reason and the row itself."""
+    dirs = _match_feed(spark, sf_dir)
+    r = spark.read.parquet(dirs["rejects_path"])
+    row = F.from_json("raw_data", "match_id string, name string, match_date string, status string")
+    return r.select("source", "error_message", row.alias("row")).select(
+        "source", "error_message", F.col("row.match_id").cast("long").alias("match_id"),
+        F.col("row.name").alias("name"), F.col("row.match_date").alias("match_date"), F.col("row.status").alias("status"))
+
+
+def _scorecard_feed(spark, sf_dir):
+    from kestrel.sources import feed_json
+    dirs = feedmod.scratch_dirs(spark, "scorecard-feed")
+    base = dirs["table_path"]
+    d = dm.deliveries(spark, sf_dir)
+    paths = {"innings_path": f"{base}/innings", "stats_path": f"{base}/stats", "rejects_path": f"{base}/rejects",
+             "checkpoint": dirs["checkpoint"]}
+    for poll in (0, 1):
+        fxs.scorecard_payloads(d, poll).write.mode("append").json(f"{base}/payloads")
+        stream = spark.readStream.schema(feed_json.SCORECARD_SCHEMA).json(f"{base}/payloads")
+        feedmod.start_scorecard_feed(stream, available_now=True, **paths).awaitTermination()
+    return paths
+
+
+@register("S5_K3_K7_scorecard_feed_stats")
+def q_scorecard_stats(spark, sf_dir):
+    """Stat lines of two polls, appended and reduced to the latest poll per line (Q8)."""
+    lines = spark.read.parquet(_scorecard_feed(spark, sf_dir)["stats_path"])
+    last = up.latest_snapshot(lines.drop("batch"), ["match_id", "player_name", "team", "role"], ["_batch"])
+    return last.select(F.col("match_id").cast("long").alias("match_id"), "player_name", "team", "role", "runs", "balls_faced",
+                       "fours", "sixes", "wickets", F.col("_batch").alias("poll"))
+
+
+@register("S5_K2_T4_scorecard_feed_innings")
+def q_scorecard_innings(spark, sf_dir):
+    """Innings lines as appended, one per poll."""
+    lines = spark.read.parquet(_scorecard_feed(spark, sf_dir)["innings_path"])
+    return lines.select(F.col("match_id").cast("long").alias("match_id"), "inning_name", "runs", "wickets",
+                        F.col("overs").cast("double").alias("overs"), F.col("_batch").alias("poll"))
+
+
+@register("L6_F24_latest_innings_text")
+def q_latest_innings(spark, sf_dir):
+    """The latest innings line of each match and side, as text."""
+    lines = spark.read.parquet(_scorecard_feed(spark, sf_dir)["innings_path"]).drop("batch")
+    last = up.latest_snapshot(lines, ["match_id", "inning_name"], ["_batch"])
+    s = tx.innings_score("runs", "wickets", "overs")
+    return last.select(F.col("match_id").cast("long").alias("match_id"), "inning_name", s["score"].alias("score"),
+                       s["overs_text"].alias("overs_text"))
+
+
+@register("K4_scorecard_feed_rejects")
+def q_scorecard_rejects(spark, sf_dir):
+    """Stat lines that the validator refused: reason and row."""
+    r = spark.read.parquet(_scorecard_feed(spark, sf_dir)["rejects_path"] + "/scorecards")
+    row = F.from_json("raw_data", "match_id string, player_name string, runs string")
+    return r.select("source", "error_message", row["match_id"].cast("long").alias("match_id"),
+                    row["player_name"].alias("player_name"))
 
 
 # ---- batch history load -------------------------------------------------------------
@@ -538,7 +624,7 @@ def q_model_metrics(spark, sf_dir):
     """Logistic baseline vs boosted trees on the time-ordered test split."""
     train, test, stats, weights = mtrain.prepared(_matrix(spark, sf_dir))
     lr = mtrain.train_logistic(train, stats, weights)
-    gbt = mtrain.train_gbt(train, weights)
+    gbt = mtrain.train_gbt(train, weights, grid="small")
     a = mt.binary_metrics(mtrain.score_logistic(lr, test, stats), "team1_won", model="logistic")
     b = mt.binary_metrics(mtrain.score_gbt(gbt, test), "team1_won", model="gbt")
     both = a.unionByName(b)
@@ -549,7 +635,7 @@ def q_model_metrics(spark, sf_dir):
 @register("M7_M10_gbt_importances")
 def q_importances(spark, sf_dir):
     train, _, _, weights = mtrain.prepared(_matrix(spark, sf_dir))
-    return mtrain.importance_table(mtrain.train_gbt(train, weights))
+    return mtrain.importance_table(mtrain.train_gbt(train, weights, grid="small"))
 
 
 @register("M18_T7_live_win_probabilities")
@@ -577,34 +663,62 @@ def q_teams(spark, sf_dir):
 
 @register("M14_trapezoid_auc")
 def q_trapezoid(spark, sf_dir):
-    return mt.trapezoid_auc(mt.roc_points(_heuristic_test(spark, sf_dir), "team1_won")).toDF("auc")
+    return mt.trapezoid_auc(_heuristic_test(spark, sf_dir), "team1_won")
 
 
 @register("T6_windowed_quota_stream")
 def q_windowed_quota(spark, sf_dir):
-    """Sliding-window request counts computed by a streaming query over the
-    events table (drained with availableNow, results read back)."""
-    import uuid
-    import os
-    from kestrel.session import ensure_checkpoint_dir
-    base = os.path.join(ensure_checkpoint_dir(spark), f"quota-{uuid.uuid4().hex[:12]}")
-    ev = fxs.stream_table(spark, sf_dir, "events")
-    q = (feedmod.windowed_quota(ev, period="60 seconds", slide="30 seconds").writeStream
-         .outputMode("append").format("parquet").option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    """Requests in every 60 s window, one second apart, by a streaming query over
+    the events (drained with availableNow); open windows included."""
+    dirs = feedmod.scratch_dirs(spark, "quota")
+    feedmod.quota_table(fxs.stream_table(spark, sf_dir, "events"), dirs).awaitTermination()
+    return feedmod.read_table(spark, dirs["table_path"]).select("window_end", "user_id", "in_window", "remaining")
 
 
 @register("C19_warehouse_report")
 def q_warehouse(spark, sf_dir):
+    return reports.warehouse_report(_warehouse(spark, sf_dir))
+
+
+@register("V1_K4_match_validation_of_damaged_rows")
+def q_damaged_matches(spark, sf_dir):
+    """V1 on matches with fields blanked by key: no name, no date or a short one, one team twice."""
     m = dm.matches(spark, sf_dir)
-    checks = dm.stat_checks(spark, sf_dir, m)
-    _, stat_rej = quality.split_valid(checks, "scorecard", scorecards.STAT_COLUMNS)
-    _, match_rej = quality.split_valid(quality.validate_matches(m), "matches")
-    return reports.warehouse_report({"matches": m, "player_stats": checks.filter(F.col("is_valid")),
-                                     "data_errors": stat_rej.unionByName(match_rej)},
-                                    dm.player_stats(spark, sf_dir, m))
+    k = F.col("match_id")
+    raw = m.select(
+        k, F.when(k % 11 == 0, "").otherwise(F.col("name")).alias("name"),
+        F.when(k % 7 == 0, F.lit(None)).when(k % 5 == 0, "2024").otherwise(F.col("match_date").cast("string")).alias("match_date"),
+        F.when(k % 13 == 0, F.lit(None)).otherwise(F.col("team1")).alias("team1"),
+        F.when(k % 13 == 0, F.lit(None)).when(k % 3 == 0, F.col("team1")).otherwise(F.col("team2")).alias("team2"))
+    return quality.validate_matches(raw).select("match_id", "is_valid", "error_message")
+
+
+@register("V2_K4_stat_validation_of_damaged_rows")
+def q_damaged_stats(spark, sf_dir):
+    """V2 on stat lines damaged by key: NaN, text and numbers out of range never end the job."""
+    d = scorecards.player_stats(dm.deliveries(spark, sf_dir))
+    k = F.col("match_id")
+    raw = d.select(
+        "match_id", "player_name", "team", "role",
+        F.when(k % 7 == 0, F.lit(float("nan"))).when(k % 11 == 0, 5e9).otherwise(F.col("runs").cast("double")).alias("runs"),
+        F.when(k % 13 == 0, "x").otherwise(F.col("balls_faced").cast("string")).alias("balls_faced"),
+        F.when(k % 17 == 0, -F.lit(1)).otherwise(F.col("fours")).alias("fours"), "sixes", "strike_rate", "wickets", "overs_bowled",
+        F.when(k % 19 == 0, F.lit(5000.0)).otherwise(F.col("economy")).alias("economy"))
+    checked = quality.validate_player_stats(raw)
+    return checked.select("match_id", "player_name", "team", "role", "is_valid", "error_message",
+                          scorecards.overflow_reason().alias("out_of_range"))
+
+
+@register("F8_mixed_date_texts")
+def q_mixed_dates(spark, sf_dir):
+    """F8 on the match dates written in eight ways, by key."""
+    m = dm.matches(spark, sf_dir)
+    d, k = F.col("match_date"), F.col("match_id") % 8
+    ways = ["yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "M-d-yyyy", "yyyy-MM-dd'T'14:00'Z'", "yyyy-MM-dd 20:00:00", "d MMM yyyy"]
+    text = F.lit("no date")
+    for n, way in enumerate(ways):
+        text = F.when(k == n, F.date_format(d, way)).otherwise(text)
+    return m.select("match_id", text.alias("date_text"), tx.lenient_date(text).alias("parsed"))
 
 
 @register("L5_M6_coefficient_head_tail")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from kestrel.functions.text import NULL_TOKEN, lenient_date, match_hash_id, versus_name
 from kestrel.operators import quality, scorecards
@@ -56,7 +57,8 @@ def ingest_history(raw_matches: DataFrame, raw_deliveries: DataFrame, existing:
     incoming = checked.filter(F.col("is_valid")).select(*data_cols, "_row") \
         .withColumn("match_date", F.col("match_date").cast("date"))
     if existing is not None:
-        existing = existing.withColumn("_row", F.lit(-1).cast("long"))
+        before = "" if isinstance(rows.schema["_row"].dataType, StringType) else -1
+        existing = existing.withColumn("_row", F.lit(before).cast(rows.schema["_row"].dataType))
     matches = up.upsert(existing, incoming, ["match_id"], MATCH_IMMUTABLE, MATCH_MUTABLE, ["_row"]).drop("_row")
 
     # Raw id -> hash id, a later row of the file wins for a repeated raw id
@@ -68,10 +70,12 @@ def ingest_history(raw_matches: DataFrame, raw_deliveries: DataFrame, existing:
     stat_valid, stat_rej = quality.split_valid(stat_checked, source, scorecards.STAT_COLUMNS)
     # A stat line needs its match in the table
     stat_ok, orphans = up.fk_split(stat_valid, matches, "match_id")
-    orphan_rej = orphans.select(F.lit(source).alias("source"),
-                                F.to_json(F.struct(*[F.col(c) for c in scorecards.STAT_COLUMNS])).alias("raw_data"),
-                                F.lit(ORPHAN_REASON).alias("error_message"),
-                                F.current_timestamp().alias("logged_at"))
+    def refused(lines, reason):
+        return lines.select(F.lit(source).alias("source"),
+                            F.to_json(F.struct(*[F.col(c) for c in scorecards.STAT_COLUMNS])).alias("raw_data"),
+                            reason.alias("error_message"), F.current_timestamp().alias("logged_at")) \
+            .where("error_message IS NOT NULL")
+    orphan_rej = refused(orphans, F.lit(ORPHAN_REASON)).unionByName(refused(stat_ok, scorecards.overflow_reason()))
     return {
         "matches": matches,
         "player_stats": scorecards.typed_stats(stat_ok),

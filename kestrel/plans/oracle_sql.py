@@ -103,6 +103,8 @@ CTE_PLAYER_STATS = """player_stats AS (
   FROM bowl_card)"""
 
 STATS_BASE = (CTE_MATCHES, CTE_DELIVERIES, CTE_CARDS, CTE_PLAYER_STATS)
+_INNINGS = """inn AS (SELECT match_id, batting_team || ' innings' AS inning_name, CAST(SUM(total_runs) AS INTEGER) AS runs,
+  COUNT(player_dismissed) AS wickets, COUNT(*) // 6 AS o, COUNT(*) % 6 AS b FROM deliveries GROUP BY 1, 2)"""
 
 ORACLE["U1_team_rows"] = with_ctes(CTE_MATCHES, CTE_COMPLETED, CTE_TEAM_ROWS) + """
 SELECT match_id, match_date, venue, team, opponent, won, won_toss FROM tr"""
@@ -211,12 +213,18 @@ ORACLE["A12_top_run_totals"] = with_ctes(*STATS_BASE) + """
 SELECT player_name, team, CAST(SUM(runs) AS BIGINT) AS total_runs FROM player_stats WHERE role = 'batting'
 GROUP BY player_name, team ORDER BY total_runs DESC, player_name, team LIMIT 5"""
 
-ORACLE["A13_table_counts"] = with_ctes(*STATS_BASE) + f"""
+_TABLE_COUNTS = f"""
 SELECT 'matches' AS table_name, COUNT(*) AS row_count FROM matches
+UNION ALL SELECT 'innings', COUNT(*) FROM inn
 UNION ALL SELECT 'player_stats', COUNT(*) FROM player_stats
 UNION ALL SELECT 'data_errors',
   (SELECT COUNT(*) FROM bat_card WHERE strike_rate > 500 OR runs > 200)
   + (SELECT COUNT(*) FROM matches WHERE {_MATCH_REASONS} IS NOT NULL)"""
+ORACLE["A13_table_counts"] = with_ctes(*STATS_BASE, _INNINGS) + _TABLE_COUNTS
+
+ORACLE["C12_innings_cards"] = with_ctes(*STATS_BASE, _INNINGS) + """
+SELECT match_id, inning_name, runs, wickets, CAST(o || '.' || b AS DOUBLE) AS overs,
+       ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY inning_name) AS card_order FROM inn"""
 
 # ---- matchups --------------------------------------------------------------------
 
@@ -673,9 +681,41 @@ WHERE rk = 1"""
 ORACLE["S4_F14_event_props_json"] = """
 SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events"""
 
-ORACLE["C18_T1_T2_T3_match_feed_stream"] = with_ctes(CTE_MATCHES) + """
-SELECT match_id, name, venue, match_date, team1, team2, toss_winner, 'feed' AS source, status, winner
-FROM matches"""
+_POLL_AT = """CASE p WHEN 0 THEN '2024-05-01 10:00:00' WHEN 1 THEN '2024-05-01 10:01:00'
+  ELSE '2024-05-01 10:02:00' END"""
+ORACLE["C18_T1_T2_T3_match_feed_stream"] = with_ctes(CTE_MATCHES) + f"""
+SELECT match_id, name, venue, match_date, team1, team2, 'feed' AS source,
+       CASE p WHEN 0 THEN 'Scheduled' WHEN 1 THEN 'In Progress'
+            ELSE CASE status WHEN 'completed' THEN 'Completed' ELSE 'In Progress' END END AS status,
+       CASE p WHEN 2 THEN COALESCE(winner, '') ELSE '' END AS winner, {_POLL_AT} AS fetched_at
+FROM (SELECT *, CASE WHEN match_id % 10 <> 0 THEN 2
+                     WHEN match_id % 2 = 0 AND match_id % 97 <> 0 AND match_id % 101 <> 0 THEN 1 ELSE 0 END AS p
+      FROM matches) x"""
+
+ORACLE["C18_K4_T3_match_feed_rejects"] = with_ctes(CTE_MATCHES) + """
+SELECT 'feed' AS source,
+       concat_ws('; ', CASE WHEN match_id % 97 = 0 THEN 'Missing field: name' END,
+                       CASE WHEN match_id % 101 = 0 THEN 'Invalid date: soon' END) AS error_message,
+       match_id, CASE WHEN match_id % 97 = 0 THEN '' ELSE name END AS name,
+       CASE WHEN match_id % 101 = 0 THEN 'soon' ELSE CAST(match_date AS VARCHAR) END AS match_date,
+       'In Progress' AS status
+FROM matches WHERE match_id % 97 = 0 OR match_id % 101 = 0"""
+
+ORACLE["S5_K3_K7_scorecard_feed_stats"] = with_ctes(*STATS_BASE) + """
+SELECT match_id, player_name, team, role, runs, balls_faced, fours, sixes, wickets, 1 AS poll FROM player_stats"""
+
+ORACLE["S5_K2_T4_scorecard_feed_innings"] = with_ctes(*STATS_BASE, _INNINGS) + """
+SELECT match_id, inning_name, runs, wickets, CAST(o || '.' || b AS DOUBLE) AS overs, p AS poll
+FROM inn, (SELECT 0 AS p UNION ALL SELECT 1) x"""
+
+ORACLE["L6_F24_latest_innings_text"] = with_ctes(*STATS_BASE, _INNINGS) + """
+SELECT match_id, inning_name, runs || '/' || wickets AS score, o || '.' || b || ' ov' AS overs_text FROM inn"""
+
+ORACLE["K4_scorecard_feed_rejects"] = with_ctes(*STATS_BASE) + """
+SELECT 'feed' AS source, 'Implausible strike_rate: ' || CAST(strike_rate AS VARCHAR) AS error_message, match_id, player_name
+FROM bat_card, (SELECT 0 UNION ALL SELECT 1) polls WHERE strike_rate > 500
+UNION ALL
+SELECT DISTINCT 'feed', 'Cannot coerce runs: x', match_id, 'Extra' FROM bat_card WHERE match_id % 97 = 0"""
 
 # ---- batch history load ---------------------------------------------------------------
 
@@ -858,13 +898,10 @@ WHERE team IS NOT NULL"""
 
 # sliding 60 s windows every 30 s; append mode emits windows closed by the final watermark (max ts - 2 min)
 ORACLE["T6_windowed_quota_stream"] = """
-WITH w AS (
-  SELECT user_id, (CAST(floor(epoch_us(ts) / 30000000) AS BIGINT) - k) * 30000000 + 60000000 AS end_us
-  FROM events, (SELECT 0 AS k UNION ALL SELECT 1) kk)
-SELECT make_timestamp(end_us) AS window_end, user_id, COUNT(*) AS in_window,
-       greatest(0, 10 - COUNT(*)) AS remaining
-FROM w GROUP BY end_us, user_id
-HAVING end_us <= (SELECT epoch_us(max(ts)) FROM events) - 120000000"""
+SELECT make_timestamp(end_us) AS window_end, user_id, COUNT(*) AS in_window, greatest(0, 10 - COUNT(*)) AS remaining
+FROM (SELECT user_id, (CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) + k) * 1000000 AS end_us
+      FROM events, (SELECT UNNEST(range(1, 61)) AS k) kk) w
+GROUP BY end_us, user_id"""
 
 ORACLE["M14_trapezoid_auc"] = with_ctes(*_FM_MATRIX, _AUC, """pts AS (
   SELECT 0.0 AS fpr, 0.0 AS tpr
@@ -875,13 +912,48 @@ ORACLE["M14_trapezoid_auc"] = with_ctes(*_FM_MATRIX, _AUC, """pts AS (
 SELECT round_even(SUM((fpr - f0) * (tpr + t0) / 2) * 1000, 0) / 1000 + 0.0 AS auc FROM (
   SELECT fpr, tpr, LAG(fpr) OVER (ORDER BY fpr, tpr) AS f0, LAG(tpr) OVER (ORDER BY fpr, tpr) AS t0 FROM pts) x"""
 
-ORACLE["C19_warehouse_report"] = with_ctes(*STATS_BASE) + f"""
-SELECT 'row_count' AS section, 'matches' AS item, COUNT(*) AS value FROM matches
-UNION ALL SELECT 'row_count', 'player_stats', COUNT(*) FROM player_stats
-UNION ALL SELECT 'row_count', 'data_errors',
-  (SELECT COUNT(*) FROM bat_card WHERE strike_rate > 500 OR runs > 200)
-  + (SELECT COUNT(*) FROM matches WHERE {_MATCH_REASONS} IS NOT NULL)
+ORACLE["C19_warehouse_report"] = with_ctes(*STATS_BASE, _INNINGS) + f"""
+SELECT 'row_count' AS section, table_name AS item, row_count AS value FROM ({_TABLE_COUNTS}) c
+UNION ALL SELECT * FROM (
+  SELECT 'latest_match', name || ' | ' || status || ' | ' || CAST(match_date AS VARCHAR), match_id
+  FROM matches ORDER BY match_date DESC, match_id DESC LIMIT 3) l
+UNION ALL SELECT * FROM (
+  SELECT 'recent_error', 'scorecard: Implausible strike_rate: ' || CAST(strike_rate AS VARCHAR), CAST(NULL AS BIGINT)
+  FROM bat_card WHERE strike_rate > 500 AND NOT (runs > 200) ORDER BY 2 LIMIT 3) e
 UNION ALL SELECT * FROM (
   SELECT 'top_runs', player_name || ' (' || team || ')', CAST(SUM(runs) AS BIGINT) AS total_runs
   FROM player_stats WHERE role = 'batting'
   GROUP BY player_name, team ORDER BY total_runs DESC, player_name, team LIMIT 5) t"""
+
+
+ORACLE["V1_K4_match_validation_of_damaged_rows"] = with_ctes(CTE_MATCHES) + """
+SELECT match_id, reasons IS NULL AS is_valid, reasons AS error_message FROM (
+  SELECT match_id, NULLIF(concat_ws('; ',
+    CASE WHEN match_id % 11 = 0 THEN 'Missing field: name' END,
+    CASE WHEN match_id % 13 = 0 THEN 'Missing field: team1; Missing field: team2' END,
+    CASE WHEN match_id % 7 = 0 THEN 'Missing field: match_date; Invalid date: None'
+         WHEN match_id % 5 = 0 THEN 'Invalid date: 2024' END,
+    CASE WHEN match_id % 13 = 0 OR match_id % 3 = 0 THEN 'team1 and team2 are identical' END), '') AS reasons
+  FROM matches) x"""
+
+ORACLE["V2_K4_stat_validation_of_damaged_rows"] = with_ctes(*STATS_BASE) + """,
+lines AS (
+  SELECT match_id, player_name, team, 'batting' AS role, CAST(runs AS DOUBLE) AS runs, fours, strike_rate,
+         0.0 AS economy FROM bat_card
+  UNION ALL
+  SELECT match_id, player_name, team, 'bowling', 0, 0, 0.0, economy FROM bowl_card)
+SELECT match_id, player_name, team, role, reasons IS NULL AS is_valid, reasons AS error_message,
+       CASE WHEN match_id % 19 = 0 THEN 'Out of range for the table: economy 5000.0' END AS out_of_range
+FROM (SELECT *, NULLIF(concat_ws('; ',
+    CASE WHEN match_id % 7 = 0 THEN 'Cannot coerce runs: NaN' WHEN match_id % 11 = 0 THEN 'Cannot coerce runs: 5.0E9' END,
+    CASE WHEN match_id % 13 = 0 THEN 'Cannot coerce balls_faced: x' END,
+    CASE WHEN match_id % 17 = 0 THEN 'fours is negative' END,
+    CASE WHEN strike_rate > 500 THEN 'Implausible strike_rate: ' || CAST(strike_rate AS VARCHAR) END), '') AS reasons
+  FROM lines) x"""
+
+ORACLE["F8_mixed_date_texts"] = with_ctes(CTE_MATCHES) + """
+SELECT match_id, CASE match_id % 8 WHEN 0 THEN strftime(match_date, '%Y-%m-%d') WHEN 1 THEN strftime(match_date, '%Y/%m/%d')
+    WHEN 2 THEN strftime(match_date, '%m/%d/%Y') WHEN 3 THEN strftime(match_date, '%-m-%-d-%Y')
+    WHEN 4 THEN strftime(match_date, '%Y-%m-%d') || 'T14:00Z' WHEN 5 THEN strftime(match_date, '%Y-%m-%d') || ' 20:00:00'
+    WHEN 6 THEN strftime(match_date, '%-d %b %Y') ELSE 'no date' END AS date_text,
+  CASE WHEN match_id % 8 = 7 THEN NULL ELSE match_date END AS parsed FROM matches"""

@@ -6,7 +6,9 @@ DataFrames. These helpers exist for tests, the bench and the driver entry.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,13 +47,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as-is. Only when it is unset (local tests) do we create a scratch one.
+    as-is. A local session without one gets a scratch folder that goes when the
+    process ends; a cluster without one is an error, since a folder on one
+    machine would not survive it.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="kestrel-ckpt-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
@@ -90,4 +97,5 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(path)
+    atexit.register(lambda: os.path.exists(path) and os.remove(path))
     _SHIPPED.add(sc.applicationId)

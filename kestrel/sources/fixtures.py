@@ -114,3 +114,69 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files_per_trig
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.parquet(os.path.join(sf_dir, f"{name}[.]parquet"))
+
+
+# ---- captured payloads ---------------------------------------------------------------
+
+EVENTS_PER_PAYLOAD = 500
+FIRST_POLL = "2024-05-01 10:00:00"
+
+
+def scoreboard_payloads(matches_df: DataFrame, poll: int) -> DataFrame:
+    """The matches as scoreboard documents (fetched_at, events) of one poll.
+
+    Poll 0 announces every match. Poll 1, a minute later, reports those with an
+    even id as live, and some events that the validator must reject: without a
+    name (every 97th id), with a short date (every 101st). Poll 2 has the outcome
+    of all but every tenth match."""
+    key = F.col("match_id")
+    rows = matches_df if poll == 0 else matches_df.where(
+        "match_id % 2 = 0 OR match_id % 97 = 0 OR match_id % 101 = 0") if poll == 1 else matches_df.where("match_id % 10 <> 0")
+    bad_name, bad_date = (key % 97 == 0) & F.lit(poll == 1), (key % 101 == 0) & F.lit(poll == 1)
+    status = [F.lit("Scheduled"), F.lit("In Progress"), F.initcap("status")][poll]
+    winner = F.col("winner") if poll == 2 else F.lit(None).cast("string")
+
+    def side(team: str):
+        return F.struct((F.col(team) == F.coalesce(winner, F.lit("?"))).alias("winner"),
+                        F.struct(F.col(team).alias("displayName")).alias("team"))
+    date = F.date_format("match_date", "yyyy-MM-dd'T'14:00'Z'")
+    event = F.struct(
+        key.cast("string").alias("id"), F.when(bad_name, "").otherwise(F.col("name")).alias("name"),
+        F.when(bad_date, "soon").otherwise(date).alias("date"),
+        F.struct(F.struct(status.alias("description")).alias("type")).alias("status"),
+        F.array(F.struct(F.struct(F.col("venue").alias("fullName")).alias("venue"),
+                         F.array(side("team1"), side("team2")).alias("competitors"))).alias("competitions"))
+    at = F.to_timestamp(F.lit(FIRST_POLL)) + F.make_dt_interval(mins=F.lit(poll))
+    return rows.select((key / EVENTS_PER_PAYLOAD).cast("long").alias("doc"), key.alias("k"), event.alias("e")) \
+        .groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("k", "e"))).alias("es")) \
+        .select(at.alias("fetched_at"), F.transform("es", lambda x: x["e"]).alias("events"))
+
+
+def scorecard_payloads(deliveries_df: DataFrame, poll: int) -> DataFrame:
+    """One scorecard document per match and poll. Poll 0 has the lines with half
+    their runs, poll 1 the final ones; in poll 1 every 97th match has one more
+    batting line whose runs are no number."""
+    from kestrel.operators.scorecards import batting_card, bowling_card
+    text = lambda c: F.col(c).cast("string")
+    person = lambda c, name: F.struct(F.col(c).alias("displayName")).alias(name)
+    runs = text("runs") if poll else F.floor(F.col("runs") / 2).cast("string")
+    bat = batting_card(deliveries_df).groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct(
+        person("player_name", "athlete"), person("team", "team"), runs.alias("runs"), text("balls_faced").alias("ballsFaced"),
+        text("fours").alias("fours"), text("sixes").alias("sixes"), text("strike_rate").alias("strikeRate")))).alias("batting"))
+    if poll:
+        odd = F.struct(F.struct(F.lit("Extra").alias("displayName")).alias("athlete"),
+                       F.struct(F.lit("T0").alias("displayName")).alias("team"), F.lit("x").alias("runs"),
+                       *[F.lit("0").alias(c) for c in ("ballsFaced", "fours", "sixes", "strikeRate")])
+        bat = bat.withColumn("batting", F.when(F.col("match_id") % 97 == 0, F.array_append("batting", odd))
+                             .otherwise(F.col("batting")))
+    bowl = bowling_card(deliveries_df).groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct(
+        person("player_name", "athlete"), person("team", "team"), text("wickets").alias("wickets"),
+        text("overs_bowled").alias("overs"), text("economy").alias("economy")))).alias("bowling"))
+    total = deliveries_df.groupBy("match_id", "batting_team").agg(
+        F.sum("total_runs").alias("r"), F.count("player_dismissed").alias("w"), F.count("*").alias("n"))
+    innings = total.groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct(
+        F.concat("batting_team", F.lit(" innings")).alias("displayName"), text("r").alias("runs"), text("w").alias("wickets"),
+        (F.floor(F.col("n") / 6) + (F.col("n") % 6) / 10).cast("string").alias("overs")))).alias("scoring"))
+    return innings.join(bat, "match_id").join(bowl, "match_id").select(
+        F.col("match_id").cast("string").alias("match_id"),
+        F.struct("scoring", "batting", "bowling").alias("gamepackageJSON"))

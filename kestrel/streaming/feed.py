@@ -1,12 +1,14 @@
 """Feed ingestion with Structured Streaming (T1 poll trigger, T2 incremental
 upsert, T3 quarantine of invalid rows, T4 append vs latest-snapshot; C18).
 
-Each poll of the reference becomes one micro-batch of a file stream of
-snapshots. ``foreachBatch`` validates the batch, upserts the valid rows into
-the keyed table (K1, copy-on-write: batch N reads version < N and writes
-version N, so a retried batch rewrites the same version -- idempotent) and
-writes the rejects of batch N to their own folder. Micro-batches never
-overlap, which is the reference's one-poll-at-a-time rule.
+Each poll becomes part of a micro-batch of a file stream of snapshots.
+``foreachBatch`` validates the batch, reduces it to one row per key (the later
+poll wins, also within a batch) and upserts the result into the keyed table
+(K1). The table is hash-partitioned by key and only the partitions that the
+batch touches are read and replaced (dynamic partition overwrite), so a poll
+costs what it brings, not the table; no old copies remain. Replaying a batch is
+idempotent: its rows merge into themselves. Rejects of batch N have their own
+folder. Micro-batches never overlap: one poll at a time.
 """
 
 from __future__ import annotations
@@ -27,30 +29,53 @@ from kestrel.session import ensure_checkpoint_dir
 POLL_INTERVAL = "60 seconds"
 
 
-def _read_before(spark: SparkSession, path: str, version: int) -> DataFrame | None:
-    vs = [v for v in up.versions(spark, path) if v < version]
-    return spark.read.parquet(up.version_path(path, vs[-1])) if vs else None
+# Hash partitions of a feed table. A table of n rows wants about n / 10^6.
+TABLE_PARTITIONS = 16
+PARTITION = "_part"
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The keyed table at ``path`` (None before its first batch)."""
+    fs, p = up._fs(spark, path)
+    return spark.read.parquet(path) if fs.exists(p) else None
 
 
 def upsert_batch(batch: DataFrame, batch_id: int, *, table_path: str, rejects_path: str, key: Sequence[str],
                  immutable: Sequence[str], mutable: Sequence[str], order: Sequence[str],
-                 validate: Callable[[DataFrame], DataFrame] | None, source: str) -> None:
+                 validate: Callable[[DataFrame], DataFrame] | None, source: str,
+                 partitions: int = TABLE_PARTITIONS) -> None:
+    """``order`` ranks the snapshots of a key (fetch time, then place in the
+    payload); the batch number comes after the first of them, so that of equally
+    old snapshots the later batch wins."""
     spark = batch.sparkSession
-    b = batch.withColumn("_batch", F.lit(batch_id).cast("long"))
-    data_cols = [c for c in b.columns]
-    if validate is not None:
-        checked = validate(b)
-        valid, rejects = quality.split_valid(checked, source, data_cols)
-        rejects.write.mode("overwrite").parquet(f"{rejects_path.rstrip('/')}/batch={batch_id:08d}")
-    else:
-        valid = b
-    current = _read_before(spark, table_path, batch_id)
-    merged = up.upsert(current, valid, key, immutable, mutable, [*order, "_batch"] if "_batch" not in order else order)
-    up.write_version(merged, table_path, batch_id)
+    batch.persist()
+    try:
+        b = batch.withColumn("_batch", F.lit(batch_id).cast("long"))
+        rank = [order[0], "_batch", *order[1:]]
+        if validate is not None:
+            valid, rejects = quality.split_valid(validate(b), source, b.columns)
+            rejects.write.mode("overwrite").parquet(f"{rejects_path.rstrip('/')}/batch={batch_id:08d}")
+        else:
+            valid = b
+        new = up.upsert(None, valid, key, immutable, mutable, rank)
+        new = new.withColumn(PARTITION, F.pmod(F.xxhash64(*key), F.lit(partitions)).cast("int")).persist()
+        touched = [r[0] for r in new.select(PARTITION).distinct().collect()]   # at most ``partitions``
+        if touched:
+            current = read_table(spark, table_path)
+            if current is not None:
+                current = current.where(F.col(PARTITION).isin(touched)).drop(PARTITION)
+            up.upsert(current, new.drop(PARTITION), key, immutable, mutable, rank) \
+                .withColumn(PARTITION, F.pmod(F.xxhash64(*key), F.lit(partitions)).cast("int")) \
+                .repartition(PARTITION) \
+                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION) \
+                .parquet(table_path)
+        new.unpersist()
+    finally:
+        batch.unpersist()
 
 
 def start_feed(stream: DataFrame, *, table_path: str, rejects_path: str, checkpoint: str, key: Sequence[str],
-               immutable: Sequence[str], mutable: Sequence[str], order: Sequence[str] = ("_batch",),
+               immutable: Sequence[str], mutable: Sequence[str], order: Sequence[str] = ("fetched_at", "_seq"),
                validate: Callable[[DataFrame], DataFrame] | None = None, source: str = "feed",
                available_now: bool = False, interval: str = POLL_INTERVAL) -> StreamingQuery:
     """Start the upserting stream. ``available_now`` drains what is
@@ -73,21 +98,38 @@ def scratch_dirs(spark: SparkSession, name: str) -> dict[str, str]:
 # Match feed: the table's first-seen columns and the ones a later poll may change.
 MATCH_KEY = ["match_id"]
 MATCH_IMMUTABLE = ["name", "venue", "match_date", "team1", "team2", "toss_winner", "source"]
-MATCH_MUTABLE = ["status", "winner"]
-
-
-def match_feed_table(spark: SparkSession, stream: DataFrame, available_now: bool = True) -> DataFrame:
-    """Run the match feed (validate with V1, upsert on match_id) to
-    completion and return the resulting table."""
-    dirs = scratch_dirs(spark, "match-feed")
-    s = stream.withColumn("source", F.lit("feed"))
-    q = start_feed(s, key=MATCH_KEY, immutable=MATCH_IMMUTABLE, mutable=MATCH_MUTABLE,
-                   validate=quality.validate_matches, source="feed", available_now=available_now, **dirs)
-    q.awaitTermination()
-    cur = up.read_current(spark, dirs["table_path"])
+MATCH_MUTABLE = ["status", "winner", "fetched_at"]
+MATCH_COLUMNS = [*MATCH_KEY, *MATCH_IMMUTABLE, *MATCH_MUTABLE]
+
+
+def match_snapshots(stream: DataFrame, source: str = "feed") -> DataFrame:
+    """Match rows (of the scoreboard parser, or already in the table's layout) as
+    snapshots of the feed: what is missing is filled in. Rows without a fetch
+    time take that of their micro-batch; ``_seq`` is the place in the payload."""
+    out = stream.withColumn("source", F.lit(source))
+    for c, default in (("toss_winner", F.lit(None).cast("string")), ("fetched_at", F.current_timestamp()),
+                       ("_seq", F.lit(0))):
+        if c not in out.columns:
+            out = out.withColumn(c, default)
+    return out.select(*MATCH_COLUMNS, F.col("_seq").cast("long").alias("_seq"))
+
+
+def feed_matches(stream: DataFrame, dirs: dict[str, str], available_now: bool = True) -> StreamingQuery:
+    """Validate match snapshots with V1 and upsert them on match_id."""
+    return start_feed(match_snapshots(stream), key=MATCH_KEY, immutable=MATCH_IMMUTABLE,
+                      mutable=[c for c in MATCH_MUTABLE if c != "fetched_at"], validate=quality.validate_matches,
+                      source="feed", available_now=available_now, **dirs)
+
+
+def match_feed_table(spark: SparkSession, stream: DataFrame, available_now: bool = True,
+                     dirs: dict[str, str] | None = None) -> DataFrame:
+    """Run the match feed to completion and return the resulting table."""
+    dirs = dirs or scratch_dirs(spark, "match-feed")
+    feed_matches(stream, dirs, available_now).awaitTermination()
+    cur = read_table(spark, dirs["table_path"])
     if cur is None:
-        return spark.createDataFrame([], stream.schema)
-    return cur.drop("_batch")
+        return spark.createDataFrame([], match_snapshots(spark.createDataFrame([], stream.schema)).schema).drop("_seq")
+    return cur.select(*MATCH_COLUMNS)
 
 
 def scorecard_batch(cards: DataFrame, batch_id: int, *, innings_path: str, stats_path: str,
@@ -128,5 +170,19 @@ def windowed_quota(events: DataFrame, key: str = "user_id", ts: str = "ts", peri
     agg = (events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
            .groupBy(F.window(ts, period, slide), F.col(key))
            .agg(F.count(F.lit(1)).alias("in_window")))
+    # a window's count is final once the watermark has passed it; see quota_table
     return agg.select(F.col("window.end").alias("window_end"), key, "in_window",
                       F.greatest(F.lit(0), F.lit(max_calls) - F.col("in_window")).cast("long").alias("remaining"))
+
+
+def quota_table(events: DataFrame, dirs: dict[str, str], key: str = "user_id", available_now: bool = True,
+                **how) -> StreamingQuery:
+    """T6 kept as a table: every trigger upserts the windows that changed, so
+    the windows still open are there too, with their count so far."""
+    def fn(df: DataFrame, batch_id: int) -> None:
+        upsert_batch(df.withColumn("_seq", F.lit(0)), batch_id, table_path=dirs["table_path"],
+                     rejects_path=dirs["rejects_path"], key=["window_end", key], immutable=[],
+                     mutable=["in_window", "remaining"], order=["_seq"], validate=None, source="quota")
+    w = windowed_quota(events, key=key, **how).writeStream.outputMode("update").foreachBatch(fn) \
+        .option("checkpointLocation", dirs["checkpoint"])
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=POLL_INTERVAL)).start()

@@ -20,7 +20,9 @@ def test_stream_equals_batch_over_file_splits(spark, scratch):
     orders.filter("o_orderkey % 3 = 2").unionByName(again).write.parquet(f"{src}/part=2")
     stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1) \
         .parquet(f"{src}/part=*/*.parquet")
-    got = {r["match_id"]: r.asDict() for r in feed.match_feed_table(spark, fx.project_matches(stream)).collect()}
+    rows = fx.project_matches(stream).withColumn(
+        "_seq", F.when(F.col("status") == "completed", 1).otherwise(0))   # a later line of the same poll
+    got = {r["match_id"]: r.asDict() for r in feed.match_feed_table(spark, rows).collect()}
     first = {r["match_id"]: r.asDict() for r in fx.project_matches(orders).collect()}
     last_orders = orders.withColumn(
         "o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, F.lit("F")).otherwise(F.col("o_orderstatus")))
@@ -78,3 +80,30 @@ def test_windowed_quota_stream(spark, scratch):
     got = {r["window_end"].second + 60 * r["window_end"].minute: r["in_window"]
            for r in spark.read.parquet(f"{out}/o").collect()}
     assert got == {60: 3, 120: 1}          # windows closed by the watermark (max ts 400 s - 2 min)
+
+
+def test_a_later_poll_wins_within_and_across_batches(spark, scratch):
+    dirs = {"table_path": f"{scratch}/t", "rejects_path": f"{scratch}/r", "checkpoint": f"{scratch}/c"}
+    cols = "match_id string, name string, venue string, match_date string, team1 string, team2 string, " \
+           "winner string, status string, fetched_at timestamp"
+
+    def poll(minute, key, status, folder):
+        import datetime as dt
+        row = (key, "A vs B", "G", "2024-05-01", "A", "B", "", status, dt.datetime(2024, 5, 1, 10, minute))
+        spark.createDataFrame([row], cols).write.mode("append").parquet(folder)
+    src = f"{scratch}/src"
+    for k in range(6):
+        poll(1, str(k), "completed", src)
+        poll(0, str(k), "Scheduled", src)
+    stream = spark.readStream.schema(cols).parquet(src)
+    first = feed.match_feed_table(spark, stream, dirs=dirs)
+    assert {(r.match_id, r.status, r.fetched_at.minute) for r in first.collect()} == {(str(k), "completed", 1) for k in range(6)}
+    import glob
+    before = {f: os.path.getmtime(f) for f in glob.glob(f"{scratch}/t/_part=*/*.parquet")}
+    poll(5, "3", "abandoned", src)
+    poll(0, "4", "late, but older", src)
+    feed.match_feed_table(spark, spark.readStream.schema(cols).parquet(src), dirs=dirs)
+    got = {r.match_id: (r.status, r.fetched_at.minute) for r in spark.read.parquet(f"{scratch}/t").collect()}
+    assert got == {**{str(k): ("completed", 1) for k in range(6)}, "3": ("abandoned", 5)}
+    after = set(glob.glob(f"{scratch}/t/_part=*/*.parquet"))
+    assert len(after) == len(before) and len(after & set(before)) >= len(before) - 2   # only touched parts are replaced
