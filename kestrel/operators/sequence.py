@@ -131,17 +131,31 @@ def hist_sum(hist: Column, field: str, max_len: int) -> Column:
     return tail_sum(hist, field, max_len)
 
 
-def _asof(states: DataFrame, keys: Sequence[str], day: str, spine: DataFrame, spine_day: str,
-          state_cols: Sequence[str], upper: int) -> DataFrame:
-    s = states.select(*keys, F.col(day).alias("_d"),
-                      F.struct(*[F.col(c) for c in state_cols]).alias("_st"))
-    q = spine.select(*keys, F.col(spine_day).alias("_d")).distinct().withColumn("_q", F.lit(True))
-    both = q.join(s, [*keys, "_d"], "full")
-    w = Window.partitionBy(*keys).orderBy("_d").rowsBetween(Window.unboundedPreceding, upper)
-    looked = both.withColumn("_prior", F.last(F.col("_st"), ignorenulls=True).over(w)) \
-                 .filter(F.col("_q").isNotNull())
+def asof_tables(states: Sequence[tuple[DataFrame, str, Sequence[str], bool]], keys: Sequence[str], spine: DataFrame,
+                spine_day: str) -> DataFrame:
+    """As-of lookups in several state tables at once: for each distinct (keys,
+    spine_day) of ``spine``, from each (table, day column, columns, strict) its
+    last row before the day (or, not strict, up to it).
+
+    Days and states are stacked and read in order per key: one shuffle, no join.
+    Everything is reduced to (entity, day) first, so the window's input is
+    bounded by entities x days, never by the fact table."""
+    def stacked(df: DataFrame, day: str, place: int, own: int | None) -> DataFrame:
+        cols = []
+        for k, (t, _, names, _) in enumerate(states):
+            kind = t.select(F.struct(*names)).schema[0].dataType
+            cols.append((F.struct(*names) if k == own else F.lit(None).cast(kind)).alias(f"_s{k}"))
+        return df.select(*keys, F.col(day).alias("_d"), F.lit(place).alias("_place"), *cols)
+
+    # of one day: what a strict lookup must not see comes after the query, the rest before it
+    both = stacked(spine.select(*keys, spine_day).distinct(), spine_day, 1, None)
+    for k, (t, day, _, strict) in enumerate(states):
+        both = both.unionByName(stacked(t, day, 2 if strict else 0, k))
+    w = Window.partitionBy(*keys).orderBy("_d", "_place").rowsBetween(Window.unboundedPreceding, 0)
+    looked = both.select(*keys, "_d", "_place", *[F.last(f"_s{k}", ignorenulls=True).over(w).alias(f"_s{k}")
+                                                  for k in range(len(states))]).filter("_place = 1")
     return looked.select(*keys, F.col("_d").alias(spine_day),
-                         *[F.col("_prior")[c].alias(c) for c in state_cols])
+                         *[F.col(f"_s{k}.{c}").alias(c) for k, (_, _, names, _) in enumerate(states) for c in names])
 
 
 def asof_before(states: DataFrame, keys: Sequence[str], day: str, spine: DataFrame,
@@ -153,10 +167,10 @@ def asof_before(states: DataFrame, keys: Sequence[str], day: str, spine: DataFra
     to (entity, day) before the per-entity window, so the window input is
     bounded by entities x days, never by the fact table.
     """
-    return _asof(states, keys, day, spine, spine_day, state_cols, -1)
+    return asof_tables([(states, day, state_cols, True)], keys, spine, spine_day)
 
 
 def asof_upto(states: DataFrame, keys: Sequence[str], day: str, spine: DataFrame,
               spine_day: str, state_cols: Sequence[str]) -> DataFrame:
     """As :func:`asof_before` but including a state dated on the spine day."""
-    return _asof(states, keys, day, spine, spine_day, state_cols, 0)
+    return asof_tables([(states, day, state_cols, False)], keys, spine, spine_day)

@@ -19,7 +19,7 @@ is needed. Sums are in exact hundredths.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.numeric import cents_ratio_round
@@ -27,21 +27,17 @@ from kestrel.operators import players as pl
 from kestrel.operators import sequence as seq
 
 
-def _day_states(states: DataFrame, value: str, out_team: str, out_val: str) -> DataFrame:
-    """(player, day, team, value in hundredths) from per-day end states."""
-    return states.select("player_name", "match_date", F.col("team").alias(out_team),
-                         F.rint(F.col(value) * 100).cast("long").alias(out_val))
-
-
-def strength_deltas(bat_days: DataFrame, bowl_days: DataFrame) -> DataFrame:
-    """(team, eff_day, d_n, d_bat, d_eco, d_eco_n) contributions."""
-    b = _day_states(bat_days, "rolling_avg_runs", "bt", "bat_c")
-    w = _day_states(bowl_days, "rolling_avg_economy", "wt", "eco_c")
-    ev = b.join(w, ["player_name", "match_date"], "full")
+def strength_deltas(day_states: DataFrame) -> DataFrame:
+    """(team, eff_day, d_n, d_bat, d_eco, d_eco_n) contributions of the states
+    (player_name, role, match_date, team, v)."""
+    def of(role: str, team: str, value: str):
+        return F.max(F.when(F.col("role") == role, F.struct(F.col("team").alias(team), F.col("v").alias(value))))
+    ev = day_states.groupBy("player_name", "match_date").agg(
+        of("batting", "bt", "bat_c").alias("_b"), of("bowling", "wt", "eco_c").alias("_w"))
     wp = Window.partitionBy("player_name").orderBy("match_date")
     upto = wp.rowsBetween(Window.unboundedPreceding, 0)
-    bat_st = F.last(F.when(F.col("bt").isNotNull(), F.struct("bt", "bat_c")), ignorenulls=True).over(upto)
-    bowl_st = F.last(F.when(F.col("wt").isNotNull(), F.struct("wt", "eco_c")), ignorenulls=True).over(upto)
+    bat_st = F.last("_b", ignorenulls=True).over(upto)
+    bowl_st = F.last("_w", ignorenulls=True).over(upto)
     st = ev.select("player_name", "match_date", bat_st.alias("b"), bowl_st.alias("w"),
                    F.lead("match_date").over(wp).alias("next_day"))
     teams = F.array_distinct(F.filter(F.array(F.col("b.bt"), F.col("w.wt")), lambda t: t.isNotNull()))
@@ -66,7 +62,7 @@ def strength_deltas(bat_days: DataFrame, bowl_days: DataFrame) -> DataFrame:
 
 def strength_states(stats: DataFrame, matches: DataFrame) -> DataFrame:
     """(team, eff_day, n, bat, eco, eco_n): totals valid from eff_day on."""
-    deltas = strength_deltas(pl.batting_day_states(stats, matches), pl.bowling_day_states(stats, matches))
+    deltas = strength_deltas(pl.role_day_states(stats, matches))
     w = Window.partitionBy("team").orderBy("eff_day").rowsBetween(Window.unboundedPreceding, 0)
     return deltas.select("team", "eff_day",
                          F.sum("d_n").over(w).alias("n"), F.sum("d_bat").over(w).alias("bat"),
@@ -75,9 +71,14 @@ def strength_states(stats: DataFrame, matches: DataFrame) -> DataFrame:
 
 def team_strength_asof(stats: DataFrame, matches: DataFrame, sides: DataFrame) -> DataFrame:
     """For each distinct (team, match_date) of ``sides``: bat_avg, bowl_eco."""
-    looked = seq.asof_upto(strength_states(stats, matches), ["team"], "eff_day", sides, "match_date",
-                           ["n", "bat", "eco", "eco_n"])
-    return looked.select(
-        "team", "match_date",
-        F.when(F.col("n") > 0, cents_ratio_round("bat", "n", 2)).otherwise(F.lit(0.0)).alias("bat_avg"),
-        F.when(F.col("eco_n") > 0, cents_ratio_round("eco", "eco_n", 2)).otherwise(F.lit(0.0)).alias("bowl_eco"))
+    looked = seq.asof_upto(strength_states(stats, matches), ["team"], "eff_day", sides, "match_date", STATE)
+    return looked.select("team", "match_date", *strength_columns())
+
+
+STATE = ["n", "bat", "eco", "eco_n"]
+
+
+def strength_columns() -> list[Column]:
+    """bat_avg and bowl_eco from the totals of :data:`STATE`."""
+    return [F.when(F.col("n") > 0, cents_ratio_round("bat", "n", 2)).otherwise(F.lit(0.0)).alias("bat_avg"),
+            F.when(F.col("eco_n") > 0, cents_ratio_round("eco", "eco_n", 2)).otherwise(F.lit(0.0)).alias("bowl_eco")]

@@ -7,8 +7,10 @@ flags (F12), plus the target for C10.
 Plan shape: every feature family is first reduced to a lookup table keyed by
 (entity, day) or (entity, venue) -- its size is bounded by entities x
 calendar days, not by the number of matches -- and the spine is joined to
-those tables. With AQE the lookups become broadcast hash joins chosen on
-measured sizes, so the spine is read once and never shuffled.
+five of them: one per team with form, strength and toss record as of the day,
+one per team with the venue record, one with the pair's record. Where AQE
+measures a table as small the join becomes a broadcast hash join; otherwise the
+spine is shuffled by its keys.
 """
 
 from __future__ import annotations
@@ -60,42 +62,37 @@ def build_features(matches: DataFrame, stats: DataFrame, spine: DataFrame,
                       *[F.col(k).alias(f"_keep_{k}") for k in keep])
     sides = sp.select(F.explode(F.array("team1", "team2")).alias("team"), "match_date")
 
-    # J6 form as of the day
-    form_t = seq.asof_before(fm.form_states(matches), ["team"], "match_date", sides, "match_date",
-                             ["rolling_win_rate", "streak"])
+    # J6 form and J9 strength as of the day, for every team and day at once
+    team_t = seq.asof_tables([(fm.form_states(matches), "match_date", ["rolling_win_rate", "streak"], True),
+                              (stg.strength_states(stats, matches), "eff_day", stg.STATE, False)],
+                             ["team"], sides, "match_date")
+    team_t = team_t.select("team", "match_date", "rolling_win_rate", "streak", *stg.strength_columns())
     # J7 head-to-head as of the day
     lo, hi = F.least("team1", "team2"), F.greatest("team1", "team2")
     sp = sp.withColumn("_lo", lo).withColumn("_hi", hi)
     pair_q = sp.select(F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), "match_date")
     h2h_t = seq.asof_before(mu.pair_states(matches), ["lo", "hi"], "match_date", pair_q, "match_date",
                             ["cum_total", "cum_lo_wins", "cum_hi_wins"])
-    # J9 strength as of the day
-    str_t = stg.team_strength_asof(stats, matches, sides)
+    if history == "before":
+        venue_t, toss_t = _venue_toss_before(matches, sp)
+        team_t = team_t.join(toss_t, ["team", "match_date"], "left")
+        venue_key = ["team", "venue", "match_date"]
+    else:
+        venue_t, toss_t = mu.venue_stats(matches), mu.toss_impact(matches).select("team", "toss_advantage")
+        team_t = team_t.join(toss_t, "team", "left")
+        venue_key = ["team", "venue"]
 
     out = sp
     for n in ("1", "2"):
-        out = _side_lookup(out, form_t, {"team": f"team{n}", "match_date": "match_date"},
-                           {"rolling_win_rate": f"team{n}_win_rate", "streak": f"team{n}_streak"})
-        out = _side_lookup(out, str_t, {"team": f"team{n}", "match_date": "match_date"},
-                           {"bat_avg": f"team{n}_bat_avg", "bowl_eco": f"team{n}_bowl_eco"})
+        out = _side_lookup(out, team_t, {"team": f"team{n}", "match_date": "match_date"},
+                           {"rolling_win_rate": f"team{n}_win_rate", "streak": f"team{n}_streak",
+                            "bat_avg": f"team{n}_bat_avg", "bowl_eco": f"team{n}_bowl_eco",
+                            "toss_advantage": f"team{n}_toss_advantage"})
+        out = _side_lookup(out, venue_t, {k: f"team{n}" if k == "team" else k for k in venue_key},
+                           {"venue_win_rate": f"team{n}_venue_win_rate"})
     out = _side_lookup(out, h2h_t, {"lo": "_lo", "hi": "_hi", "match_date": "match_date"},
                        {"cum_total": "_h_total", "cum_lo_wins": "_h_lo", "cum_hi_wins": "_h_hi"})
 
-    if history == "before":
-        venue_t, toss_t = _venue_toss_before(matches, sp)
-        for n in ("1", "2"):
-            out = _side_lookup(out, venue_t, {"team": f"team{n}", "venue": "venue", "match_date": "match_date"},
-                               {"venue_win_rate": f"team{n}_venue_win_rate"})
-            out = _side_lookup(out, toss_t, {"team": f"team{n}", "match_date": "match_date"},
-                               {"toss_advantage": f"team{n}_toss_advantage"})
-    else:
-        venue_t, toss_t = mu.venue_stats(matches), mu.toss_impact(matches)
-        for n in ("1", "2"):
-            out = _side_lookup(out, venue_t, {"team": f"team{n}", "venue": "venue"},
-                               {"venue_win_rate": f"team{n}_venue_win_rate"})
-            out = _side_lookup(out, toss_t, {"team": f"team{n}"},
-                               {"toss_advantage": f"team{n}_toss_advantage"})
-
     c = F.col
     total = F.coalesce(c("_h_total"), F.lit(0).cast("long"))
     share = F.when(c("team1") == c("_lo"), c("_h_lo")).otherwise(c("_h_hi")) / c("_h_total")
