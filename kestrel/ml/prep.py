@@ -10,6 +10,7 @@ are taken within buckets (:func:`global_rank`).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
@@ -25,6 +26,7 @@ FINAL_FIT_SHARE = 0.85
 N_FOLDS = 5
 SEED = 42
 IMBALANCE_WARN = 0.1
+ROWS_PER_BUCKET = 20_000
 
 
 def assemble(df: DataFrame, cols: Sequence[str] = FEATURE_COLS, out: str = "features") -> DataFrame:
@@ -49,18 +51,33 @@ def global_rank(df: DataFrame, bucket: Column, order: Sequence[Column], part: Se
 def time_split(matrix: DataFrame, share: float = TRAIN_SHARE, date_col: str = "match_date",
                tiebreak: str = "match_id") -> DataFrame:
     """M2: ``is_train`` for the first int(share * n) rows by (date, id). The
-    cut is fitted once (a count) and applied as a literal."""
-    cut = int(matrix.count() * share)
-    ranked = global_rank(matrix, F.col(date_col), [F.col(tiebreak)])
-    return ranked.withColumn("is_train", F.col("_rank") <= F.lit(cut)).drop("_rank")
+    day that the cut falls in comes from the rows per day (a calendar's length);
+    only that day's ids are ordered. The cut is applied as literals."""
+    days = matrix.groupBy(F.col(date_col).alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()
+    left = int(sum(r["n"] for r in days) * share)
+    for r in days:
+        if left < r["n"]:
+            break
+        left -= r["n"]
+    else:
+        return matrix.withColumn("is_train", F.lit(True))
+    day = F.col(date_col).eqNullSafe(F.lit(r["d"]))
+    before = F.col(date_col).isNull() if r["d"] is None else F.coalesce(F.col(date_col) < F.lit(r["d"]), F.lit(True))
+    first = F.lit(False)
+    if left:
+        last = matrix.where(day).select(tiebreak).orderBy(tiebreak).limit(left).agg(F.max(tiebreak)).head()[0]
+        first = F.col(tiebreak) <= F.lit(last)
+    return matrix.withColumn("is_train", F.when(day, first).otherwise(before if r["d"] is not None else F.lit(False)))
 
 
 def stratified_folds(df: DataFrame, label: str = TARGET_COL, key: str = "match_id", k: int = N_FOLDS,
                      seed: int = SEED) -> DataFrame:
     """M8: fold = (position within its class in md5(key, seed) order - 1) % k,
-    so every fold gets the same share of each class (+-1 row)."""
+    so every fold gets the same share of each class (+-1 row). The hash prefix
+    that deals the rows into windows grows with their number."""
+    digits = max(3, math.ceil(math.log(max(df.count(), 1) / ROWS_PER_BUCKET + 1, 16)))
     h = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
-    r = global_rank(df.withColumn("_h", h), F.substring("_h", 1, 3), [F.col("_h")], part=[label])
+    r = global_rank(df.withColumn("_h", h), F.substring("_h", 1, digits), [F.col("_h")], part=[label])
     return r.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_h")
 
 

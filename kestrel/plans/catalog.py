@@ -642,9 +642,13 @@ def q_importances(spark, sf_dir):
 def q_live_probs(spark, sf_dir):
     m = dm.matches(spark, sf_dir)
     st = dm.player_stats(spark, sf_dir, m)
-    train, _, stats, weights = mtrain.prepared(_matrix(spark, sf_dir))
-    lr = mtrain.train_logistic(train, stats, weights)
+    train, test, stats, weights = mtrain.prepared(_matrix(spark, sf_dir))
+    lr, gbt = mtrain.train_logistic(train, stats, weights), mtrain.train_gbt(train, weights, grid="small")
+    a = mt.binary_metrics(mtrain.score_logistic(lr, test, stats), "team1_won", model="baseline").head()["auc"]
+    b = mt.binary_metrics(mtrain.score_gbt(gbt, test), "team1_won", model="boosted").head()["auc"]
     live = feat.live_features(m, st)
+    if b > a:   # M13: the boosted model has to be strictly better
+        return mtrain.win_probabilities(mtrain.score_gbt(gbt, live), "boosted")
     return mtrain.win_probabilities(mtrain.score_logistic(lr, live, stats), "baseline")
 
 

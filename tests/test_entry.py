@@ -19,6 +19,21 @@ def con():
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_matrix():
+    """The model queries share the feature matrix that each of them would build."""
+    from kestrel.plans import catalog
+    build, held = catalog._matrix, {}
+
+    def shared(spark, sf_dir):
+        if sf_dir not in held:
+            held[sf_dir] = build(spark, sf_dir)
+        return held[sf_dir]
+    catalog._matrix = shared
+    yield
+    catalog._matrix = build
+
+
 def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "team1_won" in df.columns
