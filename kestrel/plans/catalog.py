@@ -729,3 +729,118 @@ def q_mixed_dates(spark, sf_dir):
 def q_head_tail(spark, sf_dir):
     train, _, stats, weights = mtrain.prepared(_matrix(spark, sf_dir))
     return reports.head_tail(mtrain.coefficient_table(mtrain.train_logistic(train, stats, weights)), "coefficient")
+
+
+# ---- sources and sinks written and read back; applied preparation ---------------------------
+
+
+def _damaged_matrix(spark, sf_dir):
+    """The feature matrix with values blanked by key, so that reports and fills have work."""
+    k = F.col("match_id")
+    return _matrix(spark, sf_dir).withColumn("team1_win_rate", F.when(k % 17 == 0, F.lit(None)).otherwise(F.col("team1_win_rate"))) \
+        .withColumn("bowl_eco_diff", F.when(k % 5 == 0, F.lit(None)).otherwise(F.col("bowl_eco_diff")))
+
+
+@register("A18_null_report_of_damaged_matrix")
+def q_damaged_nulls(spark, sf_dir):
+    return prep.null_report(_damaged_matrix(spark, sf_dir), ["team1_win_rate", "team2_win_rate", "bowl_eco_diff"])
+
+
+@register("P13_median_fill_applied")
+def q_filled(spark, sf_dir):
+    return prep.median_fill(_damaged_matrix(spark, sf_dir)).select("match_id", "team1_win_rate", "bowl_eco_diff")
+
+
+@register("M1_M3_scaled_vector")
+def q_scaled(spark, sf_dir):
+    """The standardised features as one vector (M1), read back by position."""
+    from pyspark.ml.functions import vector_to_array
+    split = prep.time_split(_matrix(spark, sf_dir))
+    stats = prep.scale_stats(split.filter(F.col("is_train")))
+    v = vector_to_array(F.col("features"))
+    r = prep.assemble(prep.standardise(split, stats))
+    return r.select("match_id", F.size(v).alias("n"), *[F.round(v[k], 6).alias(f"z{k}") for k in (0, 7, 19)])
+
+
+@register("M13_better_of_two_scores")
+def q_better(spark, sf_dir):
+    """M13 on two deterministic scores: the form difference, and the same reversed."""
+    t = _heuristic_test(spark, sf_dir)
+    both = mt.binary_metrics(t, "team1_won", model="form").unionByName(
+        mt.binary_metrics(t.withColumn("score", F.lit(1.0) - F.col("score")), "team1_won", model="reversed"))
+    return mt.compare_models(both, "form", "reversed")
+
+
+@register("S1_S3_csv_history_typed")
+def q_csv(spark, sf_dir):
+    """The ball log as CSV with capitalised headers and, in every 97th match, a
+    run count that is no number: written, read back, typed."""
+    from kestrel.sources import csv
+    return csv.read_deliveries_csv(spark, _csv_history(spark, sf_dir)).select(
+        "match_id", "ball", "batting_team", "batter", "bowler", "batsman_runs", "total_runs")
+
+
+def _csv_history(spark, sf_dir):
+    folder = feedmod.scratch_dirs(spark, "csv")["table_path"]
+    d = dm.deliveries(spark, sf_dir).drop("match_date")
+    bad = (F.col("match_id") % 97 == 0) & (F.col("ball") == 1)
+    d = d.withColumn("batsman_runs", F.when(bad, "x").otherwise(F.col("batsman_runs").cast("string")))
+    d.toDF(*[c.replace("_", " ").title() for c in d.columns]).write.option("header", True).csv(folder)
+    return folder
+
+
+@register("S2_K4_csv_history_rejects")
+def q_csv_rejects(spark, sf_dir):
+    from kestrel.sources import csv
+    r = csv.delivery_rejects(spark, _csv_history(spark, sf_dir))
+    return r.select("source", "error_message", F.get_json_object("raw_data", "$.match_id").cast("long").alias("match_id"))
+
+
+@register("S7_S8_K5_K6_replaced_table")
+def q_replaced(spark, sf_dir):
+    """A table loaded once (a second load finds it filled), then replaced, and read back."""
+    path = feedmod.scratch_dirs(spark, "replaced")["table_path"]
+    m = dm.matches(spark, sf_dir).select("match_id", "name", "status")
+    first = up.load_once(path, spark, lambda: m.where("match_id % 2 = 0"))
+    again = up.load_once(path, spark, lambda: m.limit(0))
+    loaded = up.read_current(spark, path)
+    up.replace_table(loaded.where("match_id % 3 = 0").withColumn("status", F.upper("status")), path)
+    return up.read_current(spark, path).withColumn("first_load", F.lit(first)).withColumn("second_load", F.lit(again))
+
+
+@register("P9_card_of_one_match")
+def q_one_card(spark, sf_dir):
+    """The batting and bowling card of one match, found by key."""
+    st = dm.player_stats(spark, sf_dir)
+    last = dm.matches(spark, sf_dir).where("winner <> ''").agg(F.max("match_id")).head()[0]
+    bat = reports.match_batting_card(st, last).select(F.lit("batting").alias("role"), "player_name", "team", F.col("runs").alias("points"))
+    bowl = reports.match_bowling_card(st, last).select(F.lit("bowling").alias("role"), "player_name", "team",
+                                                       F.col("wickets").alias("points"))
+    return bat.unionByName(bowl)
+
+
+@register("F21_live_prompts")
+def q_live_prompts(spark, sf_dir):
+    """F21 for the innings in progress: every innings of an unfinished match."""
+    m = dm.matches(spark, sf_dir)
+    inn = scorecards.innings_lines(dm.deliveries(spark, sf_dir, m))
+    rows = feat.unfinished(m).select("match_id", "team1", "team2").join(inn, "match_id")
+    odd = F.col("match_id") % 2 == 1
+    rows = rows.withColumn("batting_team", F.regexp_replace("inning_name", " innings$", "")) \
+        .withColumn("team1_win_prob", F.lit(55.5)).withColumn("team2_win_prob", F.lit(44.5)) \
+        .withColumn("required_rate", F.when(odd, F.lit(8.125))).withColumn("current_rate", F.when(odd, F.lit(7.5)))
+    return pr.live_prompts(rows)
+
+
+@register("C20_matrix_quality_report")
+def q_quality_report(spark, sf_dir):
+    """C20 as one long frame: nulls, target shares and rule violations of the matrix."""
+    m = _damaged_matrix(spark, sf_dir)
+    nulls = prep.null_report(m, ["team1_win_rate", "team2_win_rate", "bowl_eco_diff"]).select(
+        F.lit("nulls").alias("section"), F.col("column").alias("item"), F.col("null_count").cast("double").alias("value"))
+    checks = quality.matrix_checks(m).select(F.lit("violations").alias("section"), F.col("rule").alias("item"),
+                                             F.col("violations").cast("double").alias("value"))
+    size = m.agg(F.count("*").cast("double").alias("value")).select(F.lit("size").alias("section"), F.lit("rows").alias("item"), "value")
+    won = m.groupBy("team1_won").agg(F.count("*").cast("double").alias("value")).select(
+        F.lit("target").alias("section"), F.col("team1_won").cast("string").alias("item"), "value")
+    return size.unionByName(won).unionByName(nulls).unionByName(checks)

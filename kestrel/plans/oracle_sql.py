@@ -957,3 +957,72 @@ SELECT match_id, CASE match_id % 8 WHEN 0 THEN strftime(match_date, '%Y-%m-%d')
     WHEN 4 THEN strftime(match_date, '%Y-%m-%d') || 'T14:00Z' WHEN 5 THEN strftime(match_date, '%Y-%m-%d') || ' 20:00:00'
     WHEN 6 THEN strftime(match_date, '%-d %b %Y') ELSE 'no date' END AS date_text,
   CASE WHEN match_id % 8 = 7 THEN NULL ELSE match_date END AS parsed FROM matches"""
+
+# ---- sources and sinks written and read back; applied preparation --------------------------
+
+_DAMAGED = """dmg AS (SELECT * REPLACE (CASE WHEN match_id % 17 = 0 THEN NULL ELSE team1_win_rate END AS team1_win_rate,
+                         CASE WHEN match_id % 5 = 0 THEN NULL ELSE bowl_eco_diff END AS bowl_eco_diff) FROM fm)"""
+_NULL_COLS = ["team1_win_rate", "team2_win_rate", "bowl_eco_diff"]
+
+ORACLE["A18_null_report_of_damaged_matrix"] = with_ctes(*_FM_MATRIX, _DAMAGED) + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", COUNT(*) - COUNT({c}) AS null_count, {RR(f'(COUNT(*) - COUNT({c})) * 100', 'COUNT(*)', 2)} "
+    f"AS null_pct FROM dmg HAVING COUNT(*) > COUNT({c})" for c in _NULL_COLS)
+
+ORACLE["P13_median_fill_applied"] = with_ctes(*_FM_MATRIX, _DAMAGED) + """
+SELECT match_id,
+  COALESCE(team1_win_rate, (SELECT quantile_cont(CAST(team1_win_rate AS DOUBLE), 0.5) FROM dmg)) AS team1_win_rate,
+  COALESCE(bowl_eco_diff, (SELECT quantile_cont(CAST(bowl_eco_diff AS DOUBLE), 0.5) FROM dmg)) AS bowl_eco_diff
+FROM dmg"""
+
+ORACLE["M1_M3_scaled_vector"] = with_ctes(*_FM_MATRIX) + "SELECT match_id, 20 AS n, " + ", ".join(
+    f"""round((CAST({_FC[k]} AS DOUBLE) - (SELECT avg(CAST({_FC[k]} AS DOUBLE)) FROM sp WHERE is_train))
+  / (SELECT CASE WHEN stddev_pop(CAST({_FC[k]} AS DOUBLE)) = 0 THEN 1.0 ELSE stddev_pop(CAST({_FC[k]} AS DOUBLE)) END
+     FROM sp WHERE is_train), 6) AS z{k}""" for k in (0, 7, 19)) + " FROM sp"
+
+ORACLE["M13_better_of_two_scores"] = with_ctes(*_FM_MATRIX, """pairs AS (
+  SELECT p.score AS sp_, n.score AS sn_ FROM tst p, tst n WHERE p.team1_won = 1 AND n.team1_won <> 1)""", """aucs AS (
+  SELECT round_even(avg(CASE WHEN sp_ > sn_ THEN 1.0 WHEN sp_ = sn_ THEN 0.5 ELSE 0.0 END), 3) AS a,
+         round_even(avg(CASE WHEN 1.0 - sp_ > 1.0 - sn_ THEN 1.0 WHEN 1.0 - sp_ = 1.0 - sn_ THEN 0.5 ELSE 0.0 END), 3) AS b
+  FROM pairs)""") + """
+SELECT CASE WHEN b > a THEN 'reversed' ELSE 'form' END AS better_model, a AS auc_form, b AS auc_reversed FROM aucs"""
+
+ORACLE["S1_S3_csv_history_typed"] = with_ctes(CTE_MATCHES, CTE_DELIVERIES) + """
+SELECT match_id, ball, batting_team, batter, bowler, batsman_runs, total_runs FROM deliveries
+WHERE NOT (match_id % 97 = 0 AND ball = 1)"""
+
+ORACLE["S2_K4_csv_history_rejects"] = with_ctes(CTE_MATCHES, CTE_DELIVERIES) + """
+SELECT 'history' AS source, 'Cannot coerce batsman_runs: x' AS error_message, match_id FROM deliveries
+WHERE match_id % 97 = 0 AND ball = 1"""
+
+ORACLE["S7_S8_K5_K6_replaced_table"] = with_ctes(CTE_MATCHES) + """
+SELECT match_id, name, upper(status) AS status, true AS first_load, false AS second_load
+FROM matches WHERE match_id % 6 = 0"""
+
+ORACLE["P9_card_of_one_match"] = with_ctes(*STATS_BASE) + """
+SELECT role, player_name, team, CASE role WHEN 'batting' THEN runs ELSE wickets END AS points FROM player_stats
+WHERE match_id = (SELECT MAX(match_id) FROM matches WHERE winner <> '')
+  AND (role = 'batting' AND balls_faced > 0 OR role = 'bowling' AND overs_bowled > 0)"""
+
+ORACLE["F21_live_prompts"] = with_ctes(*STATS_BASE, _INNINGS) + """
+SELECT i.match_id, concat_ws(chr(10),
+  'Describe the state of a running cricket match in one sentence of thirty words or fewer, from this sheet alone.', '',
+  'fixture: ' || team1 || ' v ' || team2,
+  'batting: ' || replace(inning_name, ' innings', '') || ', ' || runs || ' for ' || wickets || ' after ' || o || '.' || b || ' overs',
+  'chance of winning, percent: ' || team1 || ' 55.5, ' || team2 || ' 44.5',
+  CASE WHEN i.match_id % 2 = 1 THEN 'runs an over: 8.12 needed, 7.50 so far' ELSE '' END, '',
+  'Name the score of the batting side and how the chances stand. Lively wording, true to the numbers.') AS prompt
+FROM inn i JOIN matches m ON m.match_id = i.match_id WHERE status NOT IN ('completed', 'Completed', 'Result')"""
+
+ORACLE["C20_matrix_quality_report"] = with_ctes(*_FM_MATRIX, _DAMAGED) + """
+SELECT 'size' AS section, 'rows' AS item, CAST(COUNT(*) AS DOUBLE) AS value FROM dmg
+UNION ALL SELECT 'target', CAST(team1_won AS VARCHAR), CAST(COUNT(*) AS DOUBLE) FROM dmg GROUP BY team1_won
+UNION ALL SELECT 'nulls', 'team1_win_rate', CAST(COUNT(*) AS DOUBLE) FROM dmg WHERE team1_win_rate IS NULL HAVING COUNT(*) > 0
+UNION ALL SELECT 'nulls', 'bowl_eco_diff', CAST(COUNT(*) AS DOUBLE) FROM dmg WHERE bowl_eco_diff IS NULL HAVING COUNT(*) > 0
+UNION ALL SELECT 'violations', 'v4_team1_win_rate_range', CAST(COUNT(*) AS DOUBLE) FROM dmg
+  WHERE team1_win_rate IS NULL OR team1_win_rate NOT BETWEEN 0 AND 1
+UNION ALL SELECT 'violations', 'v4_team2_win_rate_range', CAST(COUNT(*) AS DOUBLE) FROM dmg WHERE team2_win_rate NOT BETWEEN 0 AND 1
+UNION ALL SELECT 'violations', 'v5_team1_streak_range', CAST(COUNT(*) AS DOUBLE) FROM dmg WHERE team1_streak NOT BETWEEN -10 AND 10
+UNION ALL SELECT 'violations', 'v6_duplicate_match_id', CAST(COUNT(*) - COUNT(DISTINCT match_id) AS DOUBLE) FROM dmg
+UNION ALL SELECT 'violations', 'v7_target_domain', CAST(COUNT(*) AS DOUBLE) FROM dmg WHERE team1_won NOT IN (0, 1)
+UNION ALL SELECT 'violations', 'v7_h2h_complement', CAST(COUNT(*) AS DOUBLE) FROM dmg
+  WHERE round(team1_h2h_win_rate + team2_h2h_win_rate, 2) <> 1.0"""
