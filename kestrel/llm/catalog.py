@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrel.llm import decontaminate, fingerprints, jaccard_join, language_id, licenses, packing, sharding, token_counts, url_filter, warc
+from kestrel.llm import (decontaminate, fingerprints, jaccard_join, language_id, licenses, packing, sharding,
+                         token_counts, url_filter, warc)
+from kestrel.llm.oracle_sql import ORACLE  # noqa: F401  read by the driver entry
 from kestrel.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +34,3 @@ QUERIES: dict[str, Query] = {fn.__name__: _query(fn) for fn in (
     token_counts.op9_token_counts,
     packing.op10_packing,
 )}
-
-# DuckDB statements of the queries that SQL can express.
-ORACLE: dict[str, str] = {}
