@@ -38,7 +38,9 @@ BUCKET = 20_000
 
 def _bucketed_rank(rows: DataFrame, by: list[str], bucket: Column, order: list[str], name: str) -> DataFrame:
     """Add the 0-based rank within ``by`` in order of (bucket, order)."""
-    dealt = rows.withColumn("_bucket", bucket)
+    # dealt by key and bucket: rows that a join left dealt by the key alone would
+    # stay so, with all of a frequent key in one task
+    dealt = rows.withColumn("_bucket", bucket).repartition(*by, "_bucket")
     before = running_offsets(dealt, by, "_bucket", F.lit(1), "_before")
     inside = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order)) - 1
     return dealt.withColumn("_inside", inside).join(before, [*by, "_bucket"]) \
