@@ -127,9 +127,11 @@ def assign(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     missing = [total // shards + (s < total % shards) - load[s] for s in range(shards)]
 
     upto = F.sum("n").over(Window.partitionBy("link").orderBy("shard"))
-    keys = places.withColumn("upto", upto).groupBy("link").agg(
-        F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("places")) \
-        .join(rows.groupBy("link").agg(F.count("*").alias("all")).where(F.col("all") > 1), "link")
+    # a table of its own, so that the join below is one of two shuffles and Spark
+    # can split the rows of a frequent key
+    keys = cut(places.withColumn("upto", upto).groupBy("link").agg(
+        F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("places"))
+        .join(rows.groupBy("link").agg(F.count("*").alias("all")).where(F.col("all") > 1), "link"))
     tie = F.xxhash64("doc_id", "link")
     held = rows.join(keys, "link", "left")
     alone = held.where("places is null").withColumn("shard", F.lit(None).cast("int")).drop("places", "all")
