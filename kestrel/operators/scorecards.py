@@ -89,68 +89,49 @@ def bowling_card(deliveries: DataFrame, bowling_team: str = "batting",
 
 def player_stats(deliveries: DataFrame, bowling_team: str = "batting",
                  matches: DataFrame | None = None) -> DataFrame:
-    """Batting and bowling lines in the ``player_stats`` layout (the other
-    role's numbers are zero). Each ball counts once for its batter and once for
-    its bowler, so both cards come from one scan and one aggregate of the log."""
+    """Batting lines then bowling lines in the ``player_stats`` layout
+    (the other role's numbers are zero), typed as the stat table."""
     extra = ["match_date"] if "match_date" in deliveries.columns else []
-    bat, dis = detect_batter_col(deliveries.columns), detect_dismissal_col(deliveries.columns)
-    out = F.col(dis).isNotNull() if dis else F.lit(False)
-    side = F.array(
-        F.struct(F.lit("batting").alias("role"), F.col(bat).alias("player_name"), F.col("batsman_runs").alias("_r"),
-                 F.lit(False).alias("_w")),
-        F.struct(F.lit("bowling").alias("role"), F.col("bowler").alias("player_name"), F.col("total_runs").alias("_r"),
-                 out.alias("_w")))
-    rows = deliveries.select("match_id", *extra, F.col("batting_team").alias("team"), "ball", F.explode(side).alias("_s")) \
-        .select("match_id", *extra, "team", "ball", "_s.*") \
-        .filter("match_id IS NOT NULL AND player_name IS NOT NULL AND team IS NOT NULL")
-    g = rows.groupBy("match_id", *extra, "player_name", "team", "role").agg(
-        F.coalesce(F.sum("_r"), F.lit(0)).cast("int").alias("_runs"), F.count("ball").cast("int").alias("_balls"),
-        F.count_if(F.col("_r") == 4).cast("int").alias("_fours"), F.count_if(F.col("_r") == 6).cast("int").alias("_sixes"),
-        F.count_if("_w").cast("int").alias("_wickets"))
-    if bowling_team == "fielding":
-        if matches is None:
-            raise ValueError("bowling_team='fielding' needs matches")
-        m = matches.select("match_id", "team1", "team2")
-        other = F.when(F.col("team") == F.col("team1"), F.col("team2")).otherwise(F.col("team1"))
-        g = g.join(m, "match_id", "left").filter("role = 'batting' OR team1 IS NOT NULL OR team2 IS NOT NULL") \
-            .withColumn("team", F.when(F.col("role") == "bowling", other).otherwise(F.col("team"))).drop("team1", "team2")
-    batting = F.col("role") == "batting"
-    overs = round_half_even(F.col("_balls") / F.lit(6.0), 1)
-    per_over = F.col("_runs") / F.when(overs == 0, F.lit(1.0)).otherwise(overs)
-    def of(role, value, zero):
-        return F.when(role, value).otherwise(zero)
-    return g.select(
-        "match_id", *extra, "player_name", "team", "role",
-        of(batting, F.col("_runs"), F.lit(0)).alias("runs"), of(batting, F.col("_balls"), F.lit(0)).alias("balls_faced"),
-        of(batting, F.col("_fours"), F.lit(0)).alias("fours"), of(batting, F.col("_sixes"), F.lit(0)).alias("sixes"),
-        of(batting, round_half_even(F.try_divide(F.col("_runs"), F.col("_balls")) * F.lit(100.0), 2), F.lit(0.0)).alias("strike_rate"),
-        of(~batting, F.col("_wickets"), F.lit(0)).alias("wickets"), of(~batting, overs, F.lit(0.0)).alias("overs_bowled"),
-        of(~batting, round_half_even(per_over, 2), F.lit(0.0)).alias("economy"))
+    bat = batting_card(deliveries).select(
+        "match_id", *extra, "player_name", "team", F.lit("batting").alias("role"),
+        "runs", "balls_faced", "fours", "sixes", "strike_rate",
+        F.lit(0).alias("wickets"), F.lit(0.0).alias("overs_bowled"), F.lit(0.0).alias("economy"))
+    bowl = bowling_card(deliveries, bowling_team, matches).select(
+        "match_id", *extra, "player_name", "team", F.lit("bowling").alias("role"),
+        F.lit(0).alias("runs"), F.lit(0).alias("balls_faced"), F.lit(0).alias("fours"),
+        F.lit(0).alias("sixes"), F.lit(0.0).alias("strike_rate"),
+        "wickets", "overs_bowled", "economy")
+    return bat.unionByName(bowl)
 
 
 TABLE_TYPES = {"runs": "int", "balls_faced": "int", "fours": "int", "sixes": "int", "strike_rate": "decimal(6,2)",
                "wickets": "int", "overs_bowled": "decimal(5,1)", "economy": "decimal(5,2)"}
+# From these sizes on, a number rounds to more digits than its column has.
+DECIMAL_LIMITS = {"strike_rate": 9999.995, "overs_bowled": 9999.95, "economy": 999.995}
+
+
+def _too_large(c: str) -> Column:
+    x = F.col(c).cast("double")
+    return F.coalesce(~F.isnan(x) & (F.abs(x) >= F.lit(DECIMAL_LIMITS[c])), F.lit(False))
 
 
 def overflow_reason() -> Column:
     """K4 after V2: which accepted numbers the table's types cannot hold (NULL if
     they hold all). NaN, which the validator accepts (Q26), is stored as NULL."""
-    parts = []
-    for c, kind in TABLE_TYPES.items():
-        x = F.col(c).cast("double")
-        parts.append(F.when(x.isNotNull() & ~F.isnan(x) & F.col(c).try_cast(kind).isNull(),
-                            F.concat(F.lit(f"Out of range for the table: {c} "), F.col(c).cast("string"))))
-    return F.nullif(F.concat_ws("; ", *parts), F.lit(""))
+    return F.nullif(F.concat_ws("; ", *[
+        F.when(_too_large(c), F.concat(F.lit(f"Out of range for the table: {c} "), F.col(c).cast("string")))
+        for c in DECIMAL_LIMITS]), F.lit(""))
 
 
 def typed_stats(stats: DataFrame) -> DataFrame:
     """Cast a stat frame to the table types (decimal(6,2)/(5,1)/(5,2)). Rows that
     do not fit are left out here; :func:`overflow_reason` names them for the rejects."""
-    stats = stats.where(overflow_reason().isNull())
-    extra = ["match_date"] if "match_date" in stats.columns else []
+    for c in DECIMAL_LIMITS:
+        stats = stats.where(~_too_large(c))
+    kinds = dict(stats.dtypes)
     return stats.select(
-        "match_id", *extra, "player_name", "team", "role",
-        *[F.col(c).try_cast(kind).alias(c) for c, kind in TABLE_TYPES.items()])
+        "match_id", *(["match_date"] if "match_date" in stats.columns else []), "player_name", "team", "role",
+        *[F.col(c) if kinds[c] == kind else F.col(c).try_cast(kind).alias(c) for c, kind in TABLE_TYPES.items()])
 
 
 def innings_lines(deliveries: DataFrame) -> DataFrame:

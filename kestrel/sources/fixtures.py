@@ -68,6 +68,9 @@ def deliveries(spark: SparkSession, sf_dir: str, match_df: DataFrame | None = No
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_discount", "l_returnflag")
+    # one shuffle, of the narrow ball rows: the join and the aggregates per match
+    # that follow all find their rows together
+    li = li.repartition("l_orderkey")
     j = li.join(m, li.l_orderkey == m.match_id, "inner")
     batter = F.concat(F.lit("P"), _str(F.col("l_partkey") % N_PLAYERS))
     runs = F.col("l_quantity").cast("int") % 7
