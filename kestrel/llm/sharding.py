@@ -9,12 +9,16 @@ documents is at most ``shards`` rows, and nothing ever pairs up its members.
 1. Labels start from a hash of the id. A key with more documents than a shard
    may hold is split into parts of one shard's quota.
 2. Each round joins the state with each key's most favoured shard (where most
-   members are or still find room) and asks to move the others there. Requests
-   are granted in order of the neighbours already there, up to the room that the
-   shard's quota leaves; the rest stay. Rounds end when nothing moves.
-3. Members over a quota give way (smallest parts first). They and the documents
-   without neighbours fill every shard exactly to its quota, so shard sizes in
-   rows differ by one at most.
+   members are or still find room) and asks to move the others there. Two shards
+   exchange as many members as both ask for, so full ones take part as well.
+   Other requests are granted in order of the neighbours already there, up to the
+   room that the shard's quota leaves; the rest stay. Rounds end when nothing
+   moves, or a round brings no members closer together (the sum of the squared
+   counts, which bounds the rounds, has not grown).
+3. What is still cut then, and what smaller parts and members over a quota stand
+   in its way, is laid out whole, largest first and tightest room first. Only a
+   part that no shard has room for is cut. The documents without neighbours fill
+   every shard exactly to its quota, so shard sizes in rows differ by one at most.
 
 Ranks (within a key, among the free documents, within a shard) are window ranks
 inside hash buckets of bounded size plus the counts of the earlier buckets.
@@ -26,13 +30,14 @@ of their own. Fewer documents than shards leave shards empty.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kestrel.llm.common import bucket_count, cut, running_offsets, table
 
 SHARDS = 40
-ROUNDS = 12
 BUCKET = 20_000
 
 
@@ -61,18 +66,80 @@ def _granted(asked: DataFrame, shard: str, first: Column, limit: Column, buckets
 
 
 def _of_shard(values: list[int], shard: str) -> Column:
-    return F.element_at(F.array(*[F.lit(v).cast("bigint") for v in values]), F.col(shard) + 1)
-
-
-def _load(state: DataFrame, shards: int) -> tuple[list[int], int]:
-    """Documents per shard (as many numbers as shards) and rows of the state."""
-    load, rows = [0] * shards, 0
-    for r in state.groupBy("shard").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect():
-        load[r["shard"]], rows = r["n"], rows + r["rows"]
-    return load, rows
-
-
-def propagate(rows: DataFrame, total: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+    return F.element_at(F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>"), F.col(shard) + 1)
+
+
+def _load(state: DataFrame, shards: int) -> tuple[list[int], int, int]:
+    """Documents per shard (as many numbers as shards), rows of the state, sum of the squared counts."""
+    load, rows, squares = [0] * shards, 0, 0
+    for r in state.groupBy("shard").agg(F.sum("n").alias("n"), F.count("*").alias("rows"),
+                                        F.sum(F.col("n").cast("decimal(38,0)") * F.col("n")).alias("squares")).collect():
+        load[r["shard"]], rows, squares = r["n"], rows + r["rows"], squares + int(r["squares"])
+    return load, rows, squares
+
+
+def _exchanges(asked: DataFrame, shards: int) -> list[int]:
+    """For each pair (from, to) of shards, how many can move because as many want to come back."""
+    count = [0] * (shards * shards)
+    for r in asked.groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        count[r["pair"]] = r["n"]
+    return [min(n, count[k % shards * shards + k // shards]) for k, n in enumerate(count)]
+
+
+def lay_out(counts: dict[int, int], room: list[int]) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """(size, upto, [(shard, n)]): where the parts of a size with a rank below
+    ``upto`` (and not below an earlier one) go, largest first and into the
+    tightest rooms. Parts that fit nowhere are cut over as few shards as possible."""
+    room, out, left = list(room), [], []
+    for size in sorted(counts, reverse=True):
+        rank = 0
+        for s in sorted(range(len(room)), key=lambda s: room[s]):
+            k = min(counts[size] - rank, room[s] // size)
+            if k > 0:
+                room[s] -= k * size
+                rank += k
+                out.append((size, rank, [(s, size)]))
+        left += [(size, r + 1) for r in range(rank, counts[size])]
+    for size, upto in left:
+        pieces, rest = [], size
+        for s in sorted(range(len(room)), key=lambda s: -room[s]):
+            n = min(rest, room[s])
+            if n > 0:
+                room[s] -= n
+                rest -= n
+                pieces.append((s, n))
+        out.append((size, upto, pieces))
+    return out
+
+
+def _together(state: DataFrame, quota: list[int]) -> DataFrame:
+    """The state with its cut parts laid out whole where there is room (step 3)."""
+    shards = len(quota)
+    parts = cut(state.groupBy("link", "part").agg(F.sum("n").alias("n"), F.count("*").alias("pieces"), F.min("shard").alias("shard")))
+    most = parts.where("pieces > 1").agg(F.max("n")).head()[0] or 0
+    whole = parts.where("pieces = 1").where(F.col("n") >= most)
+    load, size, _ = _load(whole, shards)
+    over = _of_shard([max(0, n - q) for q, n in zip(quota, load)], "shard")
+    given = _granted(whole, "shard", F.floor(F.log2(F.col("n").cast("double"))), over, bucket_count(size, BUCKET * shards))
+    stay = cut(given.where("granted = 0").select("link", "part", "shard", "n"))
+    load, _, _ = _load(stay, shards)
+    loose = parts.join(stay, ["link", "part"], "left_anti").select("link", "part", F.col("n").alias("all"))
+    counts = {r["all"]: r["count"] for r in loose.groupBy("all").count().collect()}
+    if not counts:
+        return stay
+    plan = json.dumps([{"all": n, "upto": upto, "pieces": [{"shard": s, "n": k} for s, k in pieces]}
+                       for n, upto, pieces in lay_out(counts, [q - n for q, n in zip(quota, load)])])
+    rooms = state.sparkSession.range(1).select(F.inline(F.from_json(
+        F.lit(plan), "array<struct<`all`: bigint, upto: bigint, pieces: array<struct<shard: int, n: bigint>>>>"))) \
+        .groupBy("all").agg(F.sort_array(F.collect_list(F.struct("upto", "pieces"))).alias("rooms"))
+    tie = F.pmod(F.xxhash64("link", "part"), F.lit(bucket_count(max(counts.values()), BUCKET)))
+    laid = _bucketed_rank(loose, ["all"], tie, ["link", "part"], "rank").join(rooms, "all") \
+        .withColumn("room", F.get(F.filter("rooms", lambda r: r["upto"] > F.col("rank")), F.lit(0))) \
+        .select("link", "part", F.inline("room.pieces"))
+    return stay.unionByName(laid.select("link", "part", "shard", "n"))
+
+
+def propagate(rows: DataFrame, total: int, shards: int = SHARDS) -> DataFrame:
     """``rows(doc_id, link)`` -> (link, shard, n): how many documents of each key
     with two or more of them have a place in which shard, within the quotas."""
     quota = [total // shards + (s < total % shards) for s in range(shards)]
@@ -88,8 +155,12 @@ def propagate(rows: DataFrame, total: int, shards: int = SHARDS, rounds: int = R
         (F.least(F.col("before") + F.col("n"), (F.col("part") + 1) * most)
          - F.greatest(F.col("before"), F.col("part") * most)).alias("n"))
     state = cut(state)
-    for _ in range(rounds):
-        load, size = _load(state, shards)
+    closest = 0
+    while True:
+        load, size, squares = _load(state, shards)
+        if squares <= closest:
+            break
+        closest = squares
         room = _of_shard([q - n for q, n in zip(quota, load)], "shard")
         buckets = bucket_count(size, BUCKET * shards)
         # the neighbours' shard where most of the key's part can meet
@@ -101,29 +172,28 @@ def propagate(rows: DataFrame, total: int, shards: int = SHARDS, rounds: int = R
         fits = F.col("first.seats") >= F.col("all")
         favour = favour.select("link", "part", F.when(fits, F.col("first.shard")).otherwise(F.col("most.shard")).alias("to"),
                                F.when(fits, F.col("first.n")).otherwise(F.col("most.n")).alias("there"))
-        joined = state.join(favour, ["link", "part"])
+        asked = cut(state.join(favour, ["link", "part"]).where("shard <> to")
+                    .withColumn("pair", F.col("shard") * shards + F.col("to")))
         room_there = _of_shard([max(0, q - n) for q, n in zip(quota, load)], "to")
-        asked = joined.where("shard <> to")
-        moved = _granted(asked, "to", 63 - F.floor(F.log2(F.col("there").cast("double"))), room_there, buckets)
+        nearest = 63 - F.floor(F.log2(F.col("there").cast("double")))
+        swapped = _granted(asked, "pair", nearest, _of_shard(_exchanges(asked, shards), "pair"), buckets) \
+            .withColumnRenamed("granted", "swapped").withColumn("n", F.col("n") - F.col("swapped"))
+        moved = _granted(swapped, "to", nearest, room_there, buckets).withColumn("granted", F.col("granted") + F.col("swapped"))
         change = cut(moved.where("granted > 0").select("link", "part", "shard", "to", "granted"))
         if change.isEmpty():
             break
         state = cut(state.unionByName(change.select("link", "part", F.col("to").alias("shard"), F.col("granted").alias("n")))
                     .unionByName(change.select("link", "part", "shard", (-F.col("granted")).alias("n")))
                     .groupBy("link", "part", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
-    load, size = _load(state, shards)
-    over = _of_shard([max(0, n - q) for q, n in zip(quota, load)], "shard")
-    given = _granted(state, "shard", F.floor(F.log2(F.col("n").cast("double"))), over, bucket_count(size, BUCKET * shards))
-    return cut(given.withColumn("n", F.col("n") - F.col("granted")).where("n > 0")
-               .groupBy("link", "shard").agg(F.sum("n").alias("n")))
+    return cut(_together(state, quota).groupBy("link", "shard").agg(F.sum("n").alias("n")))
 
 
-def assign(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def assign(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``rows(doc_id, link, ...)`` with columns ``shard`` and ``slot`` added. The
     rows are read several times, so they should be a written or checkpointed table."""
     total = rows.count()
-    places = propagate(rows, total, shards, rounds)
-    load, _ = _load(places, shards)
+    places = propagate(rows, total, shards)
+    load, _, _ = _load(places, shards)
     missing = [total // shards + (s < total % shards) - load[s] for s in range(shards)]
 
     upto = F.sum("n").over(Window.partitionBy("link").orderBy("shard"))

@@ -143,6 +143,40 @@ def test_shards_are_even_gapless_and_keep_copies_together(spark):
     assert len(where["hot"]) <= 9                      # 400 documents need at least 4 shards of about 100
 
 
+def test_full_shards_still_bring_copies_together(spark):
+    # every document has copies, so no shard ever has room of its own
+    texts = [f"group {k // 4}" for k in range(1600)] + ["hot"] * 400
+    random.Random(5).shuffle(texts)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, link string")
+    where = collections.defaultdict(collections.Counter)
+    sizes = collections.Counter()
+    for r in sharding.assign(table, shards=10).collect():
+        where[r.link][r.shard] += 1
+        sizes[r.shard] += 1
+    assert sorted(sizes.values()) == [200] * 10
+    assert all(len(c) == 1 for link, c in where.items() if link != "hot")
+    assert len(where["hot"]) == 2
+
+
+def test_parts_are_laid_out_whole_and_within_the_rooms():
+    rnd = random.Random(7)
+    for _ in range(50):
+        room = [rnd.randrange(0, 60) for _ in range(7)]
+        counts, left = collections.Counter(), sum(room)
+        while (n := rnd.randrange(2, 30)) <= left:
+            counts[n] += 1
+            left -= n
+        used, rank = [0] * 7, collections.Counter()
+        for size, upto, pieces in sharding.lay_out(counts, room):
+            assert upto > rank[size] and sum(n for _, n in pieces) == size
+            for s, n in pieces:
+                used[s] += n * (upto - rank[size])
+            rank[size] = upto
+        assert rank == counts and all(u <= r for u, r in zip(used, room))
+    assert sharding.lay_out({5: 1, 2: 2}, [4, 5]) == [(5, 1, [(1, 5)]), (2, 2, [(0, 2)])]
+    assert sharding.lay_out({5: 1}, [3, 4]) == [(5, 1, [(1, 4), (0, 1)])]
+
+
 # ---- 4 decontamination ------------------------------------------------------------
 
 def naive_longest(equal, share):
