@@ -2,6 +2,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -360,6 +361,52 @@ def test_nearest_licensed_directory_is_inherited(spark):
     assert got[6] == (None, None, None) and got[7] == ("CC-BY-NC-4.0", "header", None) and got[8] == (None, None, None)
 
 
+def test_licence_texts_and_headers_are_recognised(spark):
+    from pyspark.sql import functions as F
+    full = {f: open(f"{licenses.TEXTS}/{f}", encoding="utf-8").read() for f in os.listdir(licenses.TEXTS)}
+
+    def wrapped(text, mark, per=7):
+        w = text.split()
+        return "\n".join(f"{mark} " + " ".join(w[k:k + per]) for k in range(0, len(w), per))
+
+    rnd = random.Random(6)
+    prose = [" ".join(rnd.choices([f"w{k}" for k in range(400)] + ["the", "of", "and", "to", "license", "under"], k=150))
+             for _ in range(40)]
+    want, texts = [], []
+    for file, text in sorted(full.items()):
+        name = file.removesuffix(".txt").removesuffix(".header")
+        texts.append("Copyright (c) 2019 A. Nobody\n\n" + text)
+        want.append((name, "LICENSE"))
+        if file.endswith(".header.txt") or len(text.split()) < 250:
+            texts.append(wrapped(text, "#") + "\n" + prose[0])
+            want.append((name, "x.py"))
+        else:
+            texts.append(" ".join(text.split()[:120]))
+            want.append((name, "LICENSE"))
+    for text, name in (("SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: GPL-2.0-only\n" + prose[1], "GPL-2.0"),
+                       (prose[2][:200] + " Released under the MIT License. " + prose[2][200:], "MIT"),
+                       ("# Licensed under the Apache License,\n# Version 2.0.\n" + prose[3], "Apache-2.0")):
+        texts.append(text)
+        want.append((name, "x.py"))
+    texts += prose
+    want += [(None, "x.py")] * len(prose)
+    files = spark.createDataFrame([(k, f"d{k}/{file}", text) for k, ((_, file), text) in enumerate(zip(want, texts))],
+                                  "doc_id long, path string, text string")
+    got = {r.doc_id: r.license for r in licenses.own_licenses(files, "doc_id", F.col("path")).collect()}
+    assert [(k, got[k], texts[k][:40]) for k in range(len(texts)) if got[k] != want[k][0]] == []
+
+
+def test_a_licence_text_is_a_licence_file_of_the_tree(spark):
+    texts = [open(f"{licenses.TEXTS}/{n}.txt", encoding="utf-8").read()
+             for n in ("MIT", "ISC", "BSD-3-Clause", "Apache-2.0", "GPL-3.0", "LGPL-3.0", "Unlicense")]
+    texts += ["MIT License\n\nCopyright (c) 2020 X\n\n" + texts[0], "Copyright 2020 X\n" + texts[2]]
+    plain = ["the mit license is short", "words about the apache license", "", "MIT License"]
+    rows = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts + plain)], "doc_id long, text string, source string")
+    got = [r.path.split("/")[-1].startswith("LICENSE") for r in rows.select("doc_id", licenses.tree_path().alias("path"))
+           .orderBy("doc_id").collect()]
+    assert got == [True] * len(texts) + [False] * len(plain)
+
+
 # ---- 9 token counts ---------------------------------------------------------------
 
 def test_trie_counts_against_each_run_and_the_public_unigram_model(rows):
