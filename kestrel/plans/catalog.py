@@ -624,7 +624,7 @@ def q_model_metrics(spark, sf_dir):
     """Logistic baseline vs boosted trees on the time-ordered test split."""
     train, test, stats, weights = mtrain.prepared(_matrix(spark, sf_dir))
     lr = mtrain.train_logistic(train, stats, weights)
-    gbt = mtrain.train_gbt(train, weights, grid="small")
+    gbt = mtrain.train_gbt(train, weights)
     a = mt.binary_metrics(mtrain.score_logistic(lr, test, stats), "team1_won", model="logistic")
     b = mt.binary_metrics(mtrain.score_gbt(gbt, test), "team1_won", model="gbt")
     both = a.unionByName(b)
@@ -635,7 +635,7 @@ def q_model_metrics(spark, sf_dir):
 @register("M7_M10_gbt_importances")
 def q_importances(spark, sf_dir):
     train, _, _, weights = mtrain.prepared(_matrix(spark, sf_dir))
-    return mtrain.importance_table(mtrain.train_gbt(train, weights, grid="small"))
+    return mtrain.importance_table(mtrain.train_gbt(train, weights))
 
 
 @register("M18_T7_live_win_probabilities")
@@ -643,7 +643,7 @@ def q_live_probs(spark, sf_dir):
     m = dm.matches(spark, sf_dir)
     st = dm.player_stats(spark, sf_dir, m)
     train, test, stats, weights = mtrain.prepared(_matrix(spark, sf_dir))
-    lr, gbt = mtrain.train_logistic(train, stats, weights), mtrain.train_gbt(train, weights, grid="small")
+    lr, gbt = mtrain.train_logistic(train, stats, weights), mtrain.train_gbt(train, weights)
     a = mt.binary_metrics(mtrain.score_logistic(lr, test, stats), "team1_won", model="baseline").head()["auc"]
     b = mt.binary_metrics(mtrain.score_gbt(gbt, test), "team1_won", model="boosted").head()["auc"]
     live = feat.live_features(m, st)

@@ -55,7 +55,7 @@ def build_features(spark: SparkSession, warehouse: str, history: str = "all") ->
     return up.replace_table(feat.feature_matrix(m, st, history=history), _t(warehouse, "feature_matrix"))
 
 
-def train_models(spark: SparkSession, warehouse: str, grid: str = "small") -> DataFrame:
+def train_models(spark: SparkSession, warehouse: str, grid: str = "full") -> DataFrame:
     """Train both models on the stored matrix, save them with the scaler
     statistics and class weights, and return their test metrics."""
     matrix = up.read_current(spark, _t(warehouse, "feature_matrix"))
