@@ -316,6 +316,16 @@ def test_sketches_estimate_containment():
     assert a.likeness(b) > 0.98 and abs(a.likeness(c) - 0.5) < 0.1
 
 
+def test_short_near_copies_are_near():
+    rnd = random.Random(8)
+    for n in (6, 10, 20):
+        for _ in range(100):
+            w = rnd.choices([f"w{k}" for k in range(5000)], k=n)
+            a, b = fingerprints.sketches_of([" ".join(w), " ".join([*w[:-1], "changed"])])
+            one, other = shingles(" ".join(w)), shingles(" ".join([*w[:-1], "changed"]))
+            assert a.likeness(b) == pytest.approx(len(one & other) / min(len(one), len(other)))
+
+
 # ---- 8 licences -------------------------------------------------------------------
 
 def test_cosines_are_those_of_the_definition():
