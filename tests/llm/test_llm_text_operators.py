@@ -1,6 +1,7 @@
 """Operators on documents against brute-force restatements."""
 import collections
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -226,6 +227,36 @@ def test_short_items_are_found_whole():
     assert got == {(0, 0), (3, 2)}
 
 
+def test_masks_hit_every_overlap_of_the_stated_length_and_share():
+    kept = [[k for k, bit in enumerate(mask) if bit == "1"] for mask in decontaminate.MASKS]
+    for n in range(decontaminate.LEAST_WORDS, 21):
+        for u in range(n // 5 + 1):
+            for odd in itertools.combinations(range(1, n - 1), u):
+                assert any(not any(a + k in odd for k in mask) for mask in kept for a in range(n - mask[-1])), (n, odd)
+    for n in range(21, 2000):   # u unequal words leave u + 1 runs; a longest run of 3 would be too short
+        assert n - n // 5 > 3 * (n // 5 + 1)
+
+
+def test_every_short_overlap_is_found():
+    item = [f"i{k}" for k in range(24)]
+    f = decontaminate.Finder([" ".join(item)])
+    texts, want = [], []
+    for n, u in ((10, 2), (11, 2), (12, 2), (15, 3)):
+        for odd in itertools.combinations(range(1, n - 1), u):
+            w = ["other" if k in odd else item[k + 4] for k in range(n)]
+            texts.append(" ".join(["x", "y", *w, "z"]))
+            want.append((n, n - u))
+    assert {o.row: (o.n_words, o.n_equal) for o in f.find(texts)} == dict(enumerate(want))
+
+
+def test_an_unequal_end_counts_towards_a_short_item():
+    for n in range(5, 11):
+        item = [f"i{k}" for k in range(n)]
+        texts = ["p " + " ".join(item) + " q", "p other " + " ".join(item[1:]) + " q", "p " + " ".join(item[:-1]) + " other q"]
+        got = {o.row: (o.item_start, o.n_words, o.n_equal) for o in decontaminate.Finder([" ".join(item)]).find(texts)}
+        assert got == {0: (0, n, n), 1: (0, n, n - 1), 2: (0, n, n - 1)}
+
+
 def test_benchmark_in_several_blocks(spark, docs, monkeypatch):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = sorted(map(tuple, decontaminate.overlaps(docs, benchmark).collect()))
