@@ -1,3 +1,4 @@
 """Operators of a training-data pipeline: language ID, WARC records, sharding,
 decontamination, near duplicates, URL filters, fingerprints, licence scans,
-token counts and packing. Nothing outside this folder imports it."""
+token counts, packing,
+source mixing, periodic runs and spelling variants. Nothing outside this folder imports it."""

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrel.llm import (decontaminate, fingerprints, jaccard_join, language_id, licenses, packing, sharding,
-                         token_counts, url_filter, warc)
+from kestrel.llm import (decontaminate, fingerprints, jaccard_join, language_id, licenses, mixing, packing, periodic,
+                         sharding, spelling, token_counts, url_filter, warc)
 from kestrel.llm.oracle_sql import ORACLE  # noqa: F401  read by the driver entry
 from kestrel.session import ship_package
 
@@ -33,4 +33,7 @@ QUERIES: dict[str, Query] = {fn.__name__: _query(fn) for fn in (
     licenses.op8_license_scan,
     token_counts.op9_token_counts,
     packing.op10_packing,
+    mixing.op11_source_mix,
+    periodic.op12_periodic_runs,
+    spelling.op13_spelling_variants,
 )}

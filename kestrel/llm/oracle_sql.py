@@ -119,4 +119,58 @@ SELECT page_id, host, path, rule, COALESCE(score, 0.0::DOUBLE) AS score, thresho
             WHEN COALESCE(score, 0.0) >= threshold OR ruled.text = '' THEN 'allow' ELSE 'block' END AS verdict
 FROM ruled LEFT JOIN score ON score.text = ruled.text, cut"""
 
-ORACLE = {"op1_language_id": OP1, "op2_warc": OP2, "op5_jaccard_join": OP5, "op6_url_filter": OP6}
+OP11 = """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(SUM(size) AS DOUBLE) AS own, ROW_NUMBER() OVER (ORDER BY source NULLS LAST) AS no FROM d GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][(no - 1) % 3 + 1]::DOUBLE AS weight FROM s),
+-- the water level: shared by weight among the sources that are not full, smallest room per weight first
+o AS (SELECT *, 2.0::DOUBLE * own / weight AS room, ROW_NUMBER() OVER (ORDER BY 2.0::DOUBLE * own / weight, source NULLS LAST) AS k FROM w),
+l AS (SELECT *, (1.5::DOUBLE * SUM(own) OVER () - 2.0::DOUBLE * (SUM(own) OVER (ORDER BY k) - own))
+                / (SUM(weight) OVER () - (SUM(weight) OVER (ORDER BY k) - weight)) AS level FROM o),
+f AS (SELECT MIN(k) AS k0 FROM l WHERE level <= room),
+aim AS (SELECT no, source, own, CASE WHEN k < k0 THEN 2.0::DOUBLE * own
+          ELSE LEAST((SELECT level FROM l WHERE k = k0) * weight, 2.0::DOUBLE * own) END AS target FROM l, f),
+-- expected copies min(2, c * digits): one c per source
+g AS (SELECT no, target, CAST(length(CAST(size AS VARCHAR)) AS DOUBLE) AS favour, CAST(SUM(size) AS DOUBLE) AS words
+      FROM d JOIN aim ON d.source IS NOT DISTINCT FROM aim.source GROUP BY ALL),
+c AS (SELECT *, (target - 2.0::DOUBLE * (SUM(words) OVER (PARTITION BY no ORDER BY favour DESC) - words))
+                / NULLIF(SUM(favour * words) OVER (PARTITION BY no ORDER BY favour), 0.0) AS c FROM g),
+e0 AS (SELECT *, MAX(CASE WHEN c * favour <= 2.0 THEN favour END) OVER (PARTITION BY no) AS top FROM c),
+e1 AS (SELECT no, favour, words, target, CASE WHEN favour <= top
+         THEN GREATEST(MAX(CASE WHEN favour = top THEN c END) OVER (PARTITION BY no) * favour, 0.0) ELSE 2.0 END::DOUBLE AS e FROM e0),
+e AS (SELECT *, floor(e + 1e-12::DOUBLE) AS whole, target - SUM(floor(e + 1e-12::DOUBLE) * words) OVER (PARTITION BY no) AS rest FROM e1),
+r AS (SELECT doc_id, size, own, e.target, e.no, whole, rest, e - whole AS p,
+        (CAST('0x' || substr(md5('11:' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+      FROM d JOIN aim ON d.source IS NOT DISTINCT FROM aim.source
+        JOIN e ON e.no = aim.no AND e.favour = length(CAST(size AS VARCHAR))),
+q AS (SELECT *, CASE WHEN p > 1e-12 AND size > 0 THEN u / (1.0::DOUBLE - u) * ((1.0::DOUBLE - p) / p) END AS rank FROM r),
+t AS (SELECT *, SUM(CASE WHEN rank IS NOT NULL THEN size ELSE 0 END)
+        OVER (PARTITION BY no ORDER BY rank NULLS FIRST, size, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM q)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(own AS BIGINT) AS source_size, target, CAST(size * whole
+         + CASE WHEN rank IS NULL THEN 0 ELSE GREATEST(0, LEAST(floor(rest + 1e-6::DOUBLE) - upto + size, size)) END AS BIGINT) AS taken
+FROM t"""
+
+OP13 = f"""
+WITH RECURSIVE {_CRC},
+found AS (SELECT doc_id, UNNEST(regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS w FROM documents),
+per AS (SELECT doc_id, w, COUNT(*) AS n, hex(encode(CAST(doc_id AS VARCHAR) || ':' || w)) AS x FROM found WHERE length(w) >= 5 GROUP BY ALL),
+hashed AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2),
+             lambda k: CAST('0x' || substr(x, 2 * k + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295) AS h
+           FROM per, crc_table),
+words AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, CAST(SUM(n) AS BIGINT) AS n
+          FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND SUM(n) >= 3),
+less AS (SELECT DISTINCT word, n, k, substr(word, 1, k) || substr(word, k + 2) AS v FROM (SELECT word, n, UNNEST(range(length(word))) AS k FROM words) x),
+-- replaced: equal without the letter at one place; inserted or deleted: one is the other without a letter
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM less a JOIN less b ON a.k = b.k AND a.v = b.v AND a.word <> b.word AND length(a.word) = length(b.word)
+         UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN words b ON a.v = b.word
+         UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN words b ON a.v = b.word),
+best AS (SELECT *, COUNT(*) OVER (PARTITION BY word) AS n_near, ROW_NUMBER() OVER (PARTITION BY word ORDER BY m DESC, other) AS k FROM near),
+own AS (SELECT w.word, w.n, COALESCE(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN other END AS form, CASE WHEN m >= 2 * w.n THEN m END AS form_n
+        FROM words w LEFT JOIN best b ON b.word = w.word AND k = 1),
+chain AS (SELECT word, word AS top FROM own UNION ALL SELECT chain.word, form FROM chain JOIN own ON own.word = chain.top WHERE form IS NOT NULL),
+root AS (SELECT chain.word, top FROM chain JOIN own ON own.word = chain.top WHERE form IS NULL)
+SELECT own.word, form, root.top AS root, n, n_near, form_n FROM own JOIN root ON root.word = own.word"""
+
+
+ORACLE = {"op1_language_id": OP1, "op2_warc": OP2, "op5_jaccard_join": OP5, "op6_url_filter": OP6, "op11_source_mix": OP11, "op13_spelling_variants": OP13}

@@ -47,7 +47,8 @@ def empty(spark, tmp_path_factory):
 
 NAMES = list(catalog.QUERIES)
 ROWS = {"op1_language_id": len(DOCS), "op2_warc": 7, "op3_sharding": len(DOCS), "op4_decontamination": 1, "op5_jaccard_join": len(DOCS),
-        "op6_url_filter": 7, "op7_fingerprints": len(DOCS), "op8_license_scan": len(DOCS), "op9_token_counts": len(DOCS)}
+        "op6_url_filter": 7, "op7_fingerprints": len(DOCS), "op8_license_scan": len(DOCS), "op9_token_counts": len(DOCS),
+        "op11_source_mix": len(DOCS), "op12_periodic_runs": len(DOCS)}
 
 
 @pytest.mark.parametrize("name", NAMES)
