@@ -12,10 +12,11 @@ trapezoid rule gives on the full ROC curve).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions.numeric import ratio_round
+from kestrel.operators.ranges import running_sums
 
 THRESHOLD = 0.5
 CALIBRATION_BINS = 5
@@ -38,32 +39,24 @@ def _safe(num: Column, den: Column, digits: int) -> Column:
     return F.when(den > 0, ratio_round(num, den, digits)).otherwise(F.lit(0.0))
 
 
-SCORE_BUCKETS = 1024
+def _prefix(counts: DataFrame, cols: list[str], descending: bool, inclusive: bool, by: tuple[str, ...] = ()) -> DataFrame:
+    """Running sums of ``cols`` over the distinct scores (of each ``by``), by ranges
+    of the score that hold a bounded number of them however scores crowd."""
+    return running_sums(counts, list(by), [F.desc("s") if descending else F.asc("s")], cols, inclusive)
 
 
-def _prefix(counts: DataFrame, cols: list[str], descending: bool, inclusive: bool) -> DataFrame:
-    """Running sums of ``cols`` over the distinct scores, without a
-    single-task window: scores fall into ``SCORE_BUCKETS`` ordered ranges;
-    bucket totals give offsets (a window over at most 1024 rows), and the
-    running sum inside a bucket is a window partitioned by the bucket."""
-    b = F.least(F.floor(F.col("s") * F.lit(float(SCORE_BUCKETS))), F.lit(SCORE_BUCKETS - 1)).cast("int")
-    c = counts.withColumn("_b", F.when(F.col("s").isNull(), F.lit(-1)).otherwise(b))
-    tot = c.groupBy("_b").agg(*[F.sum(x).alias(f"_t_{x}") for x in cols])
-    ob = F.desc("_b") if descending else F.asc("_b")
-    wb = Window.orderBy(ob).rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("_b", *[F.coalesce(F.sum(f"_t_{x}").over(wb), F.lit(0)).alias(f"_o_{x}") for x in cols])
-    os_ = F.desc("s") if descending else F.asc("s")
-    wi = Window.partitionBy("_b").orderBy(os_).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    j = c.join(off, "_b", "inner")
-    return j.select("*", *[(F.col(f"_o_{x}") + F.coalesce(F.sum(x).over(wi), F.lit(0))).alias(f"_cum_{x}")
-                           for x in cols]).drop("_b", *[f"_o_{x}" for x in cols])
+def auc_numerator(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """2 * sum over scores of p_s * (negatives below s + q_s / 2)."""
+    c = _prefix(counts, ["q"], descending=False, inclusive=False, by=by)
+    return c.groupBy(*by).agg(F.sum(F.col("p") * (F.lit(2) * F.col("_cum_q") + F.col("q"))).alias("auc2"),
+                              F.sum("p").alias("npos"), F.sum("q").alias("nneg"))
 
 
-def auc_numerator(counts: DataFrame) -> DataFrame:
-    """2 * sum over scores of p_s * (negatives below s + q_s / 2)."""
-    c = _prefix(counts, ["q"], descending=False, inclusive=False)
-    return c.agg(F.sum(F.col("p") * (F.lit(2) * F.col("_cum_q") + F.col("q"))).alias("auc2"),
-                 F.sum("p").alias("npos"), F.sum("q").alias("nneg"))
+def auc_by(scored: DataFrame, by: tuple[str, ...], label: str, score: str = "score") -> DataFrame:
+    """The AUC of each ``by`` (NULL without both classes): (by, auc)."""
+    counts = scored.groupBy(*by, F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
+    pairs = F.lit(2) * F.col("npos") * F.col("nneg")
+    return auc_numerator(counts, by).select(*by, F.when(pairs > 0, F.col("auc2") / pairs).alias("auc"))
 
 
 def binary_metrics(scored: DataFrame, label: str, score: str = "score", model: str = "model",

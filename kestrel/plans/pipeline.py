@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kestrel.ml import boost
 from kestrel.ml import metrics as mt
 from kestrel.ml import train as mtrain
 from kestrel.operators import upsert as up
@@ -55,19 +56,19 @@ def build_features(spark: SparkSession, warehouse: str, history: str = "all") ->
     return up.replace_table(feat.feature_matrix(m, st, history=history), _t(warehouse, "feature_matrix"))
 
 
-def train_models(spark: SparkSession, warehouse: str, grid: str = "full") -> DataFrame:
+def train_models(spark: SparkSession, warehouse: str, grid: dict[str, list] = boost.GRID) -> DataFrame:
     """Train both models on the stored matrix, save them with the scaler
-    statistics and class weights, and return their test metrics."""
+    statistics, the search and the losses per round, and return their test metrics."""
     matrix = up.read_current(spark, _t(warehouse, "feature_matrix"))
     train, test, stats, weights = mtrain.prepared(matrix)
     lr = mtrain.train_logistic(train, stats, weights)
-    gbt = mtrain.train_gbt(train, weights, grid=grid)
+    gbt = mtrain.fit_gbt(train, weights, grid)
     models = _t(warehouse, "models")
     lr.write().overwrite().save(f"{models}/logistic")
-    gbt.write().overwrite().save(f"{models}/gbt")
-    up.replace_table(stats, f"{models}/scale_stats")
+    for name, table in (("scale_stats", stats), ("gbt_trees", gbt.model.table(spark)), ("gbt_search", gbt.search), ("gbt_losses", gbt.losses)):
+        up.replace_table(table, f"{models}/{name}")
     a = mt.binary_metrics(mtrain.score_logistic(lr, test, stats), "team1_won", model="logistic")
-    b = mt.binary_metrics(mtrain.score_gbt(gbt, test), "team1_won", model="gbt")
+    b = mt.binary_metrics(mtrain.score_gbt(gbt.model, test), "team1_won", model="gbt")
     res = a.unionByName(b)
     up.replace_table(res, f"{models}/metrics")
     return res
@@ -75,16 +76,17 @@ def train_models(spark: SparkSession, warehouse: str, grid: str = "full") -> Dat
 
 def score_live(spark: SparkSession, warehouse: str) -> str:
     """Score every unfinished match with the better saved model
-    (higher test AUC; the baseline on a tie) and store the probabilities."""
+    (higher test AUC; the baseline on a tie) and store the probabilities; matches
+    that cannot be scored are stored with the reason."""
     m, st = tables(spark, warehouse)
     models = _t(warehouse, "models")
     res = up.read_current(spark, f"{models}/metrics")
     best = mt.compare_models(res, "logistic", "gbt").first()["better_model"]
-    live = feat.live_features(m, st)
     if best == "gbt":
-        scored = mtrain.score_gbt(GBTClassificationModel.load(f"{models}/gbt"), live)
+        gbt = boost.Boosted.from_table(up.read_current(spark, f"{models}/gbt_trees"), feat.FEATURE_COLS)
+        score = lambda rows: mtrain.score_gbt(gbt, rows)
     else:
-        stats = up.read_current(spark, f"{models}/scale_stats")
-        scored = mtrain.score_logistic(LogisticRegressionModel.load(f"{models}/logistic"), live, stats)
-    probs = mtrain.win_probabilities(scored, best).withColumn("scored_at", F.current_timestamp())
+        lr, stats = LogisticRegressionModel.load(f"{models}/logistic"), up.read_current(spark, f"{models}/scale_stats")
+        score = lambda rows: mtrain.score_logistic(lr, rows, stats)
+    probs = mtrain.scored_with_rejects(feat.live_features(m, st), score, best).withColumn("scored_at", F.current_timestamp())
     return up.replace_table(probs, _t(warehouse, "live_predictions"))
