@@ -152,11 +152,9 @@ def post_match_prompts(rows: DataFrame, template: str = POST_MATCH_TEMPLATE) ->
     return rows.select("match_id", render(template, vals).alias("prompt"))
 
 
-def spotlight_prompt(records: DataFrame, match_name: Column | str) -> DataFrame:
-    """F23 from a spotlight record set (name, team, the six numbers, ord,
-    role): batter line when rolling_avg_runs > 0, else bowler line; lines in
-    ``ord`` order joined by newlines. A batter record's bowling fields are
-    integer zeros and print as 0."""
+def _spotlight_line() -> Column:
+    """One player's line: batter form when rolling_avg_runs > 0, else bowler form.
+    A batter record's bowling fields are integer zeros and print as 0."""
     c = F.col
     is_bat = c("role") == "batting"
     zero = F.lit("0")
@@ -170,10 +168,27 @@ def spotlight_prompt(records: DataFrame, match_name: Column | str) -> DataFrame:
         "rolling_avg_economy": F.when(is_bat, zero).otherwise(c("rolling_avg_economy").cast("string")),
         "eco_sign": F.when(is_bat, F.lit("")).otherwise(sign("economy_trend")),
         "economy_trend": F.when(is_bat, zero).otherwise(c("economy_trend").cast("string"))})
-    line = F.when(c("rolling_avg_runs") > 0, bat_line).otherwise(bowl_line)
-    lines = records.select(F.struct(c("ord"), line.alias("line")).alias("_l")) \
+    return F.when(c("rolling_avg_runs") > 0, bat_line).otherwise(bowl_line)
+
+
+def _spotlight_text(lines: Column, match: Column) -> Column:
+    players = F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
+    return F.when(F.size(lines) > 0, render(SPOTLIGHT_TEMPLATE, {"match": match, "players_str": players})).otherwise(F.lit(NO_SPOTLIGHT))
+
+
+def spotlight_prompt(records: DataFrame, match_name: Column | str) -> DataFrame:
+    """F23 from a spotlight record set (name, team, the six numbers, ord,
+    role); lines in ``ord`` order joined by newlines."""
+    lines = records.select(F.struct(F.col("ord"), _spotlight_line().alias("line")).alias("_l")) \
         .agg(F.sort_array(F.collect_list("_l")).alias("_ls"))
     m = F.lit(match_name) if isinstance(match_name, str) else match_name
-    players = F.array_join(F.transform(c("_ls"), lambda x: x["line"]), "\n")
-    return lines.select(F.when(F.size("_ls") == 0, F.lit(NO_SPOTLIGHT))
-                        .otherwise(render(SPOTLIGHT_TEMPLATE, {"match": m, "players_str": players})).alias("prompt"))
+    return lines.select(_spotlight_text(F.col("_ls"), m).alias("prompt"))
+
+
+def spotlight_prompts(records: DataFrame, fixtures: DataFrame, match_name: Column) -> DataFrame:
+    """F23 for every fixture: ``records`` carry the ``match_id`` (at most six each);
+    ``match_name`` is an expression over ``fixtures``."""
+    lines = records.select("match_id", F.struct(F.col("ord"), _spotlight_line().alias("line")).alias("_l")) \
+        .groupBy("match_id").agg(F.sort_array(F.collect_list("_l")).alias("_ls"))
+    named = fixtures.select("match_id", match_name.alias("_m")).join(lines, "match_id", "left")
+    return named.select("match_id", _spotlight_text(F.col("_ls"), F.col("_m")).alias("prompt"))

@@ -51,7 +51,7 @@ def _form_chunks(rows: DataFrame):
     k = FORM_WINDOW
     keys, chunk, order = ["team"], "match_date", ["match_id"]
     rows1 = seq.within_chunk(rows, keys, chunk, order, ["won"], k)
-    w = Window.partitionBy(*keys, chunk).orderBy(*order)
+    w = Window.partitionBy(*keys, chunk, seq.PART).orderBy(*order)
     rows1 = rows1.withColumn(
         "_chg", F.when(F.lag("won").over(w).isNull() | (F.lag("won").over(w) != F.col("won")), F.col("_rn")))
     rows1 = rows1.withColumn(
@@ -59,13 +59,13 @@ def _form_chunks(rows: DataFrame):
     chunks = seq.chunk_table(rows1, keys, chunk, order, ["won"], k, last_cols=["won", "_run_start"])
     # Streak across chunks: a chunk extends the previous streak only when all of
     # its rows share the previous chunk's last result (gaps and islands).
-    wc = Window.partitionBy(*keys).orderBy(chunk)
+    wc = Window.partitionBy(*keys).orderBy(chunk, seq.PART)
     chunks = (chunks
               .withColumn("_tail_len", F.col("_n") - F.col("_run_start") + 1)
               .withColumn("_brk", F.when((F.col("_run_start") == 1) & (F.lag("won").over(wc) == F.col("won")), 0)
                           .otherwise(1))
               .withColumn("_grp", F.sum("_brk").over(wc.rowsBetween(Window.unboundedPreceding, 0))))
-    wg = Window.partitionBy(*keys, "_grp").orderBy(chunk).rowsBetween(Window.unboundedPreceding, 0)
+    wg = Window.partitionBy(*keys, "_grp").orderBy(chunk, seq.PART).rowsBetween(Window.unboundedPreceding, 0)
     chunks = chunks.withColumn("_mag", F.sum("_tail_len").over(wg))
     chunks = chunks.withColumn("_end_streak", F.when(F.col("won") == 1, F.col("_mag")).otherwise(-F.col("_mag")))
     carry = seq.chunk_carry(chunks, keys, chunk, k)
@@ -99,7 +99,7 @@ def form_states(matches: DataFrame) -> DataFrame:
     day sees. Size: teams x active days."""
     _, carry = _form_chunks(_base_rows(matches))
     end = F.col("_end_hist")
-    return carry.select(
+    return carry.where("_day_end").select(
         "team", "match_date",
         ratio_round(seq.hist_sum(end, "won", FORM_WINDOW), F.size(end), 3).alias("rolling_win_rate"),
         F.col("_end_streak").cast("int").alias("streak"),

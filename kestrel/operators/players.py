@@ -195,7 +195,7 @@ def _recent_lines(lines: DataFrame, players: DataFrame, field: str, k: int = SPO
     sel = lines.join(players.select("player_name").distinct(), "player_name", "left_semi")
     rows1 = seq.within_chunk(sel, ["player_name"], "match_date", ORDER, [field], k)
     chunks = seq.chunk_table(rows1, ["player_name"], "match_date", ORDER, [field], k)
-    w = Window.partitionBy("player_name").orderBy(F.desc("match_date"))
+    w = Window.partitionBy("player_name").orderBy(F.desc("match_date"), F.desc(seq.PART))
     last_days = chunks.withColumn("_dr", F.row_number().over(w)).filter(F.col("_dr") <= k)
     return last_days.groupBy("player_name").agg(
         seq.last_k(F.sort_array(F.flatten(F.collect_list("_tail"))), k).alias("recent"))
@@ -256,3 +256,76 @@ def spotlight(stats: DataFrame, matches: DataFrame, team1, team2, as_of,
                   _trend_from_recent("eco_c").alias("economy_trend"),
                   (F.col("rk") + F.lit(top_n)).alias("ord"), F.lit("bowling").alias("role"))
     return b.unionByName(w)
+
+
+# ---- spotlight of every fixture (C16 set-wise) -------------------------------------
+
+LEVELS = 17             # dyadic ranges of up to 2^16 days
+_ALWAYS = (1 << (LEVELS - 1)) - 1
+
+
+def _ranges_of(begin: Column, end: Column) -> Column:
+    """[begin, end) of days as at most two dyadic ranges (level, number) per level."""
+    def at(level: Column) -> Column:
+        size = F.pow(F.lit(2), level)
+        a, b = F.ceil(begin / size).cast("int"), F.floor(end / size).cast("int")
+        return F.array(*[F.when((a < b) & (odd % 2 != 0), F.struct(level.alias("level"), node.alias("node"))) for odd, node in ((a, a), (b, b - 1))])
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), at)))
+
+
+def _top_asof(lines: DataFrame, sides: DataFrame, f1: str, f2: str, second: bool, top_n: int, min_apps: int) -> DataFrame:
+    """For each (team, match_date) of ``sides`` its ``top_n`` players by totals of
+    the lines dated before: (team, match_date, player_name, _n, _s1, _s2).
+
+    A player's totals for a team hold from the day after a line until the next
+    one. That span is cut into dyadic ranges of days, the best players of each
+    (team, range) are kept, and a day looks up the ranges that contain it: one per
+    level. So neither a players x dates grid nor a range join is needed."""
+    daily = lines.groupBy("team", "player_name", "match_date").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(f1).cast("long").alias("s1"), F.sum(f2).cast("long").alias("s2"))
+    own = Window.partitionBy("team", "player_name").orderBy("match_date")
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    st = daily.select("team", "player_name", *[F.sum(c).over(upto).alias(f"_{c}") for c in ("n", "s1", "s2")],
+                      (F.unix_date("match_date") + 1).alias("_from"),
+                      F.coalesce(F.unix_date(F.lead("match_date").over(own)) + 1, F.lit(_ALWAYS)).alias("_to"))
+    st = st.where(F.col("_n") >= min_apps).withColumn("_r", F.explode(_ranges_of(F.col("_from"), F.col("_to"))))
+    order = [F.desc(F.col("_s1") / F.col("_n")), *([F.asc(F.col("_s2") / F.col("_n"))] if second else []), F.asc("player_name")]
+    best = Window.partitionBy("team", "level", "node").orderBy(*order)
+    kept = st.select("team", "_r.level", "_r.node", "player_name", "_n", "_s1", "_s2") \
+        .withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= top_n).drop("_k")
+    days = sides.select("team", "match_date").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    days = days.withColumn("node", F.floor(F.unix_date("match_date") / F.pow(F.lit(2), F.col("level"))).cast("int"))
+    found = days.join(kept, ["team", "level", "node"])
+    per_day = Window.partitionBy("team", "match_date").orderBy(*order)
+    return found.withColumn("_k", F.row_number().over(per_day)).where(F.col("_k") <= top_n).drop("_k", "level", "node")
+
+
+def spotlight_of_fixtures(stats: DataFrame, matches: DataFrame, fixtures: DataFrame, top_n: int = SPOTLIGHT_TOP,
+                          min_balls: int = SPOTLIGHT_MIN_BALLS, min_apps: int = SPOTLIGHT_MIN_APPEARANCES) -> DataFrame:
+    """C16 (as :func:`spotlight`) for every fixture (match_id, match_date, team1,
+    team2): its records, with ``match_id``. The best of a fixture are among the best
+    of its two teams; the trend reads the player's last lines before the day."""
+    sides = fixtures.select("match_id", "match_date", F.explode(F.array_distinct(F.array("team1", "team2"))).alias("team"))
+
+    def role(lines: DataFrame, f1: str, f2: str, second: bool) -> DataFrame:
+        top = _top_asof(lines, sides, f1, f2, second, top_n, min_apps)
+        order = [F.desc(F.col("_s1") / F.col("_n")), *([F.asc(F.col("_s2") / F.col("_n"))] if second else [])]
+        w = Window.partitionBy("match_id").orderBy(*order, "player_name", "team")
+        picked = sides.join(top, ["team", "match_date"]).withColumn("rk", F.row_number().over(w).cast("long")).where(F.col("rk") <= top_n)
+        tails = seq.end_states(lines, ["player_name"], "match_date", ORDER, [f2], SPOTLIGHT_RECENT) \
+            .withColumnRenamed("_end_hist", "recent")
+        recent = seq.asof_before(tails, ["player_name"], "match_date", picked, "match_date", ["recent"])
+        return picked.join(recent, ["player_name", "match_date"], "left")
+
+    zero, c = F.lit(0.0), F.col
+    b = role(batting_lines(stats, matches, min_balls), "runs", "sr_c", False).select(
+        "match_id", c("player_name").alias("name"), "team", ratio_round("_s1", "_n", 1).alias("rolling_avg_runs"),
+        cents_ratio_round("_s2", "_n", 1).alias("rolling_avg_sr"), _trend_from_recent("sr_c").alias("sr_trend"),
+        zero.alias("rolling_avg_wickets"), zero.alias("rolling_avg_economy"), zero.alias("economy_trend"),
+        c("rk").alias("ord"), F.lit("batting").alias("role"))
+    w = role(bowling_lines(stats, matches), "wickets", "eco_c", True).select(
+        "match_id", c("player_name").alias("name"), "team", zero.alias("rolling_avg_runs"), zero.alias("rolling_avg_sr"),
+        zero.alias("sr_trend"), ratio_round("_s1", "_n", 1).alias("rolling_avg_wickets"),
+        cents_ratio_round("_s2", "_n", 1).alias("rolling_avg_economy"), _trend_from_recent("eco_c").alias("economy_trend"),
+        (c("rk") + F.lit(top_n)).alias("ord"), F.lit("bowling").alias("role"))
+    return b.unionByName(w)

@@ -3,16 +3,17 @@
 Rolling windows, streaks and running counts are defined over an entity's
 rows in (day, tiebreak) order. A plain ``Window.partitionBy(entity)`` sends
 all rows of an entity to one task; with 20 teams that is 1/20 of the data per
-task (or a third, for a hot team). Instead the work is split into *chunks*
-(entity, day):
+task (or a third, for a hot team). Instead the work is split into *chunks*:
+(entity, day, range of ids), the ranges ``CHUNK_IDS`` ids wide, so an entity
+with any number of rows on one day is several chunks (:func:`id_range`):
 
-1. a window partitioned by (entity, day) numbers the rows of each chunk and
+1. a window partitioned by the chunk numbers the rows of each chunk and
    collects the previous ``k`` rows inside the chunk (bounded arrays);
 2. each chunk is reduced to one row: its size and its last ``k`` rows;
-3. the chunk table (entities x active days -- bounded by the calendar, not by
-   the data volume) is scanned per entity to get, for each chunk, the running
+3. the chunk table (entities x active days x ranges -- bounded by the calendar
+   and the ids, not by the rows) is scanned per entity to get, for each chunk, the running
    count and the last ``k`` rows *before* it (the carry-in);
-4. the carry-in is joined back to the rows by (entity, day).
+4. the carry-in is joined back to the rows by chunk.
 
 The same chunk table answers as-of questions ("state at the end of the last
 day before D") without touching the row-level data again.
@@ -24,6 +25,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def last_k(arr: Column, k: int) -> Column:
@@ -35,12 +37,26 @@ def empty_like(arr: Column) -> Column:
     return F.filter(arr, lambda _: F.lit(False))
 
 
+CHUNK_IDS = 1 << 20     # ids of one chunk
+PART = "_part"
+
+
+def id_range(rows: DataFrame, first: str) -> Column:
+    """The range of ids that a row's chunk covers, ascending with the first column
+    of the order: of a number every ``CHUNK_IDS`` of them, of a text (hexadecimal
+    hash ids) its first two characters."""
+    if isinstance(rows.schema[first].dataType, (T.IntegralType, T.DecimalType, T.FractionalType)):
+        return F.floor(F.col(first) / F.lit(CHUNK_IDS)).cast("long")
+    return F.substring(F.col(first).cast("string"), 1, 2)
+
+
 def within_chunk(rows: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str],
                  hist_cols: Sequence[str], k: int, with_prev: bool = True) -> DataFrame:
-    """Adds ``_rn`` (1-based row number in chunk), ``_n`` (chunk size) and,
-    with ``with_prev``, ``_inprev`` (up to ``k`` previous rows of the chunk,
-    oldest first)."""
-    part = [*keys, chunk]
+    """Adds ``_part`` (the chunk's range of ids), ``_rn`` (1-based row number in
+    chunk), ``_n`` (chunk size) and, with ``with_prev``, ``_inprev`` (up to ``k``
+    previous rows of the chunk, oldest first)."""
+    part = [*keys, chunk, PART]
+    rows = rows.withColumn(PART, id_range(rows, order[0]))
     w = Window.partitionBy(*part).orderBy(*order)
     out = (rows
            .withColumn("_rn", F.row_number().over(w))
@@ -53,24 +69,26 @@ def within_chunk(rows: DataFrame, keys: Sequence[str], chunk: str, order: Sequen
 
 def chunk_table(rows1: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str],
                 hist_cols: Sequence[str], k: int, last_cols: Sequence[str] = ()) -> DataFrame:
-    """One row per (entity, chunk): ``_n``, ``_tail`` (last ``k`` rows) and the
+    """One row per chunk: ``_n``, ``_tail`` (last ``k`` rows) and the
     values of ``last_cols`` on the chunk's last row."""
     entry = F.struct(*[F.col(c) for c in (chunk, *order, *hist_cols)])
     aggs = [F.max("_n").alias("_n"), F.sort_array(F.collect_list(entry)).alias("_tail")]
     aggs += [F.max_by(F.col(c), F.col("_rn")).alias(c) for c in last_cols]
-    # Rows are already clustered by (entity, chunk): this aggregate adds no shuffle.
-    return rows1.filter(F.col("_rn") > F.col("_n") - F.lit(k)).groupBy(*keys, chunk).agg(*aggs)
+    # Rows are already clustered by chunk: this aggregate adds no shuffle.
+    return rows1.filter(F.col("_rn") > F.col("_n") - F.lit(k)).groupBy(*keys, chunk, PART).agg(*aggs)
 
 
 def chunk_carry(chunks: DataFrame, keys: Sequence[str], chunk: str, k: int) -> DataFrame:
     """Adds the running count and history before (``_carry_n``,
-    ``_carry_hist``) and up to the end of (``_cum``, ``_end_hist``) each chunk."""
-    wc = Window.partitionBy(*keys).orderBy(chunk)
+    ``_carry_hist``) and up to the end of (``_cum``, ``_end_hist``) each chunk,
+    and ``_day_end`` for the last chunk of a day."""
+    wc = Window.partitionBy(*keys).orderBy(chunk, PART)
     # each chunk holds >= 1 row, so the last k rows lie within the last k chunks
     end_hist = last_k(F.sort_array(F.flatten(F.collect_list("_tail").over(wc.rowsBetween(-(k - 1), 0)))), k)
     out = (chunks
            .withColumn("_cum", F.sum("_n").over(wc.rowsBetween(Window.unboundedPreceding, 0)))
-           .withColumn("_end_hist", end_hist))
+           .withColumn("_end_hist", end_hist)
+           .withColumn("_day_end", ~F.lead(chunk).over(wc).eqNullSafe(F.col(chunk)) | F.lead(PART).over(wc).isNull()))
     return (out
             .withColumn("_carry_n", F.coalesce(F.lag("_cum").over(wc), F.lit(0)))
             .withColumn("_carry_hist", F.coalesce(F.lag("_end_hist").over(wc), empty_like(F.col("_end_hist")))))
@@ -80,8 +98,8 @@ def attach_carry(rows1: DataFrame, carry: DataFrame, keys: Sequence[str], chunk:
                  carry_cols: Sequence[str] = ()) -> DataFrame:
     """Row-level ``_hist`` (last ``k`` rows strictly before the row, oldest
     first) and ``_seq`` (1-based position of the row in its entity)."""
-    c = carry.select(*keys, chunk, "_carry_n", "_carry_hist", *carry_cols)
-    j = rows1.join(c, [*keys, chunk], "inner")
+    c = carry.select(*keys, chunk, PART, "_carry_n", "_carry_hist", *carry_cols)
+    j = rows1.join(c, [*keys, chunk, PART], "inner")
     return (j.withColumn("_hist", last_k(F.concat(F.col("_carry_hist"), F.col("_inprev")), k))
              .withColumn("_seq", F.col("_carry_n") + F.col("_rn")))
 
@@ -96,12 +114,12 @@ def with_history(rows: DataFrame, keys: Sequence[str], chunk: str, order: Sequen
 
 def end_states(rows: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str],
                hist_cols: Sequence[str], k: int, last_cols: Sequence[str] = ()) -> DataFrame:
-    """One row per (entity, chunk) with ``_end_hist`` (the last ``k`` rows up
-    to and including the chunk's last row), ``_cum`` (rows so far) and the
-    chunk's last-row ``last_cols``: the state any later day sees, computed
+    """One row per (entity, day) with ``_end_hist`` (the last ``k`` rows up
+    to and including the day's last row), ``_cum`` (rows so far) and the
+    day's last-row ``last_cols``: the state any later day sees, computed
     without joining back to the rows."""
     rows1 = within_chunk(rows, keys, chunk, order, hist_cols, k, with_prev=False)
-    return chunk_carry(chunk_table(rows1, keys, chunk, order, hist_cols, k, last_cols), keys, chunk, k)
+    return chunk_carry(chunk_table(rows1, keys, chunk, order, hist_cols, k, last_cols), keys, chunk, k).where("_day_end").drop(PART)
 
 
 def tail_sum(arr: Column, field: str, n: int) -> Column:

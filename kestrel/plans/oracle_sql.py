@@ -452,42 +452,66 @@ ORACLE["C10_feature_matrix_leakage_free"] = with_ctes(
     *strength_ctes("SELECT DISTINCT match_date AS d FROM spine")) + _features_select(
     "*", _VENUE_BEFORE, _toss_before("t1", "team1") + "\n" + _toss_before("t2", "team2"), True)
 
-# spotlight for the latest unfinished fixture
-_SPOT_FX = """fx AS (SELECT team1 AS a, team2 AS b, match_date AS d FROM matches
-  WHERE status NOT IN ('completed', 'Completed', 'Result') ORDER BY match_date DESC, match_id DESC LIMIT 1)"""
+# spotlight for every unfinished fixture, from the definition: all lines before the day
+_SPOT_FX = """fx AS (SELECT match_id, team1 AS a, team2 AS b, match_date AS d FROM matches
+  WHERE status NOT IN ('completed', 'Completed', 'Result')),
+sd AS (SELECT DISTINCT a AS team, d FROM fx UNION SELECT b, d FROM fx)"""
 
 
 def _spot_role(lines: str, f1: str, f2: str, second: bool, name: str) -> str:
-    order2 = f", SUM({f2}) / COUNT(*) ASC" if second else ""
-    return f"""{name}_top AS (
+    order2 = ", s2 / n ASC" if second else ""
+    return f"""{name}_tot AS (
+  SELECT sd.team, sd.d, l.player_name, COUNT(*) AS n, SUM({f1}) AS s1, SUM({f2}) AS s2
+  FROM sd JOIN {lines} l ON l.team = sd.team AND l.match_date < sd.d GROUP BY ALL HAVING COUNT(*) >= 3),
+{name}_top AS (
   SELECT * FROM (
-    SELECT player_name, team, COUNT(*) AS n, SUM({f1}) AS s1, SUM({f2}) AS s2,
-           ROW_NUMBER() OVER (ORDER BY SUM({f1}) / COUNT(*) DESC{order2}, player_name, team) AS rk
-    FROM {lines} l, fx WHERE l.team IN (fx.a, fx.b) AND l.match_date < fx.d
-    GROUP BY player_name, team HAVING COUNT(*) >= 3) x WHERE rk <= 3),
+    SELECT fx.match_id, fx.d, t.player_name, t.team, n, s1, s2,
+           ROW_NUMBER() OVER (PARTITION BY fx.match_id ORDER BY s1 / n DESC{order2}, player_name, t.team) AS rk
+    FROM fx JOIN {name}_tot t ON t.d = fx.d AND t.team IN (fx.a, fx.b)) x WHERE rk <= 3),
 {name}_rec AS (
-  SELECT player_name, COUNT(*) AS n, SUM({f2}) FILTER (WHERE r <= 3) AS first3,
+  SELECT player_name, d, COUNT(*) AS n, SUM({f2}) FILTER (WHERE r <= 3) AS first3,
          COALESCE(SUM({f2}) FILTER (WHERE r > 3), 0) AS rest
-  FROM (SELECT l.player_name, l.{f2}, ROW_NUMBER() OVER (PARTITION BY l.player_name
+  FROM (SELECT l.player_name, p.d, l.{f2}, ROW_NUMBER() OVER (PARTITION BY l.player_name, p.d
           ORDER BY l.match_date DESC, l.match_id DESC, l.team DESC) AS r
-        FROM {lines} l, fx WHERE l.match_date < fx.d
-          AND l.player_name IN (SELECT player_name FROM {name}_top)) y
-  WHERE r <= 6 GROUP BY player_name),
+        FROM (SELECT DISTINCT player_name, d FROM {name}_top) p JOIN {lines} l ON l.player_name = p.player_name AND l.match_date < p.d) y
+  WHERE r <= 6 GROUP BY ALL),
 {name}_out AS (
-  SELECT t.player_name AS name, t.team, {RR('t.s1', 't.n', 1)} AS avg1, {CR('t.s2', 't.n', 1)} AS avg2,
+  SELECT t.match_id, t.player_name AS name, t.team, {RR('t.s1', 't.n', 1)} AS avg1, {CR('t.s2', 't.n', 1)} AS avg2,
          CASE WHEN r.n < 4 THEN 0.0 ELSE {CR('r.first3 * (r.n - 3) - 3 * r.rest', '3 * (r.n - 3)', 1)} END AS trend,
          t.rk
-  FROM {name}_top t LEFT JOIN {name}_rec r ON r.player_name = t.player_name)"""
+  FROM {name}_top t LEFT JOIN {name}_rec r ON r.player_name = t.player_name AND r.d = t.d)"""
 
 
-ORACLE["C16_spotlight_next_fixture"] = with_ctes(
-    *PLAYER_BASE, _SPOT_FX, _spot_role("bf_l", "runs", "sr_c", False, "sb"),
-    _spot_role("wf_l", "wickets", "eco_c", True, "sw")) + """
-SELECT name, team, avg1 AS rolling_avg_runs, avg2 AS rolling_avg_sr, trend AS sr_trend,
+_SPOT_CTES = (_SPOT_FX, _spot_role("bf_l", "runs", "sr_c", False, "sb"), _spot_role("wf_l", "wickets", "eco_c", True, "sw"),
+              """recs AS (
+SELECT match_id, name, team, avg1 AS rolling_avg_runs, avg2 AS rolling_avg_sr, trend AS sr_trend,
        0.0 AS rolling_avg_wickets, 0.0 AS rolling_avg_economy, 0.0 AS economy_trend, rk AS ord,
        'batting' AS role FROM sb_out
 UNION ALL
-SELECT name, team, 0.0, 0.0, 0.0, avg1, avg2, trend, rk + 3, 'bowling' FROM sw_out"""
+SELECT match_id, name, team, 0.0, 0.0, 0.0, avg1, avg2, trend, rk + 3, 'bowling' FROM sw_out)""")
+
+
+def _longer(ctes: tuple[str, ...]) -> tuple[str, ...]:
+    """The same statement on stat lines with up to six balls more, and only batting
+    lines of more than three: the test ball log has one ball per batter and match."""
+    lines = CTE_PLAYER_STATS.replace("player_stats AS (", "short_stats AS (", 1) + """,
+player_stats AS (SELECT * REPLACE (CASE WHEN role = 'batting' THEN balls_faced + match_id % 7 ELSE balls_faced END AS balls_faced)
+                 FROM short_stats)"""
+    return tuple(lines if c == CTE_PLAYER_STATS else c.replace("balls_faced > 0", "balls_faced > 3") for c in ctes)
+
+
+ORACLE["C16_spotlight_next_fixture"] = with_ctes(*PLAYER_BASE, *_SPOT_CTES) + "SELECT * FROM recs"
+ORACLE["C16_spotlight_min_balls"] = with_ctes(*_longer(PLAYER_BASE), *_SPOT_CTES) + "SELECT * FROM recs"
+ORACLE["A9_batter_summary_min_balls"] = with_ctes(*_longer((*STATS_BASE, CTE_BATTER_SUMMARY))) + """
+SELECT player_name, team, avg_runs, avg_sr, total_fours, total_sixes, innings FROM bsum"""
+ORACLE["C14_top_batters_min_balls"] = with_ctes(*_longer((*STATS_BASE, CTE_BATTER_SUMMARY))) + """
+SELECT * FROM (
+  SELECT p.team1, p.team2, b.player_name, b.team, b.avg_runs, b.avg_sr, b.total_fours, b.total_sixes, b.innings,
+         ROW_NUMBER() OVER (PARTITION BY p.team1, p.team2 ORDER BY b.k DESC, b.player_name, b.team) AS rank
+  FROM (SELECT DISTINCT team1, team2 FROM matches) p JOIN bsum b ON b.team IN (p.team1, p.team2)) x
+WHERE rank <= 8"""
+ORACLE["P4_batting_lines_min_balls"] = with_ctes(*_longer(STATS_BASE)) + """
+SELECT match_id, player_name, team, runs, balls_faced FROM player_stats WHERE role = 'batting' AND balls_faced > 3"""
 
 # ---- scalar functions and prompts ----------------------------------------------------
 
@@ -623,21 +647,14 @@ _BOWL_LINE = f"""CASE WHEN role = 'batting'
   ELSE concat(name, ', ', team, ': ', rolling_avg_wickets, ' wickets a game at economy ', rolling_avg_economy,
               ' (change ', {_sign('economy_trend')}, economy_trend, ')') END"""
 
-ORACLE["F23_spotlight_prompt"] = with_ctes(
-    *PLAYER_BASE, _SPOT_FX, _spot_role("bf_l", "runs", "sr_c", False, "sb"),
-    _spot_role("wf_l", "wickets", "eco_c", True, "sw"),
-    """recs AS (
-SELECT name, team, avg1 AS rolling_avg_runs, avg2 AS rolling_avg_sr, trend AS sr_trend,
-       0.0 AS rolling_avg_wickets, 0.0 AS rolling_avg_economy, 0.0 AS economy_trend, rk AS ord,
-       'batting' AS role FROM sb_out
-UNION ALL
-SELECT name, team, 0.0, 0.0, 0.0, avg1, avg2, trend, rk + 3, 'bowling' FROM sw_out)""",
-    f"""lines AS (SELECT string_agg(CASE WHEN rolling_avg_runs > 0 THEN {_BAT_LINE} ELSE {_BOWL_LINE} END,
-                  chr(10) ORDER BY ord) AS players_str, COUNT(*) AS n FROM recs)""") + \
-    """SELECT CASE WHEN n = 0 THEN 'There are no player figures for this match yet.' ELSE
-  concat('Choose one batter and one bowler to follow in ', (SELECT a || ' vs ' || b FROM fx),
+_SPOT_PROMPTS = f"""lines AS (SELECT match_id, string_agg(CASE WHEN rolling_avg_runs > 0 THEN {_BAT_LINE} ELSE {_BOWL_LINE} END,
+                  chr(10) ORDER BY ord) AS players_str FROM recs GROUP BY 1)"""
+_SPOT_PROMPT_ROWS = """SELECT fx.match_id, CASE WHEN players_str IS NULL THEN 'There are no player figures for this match yet.' ELSE
+  concat('Choose one batter and one bowler to follow in ', a || ' vs ' || b,
          ', and give a sentence of reasons for each. Use these figures of the last five games only.',
-         chr(10), chr(10), players_str) END AS prompt FROM lines"""
+         chr(10), chr(10), players_str) END AS prompt FROM fx LEFT JOIN lines ON lines.match_id = fx.match_id"""
+ORACLE["F23_spotlight_prompt"] = with_ctes(*PLAYER_BASE, *_SPOT_CTES, _SPOT_PROMPTS) + _SPOT_PROMPT_ROWS
+ORACLE["F23_spotlight_prompt_min_balls"] = with_ctes(*_longer(PLAYER_BASE), *_SPOT_CTES, _SPOT_PROMPTS) + _SPOT_PROMPT_ROWS
 
 # ---- request log, upserts, feed ------------------------------------------------------
 
@@ -995,8 +1012,7 @@ SELECT 'history' AS source, 'Cannot coerce batsman_runs: x' AS error_message, ma
 WHERE match_id % 97 = 0 AND ball = 1"""
 
 ORACLE["S7_S8_K5_K6_replaced_table"] = with_ctes(CTE_MATCHES) + """
-SELECT match_id, name, upper(status) AS status, true AS first_load, false AS second_load
-FROM matches WHERE match_id % 6 = 0"""
+SELECT match_id, name, upper(status) AS status, true AS first_load, false AS second_load FROM matches"""
 
 ORACLE["P9_card_of_one_match"] = with_ctes(*STATS_BASE) + """
 SELECT role, player_name, team, CASE role WHEN 'batting' THEN runs ELSE wickets END AS points FROM player_stats
@@ -1026,3 +1042,17 @@ UNION ALL SELECT 'violations', 'v6_duplicate_match_id', CAST(COUNT(*) - COUNT(DI
 UNION ALL SELECT 'violations', 'v7_target_domain', CAST(COUNT(*) AS DOUBLE) FROM dmg WHERE team1_won NOT IN (0, 1)
 UNION ALL SELECT 'violations', 'v7_h2h_complement', CAST(COUNT(*) AS DOUBLE) FROM dmg
   WHERE round(team1_h2h_win_rate + team2_h2h_win_rate, 2) <> 1.0"""
+
+ORACLE["T7_scores_and_rejects"] = with_ctes(*_FM_MATRIX, _DAMAGED) + f"""
+SELECT match_id, team1, team2, CASE WHEN why = '' THEN {RND('(0.5 + win_rate_diff / 2.0) * 100.0', 1)} END AS team1_win_prob,
+       CASE WHEN why = '' THEN {RND('(1.0 - (0.5 + win_rate_diff / 2.0)) * 100.0', 1)} END AS team2_win_prob,
+       CASE WHEN why = '' THEN 'form' END AS model_used, NULLIF(why, '') AS error_message
+FROM (SELECT * REPLACE (CASE WHEN match_id % 29 = 0 THEN ' ' WHEN match_id % 31 = 0 THEN team1 ELSE team2 END AS team2),
+        concat_ws('; ', CASE WHEN match_id % 29 = 0 THEN 'Unknown team: team2' END,
+                  CASE WHEN match_id % 29 <> 0 AND match_id % 31 = 0 THEN 'Team plays itself' END,
+                  CASE WHEN match_id % 17 = 0 THEN 'Missing feature: team1_win_rate' END,
+                  CASE WHEN match_id % 5 = 0 THEN 'Missing feature: bowl_eco_diff' END) AS why FROM dmg) x"""
+
+# the objective is convex: the gradient vanishes at the optimum, for every feature
+ORACLE["M5_logistic_certificate"] = "SELECT UNNEST(" + repr(["intercept", *_FC]) + ") AS feature, true AS optimal"
+ORACLE["T6_exact_quota_stream"] = ORACLE["W10_request_quota"]

@@ -186,3 +186,62 @@ def quota_table(events: DataFrame, dirs: dict[str, str], key: str = "user_id", a
     w = windowed_quota(events, key=key, **how).writeStream.outputMode("update").foreachBatch(fn) \
         .option("checkpointLocation", dirs["checkpoint"])
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=POLL_INTERVAL)).start()
+
+
+# ---- T6 exactly: the trailing count of every request ---------------------------------
+
+def exact_quota(events: DataFrame, key: str = "user_id", ts: str = "ts", rid: str = "event_id",
+                period_seconds: int = 60, watermark: str = "2 minutes", max_calls: int = 10) -> DataFrame:
+    """For every request the requests of its key in the trailing period
+    (t - period, t], as :func:`kestrel.operators.requests.requests_in_window`.
+
+    A request belongs to its (key, period) bucket and is copied once into the next
+    one as look-back, so a state holds two periods of one key, however busy the key.
+    A request that arrives out of order raises the counts of those after it: they are
+    given out again, and the sink keeps the last count of each. A state goes when the
+    watermark has passed its bucket. Requests later than the watermark are left out,
+    of the counts too."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    us = period_seconds * 1_000_000
+    e = events.select(F.col(rid).alias("_id"), F.col(key).alias("_k"), F.col(ts).cast("timestamp").alias("_ts"))
+    kinds = {c: e.schema[c].dataType.simpleString() for c in ("_id", "_k")}
+    if kinds["_id"] != "bigint":
+        raise ValueError("request ids must be bigint")
+    t = F.unix_micros("_ts")
+    own = F.floor(t / us).cast("long")
+    e = e.withWatermark("_ts", watermark).withColumn("_t", t).withColumn(
+        "_b", F.explode(F.array(F.struct(own.alias("b"), F.lit(1).alias("own")), F.struct((own + 1).alias("b"), F.lit(0).alias("own")))))
+    e = e.select("_id", "_k", "_ts", "_t", F.col("_b.b").alias("_bucket"), F.col("_b.own").alias("_own"))
+
+    def count(group, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        new = pd.concat(list(frames))[["_t", "_id", "_own"]].to_numpy(dtype=np.int64)
+        rows = new if not state.exists else np.concatenate([np.frombuffer(state.get[0], np.int64).reshape(-1, 3), new])
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        at = rows[:, 0]
+        n = np.searchsorted(at, at, side="right") - np.searchsorted(at, at - us, side="right")
+        out = (rows[:, 2] == 1) & (at >= new[:, 0].min())
+        state.update((rows.tobytes(),))
+        end_ms = (int(group[1]) + 1) * period_seconds * 1000
+        state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"_id": rows[out, 1], "_k": [group[0]] * int(out.sum()), "in_window": n[out]})
+
+    counted = e.groupBy("_k", "_bucket").applyInPandasWithState(
+        count, f"_id bigint, _k {kinds['_k']}, in_window bigint", "rows binary", "update", GroupStateTimeout.EventTimeTimeout)
+    return counted.select(F.col("_id").alias(rid), F.col("_k").alias(key), "in_window",
+                          F.greatest(F.lit(0), F.lit(max_calls) - F.col("in_window")).cast("long").alias("remaining"))
+
+
+def exact_quota_table(events: DataFrame, dirs: dict[str, str], key: str = "user_id", rid: str = "event_id", available_now: bool = True,
+                      **how) -> StreamingQuery:
+    """T6 kept as a table, one row per request; a later, greater count replaces an earlier one."""
+    def fn(df: DataFrame, batch_id: int) -> None:
+        upsert_batch(df, batch_id, table_path=dirs["table_path"], rejects_path=dirs["rejects_path"], key=[rid], immutable=[key],
+                     mutable=["remaining"], order=["in_window"], validate=None, source="quota")
+    w = exact_quota(events, key=key, rid=rid, **how).writeStream.outputMode("update").foreachBatch(fn) \
+        .option("checkpointLocation", dirs["checkpoint"])
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=POLL_INTERVAL)).start()
