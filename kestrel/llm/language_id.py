@@ -8,7 +8,9 @@ distance: the sum over its n-grams of the difference between the two ranks,
 wins (ties: the smaller name); score = 1 - distance / greatest distance.
 
 Text is lower-cased, and every run of non-letters counts as one space (also at
-both ends). Counting is exact over whole texts of any length, in chunks.
+both ends). Texts of any length are counted whole: a long one in chunks, each of
+which takes up the last ``ORDERS`` - 1 codes of the one before, so that no n-gram is
+lost or made up at a cut.
 
 Defined results: a null text, or one without a letter, gives ``und`` and score
 0. With no training rows (empty table, or all texts or languages null) each
@@ -45,39 +47,54 @@ def _letters() -> np.ndarray:
     return _LETTER[0]
 
 
-def _codes(text: str) -> np.ndarray:
-    """Lower-cased letters with single spaces between, before and after."""
-    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letter = _letters()[code]
-    code = np.where(letter, code, 32)
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    out = code[keep]
-    if len(out) == 0:
-        return np.zeros(0, dtype=np.int64)
-    head = [] if out[0] == 32 else [32]
-    tail = [] if out[-1] == 32 else [32]
-    return np.concatenate([head, out, tail]).astype(np.int64)
-
-
-def _grams(code: np.ndarray) -> np.ndarray:
-    """All n-grams of the codes, n = 1 to ORDERS, each packed into 63 bits."""
-    parts, gram = [code[code != 32]], code
+def _codes(text: str) -> Iterator[np.ndarray]:
+    """Lower-cased letters with single spaces between, before and after, in chunks
+    of at most about CHUNK codes (none for a text without a letter)."""
+    low, begun, after_letter = text.lower(), False, False
+    for at in range(0, len(low), CHUNK):
+        code = np.frombuffer(low[at:at + CHUNK].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        letter = _letters()[code]
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        keep[0] |= after_letter
+        out = np.where(letter, code, 32)[keep].astype(np.int64)
+        after_letter = bool(letter[-1])
+        ends = [] if at + CHUNK < len(low) or not after_letter else [32]    # a text that ends in a letter
+        if len(out):
+            yield np.concatenate([[] if begun else [32], out, ends]).astype(np.int64)
+            begun = True
+        elif ends:
+            yield np.array(ends, dtype=np.int64)
+
+
+def _grams(code: np.ndarray, known: int = 0) -> np.ndarray:
+    """The n-grams of the codes that end behind the first ``known`` ones, n = 1 to
+    ORDERS, each packed into 63 bits."""
+    fresh = code[known:]
+    parts, gram = [fresh[fresh != 32]], code
     for n in range(2, ORDERS + 1):
         gram = (gram[:-1] << _BITS) | code[n - 1:]
-        parts.append(gram)
+        parts.append(gram[max(0, known - n + 1):])
     return np.concatenate(parts)
 
 
+def _gram_chunks(text: str) -> Iterator[np.ndarray]:
+    """All n-grams of a whole text, in bounded pieces."""
+    tail = np.zeros(0, dtype=np.int64)
+    for code in _codes(text):
+        both = np.concatenate([tail, code])
+        yield _grams(both, len(tail))
+        tail = both[-(ORDERS - 1):]
+
+
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct packed n-grams of a whole text and how often each occurs."""
-    if len(text) <= CHUNK:
-        return np.unique(_grams(_codes(text)), return_counts=True)
-    keys, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    for at in range(0, len(text), CHUNK):  # a chunk counts as a text of its own
-        k, c = np.unique(_grams(_codes(text[at:at + CHUNK])), return_counts=True)
-        keys, counts = _merged(keys + [k], counts + [c])
-    return keys[0], counts[0]
+    keys, counts = [], []
+    for grams in _gram_chunks(text):
+        k, c = np.unique(grams, return_counts=True)
+        keys, counts = _merged(keys + [k], counts + [c]) if keys else ([k], [c])
+    none = np.zeros(0, dtype=np.int64)
+    return (keys[0], counts[0]) if keys else (none, none)
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -100,8 +117,9 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     a, b = gram_counts(text)
                     keys.append(a), counts.append(b)
                 else:
-                    held.append(_grams(_codes(text)))
-                    size += len(held[-1])
+                    for grams in _gram_chunks(text):
+                        held.append(grams)
+                        size += len(grams)
                 if size > 4 * CHUNK or (held and k == len(texts) - 1):
                     a, b = np.unique(np.concatenate(held), return_counts=True)
                     keys.append(a), counts.append(b)
