@@ -27,9 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import cut, table
+from kestrel.llm.common import bucket_count, cut, table
 
 ORDER = 3
+TASK_TEXTS = 4_000     # urls whose n-grams one task makes
 FOLDS = 5
 STEP = 0.01   # of the thresholds tried
 START, END = "\u0002", "\u0003"
@@ -133,6 +134,8 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
         .withColumn("text_id", F.xxhash64("host", "path")).withColumn("label", F.col("v") == "allow") \
         .select("text_id", "text", "label", "n")
     texts = cut(texts)
+    # the shuffle above may end in few partitions, and each text becomes many n-grams
+    texts = cut(texts.repartition(bucket_count(texts.count(), TASK_TEXTS), "text_id"))
     scores = cut(likelihood_ratios(texts))
     held_out = texts.where(F.col("label").isNotNull() & (F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(FOLDS)) == 0))
     threshold = calibrate(held_out.join(scores, "text_id").select("label", "score", "n"))
