@@ -4,8 +4,9 @@ A sketch keeps every hash of a 5-word shingle below a fixed fraction
 (1 / ``SCALE``) of the hash range, so its size follows the text's. Sketches of
 one scale merge by union (:func:`merged`), and the share of the smaller sketch
 that lies in the larger one estimates containment, however unequal the texts.
-The fraction is 1, which makes containment exact: with a smaller one, texts of a
-few shingles often keep no hash, and their likeness is 0 or chance.
+The fraction is 1/2: a text of k shingles keeps k/2 of them on average and none with
+probability 2^-k, and a likeness c of such a text has a standard error of about
+sqrt(2 c (1 - c) / k), which README states by length.
 
 A fingerprint is ``shingles:digest:hashes``: the number of shingles, a 64-bit
 digest of all of them, and the kept hashes in ascending order, 16 hex digits
@@ -38,7 +39,7 @@ from kestrel.llm import words
 from kestrel.llm.common import bucket_count, table
 
 SHINGLE = 5
-SCALE = 1
+SCALE = 2
 RANGE_ROWS = 1000
 MOST_RANGES = 1 << 16
 
