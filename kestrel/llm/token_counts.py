@@ -10,6 +10,11 @@ stored where a pre-token ends and looked up for every further occurrence, so a
 document costs one lookup per run. Nothing is shuffled; the store is bounded
 (``REMEMBERED``) and begun anew when it is full, which changes no result.
 
+Runs of any length go into the trie; in text without white space they share
+prefixes like others. On a level with fewer than ``FEW`` nodes the rest of each
+branch is a chain: it is walked character by character from the scores of its last
+ancestors, since a step of a whole level would cost more than its nodes.
+
 A character that no piece covers costs one token per byte (byte fallback) and
 ``UNKNOWN`` below the least score. Of equally good segmentations that with the
 longest last piece is taken.
@@ -18,8 +23,7 @@ Scores: the vocabulary file lists its pieces by rank but has no probabilities,
 so a piece of rank r scores -log(r + 1) (Zipf's law), unless others are given.
 
 Defined results: a null or empty text, or white space alone, has no tokens and
-score 0. Repeated rows are counted alike. Very long runs are segmented one by
-one, without the trie. An empty table gives no rows.
+score 0. Repeated rows are counted alike. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,8 +40,8 @@ from kestrel.llm import words
 from kestrel.llm.common import table
 
 REMEMBERED = 1 << 20
-LONG_RUN = 64
-TRIE_RUNS = 1 << 17     # pre-tokens inserted in one trie
+TRIE_CODES = 1 << 21    # code points of the pre-tokens inserted in one trie
+FEW = 24                # nodes of a level
 UNKNOWN = 10.0
 SPACE = "▁"
 _SLOT_BITS = 20
@@ -72,12 +76,12 @@ class Counter:
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN
-        self.up, self.down = words._powers(LONG_RUN + 2)
+        self.up, self.down = words._powers(self.longest + 2)
         names = list(scores)
-        code = [(_codes(p).astype(np.uint64) + np.uint64(1)) for p in names if len(p) <= LONG_RUN + 1]
+        code = [(_codes(p).astype(np.uint64) + np.uint64(1)) for p in names]
         hashes = np.array([(c * self.up[:len(c)]).sum(dtype=np.uint64) for c in code], dtype=np.uint64)
         order = np.argsort(hashes)
-        self.hash, self.score = hashes[order], np.array([scores[p] for p in names if len(p) <= LONG_RUN + 1])[order]
+        self.hash, self.score = hashes[order], np.array([scores[p] for p in names])[order]
         self.slot = np.zeros(1 << _SLOT_BITS, dtype=bool)
         self.slot[(words.mix(self.hash) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)] = True
         self.place: dict[str, int] = {}
@@ -86,11 +90,14 @@ class Counter:
 
     def one(self, run: str) -> tuple[int, float]:
         """The best segmentation of a single run, character by character."""
-        text = SPACE + run
-        best = [(0.0, 0)]
-        for end in range(1, len(text) + 1):
+        return self._walk(SPACE + run, 0, [(0.0, 0)])
+
+    def _walk(self, text: str, done: int, best: list[tuple[float, int]]) -> tuple[int, float]:
+        """The rest of a run from its character ``done`` on: ``best`` holds (score,
+        tokens) of the prefixes before, up to ``longest`` of them, in order."""
+        start = len(best) - 1
+        for end in range(done + 1, len(text) + 1):
             c = text[end - 1]
-            nbytes = int(_bytes_of(_codes(c))[0])
             top = None
             for n in range(min(self.longest, end), 0, -1):
                 s = self.scores.get(text[end - n:end])
@@ -98,15 +105,15 @@ class Counter:
                 if s is None:
                     if n > 1:
                         continue
-                    s, extra = self.unknown, nbytes
-                before, tokens = best[end - n]
+                    s, extra = self.unknown, int(_bytes_of(_codes(c))[0])
+                before, tokens = best[start + end - done - n]
                 if top is None or before + s > top[0]:
                     top = (before + s, tokens + extra)
             best.append(top)
         return best[-1][1], best[-1][0]
 
     def _trie(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Counts and scores of distinct short runs, level by level."""
+        """Counts and scores of distinct runs, level by level."""
         texts = [SPACE + r for r in runs]
         length = np.array([len(t) for t in texts])
         code = _codes("".join(texts))
@@ -117,6 +124,8 @@ class Counter:
         out_count, out_score = np.zeros(len(runs), dtype=np.int64), np.zeros(len(runs))
         active = np.arange(len(runs))
         for depth in range(1, int(length.max()) + 1):
+            if len(active) < FEW or depth >= len(self.up):
+                break
             char = code[first[active] + depth - 1].astype(np.int64)
             node, place = np.unique((at[active] << 21) | char, return_inverse=True)
             above, char = node >> 21, node & 0x1FFFFF
@@ -145,19 +154,27 @@ class Counter:
             ends = active[length[active] == depth]
             out_count[ends], out_score[ends] = least[at[ends]], top[at[ends]]
             active = active[length[active] > depth]
+        reached = len(score) - 1
+        for r in active.tolist():
+            best, node = [], int(at[r])
+            for depth in range(reached, max(-1, reached - self.longest), -1):
+                best.append((float(score[depth][node]), int(tokens[depth][node])))
+                node = int(parent[depth][node]) if depth else 0
+            out_count[r], out_score[r] = self._walk(texts[r], reached, best[::-1])
         return out_count, out_score
 
     def learn(self, runs: set[str]) -> None:
         if len(self.place) + len(runs) > REMEMBERED:
             self.place, self.count, self.best = {}, [], []
-        short = sorted(r for r in runs if len(r) <= LONG_RUN)
-        for a in range(0, len(short), TRIE_RUNS):
-            part = short[a:a + TRIE_RUNS]
+        part, size = [], 0
+        for run in sorted(runs):
+            part.append(run)
+            size += len(run) + 1
+            if size >= TRIE_CODES:
+                self._keep(part, *self._trie(part))
+                part, size = [], 0
+        if part:
             self._keep(part, *self._trie(part))
-        rest = [r for r in runs if len(r) > LONG_RUN]
-        if rest:
-            got = [self.one(r) for r in rest]
-            self._keep(rest, np.array([g[0] for g in got]), np.array([g[1] for g in got]))
 
     def _keep(self, runs, count, best) -> None:
         start = len(self.place)
