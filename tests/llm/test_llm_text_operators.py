@@ -120,6 +120,19 @@ def test_long_texts_are_counted_whole(monkeypatch):
     assert dict(zip(keys.tolist(), counts.tolist()))[ord("f")] == 9000
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 64])
+def test_all_n_grams_of_a_text_in_chunks_are_those_of_the_uncut_text(monkeypatch, chunk):
+    rnd = random.Random(chunk)
+    texts = ["", "...", "a", " a", "a ", "ab.", "ab..", "ÀB ΣΑΣ  x", "x" * 20, "a b c d e f g", "İi ǅ\n\nß"]
+    texts += ["".join(rnd.choices("ab é.ß 1İ", k=rnd.randrange(1, 200))) for _ in range(60)]
+    whole = [language_id.gram_counts(t) for t in texts]
+    monkeypatch.setattr(language_id, "CHUNK", chunk)
+    for text, (keys, counts) in zip(texts, whole):
+        k, c = language_id.gram_counts(text)
+        assert k.tolist() == keys.tolist() and c.tolist() == counts.tolist()
+        assert sum(c) == (sum(plain_grams(text).values()) if any(map(str.isalpha, text)) else 0)
+
+
 # ---- 3 sharding -------------------------------------------------------------------
 
 def test_shards_are_even_gapless_and_keep_copies_together(spark):
@@ -223,18 +236,77 @@ def test_planted_passages_are_found_and_others_left_alone():
 
 def test_short_items_are_found_whole():
     f = decontaminate.Finder(["a b c d e f", "x y", "one two three four five six seven"])
-    got = {(o.row, o.item) for o in f.find(["z a b c d e f z", "x y", "a b c d q f", "one two three four five six seven"])}
-    assert got == {(0, 0), (3, 2)}
+    got = {(o.row, o.item): o.n_equal for o in f.find(["z a b c d e f z", "x y", "a b c d q f", "one two three four five six seven", "x y z", "a q c d q f"])}
+    assert got == {(0, 0): 6, (3, 2): 7, (2, 0): 5, (1, 1): 2}     # fewer than five words: only as a whole text
+
+
+def test_one_substitution_anywhere_in_an_item_of_five_to_nine_words():
+    for n in range(decontaminate.LEAST_ITEM, decontaminate.LEAST_WORDS):
+        item = [f"i{k}" for k in range(n)]
+        texts = ["p " + " ".join("other" if k == odd else w for k, w in enumerate(item)) + " q" for odd in range(n)]
+        f = decontaminate.Finder([" ".join(item)])
+        assert {o.row: (o.doc_start, o.n_words, o.n_equal) for o in f.find(texts)} == {k: (1, n, n - 1) for k in range(n)}
+        assert not list(f.find(["p other " + " ".join(item[1:-1]) + " other q", " ".join(item[:n - 2])]))
 
 
-def test_masks_hit_every_overlap_of_the_stated_length_and_share():
+def test_masks_ignore_positions_and_hit_every_overlap_of_the_stated_length_and_share():
     kept = [[k for k, bit in enumerate(mask) if bit == "1"] for mask in decontaminate.MASKS]
-    for n in range(decontaminate.LEAST_WORDS, 21):
-        for u in range(n // 5 + 1):
-            for odd in itertools.combinations(range(1, n - 1), u):
-                assert any(not any(a + k in odd for k in mask) for mask in kept for a in range(n - mask[-1])), (n, odd)
-    for n in range(21, 2000):   # u unequal words leave u + 1 runs; a longest run of 3 would be too short
-        assert n - n // 5 > 3 * (n // 5 + 1)
+    assert all("0" in mask for mask in decontaminate.MASKS)
+    for n in range(decontaminate.LEAST_WORDS, 20):
+        for odd in itertools.combinations(range(n), n // 5):     # fewer unequal words leave more places
+            assert any(not any(a + k in odd for k in mask) for mask in kept for a in range(n - mask[-1])), (n, odd)
+    for n in range(20, 400):    # windows of 10 to 19 words make up every longer overlap
+        assert n // 10 * 10 <= n < n // 10 * 10 + 10
+
+
+def plain_overlap(text, item, least=10, share=0.8):
+    """(words, equal) of the best overlap, by every alignment and every stretch."""
+    t, w, best = text.split(), item.split(), (0, 0)
+    if 0 < len(w) < decontaminate.LEAST_ITEM:
+        return (len(w), len(w)) if t == w else best
+    for s in range(-len(w) + 1, len(t)):
+        equal = [w[k] == t[k + s] for k in range(max(0, -s), min(len(w), len(t) - s))]
+        if len(w) <= least:
+            if len(equal) == len(w) and sum(equal) >= share * len(w) - 1e-9:
+                best = max(best, (len(w), sum(equal)))
+            continue
+        a, b = naive_longest(equal, share)
+        if b - a >= least:
+            best = max(best, (b - a, sum(equal[a:b])))
+    return best
+
+
+@pytest.mark.parametrize("heavy", [decontaminate.HEAVY, 0, 10 ** 9])
+def test_overlaps_are_those_of_all_alignments(heavy):
+    rnd = random.Random(31)
+    for _ in range(60):
+        words_ = [f"w{k}" for k in range(rnd.choice([2, 3, 8, 60]))]
+        items = [" ".join(rnd.choices(words_, k=rnd.choice([1, 3, 5, 6, 9, 10, 11, 14, 24]))) for _ in range(3)]
+        texts = []
+        for _ in range(4):
+            w = rnd.choices(words_, k=rnd.choice([0, 2, 5, 12, 30]))
+            part = [x if rnd.random() > 0.12 else "zz" for x in rnd.choice(items).split()]
+            at = rnd.randrange(len(w) + 1)
+            texts.append(" ".join(w[:at] + part + w[at:]))
+        got = {(o.row, o.item): (o.n_words, o.n_equal) for o in decontaminate.Finder(items, heavy=heavy).find(texts)}
+        want = {(r, i): plain_overlap(t, x) for r, t in enumerate(texts) for i, x in enumerate(items)}
+        assert got == {k: v for k, v in want.items() if v[0]}
+
+
+def test_repeated_words_cost_neither_time_nor_memory():
+    import time
+    import tracemalloc
+    item = " ".join(["yes", "no"] * 1000)
+    odd = " ".join(w if k % 7 else "maybe" for k, w in enumerate(item.split()))
+    f = decontaminate.Finder([item, odd])
+    text = " ".join(["yes", "no"] * 10_000)
+    list(f.find(["warm up " * 20]))
+    tracemalloc.start()
+    start = time.time()
+    got = {o.item: (o.doc_start, o.n_words, o.n_equal) for o in f.find([text])}
+    assert time.time() - start < 20 and tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert got[0] == (0, 2000, 2000) and got[1][1:] == (1999, 1714)
 
 
 def test_every_short_overlap_is_found():
@@ -347,14 +419,26 @@ def test_sketches_estimate_containment():
     assert a.likeness(b) > 0.98 and abs(a.likeness(c) - 0.5) < 0.1
 
 
-def test_short_near_copies_are_near():
+def test_kept_hashes_are_the_share_below_the_fraction(rows):
+    """The sketch against plain shingle sets: what it keeps, how often nothing, and how far its likeness is off."""
+    limit = (1 << 64) // fingerprints.SCALE - 1
+    assert fingerprints.SCALE > 1
+    texts = [r.text for r in rows]
+    for text, s in zip(texts, fingerprints.sketches_of(texts)):
+        every = np.unique(next(iter(words.shingle_sets([text]))))
+        assert s.kept.tolist() == [h for h in every.tolist() if h <= limit]
+        assert len(every) == len(shingles(text))
     rnd = random.Random(8)
-    for n in (6, 10, 20):
-        for _ in range(100):
+    for n, most_empty, most_off in ((6, 0.3, 1.0), (20, 0.001, 0.25), (100, 0.0, 0.08)):
+        empty, off = 0, []
+        for _ in range(300):
             w = rnd.choices([f"w{k}" for k in range(5000)], k=n)
-            a, b = fingerprints.sketches_of([" ".join(w), " ".join([*w[:-1], "changed"])])
-            one, other = shingles(" ".join(w)), shingles(" ".join([*w[:-1], "changed"]))
-            assert a.likeness(b) == pytest.approx(len(one & other) / min(len(one), len(other)))
+            other = [*w[:-(n // 4) or None], *[f"o{k}" for k in range(n // 4)]]
+            a, b = fingerprints.sketches_of([" ".join(w), " ".join(other)])
+            empty += not len(a.kept)
+            one, two = shingles(" ".join(w)), shingles(" ".join(other))
+            off.append(abs(a.likeness(b) - len(one & two) / min(len(one), len(two))))
+        assert empty <= most_empty * 300 and sum(off) / len(off) <= most_off
 
 
 # ---- 8 licences -------------------------------------------------------------------
@@ -465,6 +549,20 @@ def test_trie_counts_against_each_run_and_the_public_unigram_model(rows):
         assert n == sum(len(model.tokenize("▁" + r)) for r in runs)
 
 
+def test_long_runs_share_the_trie(monkeypatch):
+    """Runs without white space, longer than any piece: levels of the trie far down, and chains at its end."""
+    scores = token_counts.pieces(token_counts.vocabulary())
+    rnd = random.Random(12)
+    head = "".join(rnd.choices("的一是不了人我在有他这为之大来以个中上们", k=150))
+    texts = [head + "".join(rnd.choices("的一是abc不了人我在有", k=rnd.randrange(400))) for _ in range(80)] + ["thequickbrownfox" * 30]
+    want = [token_counts.Counter(scores).one(t) for t in texts]
+    for few in (1, 24, 10 ** 6):
+        monkeypatch.setattr(token_counts, "FEW", few)
+        got = token_counts.Counter(scores).totals(texts)
+        assert [g[1] for g in got] == [w[0] for w in want]
+        assert [g[2] for g in got] == pytest.approx([w[1] for w in want])
+
+
 def test_the_store_may_be_begun_anew(rows, monkeypatch):
     scores = token_counts.pieces(token_counts.vocabulary())
     texts = [r.text for r in rows[:30]]
