@@ -46,17 +46,34 @@ def team_rows(matches: DataFrame) -> DataFrame:
              .select(*cols, "_s.*"))
 
 
-def _form_chunks(rows: DataFrame):
-    """rows(team, match_date, match_id, won) -> (rows1, chunk table with carry)."""
+_KEYS, _CHUNK, _ORDER = ["team"], "match_date", ["match_id"]
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows(team, match_date, match_id, won) with their place and run in the chunk."""
     k = FORM_WINDOW
-    keys, chunk, order = ["team"], "match_date", ["match_id"]
+    keys, chunk, order = _KEYS, _CHUNK, _ORDER
     rows1 = seq.within_chunk(rows, keys, chunk, order, ["won"], k)
     w = Window.partitionBy(*keys, chunk, seq.PART).orderBy(*order)
     rows1 = rows1.withColumn(
         "_chg", F.when(F.lag("won").over(w).isNull() | (F.lag("won").over(w) != F.col("won")), F.col("_rn")))
-    rows1 = rows1.withColumn(
+    return rows1.withColumn(
         "_run_start", F.max("_chg").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_chg")
-    chunks = seq.chunk_table(rows1, keys, chunk, order, ["won"], k, last_cols=["won", "_run_start"])
+
+
+def _chunks(rows1: DataFrame) -> DataFrame:
+    return seq.chunk_table(rows1, _KEYS, _CHUNK, _ORDER, ["won"], FORM_WINDOW, last_cols=["won", "_run_start"])
+
+
+def form_chunks(matches: DataFrame) -> DataFrame:
+    """One row per (team, day, range of ids): what :func:`form_states` needs of it.
+    A day's rows depend on that day's matches only."""
+    return _chunks(_numbered(_base_rows(matches)))
+
+
+def _carried(chunks: DataFrame) -> DataFrame:
+    """The chunk table with running counts, history and streak."""
+    k, keys, chunk = FORM_WINDOW, _KEYS, _CHUNK
     # Streak across chunks: a chunk extends the previous streak only when all of
     # its rows share the previous chunk's last result (gaps and islands).
     wc = Window.partitionBy(*keys).orderBy(chunk, seq.PART)
@@ -69,8 +86,7 @@ def _form_chunks(rows: DataFrame):
     chunks = chunks.withColumn("_mag", F.sum("_tail_len").over(wg))
     chunks = chunks.withColumn("_end_streak", F.when(F.col("won") == 1, F.col("_mag")).otherwise(-F.col("_mag")))
     carry = seq.chunk_carry(chunks, keys, chunk, k)
-    carry = carry.withColumn("_carry_streak", F.coalesce(F.lag("_end_streak").over(wc), F.lit(0)))
-    return rows1, carry
+    return carry.withColumn("_carry_streak", F.coalesce(F.lag("_end_streak").over(wc), F.lit(0)))
 
 
 def _base_rows(matches: DataFrame) -> DataFrame:
@@ -80,7 +96,8 @@ def _base_rows(matches: DataFrame) -> DataFrame:
 def team_form_rows(matches: DataFrame) -> DataFrame:
     """W1 rolling win rate (5 incl. current, 3 dp), W2 signed streak, W3
     matches played -- one row per (team, completed match)."""
-    rows1, carry = _form_chunks(_base_rows(matches))
+    rows1 = _numbered(_base_rows(matches))
+    carry = _carried(_chunks(rows1))
     r = seq.attach_carry(rows1, carry, ["team"], "match_date", FORM_WINDOW, carry_cols=["_carry_streak"])
     wins = seq.tail_sum(F.col("_hist"), "won", FORM_WINDOW - 1) + F.col("won")
     n = F.least(F.size("_hist"), F.lit(FORM_WINDOW - 1)) + 1
@@ -94,10 +111,10 @@ def team_form_rows(matches: DataFrame) -> DataFrame:
                     F.col("_seq").cast("long").alias("matches_played"))
 
 
-def form_states(matches: DataFrame) -> DataFrame:
+def form_states(matches: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
     """Form at the end of each (team, day) with matches: the state every later
-    day sees. Size: teams x active days."""
-    _, carry = _form_chunks(_base_rows(matches))
+    day sees. Size: teams x active days. From the matches, or from stored chunks."""
+    carry = _carried(form_chunks(matches) if chunks is None else chunks)
     end = F.col("_end_hist")
     return carry.where("_day_end").select(
         "team", "match_date",

@@ -40,15 +40,21 @@ def h2h_stats(matches: DataFrame) -> DataFrame:
                     ratio_round("team_b_wins", "total_matches", 3).alias("team_b_win_rate"))
 
 
-def pair_states(matches: DataFrame) -> DataFrame:
-    """Cumulative results of each pair at the end of each day they met:
-    (lo, hi, match_date, cum_total, cum_lo_wins, cum_hi_wins). Size: pairs x
-    days, independent of the number of matches per day."""
+def pair_days(matches: DataFrame) -> DataFrame:
+    """(lo, hi, match_date, n, lo_w, hi_w): each pair's results on each day they met."""
     lo, hi = _lo_hi()
-    daily = completed(matches).groupBy(lo.alias("lo"), hi.alias("hi"), "match_date").agg(
+    return completed(matches).groupBy(lo.alias("lo"), hi.alias("hi"), "match_date").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("winner") == lo).alias("lo_w"),
         F.count_if(F.col("winner") == hi).alias("hi_w"))
+
+
+def pair_states(matches: DataFrame | None = None, days: DataFrame | None = None) -> DataFrame:
+    """Cumulative results of each pair at the end of each day they met:
+    (lo, hi, match_date, cum_total, cum_lo_wins, cum_hi_wins). Size: pairs x
+    days, independent of the number of matches per day. From the matches, or from
+    stored days."""
+    daily = pair_days(matches) if days is None else days
     w = Window.partitionBy("lo", "hi").orderBy("match_date").rowsBetween(Window.unboundedPreceding, 0)
     return daily.select("lo", "hi", "match_date",
                         F.sum("n").over(w).alias("cum_total"),
@@ -76,25 +82,46 @@ def h2h_asof(matches: DataFrame, spine: DataFrame) -> DataFrame:
          .alias("team2_h2h_win_rate"))
 
 
-def venue_stats(matches: DataFrame) -> DataFrame:
-    """Per (team, venue): matches_at_venue, wins_at_venue, win rate."""
+def venue_days(matches: DataFrame) -> DataFrame:
+    """(team, venue, match_date, n, w): results on each day."""
     r = team_rows(completed(matches)).filter(F.col("venue").isNotNull())
-    g = r.groupBy("team", "venue").agg(F.count(F.lit(1)).alias("matches_at_venue"),
-                                       F.sum("won").cast("long").alias("wins_at_venue"))
+    return r.groupBy("team", "venue", "match_date").agg(F.count(F.lit(1)).alias("n"), F.sum("won").cast("long").alias("w"))
+
+
+def venue_stats(matches: DataFrame | None = None, days: DataFrame | None = None) -> DataFrame:
+    """Per (team, venue): matches_at_venue, wins_at_venue, win rate. From
+    the matches, or from stored days."""
+    if days is None:
+        r = team_rows(completed(matches)).filter(F.col("venue").isNotNull())
+        g = r.groupBy("team", "venue").agg(F.count(F.lit(1)).alias("matches_at_venue"),
+                                           F.sum("won").cast("long").alias("wins_at_venue"))
+    else:
+        g = days.groupBy("team", "venue").agg(F.sum("n").alias("matches_at_venue"), F.sum("w").alias("wins_at_venue"))
     return g.withColumn("venue_win_rate", ratio_round("wins_at_venue", "matches_at_venue", 3))
 
 
-def toss_impact(matches: DataFrame) -> DataFrame:
-    """Per team, win rate when winning / losing the toss (3 dp, 0
-    when the team has no such match) and the advantage (difference, 3 dp).
-    One conditional aggregate instead of two groupings and an outer join."""
+def _toss_counts(matches: DataFrame, by: list[str]) -> DataFrame:
     known = completed(matches).filter(F.col("toss_winner").isNotNull() & (F.col("toss_winner") != ""))
     r = team_rows(known)
-    g = r.groupBy("team").agg(
+    return r.groupBy(*by).agg(
         F.count_if(F.col("won_toss") == 1).alias("_tw_n"),
         F.count_if((F.col("won_toss") == 1) & (F.col("won") == 1)).alias("_tw_w"),
         F.count_if(F.col("won_toss") == 0).alias("_tl_n"),
         F.count_if((F.col("won_toss") == 0) & (F.col("won") == 1)).alias("_tl_w"))
+
+
+def toss_days(matches: DataFrame) -> DataFrame:
+    """(team, match_date and the four counts of the toss record)."""
+    return _toss_counts(matches, ["team", "match_date"])
+
+
+def toss_impact(matches: DataFrame | None = None, days: DataFrame | None = None) -> DataFrame:
+    """Per team, win rate when winning / losing the toss (3 dp, 0
+    when the team has no such match) and the advantage (difference, 3 dp).
+    One conditional aggregate instead of two groupings and an outer join. From the
+    matches, or from stored days."""
+    g = _toss_counts(matches, ["team"]) if days is None else \
+        days.groupBy("team").agg(*[F.sum(c).alias(c) for c in ("_tw_n", "_tw_w", "_tl_n", "_tl_w")])
     rate = lambda w, n: F.when(F.col(n) > 0, ratio_round(w, n, 3)).otherwise(F.lit(0.0))
     g = g.select("team", rate("_tw_w", "_tw_n").alias("toss_win_rate"),
                  rate("_tl_w", "_tl_n").alias("toss_loss_rate"))

@@ -103,15 +103,25 @@ def bowling_day_states(stats: DataFrame, matches: DataFrame) -> DataFrame:
         F.col("_cum").cast("long").alias("matches_bowled"))
 
 
-def role_day_states(stats: DataFrame, matches: DataFrame) -> DataFrame:
-    """What team strength needs of both roles, in one pass: per (player, role,
-    day) the team of the day's last line and the rolling mean after it (batting:
-    runs; bowling: economy), in hundredths."""
+_ROLE_KEYS = ["player_name", "role"]
+
+
+def role_chunks(stats: DataFrame, matches: DataFrame) -> DataFrame:
+    """One row per (player, role, day, range of ids) with what :func:`role_day_states`
+    needs of it. A day's rows depend on that day's lines only."""
     batting = F.col("role") == "batting"
     lines = stats.filter((batting & (F.col("balls_faced") > 0)) | ((F.col("role") == "bowling") & (F.col("overs_bowled") > 0)))
     value = F.when(batting, F.col("runs").cast("long") * 100).otherwise(cents("economy"))
     lines = dated(lines, matches).select("player_name", "role", "team", "match_id", "match_date", value.alias("v"))
-    st = seq.end_states(lines, ["player_name", "role"], "match_date", ORDER, ["v"], ROLL, ["team"])
+    rows1 = seq.within_chunk(lines, _ROLE_KEYS, "match_date", ORDER, ["v"], ROLL, with_prev=False)
+    return seq.chunk_table(rows1, _ROLE_KEYS, "match_date", ORDER, ["v"], ROLL, ["team"])
+
+
+def role_day_states(chunks: DataFrame) -> DataFrame:
+    """What team strength needs of both roles, in one pass: per (player, role,
+    day) the team of the day's last line and the rolling mean after it (batting:
+    runs; bowling: economy), in hundredths."""
+    st = seq.chunk_carry(chunks, _ROLE_KEYS, "match_date", ROLL).where("_day_end")
     end = F.col("_end_hist")
     mean = cents_ratio_round(seq.tail_sum(end, "v", ROLL), F.size(end), 2)
     return st.select("player_name", "role", "match_date", "team", F.rint(mean * 100).cast("long").alias("v"))

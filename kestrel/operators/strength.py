@@ -60,9 +60,10 @@ def strength_deltas(day_states: DataFrame) -> DataFrame:
         F.sum(F.col("eco") * sg).alias("d_eco"), F.sum(F.col("eco_n") * sg).alias("d_eco_n"))
 
 
-def strength_states(stats: DataFrame, matches: DataFrame) -> DataFrame:
-    """(team, eff_day, n, bat, eco, eco_n): totals valid from eff_day on."""
-    deltas = strength_deltas(pl.role_day_states(stats, matches))
+def strength_states(stats: DataFrame | None = None, matches: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    """(team, eff_day, n, bat, eco, eco_n): totals valid from eff_day on. From the
+    stat lines, or from stored chunks."""
+    deltas = strength_deltas(pl.role_day_states(pl.role_chunks(stats, matches) if chunks is None else chunks))
     w = Window.partitionBy("team").orderBy("eff_day").rowsBetween(Window.unboundedPreceding, 0)
     return deltas.select("team", "eff_day",
                          F.sum("d_n").over(w).alias("n"), F.sum("d_bat").over(w).alias("bat"),

@@ -301,6 +301,21 @@ def q_feature_matrix_before(spark, sf_dir):
     return feat.feature_matrix(m, dm.player_stats(spark, sf_dir, m), history="before")
 
 
+@register("C11_live_features_from_day_states")
+def q_live_from_states(spark, sf_dir):
+    """C11 from a store that took in the history in three loads, the second of which
+    brings the days of one year again."""
+    from kestrel.plans import day_states
+    m = dm.matches(spark, sf_dir)
+    st = dm.player_stats(spark, sf_dir, m)
+    store = feedmod.scratch_dirs(spark, "day-states")["table_path"]
+    year = F.year("match_date")
+    for days in (year <= 1995, (year >= 1995) & (year < 1997), F.coalesce(year >= 1997, F.lit(True))):
+        part = m.where(days)
+        day_states.append(store, part, st.join(part.select("match_id"), "match_id", "left_semi"))
+    return feat.live_features(None, None, feat.unfinished(m), states=day_states.states(spark, store))
+
+
 @register("C11_live_features")
 def q_live(spark, sf_dir):
     m = dm.matches(spark, sf_dir)

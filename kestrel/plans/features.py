@@ -15,6 +15,8 @@ spine is shuffled by its keys.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,10 +48,27 @@ def _side_lookup(spine: DataFrame, table: DataFrame, on: dict[str, str], cols: d
     return spine.join(t, list(on.values()), "left")
 
 
-def build_features(matches: DataFrame, stats: DataFrame, spine: DataFrame,
-                   history: str = "all", with_target: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+class States(NamedTuple):
+    """What the lookups read: end-of-day form and strength of the teams, records of
+    pairs, venues and tosses."""
+    form: DataFrame
+    strength: DataFrame
+    pairs: DataFrame
+    venues: DataFrame
+    tosses: DataFrame
+
+
+def states_of(matches: DataFrame, stats: DataFrame) -> States:
+    return States(fm.form_states(matches), stg.strength_states(stats, matches), mu.pair_states(matches),
+                  mu.venue_stats(matches), mu.toss_impact(matches))
+
+
+def build_features(matches: DataFrame | None, stats: DataFrame | None, spine: DataFrame,
+                   history: str = "all", with_target: bool = True, keep: tuple[str, ...] = (),
+                   states: States | None = None) -> DataFrame:
     """Features for every row of ``spine`` (match_id, match_date, team1,
-    team2, venue, toss_winner[, winner]).
+    team2, venue, toss_winner[, winner]). ``states`` (see
+    :mod:`kestrel.plans.day_states`) stand for the matches and stat lines.
 
     ``history="all"`` computes venue/toss records over all decided matches
     as the reference does (Q5); ``"before"`` uses only matches strictly before
@@ -63,22 +82,23 @@ def build_features(matches: DataFrame, stats: DataFrame, spine: DataFrame,
     sides = sp.select(F.explode(F.array("team1", "team2")).alias("team"), "match_date")
 
     # J6 form and J9 strength as of the day, for every team and day at once
-    team_t = seq.asof_tables([(fm.form_states(matches), "match_date", ["rolling_win_rate", "streak"], True),
-                              (stg.strength_states(stats, matches), "eff_day", stg.STATE, False)],
+    st = states_of(matches, stats) if states is None else states
+    team_t = seq.asof_tables([(st.form, "match_date", ["rolling_win_rate", "streak"], True),
+                              (st.strength, "eff_day", stg.STATE, False)],
                              ["team"], sides, "match_date")
     team_t = team_t.select("team", "match_date", "rolling_win_rate", "streak", *stg.strength_columns())
     # J7 head-to-head as of the day
     lo, hi = F.least("team1", "team2"), F.greatest("team1", "team2")
     sp = sp.withColumn("_lo", lo).withColumn("_hi", hi)
     pair_q = sp.select(F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), "match_date")
-    h2h_t = seq.asof_before(mu.pair_states(matches), ["lo", "hi"], "match_date", pair_q, "match_date",
+    h2h_t = seq.asof_before(st.pairs, ["lo", "hi"], "match_date", pair_q, "match_date",
                             ["cum_total", "cum_lo_wins", "cum_hi_wins"])
     if history == "before":
         venue_t, toss_t = _venue_toss_before(matches, sp)
         team_t = team_t.join(toss_t, ["team", "match_date"], "left")
         venue_key = ["team", "venue", "match_date"]
     else:
-        venue_t, toss_t = mu.venue_stats(matches), mu.toss_impact(matches).select("team", "toss_advantage")
+        venue_t, toss_t = st.venues, st.tosses.select("team", "toss_advantage")
         team_t = team_t.join(toss_t, "team", "left")
         venue_key = ["team", "venue"]
 
@@ -171,12 +191,12 @@ def unfinished(matches: DataFrame) -> DataFrame:
     return matches.filter(~F.col("status").isin(*UNFINISHED_EXCLUDED))
 
 
-def live_features(matches: DataFrame, stats: DataFrame, spine: DataFrame | None = None,
-                  keep: tuple[str, ...] = ()) -> DataFrame:
+def live_features(matches: DataFrame | None, stats: DataFrame | None, spine: DataFrame | None = None,
+                  keep: tuple[str, ...] = (), states: States | None = None) -> DataFrame:
     """C11: the same 20 features for matches still to be scored (no target).
     Venue defaults to "Unknown", toss winner to "" (F15)."""
     sp = unfinished(matches) if spine is None else spine
     sp = sp.withColumn("toss_winner", F.coalesce(F.col("toss_winner"), F.lit("")))
     if "venue" in keep:
         sp = sp.withColumn("venue", F.coalesce(F.nullif(F.col("venue"), F.lit("")), F.lit("Unknown")))
-    return build_features(matches, stats, sp, history="live", with_target=False, keep=keep)
+    return build_features(matches, stats, sp, history="live", with_target=False, keep=keep, states=states)

@@ -1056,3 +1056,4 @@ FROM (SELECT * REPLACE (CASE WHEN match_id % 29 = 0 THEN ' ' WHEN match_id % 31
 # the objective is convex: the gradient vanishes at the optimum, for every feature
 ORACLE["M5_logistic_certificate"] = "SELECT UNNEST(" + repr(["intercept", *_FC]) + ") AS feature, true AS optimal"
 ORACLE["T6_exact_quota_stream"] = ORACLE["W10_request_quota"]
+ORACLE["C11_live_features_from_day_states"] = ORACLE["C11_live_features"]
