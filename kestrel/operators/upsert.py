@@ -23,16 +23,19 @@ VERSION_PREFIX = "v"
 
 def upsert(current: DataFrame | None, incoming: DataFrame, key: Sequence[str], immutable: Sequence[str],
            mutable: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """K1. ``order`` columns (present on both sides) rank snapshots: the
-    current table's rows must order before any incoming row (e.g. a batch
-    number or fetch time)."""
+    """K1. ``order`` columns (present on both sides) rank the incoming snapshots and
+    decide whether they are later than the table's row. First-seen values are those
+    the table holds, else those of the first incoming snapshot; so a batch that is
+    merged again changes nothing."""
     cols = [*key, *immutable, *mutable, *order]
-    u = incoming.select(*cols) if current is None else current.select(*cols).unionByName(incoming.select(*cols))
-    seq = F.struct(*[F.col(c) for c in order])
+    u = incoming.select(*cols, F.lit(1).alias("_new"))
+    if current is not None:
+        u = current.select(*cols, F.lit(0).alias("_new")).unionByName(u)
+    seq = [F.col(c) for c in order]
     aggs = []
     if immutable:
-        aggs.append(F.min_by(F.struct(*[F.col(c) for c in immutable]), seq).alias("_first"))
-    aggs.append(F.max_by(F.struct(*[F.col(c) for c in (*mutable, *order)]), seq).alias("_last"))
+        aggs.append(F.min_by(F.struct(*[F.col(c) for c in immutable]), F.struct(F.col("_new"), *seq)).alias("_first"))
+    aggs.append(F.max_by(F.struct(*[F.col(c) for c in (*mutable, *order)]), F.struct(*seq, F.col("_new"))).alias("_last"))
     g = u.groupBy(*key).agg(*aggs)
     out = [F.col(k) for k in key]
     out += [F.col(f"_first.{c}").alias(c) for c in immutable]

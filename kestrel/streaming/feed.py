@@ -5,10 +5,13 @@ Each poll becomes part of a micro-batch of a file stream of snapshots.
 ``foreachBatch`` validates the batch, reduces it to one row per key (the later
 poll wins, also within a batch) and upserts the result into the keyed table
 (K1). The table is hash-partitioned by key and only the partitions that the
-batch touches are read and replaced (dynamic partition overwrite), so a poll
-costs what it brings, not the table; no old copies remain. Replaying a batch is
-idempotent: its rows merge into themselves. Rejects of batch N have their own
-folder. Micro-batches never overlap: one poll at a time.
+batch touches are read and written anew, so a poll costs what it brings, not the
+table. New partitions go to a folder of the attempt; a commit (a small table that
+names the folder of every partition) makes them current once it is complete, and
+folders that neither of the last two commits names are deleted. So a driver may be
+lost at any point: what the last commit names is untouched until the next one
+stands. Replaying a batch is idempotent: its rows merge into themselves. Rejects of
+batch N have their own folder. Micro-batches never overlap: one poll at a time.
 """
 
 from __future__ import annotations
@@ -29,21 +32,61 @@ from kestrel.session import ensure_checkpoint_dir
 POLL_INTERVAL = "60 seconds"
 
 
-# Hash partitions of a feed table. A table of n rows wants about n / 10^6.
+# A table begins with so many hash partitions; it is dealt anew over twice as many
+# whenever they hold more than PARTITION_ROWS rows on average.
 TABLE_PARTITIONS = 16
+PARTITION_ROWS = 1_000_000
 PARTITION = "_part"
+_COMMIT = "part int, folder string, n bigint, partitions int"
+
+
+def _commit(spark: SparkSession, path: str) -> list:
+    """The rows of the last complete commit: one per partition with rows."""
+    done = up.versions(spark, f"{path.rstrip('/')}/_commits")
+    return spark.read.schema(_COMMIT).parquet(up.version_path(f"{path.rstrip('/')}/_commits", done[-1])).collect() if done else []
+
+
+def _read_parts(spark: SparkSession, path: str, rows: list) -> DataFrame:
+    return spark.read.parquet(*[f"{path.rstrip('/')}/{r['folder']}/{PARTITION}={r['part']}" for r in rows])
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The keyed table at ``path`` (None before its first batch)."""
-    fs, p = up._fs(spark, path)
-    return spark.read.parquet(path) if fs.exists(p) else None
+    """The keyed table at ``path`` (None before its first rows)."""
+    rows = _commit(spark, path)
+    return _read_parts(spark, path, rows) if rows else None
+
+
+def _write_parts(df: DataFrame, path: str, batch_id: int, key: Sequence[str], partitions: int, others: list) -> list:
+    """Write ``df`` to a new folder, commit it together with the partitions in
+    ``others``, and return the commit's rows."""
+    spark = df.sparkSession
+    root, folder = path.rstrip("/"), f"batch={batch_id:08d}-{uuid.uuid4().hex[:8]}"
+    df.withColumn(PARTITION, F.pmod(F.xxhash64(*key), F.lit(partitions)).cast("int")).repartition(PARTITION) \
+        .write.partitionBy(PARTITION).parquet(f"{root}/{folder}")
+    sizes = spark.read.parquet(f"{root}/{folder}").groupBy(PARTITION).count().collect()     # at most ``partitions``
+    rows = [(r["part"], r["folder"], r["n"], partitions) for r in others] + [(r[PARTITION], folder, r["count"], partitions) for r in sizes]
+    done = up.versions(spark, f"{root}/_commits")
+    up.write_version(spark.createDataFrame(rows, _COMMIT).coalesce(1), f"{root}/_commits", done[-1] + 1 if done else 0)
+    _sweep(spark, root)
+    return _commit(spark, root)
+
+
+def _sweep(spark: SparkSession, root: str) -> None:
+    """Delete the folders that neither of the last two commits names."""
+    done = up.versions(spark, f"{root}/_commits")
+    named = {r["folder"] for v in done[-2:] for r in
+             spark.read.schema(_COMMIT).parquet(up.version_path(f"{root}/_commits", v)).select("folder").distinct().collect()}
+    fs, p = up._fs(spark, root)
+    old = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("batch=") and s.getPath().getName() not in named]
+    old += [up._fs(spark, up.version_path(f"{root}/_commits", v))[1] for v in done[:-2]]
+    for folder in old:
+        fs.delete(folder, True)
 
 
 def upsert_batch(batch: DataFrame, batch_id: int, *, table_path: str, rejects_path: str, key: Sequence[str],
                  immutable: Sequence[str], mutable: Sequence[str], order: Sequence[str],
                  validate: Callable[[DataFrame], DataFrame] | None, source: str,
-                 partitions: int = TABLE_PARTITIONS) -> None:
+                 partitions: int = TABLE_PARTITIONS, partition_rows: int = PARTITION_ROWS) -> None:
     """``order`` ranks the snapshots of a key (fetch time, then place in the
     payload); the batch number comes after the first of them, so that of equally
     old snapshots the later batch wins."""
@@ -57,18 +100,17 @@ def upsert_batch(batch: DataFrame, batch_id: int, *, table_path: str, rejects_pa
             rejects.write.mode("overwrite").parquet(f"{rejects_path.rstrip('/')}/batch={batch_id:08d}")
         else:
             valid = b
-        new = up.upsert(None, valid, key, immutable, mutable, rank)
-        new = new.withColumn(PARTITION, F.pmod(F.xxhash64(*key), F.lit(partitions)).cast("int")).persist()
-        touched = [r[0] for r in new.select(PARTITION).distinct().collect()]   # at most ``partitions``
+        held = _commit(spark, table_path)
+        partitions = held[0]["partitions"] if held else partitions
+        new = up.upsert(None, valid, key, immutable, mutable, rank).persist()
+        part = F.pmod(F.xxhash64(*key), F.lit(partitions)).cast("int")
+        touched = {r[0] for r in new.select(part).distinct().collect()}   # at most ``partitions``
         if touched:
-            current = read_table(spark, table_path)
-            if current is not None:
-                current = current.where(F.col(PARTITION).isin(touched)).drop(PARTITION)
-            up.upsert(current, new.drop(PARTITION), key, immutable, mutable, rank) \
-                .withColumn(PARTITION, F.pmod(F.xxhash64(*key), F.lit(partitions)).cast("int")) \
-                .repartition(PARTITION) \
-                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION) \
-                .parquet(table_path)
+            mine, others = [r for r in held if r["part"] in touched], [r for r in held if r["part"] not in touched]
+            current = _read_parts(spark, table_path, mine) if mine else None
+            rows = _write_parts(up.upsert(current, new, key, immutable, mutable, rank), table_path, batch_id, key, partitions, others)
+            if sum(r["n"] for r in rows) > partitions * partition_rows:
+                _write_parts(_read_parts(spark, table_path, rows), table_path, batch_id, key, 2 * partitions, [])
         new.unpersist()
     finally:
         batch.unpersist()
@@ -220,6 +262,9 @@ def exact_quota(events: DataFrame, key: str = "user_id", ts: str = "ts", rid: st
             state.remove()
             return
         new = pd.concat(list(frames))[["_t", "_id", "_own"]].to_numpy(dtype=np.int64)
+        new = new[new[:, 0] >= state.getCurrentWatermarkMs() * 1000]
+        if not len(new):
+            return
         rows = new if not state.exists else np.concatenate([np.frombuffer(state.get[0], np.int64).reshape(-1, 3), new])
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
         at = rows[:, 0]

@@ -99,11 +99,103 @@ def test_a_later_poll_wins_within_and_across_batches(spark, scratch):
     first = feed.match_feed_table(spark, stream, dirs=dirs)
     assert {(r.match_id, r.status, r.fetched_at.minute) for r in first.collect()} == {(str(k), "completed", 1) for k in range(6)}
     import glob
-    before = {f: os.path.getmtime(f) for f in glob.glob(f"{scratch}/t/_part=*/*.parquet")}
+    before = {f: os.path.getmtime(f) for f in glob.glob(f"{scratch}/t/batch=*/_part=*/*.parquet")}
     poll(5, "3", "abandoned", src)
     poll(0, "4", "late, but older", src)
     feed.match_feed_table(spark, spark.readStream.schema(cols).parquet(src), dirs=dirs)
-    got = {r.match_id: (r.status, r.fetched_at.minute) for r in spark.read.parquet(f"{scratch}/t").collect()}
+    got = {r.match_id: (r.status, r.fetched_at.minute) for r in feed.read_table(spark, f"{scratch}/t").collect()}
     assert got == {**{str(k): ("completed", 1) for k in range(6)}, "3": ("abandoned", 5)}
-    after = set(glob.glob(f"{scratch}/t/_part=*/*.parquet"))
-    assert len(after) == len(before) and len(after & set(before)) >= len(before) - 2   # only touched parts are replaced
+    after = set(glob.glob(f"{scratch}/t/batch=*/_part=*/*.parquet"))
+    assert set(before) <= after and 1 <= len(after - set(before)) <= 2   # only touched parts are written anew
+
+
+def test_a_batch_lost_half_way_leaves_the_table_and_can_be_replayed(spark, scratch, monkeypatch):
+    path = f"{scratch}/t"
+    how = dict(table_path=path, rejects_path=f"{scratch}/r", key=["k"], immutable=["a"], mutable=["b"], order=["s"], validate=None, source="x")
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, a string, b string, s int")
+    held = lambda: {r.k: (r.a, r.b) for r in feed.read_table(spark, path).collect()}
+    feed.upsert_batch(rows(*[(k, "first", "one", 0) for k in range(40)]), 0, **how)
+    before = held()
+    write = feed.up.write_version
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+    monkeypatch.setattr(feed.up, "write_version", lost)     # after the new partitions, before the commit
+    import pytest
+    with pytest.raises(RuntimeError):
+        feed.upsert_batch(rows((1, "x", "two", 1), (99, "new", "two", 1)), 1, **how)
+    assert held() == before
+    monkeypatch.setattr(feed.up, "write_version", write)
+    for _ in range(3):      # replays merge into themselves
+        feed.upsert_batch(rows((1, "x", "two", 1), (99, "new", "two", 1)), 1, **how)
+        assert held() == {**before, 1: ("first", "two"), 99: ("new", "two")}
+    import glob
+    named = {r["folder"] for r in feed._commit(spark, path)}
+    folders = {os.path.basename(f) for f in glob.glob(f"{path}/batch=*")}
+    assert named <= folders and len(folders) <= len(named) + 2      # old attempts are gone
+
+
+def test_a_grown_table_gets_more_partitions(spark, scratch):
+    path = f"{scratch}/t"
+    how = dict(table_path=path, rejects_path=f"{scratch}/r", key=["k"], immutable=[], mutable=["b"], order=["s"], validate=None, source="x",
+               partitions=2, partition_rows=20)
+    for batch in range(3):
+        feed.upsert_batch(spark.createDataFrame([(k, "v", batch) for k in range(30 * batch, 30 * batch + 30)], "k int, b string, s int"), batch, **how)
+    assert {r["partitions"] for r in feed._commit(spark, path)} == {8}
+    assert sorted(r.k for r in feed.read_table(spark, path).collect()) == list(range(90))
+
+
+def test_two_polls_with_a_processing_time_trigger(spark, scratch):
+    """The continuous poll: one micro-batch per interval, none overlap."""
+    import time
+    dirs = {"table_path": f"{scratch}/t", "rejects_path": f"{scratch}/r", "checkpoint": f"{scratch}/c"}
+    schema = "k int, b string, fetched_at int, _seq int"
+    src = f"{scratch}/src"
+    spark.createDataFrame([(1, "first", 0, 0), (2, "first", 0, 0)], schema).write.parquet(f"{src}/p=0")
+    q = feed.start_feed(spark.readStream.schema(schema).parquet(f"{src}/p=*"), key=["k"], immutable=[], mutable=["b"], interval="2 seconds", **dirs)
+    try:
+        def wait(want):
+            for _ in range(300):
+                t = feed.read_table(spark, dirs["table_path"])
+                if t is not None and {r.k: r.b for r in t.collect()} == want:
+                    return True
+                time.sleep(0.2)
+            return False
+        assert wait({1: "first", 2: "first"}) and q.isActive
+        spark.createDataFrame([(2, "second", 1, 0), (3, "second", 1, 0)], schema).write.parquet(f"{src}/p=1")
+        assert wait({1: "first", 2: "second", 3: "second"})
+        q.processAllAvailable()     # the second batch's progress is noted after its commit
+        batches = [p["batchId"] for p in q.recentProgress if p["numInputRows"]]
+        assert len(batches) == 2 and feed.POLL_INTERVAL == "60 seconds"
+    finally:
+        q.stop()
+
+
+def _late_events(spark, scratch):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    polls = [[(0, 0, 1), (1, 50, 1), (2, 59, 2)], [(3, 60, 1), (4, 110, 1), (5, 30, 1)], [(6, 300, 1)],
+             [(7, 40, 1), (8, 290, 1), (9, 301, 1), (10, 300, 1)]]       # (7: later than the watermark)
+    src = f"{scratch}/ev"
+    for k, rows in enumerate(polls):
+        at = os.path.join(src, f"poll={k}")
+        spark.createDataFrame([(i, t0 + dt.timedelta(seconds=s), u) for i, s, u in rows], "event_id long, ts timestamp, user_id long") \
+            .coalesce(1).write.parquet(at)
+        for f in os.listdir(at):
+            os.utime(os.path.join(at, f), (1_700_000_000 + 10 * k,) * 2)
+    return src
+
+
+def test_exact_quota_on_a_stream_is_that_of_the_batch(spark, scratch):
+    """One poll per micro-batch, events out of order: the counts given out last are those
+    of W10 over all events that were in time; a too late one is left out."""
+    from kestrel.operators import requests as rq
+    src = _late_events(spark, scratch)
+    schema = "event_id long, ts timestamp, user_id long"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/poll=*")
+    dirs = {"table_path": f"{scratch}/t", "rejects_path": f"{scratch}/r", "checkpoint": f"{scratch}/c"}
+    feed.exact_quota_table(stream, dirs).awaitTermination()
+    got = {r.event_id: (r.user_id, r.in_window, r.remaining) for r in feed.read_table(spark, dirs["table_path"]).collect()}
+    log = spark.read.schema(schema).parquet(f"{src}/poll=*").where("event_id <> 7")
+    want = {r.event_id: (r.user_id, r.in_window, r.remaining) for r in rq.requests_in_window(log).collect()}
+    assert got == want and got[1][1] == 3 and got[10][1] == 3
