@@ -36,7 +36,7 @@ from kestrel.llm.common import cut, table
 LEAST_LETTERS = 5
 LEAST_COUNT = 3
 RATIO = 2
-HOT_ROWS = 10_000
+HOT_ROWS = 1_000
 HELD_WORDS = 1 << 18
 # one byte per code point up to U+00FF: letters stay (A-Z in lower case), the rest are spaces
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 0xC0 else 32 for c in range(256))
