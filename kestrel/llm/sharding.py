@@ -7,18 +7,19 @@ propagation is one row per (key, shard) with a count: a key with a third of all
 documents is at most ``shards`` rows, and nothing ever pairs up its members.
 
 1. Labels start from a hash of the id. A key with more documents than a shard
-   may hold is split into parts of one shard's quota.
-2. Each round joins the state with each key's most favoured shard (where most
-   members are or still find room) and asks to move the others there. Two shards
-   exchange as many members as both ask for, so full ones take part as well.
-   Other requests are granted in order of the neighbours already there, up to the
-   room that the shard's quota leaves; the rest stay. Rounds end when nothing
-   moves, or a round brings no members closer together (the sum of the squared
-   counts, which bounds the rounds, has not grown).
-3. What is still cut then, and what smaller parts and members over a quota stand
-   in its way, is laid out whole, largest first and tightest room first. Only a
-   part that no shard has room for is cut. The documents without neighbours fill
-   every shard exactly to its quota, so shard sizes in rows differ by one at most.
+   may hold is split into parts of one shard's quota. The shards where a part has
+   members are the neighbours' shards that it may move to.
+2. Each round joins the parts that have no home with the neighbours' shard where
+   most of their members are, of those that have not refused them, and asks to move all
+   members there. A shard takes in whole parts up to its quota, those with most
+   members there first, and refuses the others, also such as it took in before
+   when nearer ones ask. Rounds end when no part without a home has a shard left to
+   ask; every round refuses somebody or settles all, so they end.
+3. The parts left without a home are laid out whole into the rooms left, largest
+   first and tightest room first. Only if one does not fit, smaller parts make way and
+   are laid out with it; only a part that no shard has room for is cut. The
+   documents without neighbours fill every shard exactly to its quota, so shard
+   sizes in rows differ by one at most.
 
 Ranks (within a key, among the free documents, within a shard) are window ranks
 inside hash buckets of bounded size plus the counts of the earlier buckets.
@@ -69,21 +70,12 @@ def _of_shard(values: list[int], shard: str) -> Column:
     return F.element_at(F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>"), F.col(shard) + 1)
 
 
-def _load(state: DataFrame, shards: int) -> tuple[list[int], int, int]:
-    """Documents per shard (as many numbers as shards), rows of the state, sum of the squared counts."""
-    load, rows, squares = [0] * shards, 0, 0
-    for r in state.groupBy("shard").agg(F.sum("n").alias("n"), F.count("*").alias("rows"),
-                                        F.sum(F.col("n").cast("decimal(38,0)") * F.col("n")).alias("squares")).collect():
-        load[r["shard"]], rows, squares = r["n"], rows + r["rows"], squares + int(r["squares"])
-    return load, rows, squares
-
-
-def _exchanges(asked: DataFrame, shards: int) -> list[int]:
-    """For each pair (from, to) of shards, how many can move because as many want to come back."""
-    count = [0] * (shards * shards)
-    for r in asked.groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        count[r["pair"]] = r["n"]
-    return [min(n, count[k % shards * shards + k // shards]) for k, n in enumerate(count)]
+def _load(state: DataFrame, shards: int) -> tuple[list[int], int]:
+    """Documents per shard (as many numbers as shards), rows of the state."""
+    load, rows = [0] * shards, 0
+    for r in state.groupBy("shard").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect():
+        load[r["shard"]], rows = r["n"], rows + r["rows"]
+    return load, rows
 
 
 def lay_out(counts: dict[int, int], room: list[int]) -> list[tuple[int, int, list[tuple[int, int]]]]:
@@ -112,37 +104,61 @@ def lay_out(counts: dict[int, int], room: list[int]) -> list[tuple[int, int, lis
     return out
 
 
-def _together(state: DataFrame, quota: list[int]) -> DataFrame:
-    """The state with its cut parts laid out whole where there is room (step 3)."""
-    shards = len(quota)
-    parts = cut(state.groupBy("link", "part").agg(F.sum("n").alias("n"), F.count("*").alias("pieces"), F.min("shard").alias("shard")))
-    most = parts.where("pieces > 1").agg(F.max("n")).head()[0] or 0
-    whole = parts.where("pieces = 1").where(F.col("n") >= most)
-    load, size, _ = _load(whole, shards)
-    over = _of_shard([max(0, n - q) for q, n in zip(quota, load)], "shard")
-    given = _granted(whole, "shard", F.floor(F.log2(F.col("n").cast("double"))), over, bucket_count(size, BUCKET * shards))
-    stay = cut(given.where("granted = 0").select("link", "part", "shard", "n"))
-    load, _, _ = _load(stay, shards)
-    loose = parts.join(stay, ["link", "part"], "left_anti").select("link", "part", F.col("n").alias("all"))
-    counts = {r["all"]: r["count"] for r in loose.groupBy("all").count().collect()}
-    if not counts:
-        return stay
-    plan = json.dumps([{"all": n, "upto": upto, "pieces": [{"shard": s, "n": k} for s, k in pieces]}
-                       for n, upto, pieces in lay_out(counts, [q - n for q, n in zip(quota, load)])])
-    rooms = state.sparkSession.range(1).select(F.inline(F.from_json(
-        F.lit(plan), "array<struct<`all`: bigint, upto: bigint, pieces: array<struct<shard: int, n: bigint>>>>"))) \
+def _laid(loose: DataFrame, plan: list, most: int) -> DataFrame:
+    """``loose(link, part, all)`` where the plan of :func:`lay_out` puts them."""
+    text = json.dumps([{"all": n, "upto": upto, "pieces": [{"shard": s, "n": k} for s, k in pieces]} for n, upto, pieces in plan])
+    rooms = loose.sparkSession.range(1).select(F.inline(F.from_json(
+        F.lit(text), "array<struct<`all`: bigint, upto: bigint, pieces: array<struct<shard: int, n: bigint>>>>"))) \
         .groupBy("all").agg(F.sort_array(F.collect_list(F.struct("upto", "pieces"))).alias("rooms"))
-    tie = F.pmod(F.xxhash64("link", "part"), F.lit(bucket_count(max(counts.values()), BUCKET)))
-    laid = _bucketed_rank(loose, ["all"], tie, ["link", "part"], "rank").join(rooms, "all") \
+    tie = F.pmod(F.xxhash64("link", "part"), F.lit(bucket_count(most, BUCKET)))
+    return _bucketed_rank(loose, ["all"], tie, ["link", "part"], "rank").join(rooms, "all") \
         .withColumn("room", F.get(F.filter("rooms", lambda r: r["upto"] > F.col("rank")), F.lit(0))) \
-        .select("link", "part", F.inline("room.pieces"))
-    return stay.unionByName(laid.select("link", "part", "shard", "n"))
+        .select("link", "part", F.inline("room.pieces")).select("link", "part", "shard", "n")
 
 
-def propagate(rows: DataFrame, total: int, shards: int = SHARDS) -> DataFrame:
-    """``rows(doc_id, link)`` -> (link, shard, n): how many documents of each key
-    with two or more of them have a place in which shard, within the quotas."""
-    quota = [total // shards + (s < total % shards) for s in range(shards)]
+def _together(homes: DataFrame, homeless: DataFrame, quota: list[int]) -> DataFrame:
+    """``homes(link, part, shard, n)`` and the places of ``homeless(link, part, all)`` (step 3)."""
+    shards = len(quota)
+    counts = {r["all"]: r["count"] for r in homeless.groupBy("all").count().collect()}
+    if not counts:
+        return homes
+    load, _ = _load(homes, shards)
+    plan = lay_out(counts, [q - n for q, n in zip(quota, load)])
+    if all(len(pieces) == 1 for _, _, pieces in plan):
+        return homes.unionByName(_laid(homeless, plan, max(counts.values())))
+    small = F.col("n") < max(counts)        # these make way
+    stay = cut(homes.where(~small))
+    loose = cut(homeless.unionByName(homes.where(small).select("link", "part", F.col("n").alias("all"))))
+    load, _ = _load(stay, shards)
+    counts = {r["all"]: r["count"] for r in loose.groupBy("all").count().collect()}
+    return stay.unionByName(_laid(loose, lay_out(counts, [q - n for q, n in zip(quota, load)]), max(counts.values())))
+
+
+def settle(state: DataFrame, quota: list[int]) -> tuple[DataFrame, DataFrame]:
+    """``state(link, part, shard, n)`` -> homes(link, part, shard, n), each part
+    whole and within the quotas, and the parts without one (link, part, all)."""
+    parts = cut(state.groupBy("link", "part").agg(F.sum("n").alias("all")))
+    wishes = cut(state.join(parts, ["link", "part"]))
+    buckets = bucket_count(parts.count(), BUCKET * len(quota))
+    limit = _of_shard(quota, "shard")
+    near = F.struct("n", F.xxhash64("link", "part", "shard"), "shard")
+    homes = wishes.limit(0)
+    while True:
+        open_ = wishes.join(homes.select("link", "part"), ["link", "part"], "left_anti")
+        asked = cut(open_.groupBy("link", "part").agg(F.max(near).alias("to"), F.max("all").alias("all"))
+                    .select("link", "part", F.col("to.shard").alias("shard"), F.col("to.n").alias("n"), "all"))
+        if asked.isEmpty():
+            return homes.select("link", "part", "shard", F.col("all").alias("n")), \
+                parts.join(homes.select("link", "part"), ["link", "part"], "left_anti").select("link", "part", "all")
+        pool = homes.select(asked.columns).unionByName(asked).withColumnRenamed("n", "there").withColumnRenamed("all", "n")
+        judged = cut(_granted(pool, "shard", 63 - F.floor(F.log2(F.col("there").cast("double"))), limit, buckets)
+                     .select("link", "part", "shard", F.col("there").alias("n"), F.col("n").alias("all"), (F.col("granted") == F.col("n")).alias("taken")))
+        homes = judged.where("taken").drop("taken")
+        wishes = cut(wishes.join(judged.where("not taken").select("link", "part", "shard"), ["link", "part", "shard"], "left_anti"))
+
+
+def labelled(rows: DataFrame, total: int, shards: int) -> DataFrame:
+    """The first labels: (link, part, shard, n) of the keys with two or more documents."""
     most = max(1, total // shards)
     start = rows.groupBy("link", F.pmod(F.xxhash64("doc_id", "link"), F.lit(shards)).cast("int").alias("shard")) \
         .agg(F.count("*").alias("n"))
@@ -150,42 +166,18 @@ def propagate(rows: DataFrame, total: int, shards: int = SHARDS) -> DataFrame:
     start = start.withColumn("all", F.sum("n").over(of_key)).where(F.col("all") > 1) \
         .withColumn("before", F.sum("n").over(of_key.orderBy("shard")) - F.col("n"))
     part = F.sequence(F.floor(F.col("before") / most), F.floor((F.col("before") + F.col("n") - 1) / most))
-    state = start.withColumn("part", F.explode(part)).select(
+    return start.withColumn("part", F.explode(part)).select(
         "link", "part", "shard",
         (F.least(F.col("before") + F.col("n"), (F.col("part") + 1) * most)
          - F.greatest(F.col("before"), F.col("part") * most)).alias("n"))
-    state = cut(state)
-    closest = 0
-    while True:
-        load, size, squares = _load(state, shards)
-        if squares <= closest:
-            break
-        closest = squares
-        room = _of_shard([q - n for q, n in zip(quota, load)], "shard")
-        buckets = bucket_count(size, BUCKET * shards)
-        # the neighbours' shard where most of the key's part can meet
-        favour = state.withColumn("room", F.greatest(F.lit(0), room)).groupBy("link", "part").agg(
-            F.sum("n").alias("all"), F.max(F.struct(
-                (F.col("n") + F.col("room")).alias("seats"), "n", F.xxhash64("link", "part", "shard"), "shard")).alias("most"),
-            F.max(F.struct("n", F.xxhash64("link", "part", "shard"), "shard", (F.col("n") + F.col("room")).alias("seats")))
-            .alias("first"))
-        fits = F.col("first.seats") >= F.col("all")
-        favour = favour.select("link", "part", F.when(fits, F.col("first.shard")).otherwise(F.col("most.shard")).alias("to"),
-                               F.when(fits, F.col("first.n")).otherwise(F.col("most.n")).alias("there"))
-        asked = cut(state.join(favour, ["link", "part"]).where("shard <> to")
-                    .withColumn("pair", F.col("shard") * shards + F.col("to")))
-        room_there = _of_shard([max(0, q - n) for q, n in zip(quota, load)], "to")
-        nearest = 63 - F.floor(F.log2(F.col("there").cast("double")))
-        swapped = _granted(asked, "pair", nearest, _of_shard(_exchanges(asked, shards), "pair"), buckets) \
-            .withColumnRenamed("granted", "swapped").withColumn("n", F.col("n") - F.col("swapped"))
-        moved = _granted(swapped, "to", nearest, room_there, buckets).withColumn("granted", F.col("granted") + F.col("swapped"))
-        change = cut(moved.where("granted > 0").select("link", "part", "shard", "to", "granted"))
-        if change.isEmpty():
-            break
-        state = cut(state.unionByName(change.select("link", "part", F.col("to").alias("shard"), F.col("granted").alias("n")))
-                    .unionByName(change.select("link", "part", "shard", (-F.col("granted")).alias("n")))
-                    .groupBy("link", "part", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
-    return cut(_together(state, quota).groupBy("link", "shard").agg(F.sum("n").alias("n")))
+
+
+def propagate(rows: DataFrame, total: int, shards: int = SHARDS) -> DataFrame:
+    """``rows(doc_id, link)`` -> (link, shard, n): how many documents of each key
+    with two or more of them have a place in which shard, within the quotas."""
+    quota = [total // shards + (s < total % shards) for s in range(shards)]
+    homes, homeless = settle(cut(labelled(rows, total, shards)), quota)
+    return cut(_together(homes, cut(homeless), quota).groupBy("link", "shard").agg(F.sum("n").alias("n")))
 
 
 def assign(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -193,7 +185,7 @@ def assign(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows are read several times, so they should be a written or checkpointed table."""
     total = rows.count()
     places = propagate(rows, total, shards)
-    load, _, _ = _load(places, shards)
+    load, _ = _load(places, shards)
     missing = [total // shards + (s < total % shards) - load[s] for s in range(shards)]
 
     upto = F.sum("n").over(Window.partitionBy("link").orderBy("shard"))

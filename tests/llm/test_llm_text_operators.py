@@ -173,6 +173,24 @@ def test_full_shards_still_bring_copies_together(spark):
     assert len(where["hot"]) == 2
 
 
+@pytest.mark.parametrize("sizes", [(4,), (50,), (50, 3, 7)])
+def test_parts_settle_with_their_neighbours_where_every_document_has_copies(spark, sizes):
+    links = [f"{size}-{k // size}" for size in sizes for k in range(8000 // len(sizes) // size * size)]
+    rows = spark.createDataFrame(list(enumerate(links)), "doc_id long, link string").repartition(4)
+    quota = [len(links) // 40 + (s < len(links) % 40) for s in range(40)]
+    state = sharding.labelled(rows, len(links), 40).cache()
+    at = collections.defaultdict(dict)
+    for r in state.collect():
+        at[r.link, r.part][r.shard] = r.n
+    homes, homeless = (df.collect() for df in sharding.settle(state, quota))
+    load = collections.Counter()
+    for r in homes:
+        load[r.shard] += r.n
+        assert r.n == sum(at[r.link, r.part].values()) and r.shard in at[r.link, r.part]     # whole, and where neighbours were
+    assert all(load[s] <= quota[s] for s in load) and len(homes) + len(homeless) == len(at)
+    assert len(homes) >= 0.9 * len(at)      # before anything is laid out
+
+
 def test_parts_are_laid_out_whole_and_within_the_rooms():
     rnd = random.Random(7)
     for _ in range(50):
