@@ -272,7 +272,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents without near duplicates: of each class the row with the
-    smallest id stays (of repeated rows, one), with all its columns."""
+    smallest id stays (of rows with the same id and text, that whose other columns
+    have the smallest hash), with all its columns."""
     signed, found = classes(docs, id_col, text_col, **how)
     kept = found.select(F.col("class_id").alias("doc_id"), F.col("class_key").alias("text_key")).distinct() \
         .unionByName(signed.where("node is null").select("doc_id", "text_key").distinct())
@@ -280,7 +281,9 @@ def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     keyed = docs.withColumn(a, name(id_col)).withColumn(b, text_key(F.col(text_col).cast("string")))
     chosen = keyed.join(kept.select(name("doc_id").alias(a), F.col("text_key").alias(b)), [a, b])
-    return chosen.withColumn(r, F.row_number().over(Window.partitionBy(a, b).orderBy(F.lit(0)))) \
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    first = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
+    return chosen.withColumn(r, F.row_number().over(Window.partitionBy(a, b).orderBy(first))) \
         .where(F.col(r) == 1).select(*docs.columns)
 
 
