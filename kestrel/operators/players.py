@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.numeric import cents, cents_ratio_round, ratio_round, round_half_even
 from kestrel.operators import sequence as seq
+from kestrel.session import cut_lineage
 
 # Rolling window, trend look-back (3 recent vs 3 older rows)
 # and the spotlight defaults.
@@ -318,10 +319,12 @@ def spotlight_of_fixtures(stats: DataFrame, matches: DataFrame, fixtures: DataFr
     sides = fixtures.select("match_id", "match_date", F.explode(F.array_distinct(F.array("team1", "team2"))).alias("team"))
 
     def role(lines: DataFrame, f1: str, f2: str, second: bool) -> DataFrame:
+        lines = cut_lineage(lines)          # read for the totals and for the last lines
         top = _top_asof(lines, sides, f1, f2, second, top_n, min_apps)
         order = [F.desc(F.col("_s1") / F.col("_n")), *([F.asc(F.col("_s2") / F.col("_n"))] if second else [])]
         w = Window.partitionBy("match_id").orderBy(*order, "player_name", "team")
-        picked = sides.join(top, ["team", "match_date"]).withColumn("rk", F.row_number().over(w).cast("long")).where(F.col("rk") <= top_n)
+        picked = cut_lineage(sides.join(top, ["team", "match_date"]).withColumn("rk", F.row_number().over(w).cast("long"))
+                             .where(F.col("rk") <= top_n))
         tails = seq.end_states(lines, ["player_name"], "match_date", ORDER, [f2], SPOTLIGHT_RECENT) \
             .withColumnRenamed("_end_hist", "recent")
         recent = seq.asof_before(tails, ["player_name"], "match_date", picked, "match_date", ["recent"])
