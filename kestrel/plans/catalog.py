@@ -372,12 +372,9 @@ def q_streak_phrases(spark, sf_dir):
     return f.select("team", "streak", tx.streak_phrase("streak").alias("streak_phrase"))
 
 
-@register("F18_F25_player_chart_fields")
-def q_chart_fields(spark, sf_dir):
-    m = dm.matches(spark, sf_dir)
-    st = dm.player_stats(spark, sf_dir, m)
+def _chart_fields(st, m, **how):
     axes = ["radar_runs", "radar_sr", "radar_fours", "radar_sixes", "radar_innings"]
-    b = reports.batter_summary(st, m, min_balls=0).withColumn(
+    b = reports.batter_summary(st, m, **how).withColumn(
         "_r", tx.radar_axes("avg_runs", "avg_sr", "total_fours", "total_sixes", "innings"))
     b = b.select("player_name", "team", F.lit("batting").alias("role"),
                  *[F.col("_r")[i].alias(a) for i, a in enumerate(axes)], F.lit(None).cast("string").alias("quadrant"))
@@ -387,6 +384,18 @@ def q_chart_fields(spark, sf_dir):
     return b.unionByName(w)
 
 
+@register("F18_F25_player_chart_fields")
+def q_chart_fields(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    return _chart_fields(dm.player_stats(spark, sf_dir, m), m, min_balls=0)
+
+
+@register("F18_F25_player_chart_fields_min_balls")
+def q_chart_fields_min_balls(spark, sf_dir):
+    m = dm.matches(spark, sf_dir)
+    return _chart_fields(_longer_lines(dm.player_stats(spark, sf_dir, m)), m)
+
+
 @register("F20_pre_match_prompts")
 def q_pre_prompts(spark, sf_dir):
     m = dm.matches(spark, sf_dir)
@@ -836,6 +845,12 @@ def q_head_tail(spark, sf_dir):
     return reports.head_tail(mtrain.coefficient_table(mtrain.train_logistic(train, stats, weights)), "coefficient")
 
 
+@register("L5_correlation_head_tail")
+def q_corr_head_tail(spark, sf_dir):
+    """L5 on a summary that SQL can restate: the features' correlations with the target."""
+    return reports.head_tail(prep.correlations(_matrix(spark, sf_dir)).drop("abs_rank"), "corr")
+
+
 # ---- sources and sinks written and read back; applied preparation ---------------------------
 
 

@@ -575,7 +575,7 @@ SELECT team, streak, {_streak_words('streak')} AS streak_phrase FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY team ORDER BY match_date DESC, match_id DESC) AS rk FROM form_rows) x
 WHERE rk = 1"""
 
-ORACLE["F18_F25_player_chart_fields"] = with_ctes(*STATS_BASE, CTE_BATTER_SUMMARY, CTE_BOWLER_SUMMARY) + """
+_CHART_FIELDS = """
 SELECT player_name, team, 'batting' AS role, avg_runs * 1.0 AS radar_runs, avg_sr * 0.5 AS radar_sr,
        CAST(total_fours AS DOUBLE) * 1.0 AS radar_fours, CAST(total_sixes AS DOUBLE) * 3.0 AS radar_sixes,
        CAST(innings AS DOUBLE) * 5.0 AS radar_innings, CAST(NULL AS VARCHAR) AS quadrant FROM bsum
@@ -583,6 +583,9 @@ UNION ALL
 SELECT player_name, team, 'bowling', NULL, NULL, NULL, NULL, NULL,
   CASE WHEN avg_wickets >= 1.0 AND avg_economy <= 8.0 THEN 'strike_and_control'
        WHEN avg_wickets >= 1.0 THEN 'strike' WHEN avg_economy <= 8.0 THEN 'control' ELSE 'neither' END FROM wsum"""
+_CHART_CTES = (*STATS_BASE, CTE_BATTER_SUMMARY, CTE_BOWLER_SUMMARY)
+ORACLE["F18_F25_player_chart_fields"] = with_ctes(*_CHART_CTES) + _CHART_FIELDS
+ORACLE["F18_F25_player_chart_fields_min_balls"] = with_ctes(*_longer(_CHART_CTES)) + _CHART_FIELDS
 
 ORACLE["F20_pre_match_prompts"] = with_ctes(*_LIVE_CTES) + f"""
 SELECT match_id, concat_ws(chr(10),
@@ -1057,3 +1060,8 @@ FROM (SELECT * REPLACE (CASE WHEN match_id % 29 = 0 THEN ' ' WHEN match_id % 31
 ORACLE["M5_logistic_certificate"] = "SELECT UNNEST(" + repr(["intercept", *_FC]) + ") AS feature, true AS optimal"
 ORACLE["T6_exact_quota_stream"] = ORACLE["W10_request_quota"]
 ORACLE["C11_live_features_from_day_states"] = ORACLE["C11_live_features"]
+
+ORACLE["L5_correlation_head_tail"] = f"""
+WITH c AS (SELECT feature, corr FROM ({ORACLE["A19_feature_correlations"]}) x)
+SELECT * FROM (SELECT *, 'top' AS "end" FROM c ORDER BY corr DESC NULLS LAST, feature LIMIT 5) a
+UNION ALL SELECT * FROM (SELECT *, 'bottom' FROM c ORDER BY corr ASC NULLS FIRST, feature LIMIT 5) b"""

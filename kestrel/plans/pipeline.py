@@ -4,7 +4,9 @@ build, training, scoring) as one Spark job over stored tables.
     load_history   C17: raw matches + balls -> matches / player_stats / data_errors tables
     build_features C10: stored tables -> feature_matrix table (K5, new version)
     train_models   M2-M10: feature_matrix -> saved logistic + boosted-tree models, metrics
-    score_live     C11 + M18: unfinished matches -> win probabilities table
+    update_states  C11's past: the days of a load -> per-day summaries (optional)
+    score_live     C11 + M18: unfinished matches -> win probabilities table; reads the
+                   summaries, where there are any, instead of the whole history
 
 Each step reads the previous step's tables, so the large inputs (the ball
 log) are scanned once per load, and every later job reads compact columnar
@@ -25,6 +27,7 @@ from kestrel.ml import boost
 from kestrel.ml import metrics as mt
 from kestrel.ml import train as mtrain
 from kestrel.operators import upsert as up
+from kestrel.plans import day_states
 from kestrel.plans import features as feat
 from kestrel.plans import ingest
 
@@ -74,6 +77,16 @@ def train_models(spark: SparkSession, warehouse: str, grid: dict[str, list] = bo
     return res
 
 
+def update_states(spark: SparkSession, warehouse: str, days: DataFrame | None = None) -> int:
+    """Take days of the stored tables (all, or the ``match_date`` of ``days``) into the
+    day states that :func:`score_live` reads. A day taken in again is replaced."""
+    m, st = tables(spark, warehouse)
+    if days is not None:
+        m = m.join(days.select("match_date").distinct(), "match_date", "left_semi")
+        st = st.join(m.select("match_id"), "match_id", "left_semi")
+    return day_states.append(_t(warehouse, "day_states"), m, st)
+
+
 def score_live(spark: SparkSession, warehouse: str) -> str:
     """Score every unfinished match with the better saved model
     (higher test AUC; the baseline on a tie) and store the probabilities; matches
@@ -88,5 +101,7 @@ def score_live(spark: SparkSession, warehouse: str) -> str:
     else:
         lr, stats = LogisticRegressionModel.load(f"{models}/logistic"), up.read_current(spark, f"{models}/scale_stats")
         score = lambda rows: mtrain.score_logistic(lr, rows, stats)
-    probs = mtrain.scored_with_rejects(feat.live_features(m, st), score, best).withColumn("scored_at", F.current_timestamp())
+    kept = day_states.states(spark, _t(warehouse, "day_states")) if up.versions(spark, _t(warehouse, "day_states/days")) else None
+    live = feat.live_features(m, st, states=kept)
+    probs = mtrain.scored_with_rejects(live, score, best).withColumn("scored_at", F.current_timestamp())
     return up.replace_table(probs, _t(warehouse, "live_predictions"))

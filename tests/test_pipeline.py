@@ -21,7 +21,8 @@ def test_end_to_end_job(spark, scratch):
     # a second load upserts matches but does not append stat lines again (K6)
     assert "player_stats" not in pipeline.load_history(raw_m, raw_d, wh)
     pipeline.build_features(spark, wh)
-    res = pipeline.train_models(spark, wh).collect()
+    grid = {"columns": [1.0], "rate": [0.1], "depth": [3], "trees": [10, 20], "rows": [0.8, 1.0]}   # the stored models are the point here
+    res = pipeline.train_models(spark, wh, grid).collect()
     assert {r["model"] for r in res} == {"logistic", "gbt"}
     assert all(0.0 <= r["auc"] <= 1.0 for r in res)
     pipeline.score_live(spark, wh)
@@ -30,6 +31,30 @@ def test_end_to_end_job(spark, scratch):
     assert live.count() == n_unfinished
     bad = live.filter(F.abs(F.col("team1_win_prob") + F.col("team2_win_prob") - 100.0) > 0.11).count()
     assert bad == 0
+    assert up.read_current(spark, f"{wh}/models/gbt_search").count() == 4
+    # the same scores from stored day states, taken in by halves
+    days = up.read_current(spark, f"{wh}/matches").select("match_date").distinct()
+    early = F.col("match_date") < F.lit("1998-01-01").cast("date")
+    assert [pipeline.update_states(spark, wh, days.where(c)) for c in (early, ~early)] == [0, 1]
+    before = live.drop("scored_at")
+    pipeline.score_live(spark, wh)
+    after = up.read_current(spark, f"{wh}/live_predictions").drop("scored_at")
+    assert before.exceptAll(after).count() == after.exceptAll(before).count() == 0
+
+
+def test_both_models_score_from_the_store(spark, scratch):
+    """The stored trees score as the fitted ones, whichever model is better."""
+    from kestrel.ml import boost
+    m = dm.matches(spark, SF)
+    matrix = feat.feature_matrix(m, dm.player_stats(spark, SF, m))
+    wh = f"{scratch}/wh"
+    up.replace_table(matrix, f"{wh}/feature_matrix")
+    pipeline.train_models(spark, wh, {"columns": [1.0], "rate": [0.3], "depth": [2], "trees": [5], "rows": [1.0]})
+    stored = boost.Boosted.from_table(up.read_current(spark, f"{wh}/models/gbt_trees"), feat.FEATURE_COLS)
+    assert len(stored.trees) == 5 and len(stored.edges) == len(feat.FEATURE_COLS)
+    rows = up.read_current(spark, f"{wh}/feature_matrix")
+    scores = [r["score"] for r in rows.withColumn("score", stored.score(spark)).collect()]
+    assert len(scores) == matrix.count() and all(0 < s < 1 for s in scores) and len(set(scores)) > 3
 
 
 def test_matrix_invariants(spark):
