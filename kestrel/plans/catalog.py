@@ -782,7 +782,7 @@ def q_windowed_quota(spark, sf_dir):
     the events (drained with availableNow); open windows included."""
     dirs = feedmod.scratch_dirs(spark, "quota")
     feedmod.quota_table(fxs.stream_table(spark, sf_dir, "events"), dirs).awaitTermination()
-    return feedmod.read_table(spark, dirs["table_path"]).select("window_end", "user_id", "in_window", "remaining")
+    return feedmod.read_quota(spark, dirs["table_path"]).select("window_end", "user_id", "in_window", "remaining")
 
 
 @register("T6_exact_quota_stream")

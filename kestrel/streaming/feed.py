@@ -108,7 +108,8 @@ def upsert_batch(batch: DataFrame, batch_id: int, *, table_path: str, rejects_pa
         if touched:
             mine, others = [r for r in held if r["part"] in touched], [r for r in held if r["part"] not in touched]
             current = _read_parts(spark, table_path, mine) if mine else None
-            rows = _write_parts(up.upsert(current, new, key, immutable, mutable, rank), table_path, batch_id, key, partitions, others)
+            merged = new if current is None else up.upsert(current, new, key, immutable, mutable, rank)   # ``new`` has one row per key
+            rows = _write_parts(merged, table_path, batch_id, key, partitions, others)
             if sum(r["n"] for r in rows) > partitions * partition_rows:
                 _write_parts(_read_parts(spark, table_path, rows), table_path, batch_id, key, 2 * partitions, [])
         new.unpersist()
@@ -203,81 +204,140 @@ def start_scorecard_feed(stream: DataFrame, *, innings_path: str, stats_path: st
     return w.start()
 
 
+def _micros(spark: SparkSession, interval: str) -> int:
+    return spark.range(1).select((F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {interval}"))).alias("us")).head()["us"]
+
+
+def quota_spans(events: DataFrame, key: str = "user_id", ts: str = "ts", period: str = "60 seconds",
+                slide: str = "1 second", watermark: str = "2 minutes") -> DataFrame:
+    """The windows of :func:`windowed_quota`, one row per key and span: ``counts`` has the
+    requests of the windows that begin in the span's first half, ``slide`` apart.
+
+    A span is two periods long and spans begin one period apart, so a request lies in two
+    of them, however many windows it lies in, and the state holds it twice."""
+    spark = events.sparkSession
+    p, s = _micros(spark, period), _micros(spark, slide)
+    n = -(-p // s)
+    t = F.unix_micros(ts)
+    agg = (events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+           .groupBy(F.window(ts, f"{2 * n * s} microseconds", f"{n * s} microseconds").alias("_span"), F.col(key))
+           .agg(F.collect_list(t).alias("_at")))
+    begin = F.unix_micros("_span.start")
+    counts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.size(F.filter(
+        "_at", lambda x: (x >= begin + i * F.lit(s)) & (x < begin + i * F.lit(s) + F.lit(p)))))
+    return agg.select(F.col("_span.start").alias("span_start"), key, counts.alias("counts")) \
+        .withColumns({"period_us": F.lit(p), "slide_us": F.lit(s)})
+
+
+def quota_windows(spans: DataFrame, key: str = "user_id", max_calls: int = 10) -> DataFrame:
+    """The windows with requests of :func:`quota_spans`, a row each."""
+    w = spans.select("*", F.posexplode("counts").alias("_i", "_n")).where("_n > 0")
+    end = F.timestamp_micros(F.unix_micros("span_start") + F.col("_i") * F.col("slide_us") + F.col("period_us"))
+    n = F.col("_n").cast("long")
+    return w.select(end.alias("window_end"), key, n.alias("in_window"),
+                    F.greatest(F.lit(0), F.lit(max_calls) - n).cast("long").alias("remaining"))
+
+
 def windowed_quota(events: DataFrame, key: str = "user_id", ts: str = "ts", period: str = "60 seconds",
                    slide: str = "1 second", watermark: str = "2 minutes", max_calls: int = 10) -> DataFrame:
     """T6 on a stream: requests per key in sliding event-time windows with a
     watermark for late data, and the remaining quota. Window boundaries are
     aligned to ``slide``, so this approximates the exact trailing count of
     :func:`kestrel.operators.requests.requests_in_window` (batch)."""
-    agg = (events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
-           .groupBy(F.window(ts, period, slide), F.col(key))
-           .agg(F.count(F.lit(1)).alias("in_window")))
-    # a window's count is final once the watermark has passed it; see quota_table
-    return agg.select(F.col("window.end").alias("window_end"), key, "in_window",
-                      F.greatest(F.lit(0), F.lit(max_calls) - F.col("in_window")).cast("long").alias("remaining"))
+    # a window's count is final once the watermark has passed its span; see quota_table
+    return quota_windows(quota_spans(events, key, ts, period, slide, watermark), key, max_calls)
 
 
 def quota_table(events: DataFrame, dirs: dict[str, str], key: str = "user_id", available_now: bool = True,
                 **how) -> StreamingQuery:
-    """T6 kept as a table: every trigger upserts the windows that changed, so
-    the windows still open are there too, with their count so far."""
+    """T6 kept as a table: every trigger upserts the spans that changed, so the
+    windows still open are there too, with their count so far. A row holds all windows
+    of a span (:func:`read_quota` gives one row per window)."""
     def fn(df: DataFrame, batch_id: int) -> None:
         upsert_batch(df.withColumn("_seq", F.lit(0)), batch_id, table_path=dirs["table_path"],
-                     rejects_path=dirs["rejects_path"], key=["window_end", key], immutable=[],
-                     mutable=["in_window", "remaining"], order=["_seq"], validate=None, source="quota")
-    w = windowed_quota(events, key=key, **how).writeStream.outputMode("update").foreachBatch(fn) \
+                     rejects_path=dirs["rejects_path"], key=["span_start", key], immutable=[],
+                     mutable=["counts", "period_us", "slide_us"], order=["_seq"], validate=None, source="quota")
+    w = quota_spans(events, key=key, **how).writeStream.outputMode("update").foreachBatch(fn) \
         .option("checkpointLocation", dirs["checkpoint"])
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=POLL_INTERVAL)).start()
 
 
+def read_quota(spark: SparkSession, path: str, key: str = "user_id", max_calls: int = 10) -> DataFrame | None:
+    """The windows of :func:`quota_table`, one row each (None before its first rows)."""
+    spans = read_table(spark, path)
+    return None if spans is None else quota_windows(spans, key, max_calls)
+
+
 # ---- T6 exactly: the trailing count of every request ---------------------------------
 
+# Requests of a stream are counted in groups of (part of the keys, so many periods).
+QUOTA_PARTS = 16
+QUOTA_PERIODS = 1440
+
+
 def exact_quota(events: DataFrame, key: str = "user_id", ts: str = "ts", rid: str = "event_id",
                 period_seconds: int = 60, watermark: str = "2 minutes", max_calls: int = 10) -> DataFrame:
     """For every request the requests of its key in the trailing period
     (t - period, t], as :func:`kestrel.operators.requests.requests_in_window`.
 
-    A request belongs to its (key, period) bucket and is copied once into the next
-    one as look-back, so a state holds two periods of one key, however busy the key.
-    A request that arrives out of order raises the counts of those after it: they are
-    given out again, and the sink keeps the last count of each. A state goes when the
-    watermark has passed its bucket. Requests later than the watermark are left out,
-    of the counts too."""
+    Requests are counted in groups: a part of the keys, by hash, in a bucket of
+    ``QUOTA_PERIODS`` periods. So the number of groups follows the time that the log
+    covers, not its requests or keys. A request of a bucket's last period is copied into the
+    next one as look-back. A state holds of its group the requests of the last period before
+    the watermark and those after it: older ones no request in time can look back to.
+    A request that arrives out of order raises the counts of those of its key in the
+    period after it: they are given out again, and the sink keeps the last count of each.
+    A state goes when the watermark has passed its bucket. Requests later than the
+    watermark are left out, of the counts too; so are those without a time."""
+    import pickle
+
     import numpy as np
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
     us = period_seconds * 1_000_000
-    e = events.select(F.col(rid).alias("_id"), F.col(key).alias("_k"), F.col(ts).cast("timestamp").alias("_ts"))
-    kinds = {c: e.schema[c].dataType.simpleString() for c in ("_id", "_k")}
-    if kinds["_id"] != "bigint":
+    span = QUOTA_PERIODS * us
+    e = events.select(F.col(rid).alias("_id"), F.col(key).cast("string").alias("_k"), F.col(ts).cast("timestamp").alias("_ts"))
+    kind = events.select(key).schema[0].dataType.simpleString()
+    if e.schema["_id"].dataType.simpleString() != "bigint":
         raise ValueError("request ids must be bigint")
     t = F.unix_micros("_ts")
-    own = F.floor(t / us).cast("long")
-    e = e.withWatermark("_ts", watermark).withColumn("_t", t).withColumn(
-        "_b", F.explode(F.array(F.struct(own.alias("b"), F.lit(1).alias("own")), F.struct((own + 1).alias("b"), F.lit(0).alias("own")))))
-    e = e.select("_id", "_k", "_ts", "_t", F.col("_b.b").alias("_bucket"), F.col("_b.own").alias("_own"))
+    own, after = F.floor(t / span).cast("long"), F.floor((t + us - 1) / span).cast("long")
+    struct = lambda b, mine: F.struct(b.alias("b"), F.lit(mine).alias("own"))
+    e = e.where("_ts is not null").withWatermark("_ts", watermark).withColumn("_t", t).withColumn("_b", F.explode(
+        F.when(own == after, F.array(struct(own, 1))).otherwise(F.array(struct(own, 1), struct(after, 0)))))
+    e = e.select("_id", "_k", "_ts", "_t", F.col("_b.b").alias("_bucket"), F.col("_b.own").alias("_own"),
+                 F.pmod(F.xxhash64("_k"), F.lit(QUOTA_PARTS)).alias("_part"))
 
     def count(group, frames, state):
         if state.hasTimedOut:
             state.remove()
             return
-        new = pd.concat(list(frames))[["_t", "_id", "_own"]].to_numpy(dtype=np.int64)
-        new = new[new[:, 0] >= state.getCurrentWatermarkMs() * 1000]
-        if not len(new):
+        got, late = pd.concat(list(frames)), state.getCurrentWatermarkMs() * 1000
+        got = got[got["_t"].to_numpy(dtype=np.int64) >= late]
+        if not len(got):
             return
-        rows = new if not state.exists else np.concatenate([np.frombuffer(state.get[0], np.int64).reshape(-1, 3), new])
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        at = rows[:, 0]
-        n = np.searchsorted(at, at, side="right") - np.searchsorted(at, at - us, side="right")
-        out = (rows[:, 2] == 1) & (at >= new[:, 0].min())
-        state.update((rows.tobytes(),))
-        end_ms = (int(group[1]) + 1) * period_seconds * 1000
+        rows, keys = got[["_t", "_id", "_own"]].to_numpy(dtype=np.int64), got["_k"].to_numpy(dtype=object)
+        new = np.ones(len(rows), dtype=bool)
+        if state.exists:
+            held, names = pickle.loads(state.get[0])
+            rows, keys, new = np.concatenate([held, rows]), np.concatenate([names, keys]), np.concatenate([np.zeros(len(held), dtype=bool), new])
+        kept = rows[:, 0] >= late - us
+        state.update((pickle.dumps((rows[kept], keys[kept])),))
+        no = pd.factorize(keys, use_na_sentinel=False)[0].astype(np.int64)
+        order = np.lexsort((rows[:, 1], rows[:, 0], no))
+        rows, keys, new, no = rows[order], keys[order], new[order], no[order]
+        first = rows[:, 0].min()
+        at = no * (rows[:, 0].max() - first + us + 1) + rows[:, 0] - first      # keys lie more than a period apart
+        low, high = np.searchsorted(at, at - us, side="right"), np.searchsorted(at, at, side="right")
+        seen = np.concatenate([[0], np.cumsum(new)])
+        out = (rows[:, 2] == 1) & (seen[high] > seen[low])
+        end_ms = (int(group[1]) + 1) * span // 1000
         state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"_id": rows[out, 1], "_k": [group[0]] * int(out.sum()), "in_window": n[out]})
+        yield pd.DataFrame({"_id": rows[out, 1], "_k": keys[out], "in_window": (high - low)[out]})
 
-    counted = e.groupBy("_k", "_bucket").applyInPandasWithState(
-        count, f"_id bigint, _k {kinds['_k']}, in_window bigint", "rows binary", "update", GroupStateTimeout.EventTimeTimeout)
-    return counted.select(F.col("_id").alias(rid), F.col("_k").alias(key), "in_window",
+    counted = e.groupBy("_part", "_bucket").applyInPandasWithState(
+        count, "_id bigint, _k string, in_window bigint", "rows binary", "update", GroupStateTimeout.EventTimeTimeout)
+    return counted.select(F.col("_id").alias(rid), F.col("_k").cast(kind).alias(key), "in_window",
                           F.greatest(F.lit(0), F.lit(max_calls) - F.col("in_window")).cast("long").alias("remaining"))
 
 

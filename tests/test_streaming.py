@@ -199,3 +199,56 @@ def test_exact_quota_on_a_stream_is_that_of_the_batch(spark, scratch):
     log = spark.read.schema(schema).parquet(f"{src}/poll=*").where("event_id <> 7")
     want = {r.event_id: (r.user_id, r.in_window, r.remaining) for r in rq.requests_in_window(log).collect()}
     assert got == want and got[1][1] == 3 and got[10][1] == 3
+
+
+def test_windows_of_a_quota_table_over_polls_are_those_of_brute_force(spark, scratch):
+    """A request is held twice however many windows it lies in; open windows are there, with later requests of
+    the same span added; keys may be null."""
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1, 0, 0, 30)
+    polls = [[(0, 0.0, 1), (1, 0.5, 1), (2, 59.9, None), (3, 61, 2)], [(4, 65, 1), (5, 20, 1), (6, 60, None), (7, 119.999, 2)]]
+    src = os.path.join(scratch, "ev")
+    schema = "event_id long, ts timestamp, user_id long"
+    for k, rows in enumerate(polls):
+        at = os.path.join(src, f"poll={k}")
+        spark.createDataFrame([(i, t0 + dt.timedelta(seconds=s), u) for i, s, u in rows] + [(100 + k, None, 1)], schema).coalesce(1).write.parquet(at)
+        for f in os.listdir(at):
+            os.utime(os.path.join(at, f), (1_700_000_000 + 10 * k,) * 2)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/poll=*")
+    for period, slide in ((60, 1), (10, 4)):
+        at = f"{scratch}/{period}"
+        dirs = {"table_path": f"{at}/t", "rejects_path": f"{at}/r", "checkpoint": f"{at}/c"}
+        feed.quota_table(stream, dirs, period=f"{period} seconds", slide=f"{slide} seconds").awaitTermination()
+        assert feed.read_table(spark, dirs["table_path"]).count() <= 2 * 8
+        got = {(r.window_end, r.user_id): (r.in_window, r.remaining) for r in feed.read_quota(spark, dirs["table_path"]).collect()}
+        want = {}
+        base = dt.datetime(2024, 1, 1)
+        for _, s, u in sum(polls, []):
+            at_s = 30 + s
+            for k in range(-100, 200):      # window starts are multiples of the slide since 1970, and so since midnight
+                if k * slide <= at_s < k * slide + period:
+                    end = base + dt.timedelta(seconds=k * slide + period)
+                    want[(end, u)] = want.get((end, u), 0) + 1
+        assert got == {k: (n, 10 - n) for k, n in want.items()}
+
+
+def test_exact_quota_counts_many_keys_in_few_groups(spark, scratch, monkeypatch):
+    """Text and null keys, equal times, requests across the ends of buckets: the counts of W10; the
+    number of groups follows the time covered, not the keys."""
+    import datetime as dt
+
+    from kestrel.operators import requests as rq
+    monkeypatch.setattr(feed, "QUOTA_PARTS", 2)
+    monkeypatch.setattr(feed, "QUOTA_PERIODS", 2)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(k, t0 + dt.timedelta(seconds=(k * 37) % 600, microseconds=k % 3), None if k % 7 == 0 else f"u{k % 5}") for k in range(400)]
+    src, schema = os.path.join(scratch, "ev"), "event_id long, ts timestamp, user_id string"
+    spark.createDataFrame(rows + [(999, None, "u1")], schema).coalesce(1).write.parquet(src)
+    dirs = {"table_path": f"{scratch}/t", "rejects_path": f"{scratch}/r", "checkpoint": f"{scratch}/c"}
+    q = feed.exact_quota_table(spark.readStream.schema(schema).parquet(src), dirs)
+    q.awaitTermination()
+    got = {r.event_id: (r.user_id, r.in_window, r.remaining) for r in feed.read_table(spark, dirs["table_path"]).collect()}
+    want = {r.event_id: (r.user_id, r.in_window, r.remaining) for r in rq.requests_in_window(spark.createDataFrame(rows, schema)).collect()}
+    assert got == want and len(got) == 400
+    states = max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["numInputRows"])
+    assert states <= 2 * 6
