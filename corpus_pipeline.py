@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.llm import decontaminate, jaccard_join, language_id, packing
-from kestrel.llm.common import fresh, shared_folder, table
+from kestrel.llm.common import fresh, shared_folder, small_batches, table
 from kestrel.session import ship_package
 
 # Below this likeness to every language profile a text is in none of them. Clean
@@ -30,6 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without a letter, has none and goes. Of equally near languages the smaller name
     counts; repeated rows are judged alike. Long texts are counted whole."""
     ship_package(spark)
+    small_batches(spark)
     profiles = language_id.learn_profiles(docs.where(~language_id.held_out("doc_id")))
     p = fresh(docs, "p")
     judged = docs.withColumn(p, language_id.classifier(profiles)("text"))
@@ -43,6 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     a word are no near duplicates of anything; of these, rows with equal id and text
     count once."""
     ship_package(spark)
+    small_batches(spark)
     return jaccard_join.first_of_each_class(docs)
 
 
@@ -57,6 +59,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents' token ids into sequences. A null or empty text is one id,
     the end; repeated rows are packed each; ties of length go in a fixed order."""
     ship_package(spark)
+    small_batches(spark)
     return packing.pack_documents(docs, packing.vocabulary())
 
 

@@ -23,6 +23,16 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+BATCH_TEXTS = 500       # whole texts in one Arrow batch, which a task holds several times (JVM, Arrow, Python strings)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Python functions of the session get at most BATCH_TEXTS rows at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_TEXTS:
+        spark.conf.set(name, str(BATCH_TEXTS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)

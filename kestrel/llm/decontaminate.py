@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.llm import words
-from kestrel.llm.common import bucket_count, table
+from kestrel.llm.common import bucket_count, small_batches, table
 
 MASKS = ("111011", "11001011", "10100111")
 LEAST_WORDS = 10
@@ -53,7 +53,7 @@ SIMILARITY = 0.8
 BLOCK_CHARS = 1 << 24   # characters of the benchmark sent to the tasks at once
 HEAVY = 4               # seed products beyond this many times the lengths are not listed
 SLICE = 1 << 20         # seed pairs listed at once
-_SLOT_BITS = 22
+_SLOT_BITS = 22         # of the largest table of seeds; small ones have smaller tables
 
 
 class Overlap(NamedTuple):
@@ -94,14 +94,16 @@ class Seeds:
         self.first = np.flatnonzero(new)
         self.count = np.diff(np.append(self.first, len(seed)))
         self.seed, self.item = seed[self.first], item[self.first]
-        self.slot = np.zeros(1 << _SLOT_BITS, dtype=bool)
-        self.slot[(words.mix(self.seed) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)] = True
+        bits = min(_SLOT_BITS, max(10, len(self.seed).bit_length() + 5))    # at most one slot in 32 is taken
+        self.shift = np.uint64(64 - bits)
+        self.slot = np.zeros(1 << bits, dtype=bool)
+        self.slot[(words.mix(self.seed) >> self.shift).astype(np.int64)] = True
 
     def hits(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(position in ``hashes``, index of a (seed, item)) in slices."""
         for low in range(0, len(hashes), 1 << 18):
             own = _seed_hashes(hashes[low:low + (1 << 18) + len(self.mask) - 1], self.mask)
-            maybe = np.flatnonzero(self.slot[(words.mix(own) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)])
+            maybe = np.flatnonzero(self.slot[(words.mix(own) >> self.shift).astype(np.int64)])
             a = np.searchsorted(self.seed, own[maybe], side="left")
             n = np.searchsorted(self.seed, own[maybe], side="right") - a
             upto = np.cumsum(n)
@@ -272,6 +274,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
              item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item that overlap: where, how long, how similar."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     field = benchmark.select(F.col(item_col).alias("item_id")).schema["item_id"]
@@ -301,6 +304,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                       item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that overlap with no item, with all their columns."""
     spark = docs.sparkSession
+    small_batches(spark)
     for block in _blocks(benchmark, item_col, item_text):
         get = _finder(spark.sparkContext.broadcast([r["text"] for r in block]))
 
