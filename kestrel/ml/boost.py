@@ -5,12 +5,12 @@ from sums of gradients per (model, node, feature, bin). All models of a search a
 fitted together, and models that differ in the number of trees only are one run
 whose scores are noted after each of those numbers (108 points x 5 folds: 180 runs).
 
-The training table is a set of blocks of at most ``BLOCK_ROWS`` rows. Where one block
-holds all rows, its sums are complete in the task and a run needs no exchange: the
-runs are dealt over the tasks. Otherwise each level is one job: tasks add up the sums
-of their blocks, a shuffle adds those of the tasks and picks the splits, and only the
-splits (a few numbers per node) reach the driver. Margins are written to the shared
-folder every ``KEEP_ROUNDS`` rounds. Gradients are whole multiples of 2^-20, so sums do not
+Up to ``WHOLE_BLOCKS * BLOCK_ROWS`` training rows are one block (some 40 MB): its sums
+are complete in the task and a run needs no exchange, so the runs are dealt over the
+tasks. More rows are blocks of at most ``BLOCK_ROWS`` and each level is one job: tasks
+add up the sums of their blocks, a shuffle adds those of the tasks and picks the
+splits, and only the splits (a few numbers per node) reach the driver. Margins are
+written to the shared folder every ``KEEP_ROUNDS`` rounds. Gradients are whole multiples of 2^-20, so sums do not
 depend on their order and both ways give the same trees.
 
 Objective: class-weighted log-loss with an L2 penalty of 1 on leaf values, at least
@@ -34,6 +34,7 @@ from kestrel.session import cut_lineage
 
 BINS = 64
 BLOCK_ROWS = 1 << 18
+WHOLE_BLOCKS = 4
 GROUP_RUNS = 16         # runs whose margins one state row holds
 KEEP_ROUNDS = 10
 PENALTY = 1.0
@@ -79,6 +80,14 @@ class Block:
 
     def __init__(self, x, label, weight, fold, key):
         self.x, self.label, self.weight, self.fold, self.key = x, label, weight, fold, key
+        self._pairs: dict[int, np.ndarray] = {}
+
+    def pair(self, no: int) -> np.ndarray:
+        """The bins of features 2 no and 2 no + 1 (if there is one) as one number."""
+        if no not in self._pairs:
+            both = self.x[2 * no].astype(np.uint16) * np.uint16(BINS)
+            self._pairs[no] = both + self.x[2 * no + 1] if 2 * no + 1 < len(self.x) else both
+        return self._pairs[no]
 
     @classmethod
     def read(cls, row: dict) -> Block:
@@ -95,7 +104,8 @@ def blocks(train: DataFrame, cols: Sequence[str], edges: list[np.ndarray], label
     """The binned training rows, checkpointed, one row per block."""
     t = train.select(*[F.col(c).cast("double") for c in cols], F.col(label).cast("int").alias("_y"), F.col(weight).cast("double").alias("_w"),
                      F.col(fold).cast("int").alias("_f"), F.xxhash64(key).alias("_k"))
-    n = max(1, -(-t.count() // block_rows))
+    rows = t.count()
+    n, most = (1, max(rows, 1)) if rows <= WHOLE_BLOCKS * block_rows else (-(-rows // block_rows), block_rows)
     width = len(cols)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +116,8 @@ def blocks(train: DataFrame, cols: Sequence[str], edges: list[np.ndarray], label
         columns = [np.concatenate(c) for c in zip(*held)]
         order = np.argsort(columns[-1], kind="stable")
         part = TaskContext.get().partitionId()
-        for no, low in enumerate(range(0, len(order), block_rows)):
-            at = order[low:low + block_rows]
+        for no, low in enumerate(range(0, len(order), most)):
+            at = order[low:low + most]
             x = np.stack([np.searchsorted(edges[f], columns[f][at], side="left").astype(np.uint8) for f in range(width)])
             made = {"block": part * 1000 + no, "n": len(at), "x": x.tobytes(), "label": columns[width][at].astype(np.uint8).tobytes(),
                     "weight": columns[width + 1][at].astype(np.float64).tobytes(), "fold": columns[width + 2][at].astype(np.uint8).tobytes(),
@@ -132,7 +142,7 @@ def _uniform(key: np.ndarray, turn: int) -> np.ndarray:
 
 
 def tree_columns(params: Params, turn: int, width: int) -> np.ndarray:
-    """The features that tree ``turn`` may split on."""
+    """Which features tree ``turn`` may split on."""
     allowed = np.zeros(width, dtype=bool)
     allowed[np.random.default_rng([SEED, turn]).permutation(width)[:max(1, int(params.columns * width))]] = True
     return allowed
@@ -142,6 +152,15 @@ def probability(margin: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-margin))
 
 
+def _below(x: np.ndarray, node: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The node of every row on the next level."""
+    right = np.zeros(x.shape[1], dtype=bool)
+    for k, (f, b) in enumerate(zip(feature.tolist(), cut.tolist())):
+        if b < 255:
+            right |= (x[f] > b) & (node == k)
+    return 2 * node + right
+
+
 class Tree(NamedTuple):
     feature: list[np.ndarray]   # per level
     bin: list[np.ndarray]       # to the right if the row's bin is greater
@@ -149,9 +168,9 @@ class Tree(NamedTuple):
     leaf: np.ndarray
 
     def place(self, x: np.ndarray) -> np.ndarray:
-        node, rows = np.zeros(x.shape[1], dtype=np.int64), np.arange(x.shape[1])
+        node = np.zeros(x.shape[1], dtype=np.uint16)
         for f, b in zip(self.feature, self.bin):
-            node = 2 * node + (x[f[node], rows] > b[node])
+            node = _below(x, node, f, b)
         return node
 
 
@@ -166,49 +185,74 @@ class Grower:
     def begin(self, turn: int) -> None:
         p, b = self.run.params, self.block
         use = self.learn if p.rows >= 1 else self.learn & (_uniform(b.key, turn) < p.rows)
-        self.rows = np.flatnonzero(use)
-        prob, w = probability(self.margin[self.rows]), b.weight[self.rows]
-        self.g = np.rint((prob - b.label[self.rows]) * w * _UNIT)
-        self.h = np.rint(prob * (1.0 - prob) * w * _UNIT)
-        self.x, self.node = b.x[:, self.rows], np.zeros(len(self.rows), dtype=np.int64)
-
-    def sums(self, level: int) -> np.ndarray:
-        """(2, nodes, features, BINS): first and second derivatives."""
-        nodes, width = 1 << level, len(self.x)
-        out = np.empty((2, nodes, width, BINS))
-        base = self.node * BINS
-        for f in range(width):
-            at = base + self.x[f]
-            out[0, :, f] = np.bincount(at, self.g, nodes * BINS).reshape(nodes, BINS)
-            out[1, :, f] = np.bincount(at, self.h, nodes * BINS).reshape(nodes, BINS)
+        self.rows, self.node = np.flatnonzero(use), np.zeros(len(b.label), dtype=np.uint16)
+        prob = probability(self.margin)
+        self.g = np.rint((prob - b.label) * b.weight * _UNIT)
+        self.h = np.rint(prob * (1.0 - prob) * b.weight * _UNIT)
+
+    def sums(self, level: int, features: np.ndarray, above: np.ndarray | None = None) -> np.ndarray:
+        """(2, nodes, features, BINS): first and second derivatives. Where the sums of
+        the level ``above`` are known, only the child with fewer rows is added up and the
+        other is the difference (of whole numbers, so the same)."""
+        nodes, at = 1 << level, self.node[self.rows]
+        if above is None:
+            return self._added(self.rows, at, nodes, features)
+        n = np.bincount(at, minlength=nodes).reshape(-1, 2)
+        parents = np.arange(nodes // 2)
+        small = 2 * parents + (n[:, 1] < n[:, 0])
+        mine = np.zeros(nodes, dtype=bool)
+        mine[small] = True
+        chosen = mine[at]
+        out = np.empty((2, nodes, len(features), BINS))
+        out[:, small] = self._added(self.rows[chosen], at[chosen] >> 1, nodes // 2, features)
+        out[:, small ^ 1] = above - out[:, small]
+        return out
+
+    def _added(self, rows: np.ndarray, slot: np.ndarray, slots: int, features: np.ndarray) -> np.ndarray:
+        g, h = self.g[rows], self.h[rows]
+        out = np.empty((2, slots, len(features), BINS))
+        if len(rows) < slots << 13:
+            base = slot.astype(np.int64) * BINS
+            for k, f in enumerate(features):
+                at = base + self.block.x[f].take(rows)
+                for part, w in zip(out, (g, h)):
+                    part[:, k] = np.bincount(at, w, slots * BINS).reshape(slots, BINS)
+            return out
+        # many rows: two features at once, whose sums are the margins of their joint table
+        base, place = slot.astype(np.int64) * (BINS * BINS), {f: k for k, f in enumerate(features.tolist())}
+        for no in sorted({f // 2 for f in place}):
+            at = base + self.block.pair(no).take(rows)
+            for part, w in zip(out, (g, h)):
+                both = np.bincount(at, w, slots * BINS * BINS).reshape(slots, BINS, BINS)
+                for f, axis in ((2 * no, 2), (2 * no + 1, 1)):
+                    if f in place:
+                        part[:, place[f]] = both.sum(axis=axis)
         return out
 
     def split(self, feature: np.ndarray, cut: np.ndarray) -> None:
-        self.node = 2 * self.node + (self.x[feature[self.node], np.arange(len(self.node))] > cut[self.node])
+        self.node = _below(self.block.x, self.node, feature, cut)
 
-    def end(self, tree: Tree) -> None:
-        self.margin = self.margin + tree.leaf[tree.place(self.block.x)]
+    def end(self, tree: Tree, node: np.ndarray | None = None) -> None:
+        self.margin = self.margin + tree.leaf[tree.place(self.block.x) if node is None else node]
 
 
-def best_splits(sums: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per node (feature, bin, gain) and the (2, nodes, 2) sums of its children."""
+def best_splits(sums: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per node (feature, bin, gain) and the (2, nodes, 2) sums of its children;
+    ``sums`` has the given features only."""
     left = np.cumsum(sums / _UNIT, axis=3)
     total = left[:, :, :1, -1:]
     right = total - left
     value = lambda s: s[0] ** 2 / (s[1] + PENALTY)
     gain = value(left) + value(right) - value(total)
     gain[(left[1] < LEAST_WEIGHT) | (right[1] < LEAST_WEIGHT)] = -np.inf
-    gain[:, ~allowed] = -np.inf
     flat = gain.reshape(len(gain), -1)
     best = np.argmax(flat, axis=1)
     nodes = np.arange(len(flat))
     top = flat[nodes, best]
-    feature, cut = best // BINS, best % BINS
+    place, cut = best // BINS, best % BINS
     split = top > LEAST_GAIN
-    feature, cut, top = np.where(split, feature, 0), np.where(split, cut, 255), np.where(split, top, 0.0)
-    l, r = left[:, nodes, feature, np.minimum(cut, BINS - 1)], right[:, nodes, feature, np.minimum(cut, BINS - 1)]
-    l, r = np.where(split, l, total[:, :, 0, 0]), np.where(split, r, 0.0)
-    return feature, cut, top, np.stack([l, r], axis=2)
+    l, r = np.where(split, left[:, nodes, place, cut], total[:, :, 0, 0]), np.where(split, right[:, nodes, place, cut], 0.0)
+    return np.where(split, features[place], 0), np.where(split, cut, 255), np.where(split, top, 0.0), np.stack([l, r], axis=2)
 
 
 def leaves(children: np.ndarray, rate: float) -> np.ndarray:
@@ -220,15 +264,16 @@ def grow(block: Block, run: Run) -> Iterator[tuple[Tree, np.ndarray]]:
     """Where ``block`` holds all rows: each tree, and the margins after it."""
     grower = Grower(block, run)
     for turn in range(run.params.trees):
-        allowed = tree_columns(run.params, turn, len(block.x))
+        features, sums = np.flatnonzero(tree_columns(run.params, turn, len(block.x))), None
         grower.begin(turn)
         feature, cuts, gains = [], [], []
         for level in range(run.params.depth):
-            f, c, gain, children = best_splits(grower.sums(level), allowed)
+            sums = grower.sums(level, features, sums)
+            f, c, gain, children = best_splits(sums, features)
             grower.split(f, c)
             feature.append(f), cuts.append(c), gains.append(gain)
         tree = Tree(feature, cuts, gains, leaves(children, run.params.rate))
-        grower.end(tree)
+        grower.end(tree, grower.node)
         yield tree, grower.margin
 
 
@@ -251,14 +296,16 @@ class _Notes:
     def add(self, turn: int, margin: np.ndarray) -> None:
         self.loss.append(_loss(margin[self.out], self.label))
         if turn in self.at:
-            self.rows.append((turn, self.label.tolist(), margin[self.out].tolist()))
+            self.rows.append((turn, margin[self.out]))
 
     def batch(self, trees: list[Tree] | None) -> pa.RecordBatch:
-        k = len(self.rows)
+        k, n = len(self.rows), len(self.out)
+        lists = lambda values: pa.ListArray.from_arrays(pa.array(range(0, k * n + 1, n) if n else [0] * (k + 1), pa.int32()), values)
         model = [None] * (k - 1) + [None if trees is None else pickle.dumps(trees)]
         return pa.RecordBatch.from_arrays(
             [pa.array([self.run.no] * k, pa.int32()), pa.array([r[0] for r in self.rows], pa.int32()),
-             pa.array([r[1] for r in self.rows], pa.list_(pa.int32())), pa.array([r[2] for r in self.rows], pa.list_(pa.float64())),
+             lists(pa.array(np.tile(self.label, k).astype(np.int32))),
+             lists(pa.array(np.concatenate([r[1] for r in self.rows]) if k else np.zeros(0))),
              pa.array([self.loss] * k, pa.list_(pa.float64())), pa.array([len(self.out)] * k, pa.int64()), pa.array(model, pa.binary())],
             names=["run", "trees", "label", "margin", "loss", "held", "model"])
 
@@ -280,20 +327,21 @@ def fit(data: DataFrame, runs: Sequence[Run], notes: Sequence[int], keep_trees:
 
 
 def _numbered(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(0, n, 1, numPartitions=max(1, min(n, 4 * spark.sparkContext.defaultParallelism)))
+    return spark.range(0, n, 1, numPartitions=max(1, n))
 
 
 def _fit_whole(spark, data, runs, notes, keep_trees) -> DataFrame:
     """All rows lie in one block of bounded size: it is sent to all tasks, which take the runs."""
     rows = [r.asDict() for r in data.collect()]
     sent = spark.sparkContext.broadcast(rows)
+    order = sorted(range(len(runs)), key=lambda no: -runs[no].params.depth)     # the longest first
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for no in batch.column(0).to_pylist():
                 if not sent.value:
                     continue
-                block, run, trees = Block.read(sent.value[0]), runs[no], []
+                block, run, trees = Block.read(sent.value[0]), runs[order[no]], []
                 noted = _Notes(block, run, notes)
                 for turn, (tree, margin) in enumerate(grow(block, run), start=1):
                     noted.add(turn, margin)
@@ -307,8 +355,9 @@ def _fit_whole(spark, data, runs, notes, keep_trees) -> DataFrame:
 def _fit_levels(spark, data, runs) -> list[list[Tree]]:
     """One job per level: sums per task, added up and split by a shuffle."""
     groups = [list(runs[k:k + GROUP_RUNS]) for k in range(0, len(runs), GROUP_RUNS)]
-    state = cut_lineage(data.withColumn("group", F.explode(F.array(*[F.lit(k) for k in range(len(groups))])))
-                        .withColumn("margin", F.lit(None).cast("binary")))
+    state = data.withColumn("group", F.explode(F.array(*[F.lit(k) for k in range(len(groups))]))) \
+        .withColumn("margin", F.lit(None).cast("binary"))
+    state = cut_lineage(state.repartition(data.count() * len(groups)))      # a block and group per task
     schema = _BLOCK + ", group int, margin binary"
     trees: list[list[Tree]] = [[] for _ in runs]
     place = {run.no: k for k, run in enumerate(runs)}
@@ -323,12 +372,17 @@ def _fit_levels(spark, data, runs) -> list[list[Tree]]:
                 grower.end(tree)
             yield grower
 
+    width = data.select((F.length("x") / F.col("n")).cast("int")).head()[0]
+
+    def features(run: Run, turn: int) -> np.ndarray:
+        return np.flatnonzero(tree_columns(run.params, turn, width))
+
     def chooser(turn: int, level: int):
         def choose(rows: pa.Table) -> pa.Table:
             no = rows.column("run")[0].as_py()
             total = sum(np.frombuffer(b.as_py(), np.float64) for b in rows.column("sums"))
             total = total.reshape(2, 1 << level, -1, BINS)
-            found = best_splits(total, tree_columns(runs[place[no]].params, turn, total.shape[2]))
+            found = best_splits(total, features(runs[place[no]], turn))
             return pa.table({"run": pa.array([no], pa.int32()), "split": pa.array([pickle.dumps(found)], pa.binary())})
         return choose
 
@@ -359,7 +413,7 @@ def _fit_levels(spark, data, runs) -> list[list[Tree]]:
                             grower.begin(turn)
                             for f, c, *_ in open_[run.no]:
                                 grower.split(f, c)
-                            own = grower.sums(level)
+                            own = grower.sums(level, features(run, turn))
                             held[run.no] = held[run.no] + own if run.no in held else own
                 for no, s in held.items():
                     yield pa.RecordBatch.from_arrays([pa.array([no], pa.int32()), pa.array([s.tobytes()], pa.binary())], names=["run", "sums"])
