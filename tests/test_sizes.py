@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from kestrel.session import ensure_partitions
+from kestrel.session import ensure_compiled, ensure_partitions
 from kestrel.sources import fixtures as fx
 
 
@@ -38,3 +38,23 @@ def test_shuffles_begin_with_more_partitions_never_fewer(spark):
         assert spark.conf.get(name) == "300"
     finally:
         spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def test_methods_too_large_to_compile_are_not_one_stage(spark):
+    """The stat validator's generated method is beyond what the JVM compiles."""
+    from pyspark.sql import functions as F
+
+    from kestrel.operators import quality
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    raw = spark.range(3).select(F.lit("P").alias("player_name"), *[F.col("id").cast("string").alias(f) for f, _ in quality.STAT_NUMERIC_FIELDS])
+    try:
+        spark.conf.set(name, "65535")
+        ensure_compiled(spark)
+        assert spark.conf.get(name) == "8000"
+        assert all(r.is_valid and r.runs == int(r.economy) for r in quality.validate_player_stats(raw).collect())
+        spark.conf.set(name, "5000")
+        ensure_compiled(spark)
+        assert spark.conf.get(name) == "5000"
+    finally:
+        spark.conf.set(name, before)

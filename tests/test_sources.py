@@ -45,6 +45,22 @@ def test_scorecard_rows(spark, scratch):
     assert st["P1"]["runs"] == "40" and st["P2"]["economy"] == "7.5"
 
 
+def test_scorecard_lines_come_from_one_pass(spark, scratch):
+    """Missing lists, empty entries and missing numbers; one scan of the payloads for both roles."""
+    person = {"athlete": {"displayName": "P1"}, "team": {"displayName": "A"}}
+    docs = [{"match_id": "1", "gamepackageJSON": {"scoring": [None, {"displayName": "A innings", "runs": "x"}], "batting": [None, person]}},
+            {"match_id": "2", "gamepackageJSON": {"bowling": [{**person, "economy": None}, {"overs": "2"}], "batting": []}},
+            {"match_id": "3"}, {"gamepackageJSON": {"batting": [person]}}]
+    cards = spark.read.schema(feed_json.SCORECARD_SCHEMA).json(_write(f"{scratch}/sc.json", "\n".join(json.dumps(d) for d in docs)))
+    stats = feed_json.scorecard_stats(cards)
+    assert stats._jdf.queryExecution().executedPlan().toString().count("FileScan json") == 1
+    got = sorted((str(r.match_id), r.role, r.player_name, r.team, r.runs, r.overs_bowled, r.economy) for r in stats.collect())
+    assert got == [("1", "batting", "P1", "A", "0", "0.0", "0.0"), ("2", "bowling", "", "", "0", "2", "0.0"),
+                   ("2", "bowling", "P1", "A", "0", "0", "0.0"), ("None", "batting", "P1", "A", "0", "0.0", "0.0")]
+    assert [(r.match_id, r.seq, r.inning_name, r.runs, r.wickets, float(r.overs)) for r in feed_json.scorecard_innings(cards).collect()] == [
+        ("1", 1, "A innings", 0, 0, 0.0)]
+
+
 def test_csv_variants_and_ingest(spark, scratch):
     mp = _write(f"{scratch}/matches.csv",
                 "ID,Date,Team1,Team2,Venue,Toss Winner,Winner\n"
