@@ -27,6 +27,15 @@ def test_a_large_ball_log_is_dealt_over_more_partitions(spark, scratch, monkeypa
     assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and many.count() == 4000
 
 
+def test_a_task_takes_a_bounded_number_of_balls(spark, scratch, monkeypatch):
+    """However few bytes they have, and though adaptive execution would join them."""
+    _tables(spark, scratch)
+    held = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(fx, "TASK_BALLS", -(-4000 // (6 * held)), raising=False)
+    many = fx.deliveries(spark, scratch)
+    assert 5 * held <= many.rdd.getNumPartitions() <= 6 * held and many.count() == 4000
+
+
 def test_shuffles_begin_with_more_partitions_never_fewer(spark):
     name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     before = spark.conf.get(name, None)
