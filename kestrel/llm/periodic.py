@@ -19,8 +19,8 @@ periods and ``MIN_LENGTH`` words long, that no neighbouring word extends.
    Of several periods of one stretch the least is kept.
 
 Texts are handled in groups of about ``GROUP_WORDS`` words (a longer text is a
-group of its own), so the working memory does not depend on the batch. Nothing is
-shuffled, and the work is n log n in the words of a text, however repetitive.
+group of its own) and ``GRID_POINTS`` grid points, so the working memory does not
+depend on the batch. Nothing is shuffled, and the work is n log n in the words of a text, however repetitive.
 
 Defined results: a null or empty text has no words and no runs; its collapsed
 text is empty. Repeated rows are answered alike; an empty table gives no rows.
@@ -31,20 +31,20 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import table
+from kestrel.llm.common import small_batches, table
 from kestrel.llm.mixing import WORD
 
 MIN_LENGTH = 24
 MIN_PERIODS = 3
 GROUP_WORDS = 1 << 18
-GRID_POINTS = 1 << 22       # grid points looked at in one step
+GRID_POINTS = 1 << 18       # grid points looked at in one step (some 20 MB of arrays)
 PERIOD = 31
 # fixed values: a perfect difference set modulo 31 (every remainder is one difference)
 COVER = np.array([1, 5, 11, 24, 25, 27])
@@ -220,8 +220,7 @@ def find_runs(code: np.ndarray, text: np.ndarray, begin: np.ndarray, length: np.
 
 def runs_of(texts: list[list[bytes]], min_length: int = MIN_LENGTH, min_periods: int = MIN_PERIODS) -> list[list[tuple]]:
     """For each list of words its runs (start, length, period)."""
-    numbers: dict[bytes, int] = defaultdict()
-    numbers.default_factory = numbers.__len__
+    numbers: dict[bytes, int] = defaultdict(count().__next__)      # no reference to itself: it goes with the group
     length = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     begin = np.cumsum(length + 1) - length - 1 + PERIOD
     size = int(length.sum()) + len(texts) + PERIOD
@@ -257,6 +256,7 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by start, then period), collapsed (the text with every run cut to one period)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
     shape = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

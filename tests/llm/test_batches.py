@@ -1,8 +1,12 @@
 """Whole texts reach Python in small batches, and tables of seeds follow the number of seeds."""
 
+import gc
+import sys
+import tracemalloc
+
 import numpy as np
 
-from kestrel.llm import common, decontaminate
+from kestrel.llm import common, decontaminate, periodic
 
 
 def test_texts_come_in_small_batches(spark):
@@ -33,3 +37,33 @@ def test_a_table_of_few_seeds_is_small_and_finds_the_same():
     own = decontaminate._seed_hashes(text, "111011")
     got = sorted((int(a), int(seeds.at[seeds.first[e]])) for at, entry in seeds.hits(text) for a, e in zip(at, entry))
     assert got == [(50 + k, 20 + k) for k in range(35)] and len(own) == 85
+
+
+def test_run_search_lets_go_of_its_words_and_works_in_small_steps(spark):
+    words = [bytes(f"word {k % 40}", "ascii") for k in range(400)]
+    held = sys.getrefcount(words[7])
+    gc.disable()
+    try:
+        assert periodic.runs_of([words]) == [[(0, 400, 40)]]
+        now = sys.getrefcount(words[7])
+        assert now == held      # no dictionary waits for the collector
+    finally:
+        gc.enable()
+    rng = np.random.default_rng(3)
+    text = [b"%d" % w for w in rng.integers(0, 50, 1 << 18)]
+    tracemalloc.start()
+    try:
+        periodic.runs_of([text])
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    finally:
+        tracemalloc.stop()
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        docs = spark.range(1200).selectExpr("id doc_id", "repeat('a b c ', 10) text").coalesce(1)
+        rows = periodic.periodic_runs(docs).collect()
+        assert len(rows) == 1200 and {tuple(r.runs[0]) for r in rows} == {(0, 30, 3)}
+        assert int(spark.conf.get(name)) == common.BATCH_TEXTS
+    finally:
+        spark.conf.set(name, before)
