@@ -181,35 +181,47 @@ class Grower:
         self.block, self.run = block, run
         self.margin = np.zeros(len(block.label)) if margin is None else margin
         self.learn = block.fold != run.holdout
+        self._whole: dict[int, np.ndarray] = {}     # pairs of features of the learned rows, if trees take them all
 
     def begin(self, turn: int) -> None:
+        """The rows of the tree and, in their order, the derivatives."""
         p, b = self.run.params, self.block
         use = self.learn if p.rows >= 1 else self.learn & (_uniform(b.key, turn) < p.rows)
         self.rows, self.node = np.flatnonzero(use), np.zeros(len(b.label), dtype=np.uint16)
-        prob = probability(self.margin)
-        self.g = np.rint((prob - b.label) * b.weight * _UNIT)
-        self.h = np.rint(prob * (1.0 - prob) * b.weight * _UNIT)
+        prob, weight = probability(self.margin.take(self.rows)), b.weight.take(self.rows)
+        self.g = np.rint((prob - b.label.take(self.rows)) * weight * _UNIT)
+        self.h = np.rint(prob * (1.0 - prob) * weight * _UNIT)
 
     def sums(self, level: int, features: np.ndarray, above: np.ndarray | None = None) -> np.ndarray:
         """(2, nodes, features, BINS): first and second derivatives. Where the sums of
         the level ``above`` are known, only the child with fewer rows is added up and the
         other is the difference (of whole numbers, so the same)."""
-        nodes, at = 1 << level, self.node[self.rows]
+        nodes, at = 1 << level, self.node.take(self.rows)
         if above is None:
-            return self._added(self.rows, at, nodes, features)
+            return self._added(None, at, nodes, features)
         n = np.bincount(at, minlength=nodes).reshape(-1, 2)
         parents = np.arange(nodes // 2)
         small = 2 * parents + (n[:, 1] < n[:, 0])
         mine = np.zeros(nodes, dtype=bool)
         mine[small] = True
-        chosen = mine[at]
+        chosen = np.flatnonzero(mine.take(at))
         out = np.empty((2, nodes, len(features), BINS))
-        out[:, small] = self._added(self.rows[chosen], at[chosen] >> 1, nodes // 2, features)
+        out[:, small] = self._added(chosen, at.take(chosen) >> 1, nodes // 2, features)
         out[:, small ^ 1] = above - out[:, small]
         return out
 
-    def _added(self, rows: np.ndarray, slot: np.ndarray, slots: int, features: np.ndarray) -> np.ndarray:
-        g, h = self.g[rows], self.h[rows]
+    def _pairs_of(self, no: int, rows: np.ndarray, every: bool) -> np.ndarray:
+        """The pairs of features of ``rows``; all learned rows are looked up once a run."""
+        if not every or self.run.params.rows < 1:
+            return self.block.pair(no).take(rows)
+        if no not in self._whole:
+            self._whole[no] = self.block.pair(no).take(rows)
+        return self._whole[no]
+
+    def _added(self, chosen: np.ndarray | None, slot: np.ndarray, slots: int, features: np.ndarray) -> np.ndarray:
+        """Sums over the ``chosen`` places of the tree's rows (None: all)."""
+        every = chosen is None
+        rows, g, h = (self.rows, self.g, self.h) if every else (self.rows.take(chosen), self.g.take(chosen), self.h.take(chosen))
         out = np.empty((2, slots, len(features), BINS))
         if len(rows) < slots << 13:
             base = slot.astype(np.int64) * BINS
@@ -221,7 +233,8 @@ class Grower:
         # many rows: two features at once, whose sums are the margins of their joint table
         base, place = slot.astype(np.int64) * (BINS * BINS), {f: k for k, f in enumerate(features.tolist())}
         for no in sorted({f // 2 for f in place}):
-            at = base + self.block.pair(no).take(rows)
+            pairs = self._pairs_of(no, rows, every)
+            at = base + pairs if slots > 1 else pairs.astype(np.int64)
             for part, w in zip(out, (g, h)):
                 both = np.bincount(at, w, slots * BINS * BINS).reshape(slots, BINS, BINS)
                 for f, axis in ((2 * no, 2), (2 * no + 1, 1)):
@@ -283,12 +296,26 @@ def _loss(margin: np.ndarray, label: np.ndarray) -> float:
     return float(np.logaddexp(0.0, np.where(label == 1, -margin, margin)).sum())
 
 
+def ranked(margin: np.ndarray, label: np.ndarray) -> tuple[int, int, int]:
+    """The numbers of :func:`kestrel.ml.metrics.auc_numerator`: twice the pairs in
+    order (ties count half), the positives and the negatives."""
+    order = np.argsort(margin, kind="stable")
+    s, y = margin[order], (label[order] == 1).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, dtype=np.int64)
+    p = np.add.reduceat(y, first) if len(s) else y
+    q = np.diff(np.append(first, len(s))) - p
+    return int((p * (2 * (np.cumsum(q) - q) + q)).sum()), int(p.sum()), int(q.sum())
+
+
 class _Notes:
     """What a run leaves behind: margins of the held-out rows after some numbers
-    of trees, and the sum of their log-losses after every tree."""
-    schema = "run int, trees int, label array<int>, margin array<double>, loss array<double>, held bigint, model binary"
+    of trees (if wanted) or, of a block with all rows, the counts of their AUC,
+    and the sum of their log-losses after every tree."""
+    schema = ("run int, trees int, label array<int>, margin array<double>, loss array<double>, held bigint, model binary, "
+              "auc2 bigint, npos bigint, nneg bigint")
 
-    def __init__(self, block: Block, run: Run, at: set[int]):
+    def __init__(self, block: Block, run: Run, at: set[int], margins: bool = True, ranks: bool = False):
+        self.margins, self.ranks = margins, ranks
         self.run, self.at, self.out = run, at, np.flatnonzero(block.fold == run.holdout)
         self.label = block.label[self.out]
         self.loss, self.rows = [_loss(np.zeros(len(self.out)), self.label)], []
@@ -299,24 +326,30 @@ class _Notes:
             self.rows.append((turn, margin[self.out]))
 
     def batch(self, trees: list[Tree] | None) -> pa.RecordBatch:
-        k, n = len(self.rows), len(self.out)
+        k, n = len(self.rows), len(self.out) if self.margins else 0
+        label, found = self.label[:n], [r[1][:n] for r in self.rows]
+        counts = [ranked(r[1], self.label) if self.ranks else (None,) * 3 for r in self.rows]
         lists = lambda values: pa.ListArray.from_arrays(pa.array(range(0, k * n + 1, n) if n else [0] * (k + 1), pa.int32()), values)
         model = [None] * (k - 1) + [None if trees is None else pickle.dumps(trees)]
         return pa.RecordBatch.from_arrays(
             [pa.array([self.run.no] * k, pa.int32()), pa.array([r[0] for r in self.rows], pa.int32()),
-             lists(pa.array(np.tile(self.label, k).astype(np.int32))),
-             lists(pa.array(np.concatenate([r[1] for r in self.rows]) if k else np.zeros(0))),
-             pa.array([self.loss] * k, pa.list_(pa.float64())), pa.array([len(self.out)] * k, pa.int64()), pa.array(model, pa.binary())],
-            names=["run", "trees", "label", "margin", "loss", "held", "model"])
+             lists(pa.array(np.tile(label, k).astype(np.int32))),
+             lists(pa.array(np.concatenate(found) if k else np.zeros(0))),
+             pa.array([self.loss] * k, pa.list_(pa.float64())), pa.array([len(self.out)] * k, pa.int64()), pa.array(model, pa.binary()),
+             *[pa.array([c[j] for c in counts], pa.int64()) for j in range(3)]],
+            names=["run", "trees", "label", "margin", "loss", "held", "model", "auc2", "npos", "nneg"])
 
 
-def fit(data: DataFrame, runs: Sequence[Run], notes: Sequence[int], keep_trees: bool = False) -> tuple[DataFrame, list[list[Tree]] | None]:
+def fit(data: DataFrame, runs: Sequence[Run], notes: Sequence[int], keep_trees: bool = False,
+        margins: bool = True) -> tuple[DataFrame, list[list[Tree]] | None]:
     """Fit ``runs`` on the blocks ``data``. Returns per run and number of trees in
     ``notes`` (and block) the held-out labels and margins and the held-out losses
-    after every tree (label, margin, loss arrays), and the trees if asked for."""
+    after every tree (label, margin, loss arrays), and the trees if asked for.
+    One block of all rows also gives the counts of the AUC (auc2, npos, nneg: null
+    otherwise) and, without ``margins``, leaves the labels and margins out."""
     spark = data.sparkSession
     if data.count() <= 1:
-        found = _fit_whole(spark, data, runs, set(notes), keep_trees)
+        found = _fit_whole(spark, data, runs, set(notes), keep_trees, margins)
     else:
         trees = _fit_levels(spark, data, runs)
         return _replay(spark, data, runs, trees, set(notes)), trees if keep_trees else None
@@ -330,7 +363,7 @@ def _numbered(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(0, n, 1, numPartitions=max(1, n))
 
 
-def _fit_whole(spark, data, runs, notes, keep_trees) -> DataFrame:
+def _fit_whole(spark, data, runs, notes, keep_trees, margins) -> DataFrame:
     """All rows lie in one block of bounded size: it is sent to all tasks, which take the runs."""
     rows = [r.asDict() for r in data.collect()]
     sent = spark.sparkContext.broadcast(rows)
@@ -342,7 +375,7 @@ def _fit_whole(spark, data, runs, notes, keep_trees) -> DataFrame:
                 if not sent.value:
                     continue
                 block, run, trees = Block.read(sent.value[0]), runs[order[no]], []
-                noted = _Notes(block, run, notes)
+                noted = _Notes(block, run, notes, margins, ranks=True)
                 for turn, (tree, margin) in enumerate(grow(block, run), start=1):
                     noted.add(turn, margin)
                     if keep_trees:

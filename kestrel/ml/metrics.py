@@ -55,8 +55,13 @@ def auc_numerator(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def auc_by(scored: DataFrame, by: tuple[str, ...], label: str, score: str = "score") -> DataFrame:
     """The AUC of each ``by`` (NULL without both classes): (by, auc)."""
     counts = scored.groupBy(*by, F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
+    return auc_of(auc_numerator(counts, by), by)
+
+
+def auc_of(counted: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(by, auc) of the numbers of :func:`auc_numerator`."""
     pairs = F.lit(2) * F.col("npos") * F.col("nneg")
-    return auc_numerator(counts, by).select(*by, F.when(pairs > 0, F.col("auc2") / pairs).alias("auc"))
+    return counted.select(*by, F.when(pairs > 0, F.col("auc2") / pairs).alias("auc"))
 
 
 def binary_metrics(scored: DataFrame, label: str, score: str = "score", model: str = "model",

@@ -201,3 +201,42 @@ def test_the_certificate_tells_a_wrong_optimum(spark, train):
     from types import SimpleNamespace
     off = SimpleNamespace(coefficients=SimpleNamespace(toArray=lambda: model.coefficients.toArray() + 0.1), intercept=model.intercept)
     assert not all(r.optimal for r in mtrain.logistic_gradient(off, t, stats, weights).collect())
+
+
+def test_the_task_that_holds_a_fold_ranks_it(spark, train):
+    from kestrel.ml import metrics
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 300):
+        margin, label = np.round(rng.normal(size=n), 1), rng.integers(0, 2, n).astype(np.uint8)
+        less = margin[label == 1][:, None] - margin[label == 0][None, :]
+        assert boost.ranked(margin, label) == (int(2 * (less > 0).sum() + (less == 0).sum()), int(label.sum()), int((label == 0).sum()))
+    t = prep.stratified_folds(train)
+    data = boost.blocks(t, COLS, boost.bin_edges(t, COLS), "team1_won")
+    runs = [boost.Run(0, boost.Params(1.0, 0.3, 2, 4, 0.8), 0), boost.Run(1, boost.Params(0.7, 0.1, 2, 4, 1.0), 1)]
+    every, _ = boost.fit(data, runs, [2, 4])
+    bare, _ = boost.fit(data, runs, [2, 4], margins=False)
+    rows = every.select("run", "trees", F.explode(F.arrays_zip("label", "margin")).alias("r")).select("run", "trees", "r.label", "r.margin")
+    auc = lambda df: sorted(map(tuple, df.collect()))
+    assert auc(metrics.auc_of(bare, ("run", "trees"))) == auc(metrics.auc_by(rows, ("run", "trees"), "label", "margin"))
+    held = {r.run: len(r.margin) for r in every.collect()}
+    assert all(len(r.margin) == len(r.label) == 0 and r.held == held[r.run] > 70 for r in bare.collect())
+
+
+def test_sums_of_many_rows_are_those_of_every_feature():
+    rng = np.random.default_rng(6)
+    n = 40_000
+    x = rng.integers(0, boost.BINS, (5, n)).astype(np.uint8)
+    block = boost.Block(x, rng.integers(0, 2, n).astype(np.uint8), np.ones(n), rng.integers(0, 5, n).astype(np.uint8), np.arange(n))
+    features = np.array([0, 2, 3, 4])
+    for share in (0.8, 1.0):
+        grower = boost.Grower(block, boost.Run(0, boost.Params(rows=share), 1), rng.normal(size=n))
+        for turn in range(2):
+            grower.begin(turn)
+            sums = grower.sums(0, features)
+            grower.split(np.array([2]), np.array([40]))
+            below = grower.sums(1, features, sums)
+            for got, nodes in ((sums, 1), (below, 2)):
+                node = grower.node[grower.rows] if nodes == 2 else np.zeros(len(grower.rows), dtype=int)
+                for k, f in enumerate(features):
+                    for part, w in zip(got, (grower.g, grower.h)):
+                        assert np.array_equal(part[:, k].ravel(), np.bincount(node * boost.BINS + x[f][grower.rows], w, nodes * boost.BINS))
