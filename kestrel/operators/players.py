@@ -275,13 +275,18 @@ LEVELS = 17             # dyadic ranges of up to 2^16 days
 _ALWAYS = (1 << (LEVELS - 1)) - 1
 
 
+def _levels(begin: Column, end: Column) -> Column:
+    """The levels whose ranges are no longer than the span [begin, end)."""
+    return F.sequence(F.lit(0), F.least(F.length(F.bin(end - begin)) - 1, F.lit(LEVELS - 1)))
+
+
 def _ranges_of(begin: Column, end: Column) -> Column:
     """[begin, end) of days as at most two dyadic ranges (level, number) per level."""
     def at(level: Column) -> Column:
-        size = F.pow(F.lit(2), level)
-        a, b = F.ceil(begin / size).cast("int"), F.floor(end / size).cast("int")
+        size = F.call_function("shiftleft", F.lit(1), level)
+        a, b = F.call_function("shiftright", begin + size - 1, level), F.call_function("shiftright", end, level)
         return F.array(*[F.when((a < b) & (odd % 2 != 0), F.struct(level.alias("level"), node.alias("node"))) for odd, node in ((a, a), (b, b - 1))])
-    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), at)))
+    return F.array_compact(F.flatten(F.transform(_levels(begin, end), at)))
 
 
 def _top_asof(lines: DataFrame, sides: DataFrame, f1: str, f2: str, second: bool, top_n: int, min_apps: int) -> DataFrame:
@@ -319,7 +324,8 @@ def spotlight_of_fixtures(stats: DataFrame, matches: DataFrame, fixtures: DataFr
     sides = fixtures.select("match_id", "match_date", F.explode(F.array_distinct(F.array("team1", "team2"))).alias("team"))
 
     def role(lines: DataFrame, f1: str, f2: str, second: bool) -> DataFrame:
-        lines = cut_lineage(lines)          # read for the totals and for the last lines
+        # read for the totals and for the last lines
+        lines = cut_lineage(lines.select("player_name", "team", "match_id", "match_date", f1, f2))
         top = _top_asof(lines, sides, f1, f2, second, top_n, min_apps)
         order = [F.desc(F.col("_s1") / F.col("_n")), *([F.asc(F.col("_s2") / F.col("_n"))] if second else [])]
         w = Window.partitionBy("match_id").orderBy(*order, "player_name", "team")
