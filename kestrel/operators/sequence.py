@@ -53,14 +53,16 @@ def id_range(rows: DataFrame, first: str) -> Column:
 def within_chunk(rows: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str],
                  hist_cols: Sequence[str], k: int, with_prev: bool = True) -> DataFrame:
     """Adds ``_part`` (the chunk's range of ids), ``_rn`` (1-based row number in
-    chunk), ``_n`` (chunk size) and, with ``with_prev``, ``_inprev`` (up to ``k``
-    previous rows of the chunk, oldest first)."""
+    chunk), ``_n`` (chunk size; a second window, left out of plans that do not read it),
+    ``_in_tail`` (among the chunk's last ``k`` rows) and, with ``with_prev``, ``_inprev``
+    (up to ``k`` previous rows of the chunk, oldest first)."""
     part = [*keys, chunk, PART]
     rows = rows.withColumn(PART, id_range(rows, order[0]))
     w = Window.partitionBy(*part).orderBy(*order)
     out = (rows
            .withColumn("_rn", F.row_number().over(w))
-           .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*part))))
+           .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*part)))
+           .withColumn("_in_tail", F.lead(F.lit(True), k).over(w).isNull()))
     if with_prev:
         entry = F.struct(*[F.col(c) for c in (chunk, *order, *hist_cols)])
         out = out.withColumn("_inprev", F.sort_array(F.collect_list(entry).over(w.rowsBetween(-k, -1))))
@@ -69,13 +71,13 @@ def within_chunk(rows: DataFrame, keys: Sequence[str], chunk: str, order: Sequen
 
 def chunk_table(rows1: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str],
                 hist_cols: Sequence[str], k: int, last_cols: Sequence[str] = ()) -> DataFrame:
-    """One row per chunk: ``_n``, ``_tail`` (last ``k`` rows) and the
-    values of ``last_cols`` on the chunk's last row."""
+    """One row per chunk: ``_n`` (its size), ``_tail`` (last ``k`` rows, ``k`` as for
+    :func:`within_chunk`) and the values of ``last_cols`` on the chunk's last row."""
     entry = F.struct(*[F.col(c) for c in (chunk, *order, *hist_cols)])
-    aggs = [F.max("_n").alias("_n"), F.sort_array(F.collect_list(entry)).alias("_tail")]
+    aggs = [F.max("_rn").cast("long").alias("_n"), F.sort_array(F.collect_list(entry)).alias("_tail")]
     aggs += [F.max_by(F.col(c), F.col("_rn")).alias(c) for c in last_cols]
     # Rows are already clustered by chunk: this aggregate adds no shuffle.
-    return rows1.filter(F.col("_rn") > F.col("_n") - F.lit(k)).groupBy(*keys, chunk, PART).agg(*aggs)
+    return rows1.filter("_in_tail").groupBy(*keys, chunk, PART).agg(*aggs)
 
 
 def chunk_carry(chunks: DataFrame, keys: Sequence[str], chunk: str, k: int) -> DataFrame:
@@ -106,7 +108,7 @@ def attach_carry(rows1: DataFrame, carry: DataFrame, keys: Sequence[str], chunk:
 
 def with_history(rows: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str],
                  hist_cols: Sequence[str], k: int) -> DataFrame:
-    """Rows plus ``_hist``/``_seq``/``_rn``/``_n`` (see module docstring)."""
+    """Rows plus ``_hist``/``_seq``/``_rn`` (see module docstring)."""
     rows1 = within_chunk(rows, keys, chunk, order, hist_cols, k)
     carry = chunk_carry(chunk_table(rows1, keys, chunk, order, hist_cols, k), keys, chunk, k)
     return attach_carry(rows1, carry, keys, chunk, k)
