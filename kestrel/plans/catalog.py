@@ -313,8 +313,8 @@ def q_live_from_states(spark, sf_dir):
     store = feedmod.scratch_dirs(spark, "day-states")["table_path"]
     year = F.year("match_date")
     for days in (year <= 1995, (year >= 1995) & (year < 1997), F.coalesce(year >= 1997, F.lit(True))):
-        part = m.where(days)
-        day_states.append(store, part, st.join(part.select("match_id"), "match_id", "left_semi"))
+        # a line has its match's day, so each load makes the lines of its own days only
+        day_states.append(store, m.where(days), st.where(days))
     return feat.live_features(None, None, feat.unfinished(m), states=day_states.states(spark, store))
 
 

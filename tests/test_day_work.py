@@ -50,3 +50,14 @@ def test_a_span_looks_at_the_levels_it_can_fill(spark):
         assert days == ([] if a is None else list(range(a, b))), (a, b)
         if a is not None and a < b:
             assert len(levels) == min((b - a).bit_length(), pl.LEVELS) and all(sum(x.level == k for x in r) <= 2 for k in levels)
+
+
+def test_a_load_makes_the_lines_of_its_own_days(spark, scratch, monkeypatch):
+    _tables(spark, scratch)
+    taken, append = [], day_states.append
+    monkeypatch.setattr(day_states, "append", lambda store, matches, stats: (taken.append((matches, stats)), append(store, matches, stats))[1])
+    names = ["match_id", "match_date", *catalog.feat.FEATURE_COLS]
+    live = catalog.QUERIES["C11_live_features_from_day_states"](spark, scratch).select(*names)
+    assert len(taken) == 3 and not any("LeftSemi" in _plan(stats) for _, stats in taken)
+    assert [m.count() for m, _ in taken] == [1000, 1000, 0] and [s.isEmpty() for _, s in taken] == [False, False, True]
+    assert sorted(map(str, live.collect())) == sorted(map(str, catalog.QUERIES["C11_live_features"](spark, scratch).select(*names).collect())) != []
