@@ -16,6 +16,7 @@ batch N have their own folder. Micro-batches never overlap: one poll at a time.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 from collections.abc import Callable, Sequence
@@ -26,7 +27,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kestrel.operators import quality
 from kestrel.operators import upsert as up
-from kestrel.session import ensure_checkpoint_dir
+from kestrel.session import ensure_checkpoint_dir, ship_package
+from kestrel.streaming.spans import unfold
 
 # Fixed value: the reference polls every 60 seconds.
 POLL_INTERVAL = "60 seconds"
@@ -63,6 +65,9 @@ def _write_parts(df: DataFrame, path: str, batch_id: int, key: Sequence[str], pa
     root, folder = path.rstrip("/"), f"batch={batch_id:08d}-{uuid.uuid4().hex[:8]}"
     df.withColumn(PARTITION, F.pmod(F.xxhash64(*key), F.lit(partitions)).cast("int")).repartition(PARTITION) \
         .write.partitionBy(PARTITION).parquet(f"{root}/{folder}")
+    fs, p = up._fs(spark, f"{root}/{folder}")
+    if not any(x.getPath().getName().startswith(f"{PARTITION}=") for x in fs.listStatus(p)):
+        return others                                                                       # no rows: nothing to commit
     sizes = spark.read.parquet(f"{root}/{folder}").groupBy(PARTITION).count().collect()     # at most ``partitions``
     rows = [(r["part"], r["folder"], r["n"], partitions) for r in others] + [(r[PARTITION], folder, r["count"], partitions) for r in sizes]
     done = up.versions(spark, f"{root}/_commits")
@@ -71,6 +76,12 @@ def _write_parts(df: DataFrame, path: str, batch_id: int, key: Sequence[str], pa
     return _commit(spark, root)
 
 
+def _grow(spark: SparkSession, path: str, batch_id: int, key: Sequence[str], partitions: int, partition_rows: int, rows: list) -> None:
+    """Deal the table (``rows``: its last commit) over twice as many partitions if they hold too many rows."""
+    if sum(r["n"] for r in rows) > partitions * partition_rows:
+        _write_parts(_read_parts(spark, path, rows), path, batch_id, key, 2 * partitions, [])
+
+
 def _sweep(spark: SparkSession, root: str) -> None:
     """Delete the folders that neither of the last two commits names."""
     done = up.versions(spark, f"{root}/_commits")
@@ -86,15 +97,20 @@ def _sweep(spark: SparkSession, root: str) -> None:
 def upsert_batch(batch: DataFrame, batch_id: int, *, table_path: str, rejects_path: str, key: Sequence[str],
                  immutable: Sequence[str], mutable: Sequence[str], order: Sequence[str],
                  validate: Callable[[DataFrame], DataFrame] | None, source: str,
-                 partitions: int = TABLE_PARTITIONS, partition_rows: int = PARTITION_ROWS) -> None:
+                 partitions: int = TABLE_PARTITIONS, partition_rows: int = PARTITION_ROWS, one_per_key: bool = False) -> None:
     """``order`` ranks the snapshots of a key (fetch time, then place in the
     payload); the batch number comes after the first of them, so that of equally
-    old snapshots the later batch wins."""
+    old snapshots the later batch wins. A table's first batch is written in one pass, never
+    held, if it is known to have one row per key and needs no validation."""
     spark = batch.sparkSession
+    b = batch.withColumn("_batch", F.lit(batch_id).cast("long"))
+    rank = [order[0], "_batch", *order[1:]]
+    if one_per_key and validate is None and not _commit(spark, table_path):
+        rows = _write_parts(b.select(*key, *immutable, *mutable, *rank), table_path, batch_id, key, partitions, [])
+        _grow(spark, table_path, batch_id, key, partitions, partition_rows, rows)
+        return
     batch.persist()
     try:
-        b = batch.withColumn("_batch", F.lit(batch_id).cast("long"))
-        rank = [order[0], "_batch", *order[1:]]
         if validate is not None:
             valid, rejects = quality.split_valid(validate(b), source, b.columns)
             rejects.write.mode("overwrite").parquet(f"{rejects_path.rstrip('/')}/batch={batch_id:08d}")
@@ -110,8 +126,7 @@ def upsert_batch(batch: DataFrame, batch_id: int, *, table_path: str, rejects_pa
             current = _read_parts(spark, table_path, mine) if mine else None
             merged = new if current is None else up.upsert(current, new, key, immutable, mutable, rank)   # ``new`` has one row per key
             rows = _write_parts(merged, table_path, batch_id, key, partitions, others)
-            if sum(r["n"] for r in rows) > partitions * partition_rows:
-                _write_parts(_read_parts(spark, table_path, rows), table_path, batch_id, key, 2 * partitions, [])
+            _grow(spark, table_path, batch_id, key, partitions, partition_rows, rows)
         new.unpersist()
     finally:
         batch.unpersist()
@@ -212,34 +227,38 @@ def _micros(spark: SparkSession, interval: str) -> int:
     return spark.range(1).select((F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {interval}"))).alias("us")).head()["us"]
 
 
+# The requests of a span are held in so many rows, by the hash of their key.
+SPAN_PARTS = 64
+
+
 def quota_spans(events: DataFrame, key: str = "user_id", ts: str = "ts", period: str = "60 seconds",
                 slide: str = "1 second", watermark: str = "2 minutes") -> DataFrame:
-    """The windows of :func:`windowed_quota`, one row per key and span: ``counts`` has the
-    requests of the windows that begin in the span's first half, ``slide`` apart.
+    """The requests of which :func:`windowed_quota` counts the windows, one row per span and
+    part of the keys: ``requests`` has the key and time of each. A span stands for the windows
+    that begin in its first half, ``slide`` apart.
 
     A span is two periods long and spans begin one period apart, so a request lies in two
-    of them, however many windows it lies in, and the state holds it twice."""
+    of them, however many windows it lies in, and the state holds it twice; of a dense log
+    many requests share a row."""
     spark = events.sparkSession
     p, s = _micros(spark, period), _micros(spark, slide)
     n = -(-p // s)
-    t = F.unix_micros(ts)
     agg = (events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
-           .groupBy(F.window(ts, f"{2 * n * s} microseconds", f"{n * s} microseconds").alias("_span"), F.col(key))
-           .agg(F.collect_list(t).alias("_at")))
-    begin = F.unix_micros("_span.start")
-    counts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.size(F.filter(
-        "_at", lambda x: (x >= begin + i * F.lit(s)) & (x < begin + i * F.lit(s) + F.lit(p)))))
-    return agg.select(F.col("_span.start").alias("span_start"), key, counts.alias("counts")) \
+           .groupBy(F.window(ts, f"{2 * n * s} microseconds", f"{n * s} microseconds").alias("_span"),
+                    F.pmod(F.xxhash64(key), F.lit(SPAN_PARTS)).cast("int").alias("part"))
+           .agg(F.collect_list(F.struct(F.col(key).alias("key"), F.unix_micros(ts).alias("at"))).alias("requests")))
+    return agg.select(F.col("_span.start").alias("span_start"), "part", "requests") \
         .withColumns({"period_us": F.lit(p), "slide_us": F.lit(s)})
 
 
 def quota_windows(spans: DataFrame, key: str = "user_id", max_calls: int = 10) -> DataFrame:
     """The windows with requests of :func:`quota_spans`, a row each."""
-    w = spans.select("*", F.posexplode("counts").alias("_i", "_n")).where("_n > 0")
-    end = F.timestamp_micros(F.unix_micros("span_start") + F.col("_i") * F.col("slide_us") + F.col("period_us"))
-    n = F.col("_n").cast("long")
-    return w.select(end.alias("window_end"), key, n.alias("in_window"),
-                    F.greatest(F.lit(0), F.lit(max_calls) - n).cast("long").alias("remaining"))
+    ship_package(spans.sparkSession)
+    kind = spans.schema["requests"].dataType.elementType["key"].dataType.simpleString()
+    w = spans.select(F.unix_micros("span_start").alias("begin"), "requests", F.col("period_us").cast("long").alias("p"),
+                     F.col("slide_us").cast("long").alias("s")).mapInArrow(unfold, f"_begin bigint, _key {kind}, _p bigint, _n bigint")
+    return w.select(F.timestamp_micros(F.col("_begin") + F.col("_p")).alias("window_end"), F.col("_key").alias(key), F.col("_n").alias("in_window"),
+                    F.greatest(F.lit(0), F.lit(max_calls) - F.col("_n")).cast("long").alias("remaining"))
 
 
 def windowed_quota(events: DataFrame, key: str = "user_id", ts: str = "ts", period: str = "60 seconds",
@@ -252,18 +271,47 @@ def windowed_quota(events: DataFrame, key: str = "user_id", ts: str = "ts", peri
     return quota_windows(quota_spans(events, key, ts, period, slide, watermark), key, max_calls)
 
 
+# State on the executors' disks, with a bound on the memory that it takes there.
+_DISK_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "48",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    # in update mode a batch without rows would only clear old state, which the next batch does as well
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+@contextlib.contextmanager
+def disk_state(spark: SparkSession, drain: bool):
+    """Streaming queries that start in here keep their state on disk (a query takes the
+    settings that hold when it starts; one with a checkpoint keeps its kind of store).
+    ``drain``: no later batch is waited for, so a task closes its store when it ends."""
+    conf = {**_DISK_STATE, "spark.sql.streaming.stateStore.unloadOnCommit": str(drain).lower()}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def quota_table(events: DataFrame, dirs: dict[str, str], key: str = "user_id", available_now: bool = True,
                 **how) -> StreamingQuery:
     """T6 kept as a table: every trigger upserts the spans that changed, so the
-    windows still open are there too, with their count so far. A row holds all windows
-    of a span (:func:`read_quota` gives one row per window)."""
+    windows still open are there too, with their count so far. A row holds the requests of a
+    span and part of the keys (:func:`read_quota` gives one row per window)."""
     def fn(df: DataFrame, batch_id: int) -> None:
         upsert_batch(df.withColumn("_seq", F.lit(0)), batch_id, table_path=dirs["table_path"],
-                     rejects_path=dirs["rejects_path"], key=["span_start", key], immutable=[],
-                     mutable=["counts", "period_us", "slide_us"], order=["_seq"], validate=None, source="quota")
+                     rejects_path=dirs["rejects_path"], key=["span_start", "part"], immutable=[],
+                     mutable=["requests", "period_us", "slide_us"], order=["_seq"], validate=None, source="quota", one_per_key=True)
     w = quota_spans(events, key=key, **how).writeStream.outputMode("update").foreachBatch(fn) \
         .option("checkpointLocation", dirs["checkpoint"])
-    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=POLL_INTERVAL)).start()
+    with disk_state(events.sparkSession, available_now):
+        return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=POLL_INTERVAL)).start()
 
 
 def read_quota(spark: SparkSession, path: str, key: str = "user_id", max_calls: int = 10) -> DataFrame | None:

@@ -252,3 +252,51 @@ def test_exact_quota_counts_many_keys_in_few_groups(spark, scratch, monkeypatch)
     assert got == want and len(got) == 400
     states = max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["numInputRows"])
     assert states <= 2 * 6
+
+
+def test_a_dense_log_is_held_in_few_rows_and_its_state_on_disk(spark, scratch):
+    """Many keys in one span share its rows; the counts are those of brute force."""
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(k, t0 + dt.timedelta(seconds=(k * 7) % 60, microseconds=k % 5), None if k % 501 == 0 else f"u{k % 900}") for k in range(2000)]
+    src, schema = os.path.join(scratch, "ev"), "event_id long, ts timestamp, user_id string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(src)
+    dirs = {"table_path": f"{scratch}/t", "rejects_path": f"{scratch}/r", "checkpoint": f"{scratch}/c"}
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    q = feed.quota_table(spark.readStream.schema(schema).parquet(src), dirs, slide="20 seconds")
+    q.awaitTermination()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    state = [p["stateOperators"][0] for p in q.recentProgress if p["numInputRows"]][0]
+    assert any(k.startswith("rocksdb") for k in state["customMetrics"])
+    assert feed.read_table(spark, dirs["table_path"]).count() <= 2 * feed.SPAN_PARTS        # one row per key and span: 1,800
+    got = {(r.window_end, r.user_id): (r.in_window, r.remaining) for r in feed.read_quota(spark, dirs["table_path"]).collect()}
+    want = {}
+    for _, t, u in rows:
+        for k in range(-3, 3):
+            if t0 + dt.timedelta(seconds=20 * k) <= t < t0 + dt.timedelta(seconds=20 * k + 60):
+                end = t0 + dt.timedelta(seconds=20 * k + 60)
+                want[(end, u)] = want.get((end, u), 0) + 1
+    assert got == {k: (n, max(0, 10 - n)) for k, n in want.items()}
+
+
+def test_a_quota_stream_without_times_leaves_no_table(spark, scratch):
+    schema = "event_id long, ts timestamp, user_id long"
+    src = os.path.join(scratch, "ev")
+    spark.createDataFrame([(1, None, 1)], schema).write.parquet(src)
+    dirs = {"table_path": f"{scratch}/t", "rejects_path": f"{scratch}/r", "checkpoint": f"{scratch}/c"}
+    feed.quota_table(spark.readStream.schema(schema).parquet(src), dirs).awaitTermination()
+    assert feed.read_quota(spark, dirs["table_path"]) is None
+
+
+def test_windows_unfold_in_blocks(monkeypatch):
+    import pyarrow as pa
+    from kestrel.streaming import spans
+    held = [[{"key": 1, "at": 100}, {"key": 2, "at": 101}, {"key": 1, "at": 103}], [{"key": None, "at": 110}]]
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([96, 108]), pa.array(held, kind), pa.array([10, 10]), pa.array([4, 4])], names=["begin", "requests", "p", "s"])
+    whole = [r for b in spans.unfold([batch]) for r in b.to_pylist()]
+    monkeypatch.setattr(spans, "SPAN_CELLS", 1)     # a key at a time
+    assert [r for b in spans.unfold([batch]) for r in b.to_pylist()] == whole
+    want = {(b + 4 * i, k["key"]): sum(b + 4 * i <= x["at"] < b + 4 * i + 10 and x["key"] == k["key"] for x in row)
+            for b, row in zip((96, 108), held) for k in row for i in range(3)}
+    assert {(r["_begin"], r["_key"]): r["_n"] for r in whole} == {k: n for k, n in want.items() if n} and len(whole) == sum(n > 0 for n in want.values())
