@@ -300,3 +300,27 @@ def test_windows_unfold_in_blocks(monkeypatch):
     want = {(b + 4 * i, k["key"]): sum(b + 4 * i <= x["at"] < b + 4 * i + 10 and x["key"] == k["key"] for x in row)
             for b, row in zip((96, 108), held) for k in row for i in range(3)}
     assert {(r["_begin"], r["_key"]): r["_n"] for r in whole} == {k: n for k, n in want.items() if n} and len(whole) == sum(n > 0 for n in want.values())
+
+
+def test_the_scorecard_feed_packs_its_payloads_and_holds_no_lines(spark, monkeypatch):
+    """Payload files are packed, a poll's lines are not held by the executors, and nothing of them stays."""
+    import glob
+
+    from kestrel.operators import quality
+    from kestrel.plans import catalog
+    held, split = [], quality.split_valid
+    before = set(spark.sparkContext._jsc.sc().getPersistentRDDs().keys().mkString(",").split(","))
+
+    def watched(checked, *a):
+        if "economy" in checked.columns and "match_date" not in checked.columns:
+            held.append(set(spark.sparkContext._jsc.sc().getPersistentRDDs().keys().mkString(",").split(",")) - before)
+        return split(checked, *a)
+    monkeypatch.setattr(quality, "split_valid", watched)
+    paths = catalog._scorecard_feed(spark, SF)
+    base = os.path.dirname(paths["innings_path"]).removeprefix("file:")
+    assert held == [set(), set()]
+    files = [f for f in glob.glob(f"{base}/payloads/**", recursive=True) if os.path.isfile(f) and "part-" in f]
+    assert files and all(f.endswith(".json.gz") for f in files)
+    assert not glob.glob(f"{base}/**/_lines/batch=*", recursive=True)
+    polls = spark.read.parquet(paths["innings_path"]).groupBy("_batch").count().collect()
+    assert sorted(r["_batch"] for r in polls) == [0, 1] and len({r["count"] for r in polls}) == 1
